@@ -50,10 +50,11 @@ def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_
     """Decide how many copies of each document the mix takes.
 
     Returns (doc_id, source, size, source_size, target, copies, taken), a row for each row of ``docs``.
-    Every document of a source expects target / source_size copies.  A source's documents are laid in one line,
-    ordered by coarse size, cell and size; the line of expected copies is cut at the integers after adding
-    one random offset for the source, and a document is taken once for each integer it crosses.  Because
-    neighbours have similar sizes, the words taken stay near the target.
+    Every document of a source expects target / source_size copies.  A source's documents are laid in one line:
+    one half (by a hash) with rising sizes, then the other with falling ones.  The line of expected copies is
+    cut at the integers after adding one random offset for the source, and a document is taken once for each
+    integer it crosses.  Neighbours have similar sizes and the two halves' drifts cancel, so the words taken
+    stay near the target.
 
     The line is never gathered: counts of (source, size class, cell) give each cell's start, and ranks run
     within cells of about CELL_ROWS rows.  Null text has size 0; null ids and sources are values like others
@@ -64,10 +65,11 @@ def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_
     rows = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size")))
     cells = F.greatest(F.lit(1), F.ceil(F.lit(rows.count() / CELL_ROWS))).cast("long")
     known = {"_s": F.coalesce("source", F.lit("")), "_null": F.col("source").isNull()}
-    rows = rows.withColumns(known | {
-        "_class": F.floor(F.log2(F.col("size") + 1) * 8).cast("int"),
-        "_u": uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))),
-    })
+    size_class = F.floor(F.log2(F.col("size") + 1) * 8).cast("int")
+    rows = rows.withColumns(known | {"_u": uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))})
+    rows = rows.withColumn("_falls", F.pmod((F.col("_u") * 4294967296).cast("long"), F.lit(2)) == 1)
+    rows = rows.withColumn("_class", F.when(F.col("_falls"), 1000 - size_class).otherwise(size_class))
+    rows = rows.withColumn("_size", F.when(F.col("_falls"), -F.col("size")).otherwise(F.col("size")))
     rows = rows.withColumn("_cell", F.floor(F.col("_u") * cells))
     key = ["_s", "_null", "_class", "_cell"]
     counts = rows.groupBy(*key).agg(F.count("*").alias("_n"), F.sum("size").alias("_words"))
@@ -77,7 +79,7 @@ def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_
     targets = source_targets(sizes).withColumns(known).drop("source")
     line = W.partitionBy("_s", "_null").orderBy("_class", "_cell").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(line), F.lit(0))).join(targets, ["_s", "_null"])
-    inside = W.partitionBy(*key).orderBy("size", "_u", F.col("doc_id").isNull(), "doc_id")
+    inside = W.partitionBy(*key).orderBy("_size", "_u", F.col("doc_id").isNull(), "doc_id")
     ranked = rows.withColumn("_rank", F.row_number().over(inside)).join(starts.drop("_n", "_words"), key)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = uniform(F.lit("offset"), F.concat(F.col("_s"), F.col("_null").cast("string")))
@@ -102,8 +104,10 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
-r AS (SELECT *, coalesce(source, '') AS s, source IS NULL AS sn, floor(log2(size + 1) * 8)::INTEGER AS class,
-  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM d),
+h AS (SELECT *, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT AS bits FROM d),
+r AS (SELECT doc_id, size, source, coalesce(source, '') AS s, source IS NULL AS sn, bits / 4294967296.0::DOUBLE AS u,
+  CASE WHEN bits % 2 = 1 THEN -size ELSE size END AS line_size,
+  CASE WHEN bits % 2 = 1 THEN 1000 - floor(log2(size + 1) * 8)::INTEGER ELSE floor(log2(size + 1) * 8)::INTEGER END AS class FROM h),
 k AS (SELECT greatest(1, ceil(count(*) / 20000.0))::BIGINT AS cells FROM d),
 rc AS (SELECT r.*, floor(u * cells)::BIGINT AS cell FROM r, k),
 z AS (SELECT s, sn, sum(size)::BIGINT AS source_size FROM rc GROUP BY s, sn),
@@ -117,7 +121,7 @@ t AS (SELECT *, (total - full_words) / rest AS attempt FROM f),
 g AS (SELECT *, max(CASE WHEN attempt <= level THEN attempt END) OVER () AS lam FROM t),
 x AS (SELECT s, sn, source_size, least(cap, coalesce(lam, level) * wt) AS target FROM g),
 o AS (SELECT rc.*, x.source_size, x.target,
-  row_number() OVER (PARTITION BY rc.s, rc.sn ORDER BY class, cell, size, u, doc_id NULLS LAST) AS at_row,
+  row_number() OVER (PARTITION BY rc.s, rc.sn ORDER BY class, cell, line_size, u, doc_id NULLS LAST) AS at_row,
   CASE WHEN x.source_size > 0 THEN x.target / x.source_size ELSE 0.0::DOUBLE END AS rate,
   ('0x' || substr(md5('offset:' || rc.s || rc.sn::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS off
   FROM rc JOIN x ON rc.s = x.s AND rc.sn = x.sn)
