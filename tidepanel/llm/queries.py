@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepanel.llm import mixing, packing, toxicity
+from tidepanel.llm import mixing, ngram_join, packing, toxicity
 from tidepanel.llm.base import table
 
 
@@ -23,9 +23,14 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_packing": op7_packing,
     "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
+    "op10_ngram_join": op10_ngram_join,
 }
 ORACLES: dict[str, str] = {"op9_mixing": mixing.ORACLE}
