@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidepanel.llm import mixing, packing, toxicity
+from tidepanel.llm import lines, mixing, ngram_join, packing, toxicity
 from tidepanel.llm.base import materialize, table
 
 
@@ -12,6 +13,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A document of which no line stays goes; its lines stand in others.  One that had no text stays."""
+    kept = lines.without_repeats(docs).where("n_removed = 0 OR trim(text) <> ''")
+    return kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.one_of_each(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
@@ -22,6 +33,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [
     ("toxicity", drop_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("n-gram join", drop_near_copies),
     ("mixing", mix_sources),
     ("packing", pack_sequences),
 ]
