@@ -58,12 +58,13 @@ def with_blocks(df: DataFrame, key: str, n: Column, node: Column, block_rows: in
 
     ``n`` is the key's number of rows.  Keys of up to ``block_rows`` rows stay whole (block pair 0, 0); of a
     larger key each row goes to one pair for each of its blocks, so a task holds two blocks at most.
+    ``block`` is the row's own block.
     """
     blocks = F.ceil(n / F.lit(block_rows)).cast("int")
     own = F.pmod(F.xxhash64(node, F.lit("block")), F.col("_blocks")).cast("int")
     df = df.withColumn("_blocks", blocks).withColumn("_own", own)
     df = df.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    return df.withColumns({"block_a": F.least("_own", "_other"), "block_b": F.greatest("_own", "_other")}).drop("_blocks", "_own", "_other")
+    return df.withColumns({"block_a": F.least("_own", "_other"), "block_b": F.greatest("_own", "_other"), "block": F.col("_own")}).drop("_blocks", "_own", "_other")
 
 
 class Forest:

@@ -6,15 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepanel.llm import lines, mixing, ngram_join, packing, toxicity
+from tidepanel.llm import embeddings, lines, media, mixing, ngram_join, packing, toxicity
 from tidepanel.llm.base import table
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.without_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(media.stored(table(spark, sf_dir, "documents")))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -33,7 +41,9 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_line_dedup": op3_line_dedup,
+    "op6_media": op6_media,
     "op7_packing": op7_packing,
     "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
