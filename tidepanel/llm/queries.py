@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepanel.llm import embeddings, lines, media, mixing, ngram_join, packing, toxicity
+from tidepanel.llm import embeddings, licenses, lines, lm_score, media, mixing, ngram_join, packing, toxicity
 from tidepanel.llm.base import table
 
 
@@ -19,6 +19,15 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels", "doc_id", "quality").where("quality = 1")
+    return lm_score.score(table(spark, sf_dir, "documents", "doc_id", "text"), good)
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.stored(table(spark, sf_dir, "documents")))
 
@@ -43,6 +52,8 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_line_dedup": op3_line_dedup,
+    "op4_licenses": op4_licenses,
+    "op5_lm_score": op5_lm_score,
     "op6_media": op6_media,
     "op7_packing": op7_packing,
     "op8_toxicity": op8_toxicity,
