@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepanel.llm import embeddings, licenses, lines, lm_score, media, mixing, ngram_join, packing, toxicity
+from tidepanel.llm import embeddings, html_text, licenses, lines, lm_score, media, mixing, ngram_join, packing, toxicity
 from tidepanel.llm.base import table
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -50,6 +54,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_text": op1_html_text,
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_line_dedup": op3_line_dedup,
     "op4_licenses": op4_licenses,
