@@ -113,3 +113,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
             return labels.select("node", F.col("root").alias("component"))
         labels = labels.join(hooks, "node", "left").select("node", F.least("root", "_low").alias("root"))
     raise RuntimeError(f"components did not settle within {rounds} rounds")
+
+
+#: Bits of a filter that is sent to executors: 512 KB.
+FILTER_BITS = 1 << 22
+
+
+def bit_map(positions: DataFrame):
+    """A broadcast map of the positions p (0 to FILTER_BITS - 1) in ``positions``, of a fixed size, as packed bits."""
+    rows = positions.groupBy(F.expr("bitmap_bucket_number(p)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits"))
+    bits = np.zeros(FILTER_BITS, bool)
+    for r in rows.collect():
+        # bucket k holds positions (k - 1) * 32768 + 1 .. k * 32768, and bucket 0 position 0 alone
+        found = np.flatnonzero(np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little"))
+        at = (r["k"] - 1) * 32_768 + 1 + found if r["k"] > 0 else np.zeros(1, np.int64)
+        bits[at[at < FILTER_BITS]] = True
+    return positions.sparkSession.sparkContext.broadcast(np.packbits(bits))

@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.base import components, materialize, mix64
-from tidepanel.llm.verify import verified_links
+from tidepanel.llm.base import FILTER_BITS, bit_map, components, materialize, mix64
+from tidepanel.llm.verify import verified_links, with_totals
 
 #: Characters of a shingle.
 WIDTH = 10
@@ -20,8 +20,10 @@ MIN_CHARS = 16
 #: Jaccard similarity NUM / DEN.
 NUM, DEN = 4, 5
 #: One-permutation signature: bins, of which ROWS make a band.
-#: A pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8 ** 4) ** 10 = 0.995.
-BINS, ROWS, BANDS = 64, 4, 10
+#: A pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8 ** 4) ** 9 = 0.991.
+BINS, ROWS, BANDS = 64, 4, 9
+#: Lines remembered in a task, whose repeats there need no bands of their own; it bounds memory only.
+REMEMBERED = 200_000
 #: Characters handled at once in a task.
 CHUNK = 1_000_000
 
@@ -81,62 +83,113 @@ def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield batch[piece == p]
 
 
-def signed_lines(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, line_no, key, bands) of the lines of MIN_CHARS characters or more, without outer white space."""
+def node_of(line: str) -> int:
+    """A line's identity: 64 bits of a digest of its text."""
+    return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def line_places(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, line_no, node, chars) of the lines of MIN_CHARS characters or more, without outer white space."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for piece in chunks(batches):
-            ids, numbers, lines = [], [], []
+            ids, numbers, nodes, chars = [], [], [], []
             for doc, text in zip(piece["doc_id"], piece["text"], strict=True):
                 for i, line in enumerate(split_lines(text)):
                     if len(line := line.strip()) >= MIN_CHARS:
                         ids.append(doc)
                         numbers.append(i)
-                        lines.append(line)
-            keys = [hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=16).digest() for x in lines]
-            bands = list(band_hashes(lines).view(np.int64)) if lines else []
-            yield pd.DataFrame({"doc_id": ids, "line_no": numbers, "key": keys, "bands": bands})
+                        nodes.append(node_of(line))
+                        chars.append(len(line))
+            yield pd.DataFrame({"doc_id": ids, "line_no": numbers, "node": nodes, "chars": chars})
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInPandas(run, "doc_id long, line_no long, key binary, bands array<long>")
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInPandas(run, "doc_id long, line_no long, node long, chars long")
 
 
-def line_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows (component, node, elements) for the wanted lines, rows (component, node, doc_id, line_no)."""
-    by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "node", "component")).alias("lines"))
+def line_bands(docs: DataFrame) -> DataFrame:
+    """Rows (band, node) of the same lines; a line that a task has just met is not sent again."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        met: set[int] = set()
         for piece in chunks(batches):
-            rows = []
-            for text, some in zip(piece["text"], piece["lines"], strict=True):
-                lines = split_lines(text)
-                for x in some:
-                    codes, _ = shingle_codes([lines[x["line_no"]].strip()])
-                    rows.append((x["component"], x["node"], np.unique(codes).view(np.int64)))
-            yield pd.DataFrame(rows, columns=["component", "node", "elements"])
+            lines = [x for t in piece["text"] for line in split_lines(t) if len(x := line.strip()) >= MIN_CHARS]
+            fresh = {n: x for n, x in zip(map(node_of, lines), lines, strict=True) if n not in met}
+            if len(met) > REMEMBERED:
+                met.clear()
+            met.update(fresh)
+            if fresh:
+                bands = band_hashes(list(fresh.values())).view(np.int64)
+                yield pd.DataFrame({"band": bands.ravel(), "node": np.repeat(np.array(list(fresh), np.int64), BANDS)})
+
+    return docs.where("doc_id IS NOT NULL").select("text").mapInPandas(run, "band long, node long")
+
+
+def band_stars(bands: DataFrame) -> DataFrame:
+    """Links (a, b) from the first node of every band to its others; bands are streamed in order, none is gathered."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        band, first = None, 0
+        for batch in batches:
+            k, n = batch["band"].to_numpy(), batch["node"].to_numpy()
+            if not len(k):
+                continue
+            starts = np.concatenate([[True], k[1:] != k[:-1]])
+            if band is not None and k[0] == band:
+                starts[0] = False
+                heads = np.concatenate([[first], n])[np.maximum.accumulate(np.where(starts, np.arange(1, len(n) + 1), 0))]
+            else:
+                heads = n[np.maximum.accumulate(np.where(starts, np.arange(len(n)), 0))]
+            band, first = k[-1], heads[-1]
+            yield pd.DataFrame({"a": heads, "b": n})[heads != n]
+
+    return bands.repartition("band").sortWithinPartitions("band", "node").mapInPandas(run, "a long, b long")
+
+
+def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows (component, node, total, payload) with the texts of the wanted lines, rows (component, node, total).
+
+    A bit map of the wanted nodes, of a fixed size, tells tasks which lines to send; the join removes its false
+    positives, and no whole text is shuffled.
+    """
+    bits = bit_map(wanted.select(F.pmod("node", F.lit(FILTER_BITS)).alias("p")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = np.unpackbits(bits.value).astype(bool)
+        met: set[int] = set()
+        for piece in chunks(batches):
+            lines = [x for t in piece["text"] for line in split_lines(t) if len(x := line.strip()) >= MIN_CHARS]
+            fresh = {n: x for n, x in zip(map(node_of, lines), lines, strict=True) if kept[n % FILTER_BITS] and n not in met}
+            if len(met) > REMEMBERED:
+                met.clear()
+            met.update(fresh)
+            yield pd.DataFrame({"node": list(fresh), "payload": list(fresh.values())})
+
+    texts = docs.where("doc_id IS NOT NULL").select("text").mapInPandas(run, "node long, payload string")
+    return texts.join(wanted, "node").dropDuplicates(["node"]).select("component", "node", "total", "payload")
+
 
-    joined = docs.select("doc_id", "text").join(by_doc, "doc_id").dropDuplicates(["doc_id"]).select("text", "lines")
-    return joined.mapInPandas(run, "component long, node long, elements array<long>")
+def shingle_set(line: str) -> np.ndarray:
+    return np.unique(shingle_codes([line.strip()])[0])
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """Lines to remove: rows (doc_id, line_no), distinct.
 
-    Lines with equal text are one node, named by its first place (doc_id, line_no).  Nodes that share a MinHash
-    band make candidate components; within these the shingle sets are compared exactly, and every component of
-    links of Jaccard similarity 0.8 or more keeps its first line.
+    Lines with equal text are one node, named by 64 bits of its digest and placed where it stands first.  Nodes
+    that share a MinHash band make candidate components; within these the shingle sets are compared exactly,
+    and every component of links of Jaccard similarity 0.8 or more keeps its first line.
     """
-    lines = materialize(signed_lines(docs).withColumn("node", F.xxhash64("key")))
-    nodes = lines.groupBy("key", "node").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
-    nodes = materialize(nodes.select("key", "node", "first.*"))
-    banded = lines.select("node", F.explode("bands").alias("band"))
-    stars = banded.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("_top")).where("a < _top").select("band", "a")
-    near = components(banded.join(stars, "band").select("a", F.col("node").alias("b")).where("a <> b"))
-    wanted = nodes.join(near, "node").select("component", "node", "doc_id", "line_no")
-    found = components(verified_links(line_sets(docs, wanted), NUM, DEN, "long"))
-    groups = nodes.join(found, "node", "left").select("key", "doc_id", "line_no", F.coalesce("component", "node").alias("component"))
+    places = materialize(line_places(docs))
+    nodes = places.groupBy("node").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("_n"), F.max("chars").alias("size"))
+    nodes = materialize(nodes.select("node", "first.*", "_n", "size"))
+    near = components(band_stars(line_bands(docs)))
+    wanted = with_totals(nodes.join(near, "node").select("component", "node", "size"))
+    wanted = materialize(wanted)
+    found = components(verified_links(line_texts(docs, wanted), NUM, DEN, shingle_set))
+    groups = nodes.join(found, "node", "left").where("_n > 1 OR component IS NOT NULL").select("node", "doc_id", "line_no", F.coalesce("component", "node").alias("component"))
     kept = groups.groupBy("component").agg(F.min(F.struct("doc_id", "line_no")).alias("kept"))
-    places = lines.select("doc_id", "line_no", "key").join(groups.select("key", "component"), "key").join(kept, "component")
-    return places.where("doc_id <> kept.doc_id OR line_no <> kept.line_no").select("doc_id", "line_no").distinct()
+    wherever = groups.select("node", "component").join(kept, "component").select("node", "kept")
+    return places.join(wherever, "node").where("doc_id <> kept.doc_id OR line_no <> kept.line_no").select("doc_id", "line_no").distinct()
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

@@ -11,8 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.base import Forest, components, materialize, mix64, with_blocks
-from tidepanel.llm.verify import runs, verified_links
+from tidepanel.llm.base import FILTER_BITS, Forest, bit_map, components, materialize, mix64, with_blocks
+from tidepanel.llm.verify import array_runs, verified_links, with_totals
 
 N = 4
 #: Jaccard similarity NUM / DEN.
@@ -23,7 +23,6 @@ GROUPS = 64
 LEAF = 32
 #: Rows of one bucket that meet whole in a task; larger buckets are dealt to pairs of blocks.
 BLOCK_ROWS = 4096
-FILTER_BITS = 1 << 22
 
 
 class WordHashes(dict):
@@ -84,6 +83,11 @@ def tree_pairs(n: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray,
     under the least overlap are passed over.  (Counts are capped at 255; (n + m - L1 distance) / 2 equals the
     sum of minima without caps and stays an upper bound with them.)
     """
+    if len(n) == 2:
+        apart = int(np.abs(counts[0].astype(np.int16) - counts[1]).sum())
+        if (DEN + NUM) * (int(n.sum()) - apart) >= 2 * NUM * int(n.sum()):
+            yield np.array([0]), np.array([1])
+        return
     order = np.argsort(n, kind="stable")
     slab = LEAF * 8
     for x in range(0, len(order), slab):
@@ -119,9 +123,11 @@ def tree_pairs(n: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray,
 def candidate_links(alive: DataFrame) -> DataFrame:
     """A forest of the pairs that share a prefix element and pass the R-tree's bound; rows (a, b).
 
-    ``alive`` has rows (rep, n, counts, prefix).  Each prefix element is a bucket with an R-tree of its own.
+    ``alive`` has rows (rep, n, counts, prefix).  Linked sets share one at least of their first
+    n - least_overlap + 1 elements; each of these is a bucket with an R-tree of its own.
     """
-    rows = alive.select("rep", "n", "counts", F.explode("prefix").alias("h"))
+    plain = F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1
+    rows = alive.select("rep", "n", "counts", F.explode(F.slice("prefix", F.lit(1), plain.cast("int"))).alias("h"))
     sizes = rows.groupBy("h").agg(F.count("*").alias("_size")).where("_size > 1")
     dealt = with_blocks(rows.join(sizes, "h"), "h", F.col("_size"), F.col("rep"), BLOCK_ROWS)
     keys = ["h", "block_a", "block_b"]
@@ -130,15 +136,13 @@ def candidate_links(alive: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set = set()
         found: set[tuple[int, int]] = set()
-        for group in runs(batches, keys):
-            reps = group["rep"].to_numpy()
+        for reps, n, counts in array_runs(batches, keys, ["rep", "n"], "counts"):
             if len(reps) < 2 or (same := reps.tobytes() if len(reps) < 256 else None) in seen:
                 continue
             if same and len(seen) < 200_000:
                 seen.add(same)
-            counts = np.frombuffer(b"".join(group["counts"]), np.uint8).reshape(-1, GROUPS)
             forest = Forest(len(reps))
-            for xs, ys in tree_pairs(group["n"].to_numpy(), counts):
+            for xs, ys in tree_pairs(n, counts):
                 for x, y in zip(xs.tolist(), ys.tolist(), strict=True):
                     if forest.union(x, y):
                         found.add((int(reps[x]), int(reps[y])))
@@ -151,32 +155,24 @@ def candidate_links(alive: DataFrame) -> DataFrame:
 
 
 def chosen_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows (node, component, elements) for the documents in ``nodes``.
+    """Rows (component, node, total, payload) for the documents in ``nodes``; the payload is the whole shingle set.
 
     A bit map of the wanted ids' hashes, of a fixed 512 KB, goes to the executors, so only wanted texts are
     read into sets and no text is shuffled; a join then removes its false positives.
     """
     position = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    wanted = nodes.select(F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS)).alias("p"))
-    wanted = wanted.groupBy(F.expr("bitmap_bucket_number(p)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits"))
-    bits = np.zeros(FILTER_BITS + 65_536, bool)
-    for r in wanted.where("k > 0").collect():
-        at = (r["k"] - 1) * 32_768
-        bits[at : at + 32_768] = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little")
-    # bucket k holds positions (k - 1) * 32768 + 1 .. k * 32768; ids at position 0 all pass
-    bits = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    bits = bit_map(nodes.select(F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS)).alias("p")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, kept = WordHashes(), np.unpackbits(bits.value).astype(bool)
         for batch in batches:
-            p = batch["p"].to_numpy()
-            batch = batch[kept[np.maximum(p, 1) - 1] | (p == 0)]
+            batch = batch[kept[batch["p"].to_numpy()]]
             for x in range(0, len(batch), 500):
                 some = batch.iloc[x : x + 500]
-                yield pd.DataFrame({"node": some["doc_id"], "elements": [shingles(t, known).view(np.int64) for t in some["text"]]})
+                yield pd.DataFrame({"node": some["doc_id"], "payload": [shingles(t, known).view(np.int64) for t in some["text"]]})
 
-    sets = docs.where("doc_id IS NOT NULL").select("doc_id", "text", position.alias("p")).mapInPandas(run, "node long, elements array<long>")
-    return sets.join(nodes, "node").dropDuplicates(["node"]).select("component", "node", "elements")
+    sets = docs.where("doc_id IS NOT NULL").select("doc_id", "text", position.alias("p")).mapInPandas(run, "node long, payload array<long>")
+    return sets.join(nodes, "node").dropDuplicates(["node"]).select("component", "node", "total", "payload")
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
@@ -190,7 +186,9 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     3. Each prefix element of the others is a bucket with its own R-tree of (size, group counts); pairs whose
        summed coordinate minima admit a link make candidate components.  One R-tree over all sets
        would search almost every leaf, because texts of like size have like counts.
-    4. Within candidate components sets are compared exactly; the links' components are the result.
+    4. Within candidate components the prefixes rule out most pairs: within their common range of hashes two
+       linked sets differ little.
+    5. Within what is left sets are compared exactly; the links' components are the result.
 
     Groups are never expanded into pairs of rows: buckets and components yield spanning forests, and large
     ones are dealt to pairs of blocks.  Null and empty texts have no shingles and are alone; null ids keep a
@@ -209,7 +207,11 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     alive = shared.where(F.col("_shared") >= 1 + F.floor(smaller * EXTRA / 1000)).select("rep")
     alive = materialize(reps.join(alive, "rep").select("rep", "n", "counts", "prefix"))
     candidates = components(candidate_links(alive))
-    links = verified_links(chosen_sets(docs, candidates), NUM, DEN, "long")
+    found = alive.join(candidates.withColumnRenamed("node", "rep"), "rep").withColumn("size", F.size("prefix"))
+    prefixes = with_totals(found.select("component", F.col("rep").alias("node"), F.col("prefix").alias("payload"), "n", "size"))
+    near = components(verified_links(prefixes, NUM, DEN, partial=True))
+    near = materialize(with_totals(near.join(alive.select(F.col("rep").alias("node"), F.col("n").alias("size")), "node")))
+    links = verified_links(chosen_sets(docs, near), NUM, DEN)
     found = components(links).select(F.col("node").alias("rep"), "component")
     groups = reps.join(found, "rep", "left").select("signature", F.coalesce("component", "rep").alias("component"))
     out = prepared.select("doc_id", "n", "signature").join(groups, "signature", "left")

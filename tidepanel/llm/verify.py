@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.base import Forest, with_blocks
+from tidepanel.llm.base import with_blocks
 
 #: Set elements of a block; a task holds two blocks of a component at most.
 BLOCK_ELEMENTS = 1_500_000
@@ -35,78 +35,129 @@ def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFr
         yield pd.concat(held) if len(held) > 1 else held[0]
 
 
-def set_links(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links den * |intersection| >= num * |union| between the sets.
+def array_runs(batches: Iterator[pd.DataFrame], keys: list[str], columns: list[str], stack: str) -> Iterator[tuple[np.ndarray, ...]]:
+    """The same, as arrays of ``columns`` and of the byte column ``stack``; for very many small runs."""
+    held: tuple | None = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        k = np.stack([batch[c].to_numpy(np.int64) for c in keys], 1)
+        data = [k, *[batch[c].to_numpy() for c in columns], np.frombuffer(b"".join(batch[stack]), np.uint8).reshape(len(batch), -1)]
+        if held is not None:
+            data = [np.concatenate(x) for x in zip(held, data, strict=True)]
+        k = data[0]
+        cuts = np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1
+        edges = [0, *cuts.tolist()]
+        for x, y in zip(edges, edges[1:], strict=False):
+            yield tuple(d[x:y] for d in data[1:])
+        held = tuple(d[edges[-1] :] for d in data)
+    if held is not None:
+        yield held[1:]
+
+
+def linked(num: int, den: int, n, m, both):
+    """Whether sets of n and m elements with ``both`` common ones are linked."""
+    return den * both >= num * (n + m - both)
 
-    A breadth-first walk compares each set it reaches with those not reached yet, so every pair that could
-    join two trees is compared exactly.
+
+def set_links(sets: list[np.ndarray], num: int, den: int, whole: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links den * |intersection| >= num * |union| between the sorted sets.
+
+    A breadth-first walk compares each set it reaches with those of a fitting size not reached yet, so every
+    pair that could join two trees is compared exactly.
+
+    With ``whole`` (sizes) the arrays are the least elements of larger sets: then a pair is joined unless the
+    difference of the two within their common range already forbids a link.
     """
-    if len(sets) == 2:
+    lengths = np.array([len(s) for s in sets], np.int64)
+    sizes = lengths if whole is None else np.asarray(whole, np.int64)
+    if len(sets) == 2 and whole is None:
         a, b = sets
-        both = len(np.intersect1d(a, b, assume_unique=True)) if num * max(len(a), len(b)) <= den * min(len(a), len(b)) else 0
-        return [(0, 1)] if both and den * both >= num * (len(a) + len(b) - both) else []
-    sizes = np.array([len(s) for s in sets], np.int64)
+        fits = num * lengths.max() <= den * lengths.min()
+        return [(0, 1)] if fits and linked(num, den, *lengths, len(np.intersect1d(a, b, assume_unique=True))) else []
+    order = np.argsort(sizes, kind="stable")
+    sets, lengths, sizes = [sets[i] for i in order], lengths[order], sizes[order]
     distinct, codes = np.unique(np.concatenate(sets), return_inverse=True)
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    mark, out = np.zeros(len(distinct), np.int32), []
-    left = np.arange(len(sets))
-    left_codes, left_starts = codes, starts[:-1]
+    codes = codes.astype(np.int32)
+    starts = np.concatenate([[0], np.cumsum(lengths)])
+    last = np.where(lengths < sizes, codes[starts[1:] - 1], len(distinct))
+    mark, out, queue = np.zeros(len(distinct), np.uint8), [], []
+    left, left_codes, left_starts = np.arange(len(sets)), codes, starts
     reached = np.zeros(len(sets), bool)
-    queue: list[int] = []
+    seed = 0
     while True:
         if not queue:
-            rest = left[~reached[left]]
-            if len(rest) < 2:
-                return out
-            queue.append(int(rest[0]))
-            reached[rest[0]] = True
-        if (~reached[left]).sum() < 0.8 * len(left):
+            while seed < len(sets) and reached[seed]:
+                seed += 1
+            if seed == len(sets):
+                return out_of(out, order)
+            queue.append(seed)
+            reached[seed] = True
+        if (~reached[left]).sum() < 0.7 * len(left):
             left = left[~reached[left]]
             if not len(left):
-                return out
+                return out_of(out, order)
             left_codes = np.concatenate([codes[starts[i] : starts[i + 1]] for i in left])
-            left_starts = np.concatenate([[0], np.cumsum(sizes[left])[:-1]])
+            left_starts = np.concatenate([[0], np.cumsum(lengths[left])])
         p = queue.pop()
+        lo = np.searchsorted(sizes[left], -(-num * sizes[p] // den), "left")
+        hi = np.searchsorted(sizes[left], den * sizes[p] // num, "right")
+        if lo >= hi:
+            continue
+        near, part, at = left[lo:hi], left_codes[left_starts[lo] : left_starts[hi]], left_starts[lo:hi] - left_starts[lo]
         own = codes[starts[p] : starts[p + 1]]
         mark[own] = 1
-        both = np.add.reduceat(mark[left_codes], left_starts)
+        both = np.add.reduceat(mark[part], at, dtype=np.int64)
         mark[own] = 0
-        hit = left[(den * both >= num * (sizes[p] + sizes[left] - both)) & ~reached[left]]
+        if whole is None:
+            hit = linked(num, den, sizes[p], sizes[near], both)
+        else:
+            seen = np.where(last[near] <= last[p], lengths[near], np.add.reduceat(part <= last[p], at, dtype=np.int64))
+            apart = np.searchsorted(own, np.minimum(last[near], last[p]), "right") + seen - 2 * both
+            hit = (den + num) * apart <= (den - num) * (sizes[p] + sizes[near])
+        hit = near[hit & ~reached[near]]
         reached[hit] = True
         out += [(p, int(i)) for i in hit]
         queue += hit.tolist()
 
 
-def verified_links(members: DataFrame, num: int, den: int, node_type: str, block_elements: int = BLOCK_ELEMENTS) -> DataFrame:
+def out_of(pairs: list[tuple[int, int]], order: np.ndarray) -> list[tuple[int, int]]:
+    return [(int(order[x]), int(order[y])) for x, y in pairs]
+
+
+def with_totals(wanted: DataFrame) -> DataFrame:
+    """Rows (component, node, size, ...) of components with two nodes or more, with their total size as ``total``."""
+    totals = wanted.groupBy("component").agg(F.sum("size").alias("total"), F.count("*").alias("_nodes")).where("_nodes > 1")
+    return wanted.join(totals.drop("_nodes"), "component")
+
+
+def longs(payload) -> np.ndarray:
+    """An array<long> as sorted distinct unsigned elements."""
+    return np.asarray(payload).view(np.uint64)
+
+
+def verified_links(members: DataFrame, num: int, den: int, decode: Callable = longs, block_elements: int = BLOCK_ELEMENTS, partial: bool = False) -> DataFrame:
     """Links (a, b) that connect exactly the sets which a chain of similar sets connects.
 
-    ``members`` has rows (component, node, elements): a candidate component, a node and its sorted distinct
-    64-bit elements.  Every two nodes of a component meet in a task: small components stay whole, larger ones
-    are dealt to pairs of blocks.
+    ``members`` has rows (component, node, total, payload): a candidate component, its total size, a node, and
+    what ``decode`` turns into the node's sorted distinct 64-bit elements.  With ``partial`` these are only the least
+    ones of a set of ``n``, and pairs that these don't rule out are joined.  Every two nodes of a component meet in a
+    task: small components stay whole, larger ones are dealt to pairs of blocks.
     """
-    total = members.groupBy("component").agg(F.sum(F.size("elements")).alias("_total"), F.count("*").alias("_nodes")).where("_nodes > 1")
-    dealt = with_blocks(members.join(total.drop("_nodes"), "component"), "component", F.col("_total"), F.col("node"), block_elements)
+    dealt = with_blocks(members, "component", F.col("total"), F.col("node"), block_elements)
     keys = ["component", "block_a", "block_b"]
-    dealt = dealt.select(*keys, "node", "elements").repartition(*keys).sortWithinPartitions(*keys)
+    dealt = dealt.select(*keys, "node", "payload", *["n"] * partial).repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: list[tuple] = []
         for group in runs(batches, keys):
             if len(group) > 1:
                 nodes = group["node"].tolist()
-                sets = [np.asarray(x).view(np.uint64) for x in group["elements"]]
-                found += [(nodes[i], nodes[j]) for i, j in set_links(sets, num, den)]
+                sets = [decode(x) for x in group["payload"]]
+                found += [(nodes[i], nodes[j]) for i, j in set_links(sets, num, den, group["n"].to_numpy() if partial else None)]
             if len(found) > 20_000:
                 yield pd.DataFrame(found, columns=["a", "b"])
                 found = []
         yield pd.DataFrame(found, columns=["a", "b"])
 
-    return dealt.mapInPandas(run, f"a {node_type}, b {node_type}")
-
-
-def bucket_forest(pairs: Callable[[np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]], n: int) -> list[tuple[int, int]]:
-    """Spanning forest of the pairs a generator yields over positions 0..n-1."""
-    forest, out = Forest(n), []
-    for xs, ys in pairs(n):
-        out += [(x, y) for x, y in zip(xs.tolist(), ys.tolist(), strict=True) if forest.union(x, y)]
-    return out
+    return dealt.mapInPandas(run, "a long, b long")
