@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.base import FILTER_BITS, bit_map, components, materialize, mix64
+from tidepanel.llm.base import FILTER_BITS, bit_map, components, distinct, materialize, mix64
 from tidepanel.llm.verify import verified_links, with_totals
 
 #: Characters of a shingle.
@@ -52,7 +52,7 @@ def band_hashes(lines: list[str]) -> np.ndarray:
     empty = np.uint32(0xFFFFFFFF)
     bins = np.full(len(lines) * BINS, empty, np.uint32)
     at = line * BINS + (codes >> np.uint64(58)).astype(np.int64)
-    np.minimum.at(bins, at, np.minimum((codes & np.uint64(0xFFFFFFFF)).astype(np.uint32), empty - np.uint32(1)))
+    np.minimum.at(bins, at, np.minimum(codes.astype(np.uint32), empty - np.uint32(1)))
     bins = bins.reshape(-1, BINS)
     full, steps = bins.copy(), np.zeros(bins.shape, np.uint64)
     for k in range(1, BINS):
@@ -61,12 +61,10 @@ def band_hashes(lines: list[str]) -> np.ndarray:
             break
         full = np.where(gap, np.roll(bins, -k, 1), full)
         steps = np.where(gap, np.uint64(k), steps)
-    values = mix64(full.astype(np.uint64) + (steps << np.uint64(40)))
-    out = np.zeros((len(lines), BANDS), np.uint64)
-    for b in range(BANDS):
-        out[:, b] = b
-        for r in range(ROWS):
-            out[:, b] = mix64(out[:, b] * np.uint64(31) + values[:, b * ROWS + r])
+    values = (full.astype(np.uint64) + (steps << np.uint64(40)))[:, : BANDS * ROWS].reshape(len(lines), BANDS, ROWS)
+    out = np.tile(np.arange(BANDS, dtype=np.uint64), (len(lines), 1))
+    for r in range(ROWS):
+        out = mix64(out * np.uint64(31) + values[:, :, r])
     return out
 
 
@@ -84,8 +82,9 @@ def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def node_of(line: str) -> int:
-    """A line's identity: 64 bits of a digest of its text."""
-    return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    """A line's identity: a 64-bit hash of its text."""
+    h = xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
 
 
 def line_places(docs: DataFrame) -> DataFrame:
@@ -169,13 +168,13 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def shingle_set(line: str) -> np.ndarray:
-    return np.unique(shingle_codes([line.strip()])[0])
+    return distinct(shingle_codes([line.strip()])[0])
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """Lines to remove: rows (doc_id, line_no), distinct.
 
-    Lines with equal text are one node, named by 64 bits of its digest and placed where it stands first.  Nodes
+    Lines with equal text are one node, named by a 64-bit hash and placed where it stands first.  Nodes
     that share a MinHash band make candidate components; within these the shingle sets are compared exactly,
     and every component of links of Jaccard similarity 0.8 or more keeps its first line.
     """

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.base import FILTER_BITS, Forest, bit_map, components, materialize, mix64, with_blocks
+from tidepanel.llm.base import FILTER_BITS, Forest, bit_map, components, distinct, materialize, mix64, with_blocks
 from tidepanel.llm.verify import array_runs, verified_links, with_totals
 
 N = 4
@@ -45,7 +45,7 @@ def shingles(text: str | None, known: dict, n: int = N) -> np.ndarray:
     out = np.full(len(h) - width + 1, width, np.uint64)
     for k in range(width):
         out = out * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - width + 1 + k]
-    return np.unique(mix64(out))
+    return distinct(mix64(out))
 
 
 def least_overlap(n: int) -> int:

@@ -35,14 +35,16 @@ def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFr
         yield pd.concat(held) if len(held) > 1 else held[0]
 
 
-def array_runs(batches: Iterator[pd.DataFrame], keys: list[str], columns: list[str], stack: str) -> Iterator[tuple[np.ndarray, ...]]:
-    """The same, as arrays of ``columns`` and of the byte column ``stack``; for very many small runs."""
+def array_runs(batches: Iterator[pd.DataFrame], keys: list[str], columns: list[str], stack: str | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+    """The same, as arrays of ``columns`` and of the byte column ``stack``; for very many small runs of integer keys."""
     held: tuple | None = None
     for batch in batches:
         if not len(batch):
             continue
         k = np.stack([batch[c].to_numpy(np.int64) for c in keys], 1)
-        data = [k, *[batch[c].to_numpy() for c in columns], np.frombuffer(b"".join(batch[stack]), np.uint8).reshape(len(batch), -1)]
+        data = [k, *[batch[c].to_numpy() for c in columns]]
+        if stack:
+            data.append(np.frombuffer(b"".join(batch[stack]), np.uint8).reshape(len(batch), -1))
         if held is not None:
             data = [np.concatenate(x) for x in zip(held, data, strict=True)]
         k = data[0]
@@ -55,6 +57,13 @@ def array_runs(batches: Iterator[pd.DataFrame], keys: list[str], columns: list[s
         yield held[1:]
 
 
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """Common elements of two sorted sets."""
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
+
 def linked(num: int, den: int, n, m, both):
     """Whether sets of n and m elements with ``both`` common ones are linked."""
     return den * both >= num * (n + m - both)
@@ -74,7 +83,7 @@ def set_links(sets: list[np.ndarray], num: int, den: int, whole: np.ndarray | No
     if len(sets) == 2 and whole is None:
         a, b = sets
         fits = num * lengths.max() <= den * lengths.min()
-        return [(0, 1)] if fits and linked(num, den, *lengths, len(np.intersect1d(a, b, assume_unique=True))) else []
+        return [(0, 1)] if fits and linked(num, den, *lengths, common(a, b)) else []
     order = np.argsort(sizes, kind="stable")
     sets, lengths, sizes = [sets[i] for i in order], lengths[order], sizes[order]
     distinct, codes = np.unique(np.concatenate(sets), return_inverse=True)
@@ -150,11 +159,10 @@ def verified_links(members: DataFrame, num: int, den: int, decode: Callable = lo
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: list[tuple] = []
-        for group in runs(batches, keys):
-            if len(group) > 1:
-                nodes = group["node"].tolist()
-                sets = [decode(x) for x in group["payload"]]
-                found += [(nodes[i], nodes[j]) for i, j in set_links(sets, num, den, group["n"].to_numpy() if partial else None)]
+        for nodes, payload, *n in array_runs(batches, keys, ["node", "payload", *["n"] * partial]):
+            if len(nodes) > 1:
+                sets = [decode(x) for x in payload]
+                found += [(int(nodes[i]), int(nodes[j])) for i, j in set_links(sets, num, den, n[0] if partial else None)]
             if len(found) > 20_000:
                 yield pd.DataFrame(found, columns=["a", "b"])
                 found = []
