@@ -100,7 +100,8 @@ def line_places(docs: DataFrame) -> DataFrame:
                         numbers.append(i)
                         nodes.append(node_of(line))
                         chars.append(len(line))
-            yield pd.DataFrame({"doc_id": ids, "line_no": numbers, "node": nodes, "chars": chars})
+            if ids:
+                yield pd.DataFrame({"doc_id": ids, "line_no": numbers, "node": nodes, "chars": chars})
 
     return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInPandas(run, "doc_id long, line_no long, node long, chars long")
 
@@ -161,14 +162,16 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             if len(met) > REMEMBERED:
                 met.clear()
             met.update(fresh)
-            yield pd.DataFrame({"node": list(fresh), "payload": list(fresh.values())})
+            if fresh:
+                yield pd.DataFrame({"node": list(fresh), "payload": list(fresh.values())})
 
     texts = docs.where("doc_id IS NOT NULL").select("text").mapInPandas(run, "node long, payload string")
     return texts.join(wanted, "node").dropDuplicates(["node"]).select("component", "node", "total", "payload")
 
 
-def shingle_set(line: str) -> np.ndarray:
-    return distinct(shingle_codes([line.strip()])[0])
+def shingle_sets(lines) -> list[np.ndarray]:
+    codes, starts = shingle_codes([x.strip() for x in lines])
+    return [distinct(x) for x in np.split(codes, starts[1:])]
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -184,7 +187,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     near = components(band_stars(line_bands(docs)))
     wanted = with_totals(nodes.join(near, "node").select("component", "node", "size"))
     wanted = materialize(wanted)
-    found = components(verified_links(line_texts(docs, wanted), NUM, DEN, shingle_set))
+    found = components(verified_links(line_texts(docs, wanted), NUM, DEN, shingle_sets))
     groups = nodes.join(found, "node", "left").where("_n > 1 OR component IS NOT NULL").select("node", "doc_id", "line_no", F.coalesce("component", "node").alias("component"))
     kept = groups.groupBy("component").agg(F.min(F.struct("doc_id", "line_no")).alias("kept"))
     wherever = groups.select("node", "component").join(kept, "component").select("node", "kept")

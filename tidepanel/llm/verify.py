@@ -140,16 +140,16 @@ def with_totals(wanted: DataFrame) -> DataFrame:
     return wanted.join(totals.drop("_nodes"), "component")
 
 
-def longs(payload) -> np.ndarray:
-    """An array<long> as sorted distinct unsigned elements."""
-    return np.asarray(payload).view(np.uint64)
+def longs(payloads) -> list[np.ndarray]:
+    """Arrays of longs as sorted distinct unsigned elements."""
+    return [np.asarray(p).view(np.uint64) for p in payloads]
 
 
 def verified_links(members: DataFrame, num: int, den: int, decode: Callable = longs, block_elements: int = BLOCK_ELEMENTS, partial: bool = False) -> DataFrame:
     """Links (a, b) that connect exactly the sets which a chain of similar sets connects.
 
     ``members`` has rows (component, node, total, payload): a candidate component, its total size, a node, and
-    what ``decode`` turns into the node's sorted distinct 64-bit elements.  With ``partial`` these are only the least
+    what ``decode`` turns, for some nodes at once, into their sorted distinct 64-bit elements.  With ``partial`` these are only the least
     ones of a set of ``n``, and pairs that these don't rule out are joined.  Every two nodes of a component meet in a
     task: small components stay whole, larger ones are dealt to pairs of blocks.
     """
@@ -161,7 +161,7 @@ def verified_links(members: DataFrame, num: int, den: int, decode: Callable = lo
         found: list[tuple] = []
         for nodes, payload, *n in array_runs(batches, keys, ["node", "payload", *["n"] * partial]):
             if len(nodes) > 1:
-                sets = [decode(x) for x in payload]
+                sets = decode(payload)
                 found += [(int(nodes[i]), int(nodes[j])) for i, j in set_links(sets, num, den, n[0] if partial else None)]
             if len(found) > 20_000:
                 yield pd.DataFrame(found, columns=["a", "b"])
