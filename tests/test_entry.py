@@ -50,3 +50,12 @@ def test_query_equals_sql(spark, name):
     got, want = entry.queries()[name](spark, SF).toPandas(), con.sql(entry.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+def test_queries_need_no_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 100 and e.oracle_sql()"
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=root, timeout=120)

@@ -377,8 +377,8 @@ def day_window():
 
 def day_last(x) -> Expr:
     """The day's last present value on all its rows."""
-    w = day_window().orderBy(TIME).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    return _window("DayLast", "", lambda a: F.last(a, True).over(w), x)
+    whole = lambda: day_window().orderBy(TIME).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    return _window("DayLast", "", lambda a: F.last(a, True).over(whole()), x)
 
 
 def day_cumsum(x, start: str, end: str) -> Expr:
@@ -398,8 +398,8 @@ def ffill(x) -> Expr:
 
 
 def bfill(x) -> Expr:
-    w = by_time().rowsBetween(W.currentRow, W.unboundedFollowing)
-    return _window("BFillNan", "", lambda a: F.first(a, True).over(w), x)
+    ahead = lambda: by_time().rowsBetween(W.currentRow, W.unboundedFollowing)
+    return _window("BFillNan", "", lambda a: F.first(a, True).over(ahead()), x)
 
 
 def date(x=None) -> Expr:

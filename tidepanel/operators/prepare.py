@@ -12,8 +12,12 @@ from tidepanel.functions.nulls import INF, unbiased_kurtosis, unbiased_skew
 from tidepanel.operators.signals import pred_autocorr
 from tidepanel.sources.tables import align_calendar
 
-BY = W.partitionBy("instrument").orderBy("datetime")
-FILLED = BY.rowsBetween(W.unboundedPreceding, 0)
+def by_time():
+    return W.partitionBy("instrument").orderBy("datetime")
+
+def history():
+    return by_time().rowsBetween(W.unboundedPreceding, 0)
+
 PRICES = ("open", "high", "low", "close")
 
 
@@ -32,8 +36,8 @@ def normalize_daily(raw: DataFrame, cal: DataFrame) -> DataFrame:
 
 def calc_change(df: DataFrame, last_close: Column | None = None) -> DataFrame:
     """Filled close over the previous filled close - 1."""
-    filled = df.withColumn("_f", F.last("close", True).over(FILLED))
-    before = F.lag("_f").over(BY)
+    filled = df.withColumn("_f", F.last("close", True).over(history()))
+    before = F.lag("_f").over(by_time())
     before = before if last_close is None else F.coalesce(before, last_close)
     return filled.withColumn("change", F.col("_f") / F.nullif(before, F.lit(0.0)) - 1).drop("_f")
 
@@ -55,13 +59,13 @@ def repair_units(df: DataFrame, rounds: int = 10) -> DataFrame:
 
 def adjust(df: DataFrame) -> DataFrame:
     """T4: factor = filled adjclose / close; prices times, volume over the factor."""
-    f = df.withColumn("factor", F.last(F.col("adjclose") / F.nullif(F.col("close"), F.lit(0.0)), True).over(FILLED))
+    f = df.withColumn("factor", F.last(F.col("adjclose") / F.nullif(F.col("close"), F.lit(0.0)), True).over(history()))
     return f.withColumns({c: F.col(c) * F.col("factor") for c in PRICES if c in df.columns} | {"volume": F.col("volume") / F.nullif(F.col("factor"), F.lit(0.0))})
 
 
 def rebase(df: DataFrame) -> DataFrame:
     """T5: prices over the first close, volume times it."""
-    first = F.first("close", True).over(BY.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    first = F.first("close", True).over(by_time().rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     out = df.withColumn("_b", first)
     return out.withColumns({c: F.col(c) / F.nullif(F.col("_b"), F.lit(0.0)) for c in PRICES if c in df.columns} | {"volume": F.col("volume") * F.col("_b")}).drop("_b")
 
@@ -89,7 +93,7 @@ def intraday_factor(minutes: DataFrame, daily: DataFrame) -> DataFrame:
 def paused_counter(days: DataFrame) -> DataFrame:
     """Length so far of the current run of days with volume; leading and trailing days without are dropped."""
     live = F.coalesce(F.col("volume") > 0, F.lit(False))
-    marked = days.withColumns({"_live": live, "_g": F.sum(F.when(~live, 1).otherwise(0)).over(FILLED)})
+    marked = days.withColumns({"_live": live, "_g": F.sum(F.when(~live, 1).otherwise(0)).over(history())})
     whole = W.partitionBy("instrument")
     on = F.when(F.col("_live"), F.col("datetime"))
     marked = marked.withColumns({"_a": F.min(on).over(whole), "_b": F.max(on).over(whole)})
@@ -121,7 +125,7 @@ def step_report(df: DataFrame, limits: dict[str, float]) -> DataFrame:
     """Per instrument and column the first and largest change beyond its limit."""
     out = []
     for c, limit in limits.items():
-        step = F.abs(F.col(c) / F.nullif(F.lag(c).over(BY), F.lit(0.0)) - 1)
+        step = F.abs(F.col(c) / F.nullif(F.lag(c).over(by_time()), F.lit(0.0)) - 1)
         out.append(F.struct(F.lit(c).alias("field"), step.alias("step"), F.lit(float(limit)).alias("limit")))
     long = df.select("instrument", "datetime", F.array(*out).alias("_s")).select("instrument", "datetime", F.explode("_s").alias("s")).where("s.step > s.limit")
     return long.groupBy("instrument", "s.field").agg(F.min("datetime").alias("first_date"), F.max("s.step").alias("largest"))

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions.nulls import INF, finite
 
-DAY = W.partitionBy("datetime")
+def by_day():
+    return W.partitionBy("datetime")
+
 #: Fixed values of the robust norms.
 MAD_SCALE, EPS = 1.4826, 1e-12
 
@@ -37,7 +39,7 @@ def tanh(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def process_inf(df: DataFrame, cols: list[str]) -> DataFrame:
     """Infinities become the day's mean of the finite values."""
-    return df.withColumns({c: F.when(F.abs(c) == F.lit(INF), F.avg(finite(F.col(c))).over(DAY)).otherwise(F.col(c)) for c in cols})
+    return df.withColumns({c: F.when(F.abs(c) == F.lit(INF), F.avg(finite(F.col(c))).over(by_day())).otherwise(F.col(c)) for c in cols})
 
 
 def fillna(df: DataFrame, cols: list[str], value: float = 0.0) -> DataFrame:
@@ -84,7 +86,7 @@ def robust_norm(df: DataFrame, cols: list[str], start, end, clip: bool = True) -
 
 def cs_zscore(df: DataFrame, cols: list[str]) -> DataFrame:
     """Per day, sample deviation."""
-    return df.withColumns({c: (F.col(c) - F.avg(c).over(DAY)) / F.nullif(F.stddev_samp(c).over(DAY), F.lit(0.0)) for c in cols})
+    return df.withColumns({c: (F.col(c) - F.avg(c).over(by_day())) / F.nullif(F.stddev_samp(c).over(by_day()), F.lit(0.0)) for c in cols})
 
 
 def cs_robust(df: DataFrame, cols: list[str], clip: bool = True) -> DataFrame:
@@ -108,12 +110,12 @@ def average_rank(c: str, *by: str) -> Column:
 
 def cs_rank(df: DataFrame, cols: list[str]) -> DataFrame:
     """(percent rank - 0.5) * 3.46 per day."""
-    return df.withColumns({c: (average_rank(c, "datetime") / F.count(c).over(DAY) - 0.5) * 3.46 for c in cols})
+    return df.withColumns({c: (average_rank(c, "datetime") / F.count(c).over(by_day()) - 0.5) * 3.46 for c in cols})
 
 
 def cs_fill(df: DataFrame, cols: list[str]) -> DataFrame:
     """Missing values become the day's mean."""
-    return df.withColumns({c: F.coalesce(F.col(c), F.avg(c).over(DAY)) for c in cols})
+    return df.withColumns({c: F.coalesce(F.col(c), F.avg(c).over(by_day())) for c in cols})
 
 
 #: Transforms by name prefix, in this order; later prefixes apply on top where several match.
@@ -136,8 +138,8 @@ def section_norm(df: DataFrame, features: list[str], labels: list[str]) -> DataF
         cols = [c for c in features if c.startswith(prefixes)]
         if cols:
             df = cs_robust(df.withColumns({c: change(F.col(c)) for c in cols}), cols, clip=False)
-            top = {c: F.max(c).over(DAY) for c in cols}
-            low = {c: F.min(c).over(DAY) for c in cols}
+            top = {c: F.max(c).over(by_day()) for c in cols}
+            low = {c: F.min(c).over(by_day()) for c in cols}
             shrink = lambda c: F.when(F.col(c) > 3, 3 + (F.col(c) - 3) / F.nullif(top[c] - 3, F.lit(0.0)) * 0.5).when(F.col(c) < -3, -3 - (F.col(c) + 3) / F.nullif(low[c] + 3, F.lit(0.0)) * 0.5).otherwise(F.col(c))
             df = df.withColumns({c: F.coalesce(shrink(c), F.lit(0.0)) for c in cols})
     return cs_zscore(df, labels) if labels else df

@@ -10,12 +10,14 @@ from tidepanel.functions.nulls import safe_corr
 
 #: Periods in a year by frequency (fixed values).
 PERIODS = {"minute": 240 * 238, "day": 238, "week": 50, "month": 12}
-SO_FAR = W.orderBy("datetime").rowsBetween(W.unboundedPreceding, 0)
+def so_far():
+    return W.orderBy("datetime").rowsBetween(W.unboundedPreceding, 0)
+
 
 
 def drawdown(series: DataFrame, col: str) -> DataFrame:
-    total = series.withColumn("_c", F.sum(col).over(SO_FAR))
-    return total.withColumn("drawdown", F.col("_c") - F.max("_c").over(SO_FAR)).withColumnRenamed("_c", "cum")
+    total = series.withColumn("_c", F.sum(col).over(so_far()))
+    return total.withColumn("drawdown", F.col("_c") - F.max("_c").over(so_far())).withColumnRenamed("_c", "cum")
 
 
 def risk_analysis(series: DataFrame, col: str = "return", freq: str = "day", mode: str = "sum") -> DataFrame:
@@ -25,8 +27,8 @@ def risk_analysis(series: DataFrame, col: str = "return", freq: str = "day", mod
         d = drawdown(series, col)
         mean, std = F.avg(col), F.stddev_samp(col)
         return d.agg(mean.alias("mean"), std.alias("std"), (mean * n).alias("annualized_return"), (mean / F.nullif(std, F.lit(0.0)) * F.sqrt(F.lit(n))).alias("information_ratio"), F.min("drawdown").alias("max_drawdown"))
-    wealth = series.withColumn("_l", F.log1p(F.col(col))).withColumn("_w", F.exp(F.sum("_l").over(SO_FAR)))
-    wealth = wealth.withColumn("_d", F.col("_w") / F.max("_w").over(SO_FAR) - 1)
+    wealth = series.withColumn("_l", F.log1p(F.col(col))).withColumn("_w", F.exp(F.sum("_l").over(so_far())))
+    wealth = wealth.withColumn("_d", F.col("_w") / F.max("_w").over(so_far()) - 1)
     mean, std = F.exp(F.avg("_l")) - 1, F.stddev_samp("_l")
     annual = F.exp(F.avg("_l") * n) - 1
     return wealth.agg(mean.alias("mean"), std.alias("std"), annual.alias("annualized_return"), (F.avg("_l") / F.nullif(std, F.lit(0.0)) * F.sqrt(F.lit(n))).alias("information_ratio"), F.min("_d").alias("max_drawdown"))
@@ -44,12 +46,12 @@ def monthly_risk(series: DataFrame, col: str = "return", least: int = 3) -> Data
 
 def report_curves(report: DataFrame) -> DataFrame:
     """Q4: cumulative and drawdown curves of (datetime, return, cost, bench, turnover)."""
-    total = lambda c: F.sum(c).over(SO_FAR)
+    total = lambda c: F.sum(c).over(so_far())
     out = report.select(
         "datetime", total("bench").alias("cum_bench"), total("return").alias("cum_return_wo_cost"), total(F.col("return") - F.col("cost")).alias("cum_return_w_cost"),
         total(F.col("return") - F.col("bench")).alias("cum_ex_return_wo_cost"), total(F.col("return") - F.col("bench") - F.col("cost")).alias("cum_ex_return_w_cost"), "turnover",
     )
-    low = lambda c: F.col(c) - F.max(c).over(SO_FAR)
+    low = lambda c: F.col(c) - F.max(c).over(so_far())
     return out.withColumns({"return_wo_mdd": low("cum_return_wo_cost"), "return_w_mdd": low("cum_return_w_cost"), "ex_return_w_mdd": low("cum_ex_return_w_cost")})
 
 
@@ -113,7 +115,7 @@ def status_returns(df: DataFrame) -> DataFrame:
     """Q13: weighted excess labels of held, bought and sold rows (datetime, status, weight, label, bench), and their sums so far."""
     gain = lambda s: F.sum(F.when(F.col("status") == s, F.col("weight") * (F.col("label") - F.col("bench"))).otherwise(0.0))
     daily = df.groupBy("datetime").agg(gain(0).alias("hold"), gain(1).alias("buy"), gain(-1).alias("sell"))
-    return daily.withColumns({f"cum_{c}": F.sum(c).over(SO_FAR) for c in ("hold", "buy", "sell")})
+    return daily.withColumns({f"cum_{c}": F.sum(c).over(so_far()) for c in ("hold", "buy", "sell")})
 
 
 def bench_return(panel: DataFrame) -> DataFrame:

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from tidepanel.functions.nulls import safe_corr
 from tidepanel.operators.processors import average_rank
 
-DAY = W.partitionBy("datetime")
+def by_day():
+    return W.partitionBy("datetime")
+
 
 
 def calc_ic(df: DataFrame, pred: str = "score", label: str = "label", by: tuple[str, ...] = ("datetime",)) -> DataFrame:
@@ -39,9 +41,9 @@ def mse(df: DataFrame, pred: str = "score", label: str = "label") -> DataFrame:
 
 def tails(df: DataFrame, q: float, pred: str = "score") -> DataFrame:
     """Flags _top and _bottom of each day's int(n * q) rows by score; n counts missing scores, which are never picked; ties go by instrument."""
-    n = F.floor(F.count("*").over(DAY) * F.lit(q))
-    top = F.row_number().over(DAY.orderBy(F.desc_nulls_last(pred), "instrument"))
-    low = F.row_number().over(DAY.orderBy(F.asc_nulls_last(pred), "instrument"))
+    n = F.floor(F.count("*").over(by_day()) * F.lit(q))
+    top = F.row_number().over(by_day().orderBy(F.desc_nulls_last(pred), "instrument"))
+    low = F.row_number().over(by_day().orderBy(F.asc_nulls_last(pred), "instrument"))
     have = F.col(pred).isNotNull()
     return df.withColumns({"_top": (top <= n) & have, "_bottom": (low <= n) & have})
 
@@ -56,7 +58,7 @@ def long_short_return(df: DataFrame, q: float = 0.2, label: str = "label") -> Da
 def long_short_precision(df: DataFrame, q: float = 0.2, label: str = "label", alpha: bool = False) -> DataFrame:
     """Share of positive labels on top and of negative ones at the bottom."""
     if alpha:
-        df = df.withColumn(label, F.col(label) - F.avg(label).over(DAY))
+        df = df.withColumn(label, F.col(label) - F.avg(label).over(by_day()))
     t = tails(df, q)
     share = lambda f, test: F.sum(F.when(F.col(f) & test, 1).otherwise(0)) / F.nullif(F.sum(F.col(f).cast("int")), F.lit(0))
     return t.groupBy("datetime").agg(share("_top", F.col(label) > 0).alias("long_prec"), share("_bottom", F.col(label) < 0).alias("short_prec"))
@@ -89,8 +91,8 @@ def rank_autocorr(df: DataFrame, lag: int = 1, pred: str = "score") -> DataFrame
 def group_return(df: DataFrame, n: int = 5, pred: str = "score", label: str = "label") -> DataFrame:
     """Mean labels of n slots of equal size by falling score, with long-short and long-average."""
     rows = df.where(F.col(label).isNotNull() & F.col(pred).isNotNull())
-    size = F.floor(F.count("*").over(DAY) / n)
-    at = F.row_number().over(DAY.orderBy(F.desc(pred), "instrument")) - 1
+    size = F.floor(F.count("*").over(by_day()) / n)
+    at = F.row_number().over(by_day().orderBy(F.desc(pred), "instrument")) - 1
     slot = rows.withColumn("_g", F.when(size > 0, F.floor(at / size) + 1))
     mean = lambda i: F.avg(F.when(F.col("_g") == i, F.col(label)))
     out = slot.groupBy("datetime").agg(*[mean(i).alias(f"group{i}") for i in range(1, n + 1)], F.avg(label).alias("average"))
@@ -100,8 +102,8 @@ def group_return(df: DataFrame, n: int = 5, pred: str = "score", label: str = "l
 def pred_turnover(df: DataFrame, n: int = 5, lag: int = 1, pred: str = "score") -> DataFrame:
     """One minus the overlap of the day's top (bottom) share with that of the lagged score."""
     prev = df.withColumn("_prev", F.lag(pred, lag).over(W.partitionBy("instrument").orderBy("datetime")))
-    k = F.floor(F.count("*").over(DAY) / n)
-    place = lambda c, order: F.row_number().over(DAY.orderBy(order(c), "instrument")) <= k
+    k = F.floor(F.count("*").over(by_day()) / n)
+    place = lambda c, order: F.row_number().over(by_day().orderBy(order(c), "instrument")) <= k
     flags = prev.withColumns({
         "_t": place(pred, F.desc_nulls_last), "_pt": place("_prev", F.desc_nulls_last), "_b": place(pred, F.asc_nulls_last), "_pb": place("_prev", F.asc_nulls_last), "_k": k,
     })
@@ -118,7 +120,7 @@ def monthly_ic(ic: DataFrame) -> DataFrame:
 
 def tail_metrics(df: DataFrame, q: float = 0.2, least: int = 10, label: str = "label") -> DataFrame:
     """Precision and mean of day-demeaned labels in both tails, for days with ``least`` rows per tail."""
-    t = tails(df.withColumn("_y", F.col(label) - F.avg(label).over(DAY)), q)
+    t = tails(df.withColumn("_y", F.col(label) - F.avg(label).over(by_day())), q)
     n = F.sum(F.col("_top").cast("int"))
     return t.groupBy("datetime").agg(
         n.alias("_n"), F.avg(F.when(F.col("_top"), (F.col("_y") > 0).cast("double"))).alias("top_prec"), F.avg(F.when(F.col("_top"), F.col("_y"))).alias("top_mean"),
@@ -129,8 +131,8 @@ def tail_metrics(df: DataFrame, q: float = 0.2, least: int = 10, label: str = "l
 def rank_ic_matrix(df: DataFrame, by: str = "segment", fill: str = "max") -> DataFrame:
     """(segment, day) rank IC less the day's mean; missing cells get the day's largest value or zero."""
     ic = calc_ic(df, by=(by, "datetime")).select(by, "datetime", "ric")
-    centred = ic.withColumn("ric", F.col("ric") - F.avg("ric").over(DAY))
-    other = F.max("ric").over(DAY) if fill == "max" else F.lit(0.0)
+    centred = ic.withColumn("ric", F.col("ric") - F.avg("ric").over(by_day()))
+    other = F.max("ric").over(by_day()) if fill == "max" else F.lit(0.0)
     return centred.withColumn("ric", F.coalesce("ric", other))
 
 
@@ -139,7 +141,7 @@ def loss_weights(df: DataFrame, decay: float = 0.5, bins: int = 10, k: int = 1)
 
     Ranks need a total order over all rows; they are taken per ``datetime``.
     """
-    n = F.count("*").over(DAY)
+    n = F.count("*").over(by_day())
     h = (average_rank("loss", "datetime") / n + average_rank("ratio", "datetime") / n) / 2
     v = df.withColumn("_h", h).withColumn("_bin", F.least(F.floor(F.col("_h") * bins), F.lit(bins - 1)))
     mean = F.avg("_h").over(W.partitionBy("datetime", "_bin"))

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-TIME = W.partitionBy("instrument").orderBy("datetime")
+def by_time():
+    return W.partitionBy("instrument").orderBy("datetime")
+
 
 
 def universe(spans: DataFrame, start, end) -> DataFrame:
@@ -42,7 +44,7 @@ def filter_flag(panel: DataFrame, flags: DataFrame, keep: bool = False) -> DataF
 
 def mask_to_spans(mask: DataFrame) -> DataFrame:
     """Rows (instrument, datetime, idx, flag) to the maximal spans of true flags on consecutive positions."""
-    true = mask.where("flag").withColumn("_g", F.col("idx") - F.row_number().over(TIME))
+    true = mask.where("flag").withColumn("_g", F.col("idx") - F.row_number().over(by_time()))
     return true.groupBy("instrument", "_g").agg(F.min("datetime").alias("start"), F.max("datetime").alias("end")).drop("_g")
 
 

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from tidepanel.sources.tables import align_calendar, brand_bars, calendar_of, read
 
 SHIFT = 0.03711
-BY = W.partitionBy("instrument").orderBy("datetime")
+def by_time():
+    return W.partitionBy("instrument").orderBy("datetime")
+
 
 BARS = """
 b0 AS (SELECT p_brand AS instrument, l_shipdate AS datetime, l_extendedprice / l_quantity AS price, l_quantity AS q, l_extendedprice AS e,
@@ -39,7 +41,7 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores (vwap over close - 1) with the next-but-one return as label, on traded days."""
     p = panel(spark, sf_dir)
-    label = F.lead("close", 2).over(BY) / F.lead("close", 1).over(BY) - 1
+    label = F.lead("close", 2).over(by_time()) / F.lead("close", 1).over(by_time()) - 1
     return p.withColumns({"label": label, "score": F.col("vwap") / F.col("close") - 1}).where("score IS NOT NULL").select("instrument", "datetime", "idx", "score", "label", "close", "volume")
 
 
