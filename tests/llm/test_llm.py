@@ -1,9 +1,10 @@
 """Text, vector and media operators on small fixtures: brute force, round trips, held-out accuracy, edge cases."""
 
 import hashlib
+import math
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -193,6 +194,34 @@ def test_lm_scores_prefer_the_target(spark, docs, none):
     assert lm_score.score(none, none).count() == 0
 
 
+def test_lm_losses_equal_exact_counts(spark):
+    rng = random.Random(7)
+    rows = [(i, " ".join(f"v{rng.randrange(400_000)}" if rng.random() < 0.8 else rng.choice(WORDS) for _ in range(1500))) for i in range(150)]
+    rows += [(1000, "w1"), (1001, ""), (None, "w1 w2 w1 w2")]
+    data = spark.createDataFrame(rows, "doc_id long, text string")
+    words, pairs = (Counter(), Counter()), (Counter(), Counter())
+    for i, text in rows:
+        t = text.split()
+        for k in (0, 1) if i is not None and i < 50 else (1,):
+            words[k].update(t)
+            pairs[k].update(zip(t, t[1:], strict=False))
+    assert len(words[1]) > 1 << 16
+    totals = [sum(w.values()) for w in words]
+
+    def loss(k, t):
+        out = 0.0
+        for a, b in zip([None, *t], t, strict=False):
+            p = (words[k][b] + 0.1) / (totals[k] + 0.1 * len(words[1]))
+            out -= math.log(0.5 * pairs[k][a, b] / words[k][a] + 0.5 * p if words[k][a] else p)
+        return out / len(t)
+
+    got = {r["doc_id"]: r for r in lm_score.score(data, data.where("doc_id < 50").select("doc_id")).collect()}
+    assert len(got) == len(rows) and got[1001]["score"] is None
+    for i, text in [*rows[::25], rows[-3], rows[-1]]:
+        assert got[i]["n_tokens"] == len(text.split())
+        assert got[i]["target_loss"] == pytest.approx(loss(0, text.split())) and got[i]["background_loss"] == pytest.approx(loss(1, text.split()))
+
+
 @pytest.mark.parametrize("n", [0, 1, 575, 576, 577, 4608, 4609, 60_000])
 def test_media_round_trip(n):
     raw = bytes(np.random.default_rng(n).integers(0, 256, n, dtype=np.uint8))
