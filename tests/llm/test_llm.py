@@ -74,6 +74,19 @@ def test_jaccard_join_equals_brute_force(docs, texts, none):
     assert ngram_join.jaccard_join(none).count() == 0
 
 
+def test_pipeline_joins_five_words_at_four_fifths(spark):
+    import corpus_pipeline
+
+    words = WORDS[:50]
+    other = [*words[:25], "changed", *words[26:]]
+    far = [*words[:15], "this", *words[16:35], "that", *words[36:]]
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(far))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+    assert ngram_join.jaccard_join(docs).where("doc_id = component_id").count() == 3
+
+
 def test_set_links_with_prefixes_keep_every_link():
     rng = np.random.default_rng(3)
     base = [np.unique(rng.integers(0, 1 << 63, 300).astype(np.uint64)) for _ in range(5)]

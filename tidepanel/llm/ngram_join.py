@@ -48,16 +48,16 @@ def shingles(text: str | None, known: dict, n: int = N) -> np.ndarray:
     return distinct(mix64(out))
 
 
-def least_overlap(n: int) -> int:
+def least_overlap(n: int, num: int = NUM, den: int = DEN) -> int:
     """Elements a set of n shares with any linked set, at least."""
-    return -(-NUM * n // DEN)
+    return -(-num * n // den)
 
 
-def prefix_length(n: int) -> int:
-    return min(n, n - least_overlap(n) + 1 + EXTRA * n // 1000)
+def prefix_length(n: int, num: int = NUM, den: int = DEN) -> int:
+    return min(n, n - least_overlap(n, num, den) + 1 + EXTRA * n // 1000)
 
 
-def prepare(docs: DataFrame) -> DataFrame:
+def prepare(docs: DataFrame, width: int = N, num: int = NUM, den: int = DEN) -> DataFrame:
     """Rows (doc_id, n, signature, counts, prefix) of documents; counts are of hash groups, up to 255 each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -65,16 +65,16 @@ def prepare(docs: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for text in batch["text"]:
-                s = shingles(text, known)
+                s = shingles(text, known, width)
                 counts = np.bincount((s >> np.uint64(20)).astype(np.int64) % GROUPS, minlength=GROUPS)
                 signature = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                rows.append((len(s), signature, np.minimum(counts, 255).astype(np.uint8).tobytes(), s[: prefix_length(len(s))].view(np.int64)))
+                rows.append((len(s), signature, np.minimum(counts, 255).astype(np.uint8).tobytes(), s[: prefix_length(len(s), num, den)].view(np.int64)))
             yield pd.DataFrame({"doc_id": batch["doc_id"]} | {k: [r[i] for r in rows] for i, k in enumerate(("n", "signature", "counts", "prefix"))})
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, signature binary, counts binary, prefix array<long>")
 
 
-def tree_pairs(n: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def tree_pairs(n: np.ndarray, counts: np.ndarray, num: int = NUM, den: int = DEN) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of positions whose overlap bound admits a link, by an R-tree over (set size, group counts).
 
     Points are tiled by size and then by their widest coordinate into leaves of ``LEAF``; a leaf's box is the
@@ -85,7 +85,7 @@ def tree_pairs(n: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray,
     """
     if len(n) == 2:
         apart = int(np.abs(counts[0].astype(np.int16) - counts[1]).sum())
-        if (DEN + NUM) * (int(n.sum()) - apart) >= 2 * NUM * int(n.sum()):
+        if (den + num) * (int(n.sum()) - apart) >= 2 * num * int(n.sum()):
             yield np.array([0]), np.array([1])
         return
     order = np.argsort(n, kind="stable")
@@ -104,8 +104,8 @@ def tree_pairs(n: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray,
         # boxes: the least L1 distance between them, and their sizes' range
         gap = np.maximum(low[i:] - high[i], 0).sum(1) + np.maximum(low[i] - high[i:], 0).sum(1)
         top = n_high[i:] + n_high[i]
-        near = (DEN * n_high[i:] >= NUM * n_low[i]) & (DEN * n_high[i] >= NUM * n_low[i:])
-        near &= (DEN + NUM) * (top - gap) >= 2 * NUM * (n_low[i:] + n_low[i])
+        near = (den * n_high[i:] >= num * n_low[i]) & (den * n_high[i] >= num * n_low[i:])
+        near &= (den + num) * (top - gap) >= 2 * num * (n_low[i:] + n_low[i])
         for leaves in np.array_split(np.flatnonzero(near) + i, max(1, near.sum() // 64)):
             if not len(leaves):
                 continue
@@ -113,20 +113,20 @@ def tree_pairs(n: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray,
             others = others[others < len(order)]
             apart = np.abs(counts[own][:, None, :] - counts[others][None]).sum(2, dtype=np.int64)
             total = n[own][:, None] + n[others][None]
-            x, y = np.nonzero((DEN + NUM) * (total - apart) >= 2 * NUM * total)
+            x, y = np.nonzero((den + num) * (total - apart) >= 2 * num * total)
             x = x + start
             y = others[y]
             later = x < y
             yield order[x[later]], order[y[later]]
 
 
-def candidate_links(alive: DataFrame) -> DataFrame:
+def candidate_links(alive: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """A forest of the pairs that share a prefix element and pass the R-tree's bound; rows (a, b).
 
     ``alive`` has rows (rep, n, counts, prefix).  Linked sets share one at least of their first
     n - least_overlap + 1 elements; each of these is a bucket with an R-tree of its own.
     """
-    plain = F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1
+    plain = F.col("n") - F.ceil(F.col("n") * num / den) + 1
     rows = alive.select("rep", "n", "counts", F.explode(F.slice("prefix", F.lit(1), plain.cast("int"))).alias("h"))
     sizes = rows.groupBy("h").agg(F.count("*").alias("_size")).where("_size > 1")
     dealt = with_blocks(rows.join(sizes, "h"), "h", F.col("_size"), F.col("rep"), BLOCK_ROWS)
@@ -142,7 +142,7 @@ def candidate_links(alive: DataFrame) -> DataFrame:
             if same and len(seen) < 200_000:
                 seen.add(same)
             forest = Forest(len(reps))
-            for xs, ys in tree_pairs(n, counts):
+            for xs, ys in tree_pairs(n, counts, num, den):
                 for x, y in zip(xs.tolist(), ys.tolist(), strict=True):
                     if forest.union(x, y):
                         found.add((int(reps[x]), int(reps[y])))
@@ -154,7 +154,7 @@ def candidate_links(alive: DataFrame) -> DataFrame:
     return dealt.mapInPandas(run, "a long, b long")
 
 
-def chosen_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def chosen_sets(docs: DataFrame, nodes: DataFrame, width: int = N) -> DataFrame:
     """Rows (component, node, total, payload) for the documents in ``nodes``; the payload is the whole shingle set.
 
     A bit map of the wanted ids' hashes, of a fixed 512 KB, goes to the executors, so only wanted texts are
@@ -169,14 +169,14 @@ def chosen_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             batch = batch[kept[batch["p"].to_numpy()]]
             for x in range(0, len(batch), 500):
                 some = batch.iloc[x : x + 500]
-                yield pd.DataFrame({"node": some["doc_id"], "payload": [shingles(t, known).view(np.int64) for t in some["text"]]})
+                yield pd.DataFrame({"node": some["doc_id"], "payload": [shingles(t, known, width).view(np.int64) for t in some["text"]]})
 
     sets = docs.where("doc_id IS NOT NULL").select("doc_id", "text", position.alias("p")).mapInPandas(run, "node long, payload array<long>")
     return sets.join(nodes, "node").dropDuplicates(["node"]).select("component", "node", "total", "payload")
 
 
-def jaccard_join(docs: DataFrame) -> DataFrame:
-    """Components of documents whose 4-word shingle sets have a Jaccard similarity of 0.85 or more.
+def jaccard_join(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> DataFrame:
+    """Components of documents whose ``n``-word shingle sets have a Jaccard similarity of ``num`` / ``den`` or more.
 
     Returns (doc_id, n_shingles, component_id), a row for each row of ``docs``.
 
@@ -196,22 +196,22 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     are not used.
     """
     docs = docs.select("doc_id", "text")
-    prepared = materialize(prepare(docs))
+    prepared = materialize(prepare(docs, n, num, den))
     one = F.min(F.struct("doc_id", "counts", "prefix")).alias("one")
     reps = prepared.where("n > 0 AND doc_id IS NOT NULL").groupBy("signature", "n").agg(one)
     reps = materialize(reps.select(F.col("one.doc_id").alias("rep"), "n", "signature", F.col("one.counts").alias("counts"), F.col("one.prefix").alias("prefix")))
     rows = reps.select("rep", "n", F.explode("prefix").alias("h"))
     common = rows.groupBy("h").agg(F.count("*").alias("_size")).where("_size > 1").select("h")
     shared = rows.join(common, "h").groupBy("rep", "n").agg(F.count("*").alias("_shared"))
-    smaller = F.ceil(F.col("n") * NUM / DEN)
+    smaller = F.ceil(F.col("n") * num / den)
     alive = shared.where(F.col("_shared") >= 1 + F.floor(smaller * EXTRA / 1000)).select("rep")
     alive = materialize(reps.join(alive, "rep").select("rep", "n", "counts", "prefix"))
-    candidates = components(candidate_links(alive))
+    candidates = components(candidate_links(alive, num, den))
     found = alive.join(candidates.withColumnRenamed("node", "rep"), "rep").withColumn("size", F.size("prefix"))
     prefixes = with_totals(found.select("component", F.col("rep").alias("node"), F.col("prefix").alias("payload"), "n", "size"))
-    near = components(verified_links(prefixes, NUM, DEN, partial=True))
+    near = components(verified_links(prefixes, num, den, partial=True))
     near = materialize(with_totals(near.join(alive.select(F.col("rep").alias("node"), F.col("n").alias("size")), "node")))
-    links = verified_links(chosen_sets(docs, near), NUM, DEN)
+    links = verified_links(chosen_sets(docs, near, n), num, den)
     found = components(links).select(F.col("node").alias("rep"), "component")
     groups = reps.join(found, "rep", "left").select("signature", F.coalesce("component", "rep").alias("component"))
     out = prepared.select("doc_id", "n", "signature").join(groups, "signature", "left")
@@ -219,7 +219,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> DataFrame:
     """The rows of ``docs`` but those whose component has a smaller id; null ids stay; all columns are kept."""
-    others = jaccard_join(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    others = jaccard_join(docs, n, num, den).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
