@@ -118,6 +118,13 @@ def test_lines_equal_brute_force(docs, texts, none):
     assert lines.without_repeats(none).count() == 0
 
 
+def test_line_bands_miss_few_pairs_at_the_threshold():
+    rng = random.Random(8)
+    pairs = [["".join(chr(97 + rng.randrange(26)) for _ in range(99))] * 2 for _ in range(4000)]
+    a, b = (lines.band_hashes(x) for x in ([x for x, _ in pairs], [f"{y[:50]}#{y[51:]}" for _, y in pairs]))
+    assert (~(a == b).any(1)).sum() <= 8
+
+
 def test_mixing(spark, docs, none):
     rows = mixing.mix(docs).collect()
     assert len(rows) == docs.count()

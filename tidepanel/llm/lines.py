@@ -20,8 +20,8 @@ MIN_CHARS = 16
 #: Jaccard similarity NUM / DEN.
 NUM, DEN = 4, 5
 #: One-permutation signature: bins, of which ROWS make a band.
-#: A pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8 ** 4) ** 9 = 0.991.
-BINS, ROWS, BANDS = 64, 4, 9
+#: A pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8 ** 4) ** 16 = 0.9998.
+BINS, ROWS, BANDS = 64, 4, 16
 #: Lines remembered in a task, whose repeats there need no bands of their own; it bounds memory only.
 REMEMBERED = 200_000
 #: Characters handled at once in a task.
