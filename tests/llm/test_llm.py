@@ -118,6 +118,13 @@ def test_lines_equal_brute_force(docs, texts, none):
     assert lines.without_repeats(none).count() == 0
 
 
+def test_short_lines_are_deduplicated(spark):
+    rows = [(1, "Home\n\nabcdefghijklm\n- x"), (2, "Home\nabcdefghijklmn\n\n- x "), (3, "home\n- y\nHome\n-")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["line_no"]) for r in lines.repeated_lines(docs).collect()}
+    assert got == {(2, 0), (2, 1), (2, 3), (3, 2)}
+
+
 def test_line_bands_miss_few_pairs_at_the_threshold():
     rng = random.Random(8)
     pairs = [["".join(chr(97 + rng.randrange(26)) for _ in range(99))] * 2 for _ in range(4000)]

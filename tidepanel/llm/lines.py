@@ -15,8 +15,8 @@ from tidepanel.llm.verify import verified_links, with_totals
 
 #: Characters of a shingle.
 WIDTH = 10
-#: Shorter lines, in characters, are left alone.
-MIN_CHARS = 16
+#: Shorter lines, in characters, have no shingle but themselves: they are linked to equal ones, which have the same node.
+MIN_CHARS = WIDTH
 #: Jaccard similarity NUM / DEN.
 NUM, DEN = 4, 5
 #: One-permutation signature: bins, of which ROWS make a band.
@@ -88,14 +88,14 @@ def node_of(line: str) -> int:
 
 
 def line_places(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, line_no, node, chars) of the lines of MIN_CHARS characters or more, without outer white space."""
+    """Rows (doc_id, line_no, node, chars) of the lines that are not blank, without outer white space."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for piece in chunks(batches):
             ids, numbers, nodes, chars = [], [], [], []
             for doc, text in zip(piece["doc_id"], piece["text"], strict=True):
                 for i, line in enumerate(split_lines(text)):
-                    if len(line := line.strip()) >= MIN_CHARS:
+                    if line := line.strip():
                         ids.append(doc)
                         numbers.append(i)
                         nodes.append(node_of(line))
@@ -107,7 +107,7 @@ def line_places(docs: DataFrame) -> DataFrame:
 
 
 def line_bands(docs: DataFrame) -> DataFrame:
-    """Rows (band, node) of the same lines; a line that a task has just met is not sent again."""
+    """Rows (band, node) of the lines of MIN_CHARS characters or more; a line that a task has just met is not sent again."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         met: set[int] = set()
@@ -197,8 +197,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with their repeated lines removed from ``text``, and the columns n_lines and n_removed.
 
-    Rows keep their other columns.  Null texts have no lines and stay null; rows with a null id, and lines under
-    MIN_CHARS characters, are left alone; repeated rows of one id are treated alike; documents without a line
+    Rows keep their other columns.  Null texts have no lines and stay null; rows with a null id, and blank lines,
+    are left alone; repeated rows of one id are treated alike; documents without a line
     left have an empty text; an empty table gives no rows.
     """
     gone = repeated_lines(docs).groupBy("doc_id").agg(F.collect_list("line_no").alias("_gone")).withColumnRenamed("doc_id", "_id")
