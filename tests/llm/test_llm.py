@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -316,6 +317,38 @@ def test_licenses(spark, docs, none):
     assert len(licenses.rules()) > 300
 
 
+def wordings(pattern, full):
+    """Texts that a pattern matches: every alternative, with or without its optional parts."""
+
+    def of(parts):
+        out = [""]
+        for op, value in parts:
+            match str(op):
+                case "LITERAL":
+                    some = [chr(value)]
+                case "IN":
+                    some = ["x" if str(value[0][0]) in ("CATEGORY", "NEGATE") else chr(value[0][1] if str(value[0][0]) == "LITERAL" else value[0][1][0])]
+                case "SUBPATTERN":
+                    some = of(value[-1])
+                case "BRANCH":
+                    some = [x for branch in value[1] for x in of(branch)]
+                case "MAX_REPEAT":
+                    some = of(value[2]) if full or value[0] else [""]
+            out = [a + b for a in out for b in some]
+        return out
+
+    return of(re._parser.parse(pattern))
+
+
+def test_every_wording_of_a_license_rule_is_detected(spark):
+    found = sorted({w for *_, pattern in licenses.rules() for full in (False, True) for w in wordings(pattern, full)})
+    texts = spark.createDataFrame(list(enumerate(found)), "doc_id long, text string")
+    lost = [found[r["doc_id"]] for r in licenses.scan(texts).collect() if not any(d["words"] == r["n_words"] for d in r["detections"])]
+    assert len(found) > 1000 and not lost
+    held = {r["doc_id"]: r["labels"] for r in licenses.scan(texts.where("text IN ('cc0', 'psf license', 'licensed under freebsd')")).collect()}
+    assert sorted(held.values()) == ["bsd-2-clause", "cc0-1", "psf-2"]
+
+
 def test_pages(spark):
     page = '<html><body><header><h1>Site</h1></header><nav>menu {0}</nav><div class="cookie">We use</div><article><h1>T&eacute;st {0}</h1><p>One <b>two\n  three</b><script>x="<p>"</script><p>six {1}<div class="comments">no</div></article><footer>f {0}</footer></body></html>'
     rows = [(i, "http://h.example/a", page.format(i, "x" * i)) for i in range(12)] + [(20, None, None), (21, "odd", ""), (None, "http://h.example/a", "<p>a<p>b"), (22, "http://z.example/", "plain &amp; text")]

@@ -13,8 +13,9 @@ BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases that every scan counts, with their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-# Signature rules.  A rule is (priority, label, keyword, pattern over space-joined words); a lower number goes first.
-# Families: label, keyword, the name as a pattern.
+# Signature rules.  A rule is (priority, label, keywords, pattern over space-joined words); a lower number goes first.
+# Whatever a pattern matches holds one of the rule's keywords (parted by |) as a word.
+# Families: label, keywords, the name as a pattern.
 FAMILIES = (
     ("mit", "mit", r"mit"),
     ("apache-1.1", "apache", r"apache(?: software)?(?: license)?(?: version)? 1 1"),
@@ -28,19 +29,19 @@ FAMILIES = (
     ("lgpl-2", "lgpl", r"lgpl(?: version)? v?2(?: 0)?"),
     ("lgpl-2.1", "lgpl", r"lgpl(?: version)? v?2 1"),
     ("lgpl-3", "lgpl", r"lgpl(?: version)? v?3(?: 0)?"),
-    ("lgpl", "lesser", r"gnu (?:lesser|library) general public license"),
+    ("lgpl", "general", r"gnu (?:lesser|library) general public license"),
     ("agpl-3", "agpl", r"agpl(?: version)? v?3(?: 0)?"),
     ("agpl-3", "affero", r"gnu affero general public license(?: version)?(?: v?3)?"),
-    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)"),
+    ("bsd-2-clause", "bsd|freebsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)"),
     ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)"),
     ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd)"),
-    ("0bsd", "0bsd", r"(?:0bsd|zero clause bsd)"),
+    ("0bsd", "0bsd|bsd", r"(?:0bsd|zero clause bsd)"),
     ("mpl-1.1", "mozilla", r"mozilla public license(?: version)? v?1 1"),
     ("mpl-2", "mozilla", r"mozilla public license(?: version)? v?2(?: 0)?"),
     ("mpl-2", "mpl", r"mpl(?: version)? v?2(?: 0)?"),
     ("epl-1", "eclipse", r"eclipse public license(?: version)? v?1(?: 0)?"),
     ("epl-2", "eclipse", r"eclipse public license(?: version)? v?2(?: 0)?"),
-    ("cddl-1", "cddl", r"(?:cddl|common development and distribution license)(?: version)?(?: 1 0)?"),
+    ("cddl-1", "cddl|common", r"(?:cddl|common development and distribution license)(?: version)?(?: 1 0)?"),
     ("cpl-1", "common", r"common public license(?: version)?(?: 1 0)?"),
     ("isc", "isc", r"isc"),
     ("zlib", "zlib", r"zlib(?: libpng)?"),
@@ -50,10 +51,10 @@ FAMILIES = (
     ("artistic-1", "artistic", r"artistic(?: license)? 1(?: 0)?"),
     ("artistic-2", "artistic", r"artistic(?: license)? 2(?: 0)?"),
     ("bsl-1", "boost", r"boost software license(?: version)?(?: 1 0)?"),
-    ("psf-2", "python", r"(?:python software foundation|psf)(?: license)?(?: version)?(?: 2)?"),
+    ("psf-2", "python|psf", r"(?:python software foundation|psf)(?: license)?(?: version)?(?: 2)?"),
     ("ms-pl", "microsoft", r"microsoft public"),
     ("ms-rl", "microsoft", r"microsoft reciprocal"),
-    ("eupl-1.2", "eupl", r"(?:eupl|european union public licence)(?: v?1 2)?"),
+    ("eupl-1.2", "eupl|european", r"(?:eupl|european union public licence)(?: v?1 2)?"),
     ("ofl-1.1", "sil", r"sil open font license(?: version)?(?: 1 1)?"),
     ("afl-3", "academic", r"academic free license(?: version)?(?: v?3(?: 0)?)?"),
     ("osl-3", "open", r"open software license(?: version)?(?: v?3(?: 0)?)?"),
@@ -70,7 +71,7 @@ FAMILIES = (
     ("cc-by-sa", "creative", r"creative commons attribution share ?alike(?: [1-4] [05])?"),
     ("cc-by-nc", "creative", r"creative commons attribution non ?commercial(?: [1-4] [05])?"),
     ("cc-by-nd", "creative", r"creative commons attribution no ?deriv(?:atives|s)(?: [1-4] [05])?"),
-    ("odbl-1", "odbl", r"(?:odbl|open database license)(?: v?1 0)?"),
+    ("odbl-1", "odbl|open", r"(?:odbl|open database license)(?: v?1 0)?"),
     ("sspl-1", "server", r"server side public license(?: version)?(?: 1)?"),
     ("busl-1.1", "business", r"business source license(?: version)?(?: 1 1)?"),
     ("elastic-2", "elastic", r"elastic license(?: version)?(?: 2(?: 0)?)?"),
@@ -157,12 +158,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     })
 
     # keyword gate, then the rules of the found keywords
-    keywords = sorted({k for _, _, k, _ in every})
-    gate = r"(?<= )(?:[al]?gpl|" + "|".join(k for k in keywords if k not in ("gpl", "lgpl", "agpl")) + r")"
+    keywords = sorted({k for _, _, some, _ in every for k in some.split("|")})
+    gate = r"(?<= )(?:[al]?gpl|" + "|".join(k for k in keywords if k not in ("gpl", "lgpl", "agpl")) + r")(?= )"
     hits = F.when(F.rlike(text, F.lit(gate)), F.array_distinct(F.regexp_extract_all(text, F.lit(f"({gate})"), F.lit(1))))
-    table = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(p).alias("priority"), F.lit(label).alias("label"), F.lit(k).alias("keyword"), F.lit(f" (?:{r})(?= )").alias("pattern")) for i, (p, label, k, r) in enumerate(every)])
+    table = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(p).alias("priority"), F.lit(label).alias("label"), F.array(*map(F.lit, k.split("|"))).alias("keywords"), F.lit(f" (?:{r})(?= )").alias("pattern")) for i, (p, label, k, r) in enumerate(every)])
     rows = rows.withColumn("_keywords", hits)
-    tried = F.filter(table, lambda r: F.array_contains(F.col("_keywords"), r["keyword"]) & F.rlike(text, r["pattern"]))
+    tried = F.filter(table, lambda r: F.arrays_overlap(F.col("_keywords"), r["keywords"]) & F.rlike(text, r["pattern"]))
     rows = rows.withColumn("_rules", F.when(F.col("_keywords").isNotNull(), tried))
 
     def places_of(r: Column) -> Column:
