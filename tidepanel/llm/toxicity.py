@@ -13,14 +13,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: An expression is a word: a run of letters.
 WORD = re.compile(r"[^\W\d_]+")
-#: An expression is a word's first so many letters; its letters are predicted one by one.
-DEPTH = 6
+#: Letters before a letter that predict it; a word's begin and end are letters of their own.
+CONTEXT = 4
+BEGIN, END = "^", "$"
+#: A longer run of letters, as in scripts without spaces, is as toxic as its most toxic part of so many letters.
+PART = 24
 DISCOUNT = 0.75
 #: The labelled rows of a class that train the models, at most (in expectation); all are used below that.
 CLASS_ROWS = 30_000
-#: Expressions in a model, at most: the most frequent ones.  It bounds what is sent to the executors.
-MODEL_NODES = 400_000
 THRESHOLD = 0.7
 
 
@@ -28,100 +30,123 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+def grams(word: str) -> list[str]:
+    """Every letter of a word, and its end, each with up to CONTEXT letters before it."""
+    w = BEGIN + word + END
+    return [w[max(0, i - CONTEXT) : i + 1] for i in range(1, len(w))]
+
+
 class KneserNey:
     """Two letter models, of toxic and of ordinary texts, which share their backoff counts.
 
-    In either class, P(letter | expression so far) discounts the class's own counts by ``DISCOUNT`` and gives
-    the freed mass to the shared backoff: continuation counts (in how many expressions of either class a
-    letter follows the last two letters, then the last one, then any), so an expression rare in a class is
-    judged by both.  Every count is of documents.
+    In either class, P(letter | context) discounts the class's own counts by ``DISCOUNT`` and gives the freed mass to the
+    shared backoff, so an expression rare in a class is judged by both.  The backoff is an interpolated
+    Kneser-Ney model of shorter contexts: a letter counts once for each longer context, of either class, that it
+    follows.  A context that a class never had is the backoff alone.
     """
 
-    def __init__(self, nodes: Iterable[tuple[str, int, int]]):
-        table = {p: (t, o) for p, t, o in nodes}
-        children: dict[str, list[str]] = defaultdict(list)
-        follows = [defaultdict(Counter) for _ in range(3)]
-        for p in table:
-            children[p[:-1]].append(p)
-            for k in range(3):
-                if len(p) > k:
-                    follows[k]["^"[: len(p) == k + 1] * (k > 0) + p[max(0, len(p) - 1 - k) : -1]][p[-1]] += 1
-        letters = max(1, len(follows[0][""]))
-        self.llr: dict[str, float] = {"": 0.0}
-        self.escape: dict[str, float] = {}
-
-        def shared(p: str) -> float:
-            out = 1.0 / letters
-            for k in range(3):
-                at = follows[k]["^"[: len(p) == k + 1] * (k > 0) + p[max(0, len(p) - 1 - k) : -1]]
-                if total := sum(at.values()):
-                    out = max(at[p[-1]] - DISCOUNT, 0) / total + DISCOUNT * len(at) / total * out
-            return out
-
-        for p in sorted(children, key=len):  # parents first
-            if p not in self.llr:
-                continue
-            own = [[table[c][k] for c in children[p]] for k in (0, 1)]
-            totals, kinds = [sum(x) for x in own], [sum(y > 0 for y in x) for x in own]
-            freed = [DISCOUNT * k / n if n else 1.0 for k, n in zip(kinds, totals, strict=True)]
-            self.escape[p] = math.log(freed[0] / freed[1])
-            for c in children[p]:
-                back = shared(c)
-                at = [(max(table[c][k] - DISCOUNT, 0) / totals[k] if totals[k] else 0.0) + freed[k] * back for k in (0, 1)]
-                self.llr[c] = self.llr[p] + math.log(at[0] / at[1])
-
-    def word(self, w: str) -> float:
-        return expression_ratio(self.llr, self.escape, w)
-
-
-def expression_ratio(llr: dict[str, float], escape: dict[str, float], w: str) -> float:
-    """Log-likelihood ratio of one expression: of its longest known beginning, then of leaving it."""
-    for k in range(min(len(w), DEPTH), 0, -1):
-        if (x := llr.get(w[:k])) is not None:
-            return x if k == min(len(w), DEPTH) else x + escape.get(w[:k], 0.0)
-    return escape.get("", 0.0)
-
-
-def features(values: np.ndarray) -> tuple[float, float, float]:
-    """Of a text's word ratios: their mean (the length-normalised difference), the largest, and the length."""
-    if not len(values):
-        return 0.0, 0.0, 0.0
-    return float(values.mean()), float(values.max()), math.log(len(values))
+    def __init__(self, counts: Iterable[tuple[str, int, int]]):
+        self.counts = {g: (t, o) for g, t, o in counts}
+        levels = [set() for _ in range(CONTEXT + 2)]
+        for g in self.counts:
+            levels[len(g)].add(g)
+        self.continues: Counter = Counter()
+        for k in range(CONTEXT + 1, 1, -1):
+            for g in levels[k]:
+                self.continues[g[1:]] += 1
+                levels[k - 1].add(g[1:])
+        self.follows, self.kinds = Counter(), Counter()
+        for g, n in self.continues.items():
+            self.follows[g[:-1]] += n
+            self.kinds[g[:-1]] += 1
+        self.shared: dict[str, float] = {}
+        own: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+        for g, (t, o) in self.counts.items():
+            at = own[g[:-1]]
+            at[0] += t
+            at[1] += o
+            at[2] += t > 0
+            at[3] += o > 0
+        self.own = dict(own)
+        #: Log-likelihood ratios of letters in their contexts, and of letters that their known context never had.
+        self.ratio = {g: math.log(self.probability(g, 0) / self.probability(g, 1)) for g in self.counts}
+        self.escape = {c: math.log(self.freed(c, 0) / self.freed(c, 1)) for c in self.own}
+
+    def backoff(self, g: str) -> float:
+        """P(last letter | letters before it) by continuation counts of both classes."""
+        if not g:
+            return 1 / max(1, self.kinds[""])
+        if g not in self.shared:
+            n, lower = self.follows[g[:-1]], self.backoff(g[1:])
+            self.shared[g] = max(self.continues[g] - DISCOUNT, 0) / n + DISCOUNT * self.kinds[g[:-1]] / n * lower if n else lower
+        return self.shared[g]
+
+    def freed(self, context: str, k: int) -> float:
+        at = self.own.get(context, (0, 0, 0, 0))
+        return DISCOUNT * at[2 + k] / at[k] if at[k] else 1.0
+
+    def probability(self, g: str, k: int) -> float:
+        """P(last letter | context) in class ``k``: 0 toxic, 1 ordinary."""
+        n = self.own.get(g[:-1], (0, 0))[k]
+        return (max(self.counts.get(g, (0, 0))[k] - DISCOUNT, 0) / n if n else 0.0) + self.freed(g[:-1], k) * self.backoff(g[1:])
+
+
+def difference(ratio: dict[str, float], escape: dict[str, float], word: str) -> tuple[float, int, float]:
+    """The log-likelihood difference of a word, its letters, and the difference per letter of its most toxic part."""
+    found = []
+    for g in grams(word):
+        x = ratio.get(g)
+        found.append(escape.get(g[:-1], 0.0) if x is None else x)
+    total = math.fsum(found)
+    if len(found) <= PART:
+        return total, len(found), total / len(found)
+    sums = np.concatenate([[0.0], np.cumsum(found)])
+    return total, len(found), float((sums[PART:] - sums[:-PART]).max()) / PART
 
 
 class Remembered(dict):
-    """Ratios of words seen lately; emptied when large, which bounds memory only."""
+    """Differences of words seen lately; emptied when large, which bounds memory only."""
 
     def __init__(self, model: tuple[dict, dict], most: int = 300_000):
         self.model, self.most = model, most
 
-    def __missing__(self, w: str) -> float:
+    def __missing__(self, w: str) -> tuple[float, int, float]:
         if len(self) >= self.most:
             self.clear()
-        x = self[w] = expression_ratio(*self.model, w)
+        x = self[w] = difference(*self.model, w)
         return x
 
 
+def features(known: Remembered, text: str | None) -> tuple[float, float, int]:
+    """Length-normalised differences of a whole text and of its most toxic expression, and its number of expressions."""
+    found = [known[w] for w in words(text)]
+    if not found:
+        return 0.0, 0.0, 0
+    totals, letters, parts = zip(*found, strict=True)
+    return math.fsum(totals) / sum(letters), max(parts), len(found)
+
+
 def featured(docs: DataFrame, model, columns: str) -> DataFrame:
     """The rows of ``docs`` (``columns`` but its text) with the features of their whole texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Remembered(model.value)
         for batch in batches:
-            found = [features(np.array([known[w] for w in words(t)])) for t in batch["text"]]
+            found = [features(known, t) for t in batch["text"]]
             yield batch.drop(columns="text").assign(**{f"f{k}": [x[k] for x in found] for k in range(3)})
 
-    return docs.mapInPandas(run, f"{columns}, f0 double, f1 double, f2 double")
+    return docs.mapInPandas(run, f"{columns}, f0 double, f1 double, f2 long")
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ridge logistic regression by Newton's method: (means, scales, weights with the intercept last)."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, steps: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ridge logistic regression by Newton's method, both classes of equal weight: (means, scales, weights with the intercept last)."""
     mean, scale = x.mean(0), x.std(0) + 1e-9
     z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
     w, hold = np.zeros(z.shape[1]), np.diag([ridge] * x.shape[1] + [1e-6])
+    share = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + hold, z.T @ (y - p) - hold @ w)
+        step = np.linalg.solve((z * (share * p * (1 - p) + 1e-9)[:, None]).T @ z + hold, z.T @ (share * (y - p)) - hold @ w)
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
@@ -147,29 +172,40 @@ def train(docs: DataFrame, labels: DataFrame):
         for batch in batches:
             counts: tuple[Counter, Counter] = (Counter(), Counter())
             for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-                counts[toxic].update({w[:k] for w in set(words(text)) for k in range(1, min(len(w), DEPTH) + 1)})
+                counts[toxic].update(words(text))
             both = list(counts[0] | counts[1])
-            yield pd.DataFrame({"node": both, "t": [counts[1][p] for p in both], "o": [counts[0][p] for p in both]})
+            yield pd.DataFrame({"word": both, "t": [counts[1][w] for w in both], "o": [counts[0][w] for w in both]})
 
-    nodes = rows.where("NOT calibrates").select("text", "toxic").mapInPandas(count, "node string, t long, o long")
-    nodes = nodes.groupBy("node").agg(F.sum("t").alias("t"), F.sum("o").alias("o")).orderBy(F.desc(F.col("t") + F.col("o")), "node").limit(MODEL_NODES)
+    def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+            for word, t, o in zip(batch["word"], batch["t"], batch["o"], strict=True):
+                for g in grams(word):
+                    counts[g][0] += t
+                    counts[g][1] += o
+            yield pd.DataFrame([(g, *n) for g, n in counts.items()], columns=["gram", "t", "o"])
+
+    sums = F.sum("t").alias("t"), F.sum("o").alias("o")
+    met = rows.where("NOT calibrates").select("text", "toxic").mapInPandas(count, "word string, t long, o long").groupBy("word").agg(*sums)
+    spelt = met.mapInPandas(spell, "gram string, t long, o long").groupBy("gram").agg(*sums)
     sc = docs.sparkSession.sparkContext
-    fitted = KneserNey((r["node"], r["t"], r["o"]) for r in nodes.collect())
-    model = sc.broadcast((fitted.llr, fitted.escape))
+    fitted = KneserNey((r["gram"], r["t"], r["o"]) for r in spelt.toLocalIterator())
+    model = sc.broadcast((fitted.ratio, fitted.escape))
     seen = featured(rows.where("calibrates").select("text", "toxic"), model, "toxic int").toPandas()
     if seen["toxic"].nunique() < 2:
         return model, None
-    return model, logistic(seen[["f0", "f1", "f2"]].to_numpy(), seen["toxic"].to_numpy(float))
+    return model, logistic(seen[["f0", "f1"]].to_numpy(), seen["toxic"].to_numpy(float))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Score whole texts for toxicity: (doc_id, held_out, score, predicted, mean_ratio, top_ratio).
+    """Score whole texts for toxicity: (doc_id, held_out, score, predicted, text_difference, top_difference).
 
-    The score is a logistic function of the text's length-normalised log-likelihood difference, of its largest
-    difference for one expression, and of its length.  Labels, language, source and id are no inputs.  Null and
+    The score is a logistic function of two length-normalised log-likelihood differences, of the whole text and of its most
+    toxic expression.  Labels, language, source and id are no inputs.  Null and
     empty texts have no expressions and score 0; with no labels of one class everything scores 0; rows with a
-    null id are scored and not held out; repeated rows are scored alike; an empty table gives no rows; other
-    columns are not used.
+    null id are scored and not held out; a very long text or word is scored whole, in memory that its length bounds; repeated
+    rows are scored alike and ties don't matter; an id labelled twice is toxic if either label says so; an empty table gives no
+    rows; other columns are not used.
     """
     model, calibration = train(docs, labels)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
@@ -178,17 +214,20 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         value = F.lit(0.0)
     else:
         mean, scale, w = ([float(v) for v in x] for x in calibration)
-        value = F.lit(w[3])
-        for k in range(3):
+        value = F.lit(w[-1])
+        for k in range(len(mean)):
             value = value + (F.col(f"f{k}") - F.lit(mean[k])) / F.lit(scale[k]) * F.lit(w[k])
-        value = F.when((F.col("f2") == 0) & (F.col("f1") == 0), F.lit(0.0)).otherwise(1 / (1 + F.exp(-value)))
+        value = F.when(F.col("f2") == 0, F.lit(0.0)).otherwise(1 / (1 + F.exp(-value)))
     out = out.withColumn("score", value)
     predicted = F.when(F.col("score") >= F.lit(THRESHOLD), F.lit(1)).otherwise(F.lit(0))
-    return out.select("doc_id", "held_out", "score", predicted.alias("predicted"), F.col("f0").alias("mean_ratio"), F.col("f1").alias("top_ratio"))
+    return out.select("doc_id", "held_out", "score", predicted.alias("predicted"), F.col("f0").alias("text_difference"), F.col("f1").alias("top_difference"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that ``score`` doesn't predict toxic, with all their columns; scored in place, without a shuffle."""
+    """The documents that ``score`` doesn't predict toxic, with all their columns; scored in place, without a shuffle.
+
+    Null and empty texts, and with labels of one class at most all documents, stay.
+    """
     model, calibration = train(docs, labels)
     if calibration is None:
         return docs
@@ -197,8 +236,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Remembered(model.value)
         for batch in batches:
-            x = np.array([features(np.array([known[v] for v in words(t)])) for t in batch.column("text").to_pylist()]).reshape(-1, 3)
-            p = 1 / (1 + np.exp(-((x - mean) / scale @ w[:3] + w[3])))
-            yield batch.filter(pa.array(~((p >= THRESHOLD) & (x != 0).any(1))))
+            x = np.array([features(known, t) for t in batch.column("text").to_pylist()]).reshape(-1, 3)
+            p = 1 / (1 + np.exp(-np.clip((x[:, :2] - mean) / scale @ w[:-1] + w[-1], -700, 700)))
+            yield batch.filter(pa.array(~((p >= THRESHOLD) & (x[:, 2] > 0))))
 
     return docs.mapInArrow(run, docs.schema)
