@@ -317,6 +317,53 @@ def test_licenses(spark, docs, none):
     assert len(licenses.rules()) > 300
 
 
+def license_places(text):
+    """The detections of one text by the definition, without gate or order."""
+    words = re.findall(licenses.WORD, (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    joined = " " + "".join(f"{w} " for w in words)
+    starts = {m.start(): i for i, m in enumerate(re.finditer(" ", joined))}
+    found = []
+    for rule, (priority, label, _, pattern) in enumerate(licenses.rules()):
+        for m in re.finditer(rf"(?<= )(?:{pattern})(?= )", joined):
+            at = starts[m.start() - 1]
+            found.append((at, at + len(m[0].split(" ")), priority, rule, label))
+
+    def better(y, x):
+        if y[:2] == x[:2]:
+            return y[2:4] < x[2:4]
+        return y[0] <= x[0] and y[1] >= x[1] and y[2] <= x[2]
+
+    return sorted((a, b - a, p, label) for a, b, p, rule, label in found if not any(better(y, (a, b, p, rule)) for y in found))
+
+
+def test_license_places_equal_brute_force(spark):
+    rng = random.Random(9)
+    found = sorted({w for *_, pattern in licenses.rules() for full in (False, True) for w in wordings(pattern, full)})
+    pieces = [*found, "word", "other words", "license", "the", "version 2", "or later"]
+    texts = [" ".join(rng.choice(pieces) for _ in range(rng.randrange(1, 9))).title() for _ in range(150)] + [None, "", "MIT; LICENSE", "\t\n"]
+    texts.append(" ".join(rng.choice(found) for _ in range(700)))
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        got = [tuple(d) for d in r["detections"]]
+        assert sorted(got) == license_places(texts[r["doc_id"]]), texts[r["doc_id"]][:300]
+        assert [d[:2] for d in got] == sorted((d[:2] for d in got), key=lambda d: (d[0], -d[1]))
+
+
+def test_long_license_lists_take_time_in_proportion(spark):
+    import time
+
+    def seconds(n):
+        docs = spark.createDataFrame([(0, "Under the MIT License, " * n)], "doc_id long, text string")
+        began = time.time()
+        (row,) = licenses.scan(docs).collect()
+        assert row["n_base"] == len(row["detections"]) == n and row["last_word"] == 4 * (n - 1)
+        return time.time() - began
+
+    seconds(500)
+    assert seconds(45_000) < seconds(500) + 8
+
+
 def wordings(pattern, full):
     """Texts that a pattern matches: every alternative, with or without its optional parts."""
 
@@ -350,15 +397,170 @@ def test_every_wording_of_a_license_rule_is_detected(spark):
 
 
 def test_pages(spark):
-    page = '<html><body><header><h1>Site</h1></header><nav>menu {0}</nav><div class="cookie">We use</div><article><h1>T&eacute;st {0}</h1><p>One <b>two\n  three</b><script>x="<p>"</script><p>six {1}<div class="comments">no</div></article><footer>f {0}</footer></body></html>'
+    page = '<html><body><header><h1>Site</h1></header><nav>menu {0}</nav><div class="cookie">We use</div><article><h1>T&eacute;st {0}</h1><p>One {0} <b>two\n  three</b><script>x="<p>"</script><p>six {1}<div class="comments">no</div></article><footer>f {0}</footer></body></html>'
     rows = [(i, "http://h.example/a", page.format(i, "x" * i)) for i in range(12)] + [(20, None, None), (21, "odd", ""), (None, "http://h.example/a", "<p>a<p>b"), (22, "http://z.example/", "plain &amp; text")]
     got = {r["page_id"]: r for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     for i in range(12):
-        assert got[i]["text"] == f"Tést {i}\n\nOne two three\n\nsix {'x' * i}".strip()
+        assert got[i]["text"] == f"Tést {i}\n\nOne {i} two three\n\nsix {'x' * i}".strip()
         assert got[i]["n_chars"] == len(got[i]["text"])
     assert got[20]["text"] == got[21]["text"] == "" and got[None]["text"] == "a\n\nb" and got[22]["text"] == "plain & text"
 
 
+def hosted(n, cut=lambda i: ""):
+    words = [f"word{i} " * 30 for i in range(n)]
+    body = "<div class=top>Menu {0}</div><div class=x1><h1>Title {0}</h1><p>{1}</p>{2}<div class=x2>Read all of our letters</div></div><div class=x3>All rights at h</div>"
+    return [f"<html><body>{body.format(i, w, cut(i))}</body></html>" for i, w in enumerate(words)]
+
+
+def texts_of(spark, pages, url="http://h.example/a"):
+    rows = [(i, url, p) for i, p in enumerate(pages)]
+    got = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    return {r["page_id"]: r["text"] for r in got.collect()}
+
+
+def test_wrappers_decide_what_is_template(spark):
+    pages = hosted(8)
+    got = texts_of(spark, pages)
+    for i in range(8):
+        assert got[i] == f"Title {i}\n\n" + " ".join([f"word{i}"] * 30)
+        assert html_text.extract(pages[i]) != got[i]
+    # too few articles show no template; copies of one article count once
+    assert "letters" in texts_of(spark, pages[:3])[0]
+    assert "letters" in texts_of(spark, [pages[0].replace("Menu 0", f"Menu {i}") for i in range(8)])[0]
+
+
+def test_constant_nodes_inside_articles_are_template(spark):
+    page = "<body><nav>n {0}</nav><article><h1>T {0}</h1>{1}<p>Subscribe to read more</p></article></body>"
+    pages = [page.format(i, "".join(f"<p>a longer text {i} of part {k}</p>" for k in range(1 + i % 4))) for i in range(9)]
+    got = texts_of(spark, pages)
+    assert all(got[i] == "\n\n".join([f"T {i}", *(f"a longer text {i} of part {k}" for k in range(1 + i % 4))]) for i in range(9))
+
+
+def test_matching_follows_the_tree():
+    a, b = (html_text.parse(x) for x in ("<ul><li>1<li>2</ul><p>x<p>y<div>z</div>", "<p>x<ul><li>1</ul><p>w<p>y<div>z</div><div>new</div>"))
+    pairs = [(a.name[x], a.own[x], b.own[y]) for x, y in html_text.matching(a, b)]
+    assert ("p", "x", "x") in pairs and ("p", "y", "y") in pairs and ("div", "z", "z") in pairs
+    assert all(a.name[x] == b.name[y] for x, y in html_text.matching(a, b))
+    assert len(list(html_text.matching(a, a))) == len(a.tag)
+
+
+def test_pages_are_parsed_as_browsers_do():
+    cases = {
+        "<article><a href=x title=don't>two</a> three<p>it isn't four</article>": "two three\n\nit isn't four",
+        '<article><section class="legal-analysis">A</section><div class="popular-science">B</div><label>C</label> <math><mi>x</mi></math><div class="comments-area">D</div></article>': "A\n\nB\n\nC x",
+        "<article><table><tr><td>a<td>b<tr><td><p>c</table>d<ul><li><b>e<li>f</ul></article>": "a\n\nb\n\nc\n\nd\n\ne\n\nf",
+        "<p>a &amp;amp; &#233;<script>if (a < b) '</p>'</script>b<p hidden>c<p>d <!-- <p>e --> f<a href='": "a &amp; éb\n\nd f",
+        "<article><header><h1>A</h1></header>b<footer>c</footer></article>": "A\n\nb",
+        "a < b and c > d": "a < b and c > d",
+    }
+    for page, want in cases.items():
+        assert html_text.extract(page) == want, page
+
+
+def test_very_long_pages_take_time_in_proportion():
+    import time
+
+    long = "<body>" + "".join(f"<p>x {i}</p><div>y {i}</div>" for i in range(25_000)) + "</body>"
+    for page in (long, "<div>" * 50_000 + "deep" + "</div>" * 50_000, "<a " * 200_000, "<b>" * 50_000 + "<p>q</i>" * 20_000, "<p>" + "w " * 500_000):
+        began = time.time()
+        html_text.extract(page, html_text.Wrapper(long, [(-1, 9, 9, (1 << 9) - 1, 0), (5, 9, 9, (1 << 9) - 1, 0)]))
+        assert time.time() - began < 15
+    assert html_text.extract("<div>" * 50_000 + "deep") == "deep"
+
+
+def test_no_pages(spark):
+    assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string, text int")).count() == 0
+
+
+def test_kneser_ney_probabilities_sum_to_one():
+    rng = random.Random(3)
+    counts = defaultdict(lambda: [0, 0])
+    for k in (0, 1):
+        for _ in range(60):
+            for g in toxicity.grams("".join(rng.choice("abc" if k else "bcd") for _ in range(rng.randrange(1, 9)))):
+                counts[g][k] += rng.randrange(1, 3)
+    model = toxicity.KneserNey((g, *n) for g, n in counts.items())
+    letters = {g[-1] for g in counts}
+    contexts = {g[:-1] for g in counts}
+    for c in contexts:
+        for k in (0, 1):
+            assert sum(model.probability(c + x, k) for x in letters) == pytest.approx(1)
+    # one probability by hand: own counts discounted, the rest by continuation counts
+    g = max(counts, key=lambda g: (len(g), counts[g][0]))
+    own = {x: n[0] for x, n in counts.items() if x[:-1] == g[:-1]}
+    kinds = sum(n > 0 for n in own.values())
+
+    def backoff(s):
+        if not s:
+            return 1 / len(letters)
+        seen = {x[-len(s) - 1 :] for x in counts if len(x) > len(s)}
+        follows = Counter(x[1:] for x in seen if x[1:-1] == s[:-1])
+        n = sum(follows.values())
+        return max(follows[s] - 0.75, 0) / n + 0.75 * len(follows) / n * backoff(s[1:])
+
+    want = (max(own[g] - 0.75, 0) + 0.75 * kinds * backoff(g[1:])) / sum(own.values())
+    assert model.probability(g, 0) == pytest.approx(want)
+
+
+def test_toxic_parts_of_long_words_and_texts(spark):
+    rng = random.Random(5)
+    plain = ["".join(rng.choice("aeiouklmn") for _ in range(rng.randrange(3, 9))) for _ in range(300)]
+    text = lambda i: " ".join(rng.choice(plain) for _ in range(60)) + (" blaxzork" + rng.choice(plain) if i % 5 == 0 else "")
+    rows = [(i, text(i)) for i in range(1500)]
+    long = "".join(rng.choice(plain) for _ in range(4000))
+    rows += [(9001, long), (9002, long + " blaxzorkai " + long), (9003, " ".join(t for _, t in rows if "zork" not in t)), (9004, "blaxzorkai")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, score int")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(1500)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.score(docs, labels).collect()}
+    assert [got[i]["predicted"] for i in (9001, 9002, 9003, 9004)] == [0, 1, 0, 1]
+    assert toxicity.drop_toxic(docs, labels).columns == docs.columns
+
+
+def test_clashing_column_names(spark):
+    names = ["_id", "_gone", "_copies", "n_lines", "n_removed", "copies", "copy", "doc", "gone", "score", "component", "_host"]
+    rows = [(i, f"one line of text {i}\nthe same line\n{'y ' * i}", f"s{i % 2}", 1, *names) for i in range(40)] + [(None, None, None, None, *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), i) for i in range(20)], "doc_id long, toxic int, text int")
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "") if name != "toxicity" else toxicity.drop_toxic(docs, labels)
+        assert out.columns == docs.columns and [t for _, t in out.dtypes] == [t for _, t in docs.dtypes], name
+        some = out.where("doc_id = 1").collect()
+        assert not some or [some[0][n] for n in names] == names, name
+    assert packing.pack(docs).where("doc_id IS NULL").count() == 1
+    assert licenses.scan(docs).count() == ngram_join.jaccard_join(docs).count() == lm_score.score(docs, labels).count() == 41
+
+
+def test_pipeline_on_an_empty_table(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, "/root/testdata/sf0.001").count() == 0
+
+
+def test_planted_near_copies_are_joined(spark):
+    rng = random.Random(12)
+    rows = []
+    for g in range(30):
+        base = [rng.choice(WORDS) for _ in range(200)]
+        for k in range(4):
+            near = list(base)
+            for at in rng.sample(range(200), k):
+                near[at] = f"x{g}{k}{at}"
+            rows.append((4 * g + k, " ".join(near)))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, 100).collect()}
+
+    def grams(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    sets = [grams(t) for _, t in rows]
+    assert [got[i] for i in range(len(rows))] == classes(len(rows), lambda i, j: 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]))
+    assert all(got[4 * g + 1] == 4 * g for g in range(30))
+
+
 def test_pipeline_on_small_tables(spark):
     import corpus_pipeline
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 import numpy as np
@@ -21,19 +22,38 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (tests) a local one is chosen.
+    It is the session's ``spark.checkpoint.dir``.  Where that is unset, one machine (tests) gets a local folder, and a
+    cluster an error, as its machines share none.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/spark-scratch-{uuid.uuid4().hex}")
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(path or f"{tempfile.gettempdir()}/spark-scratch-{uuid.uuid4().hex}")
     return sc.getCheckpointDir()
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, or the first one with a number that no column has."""
+    taken = {c.lower() for c in columns}
+    return next(n for n in (name, *(f"{name}_{i}" for i in range(len(taken)))) if n.lower() not in taken)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back, which cuts its lineage."""
     path = f"{scratch_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a scratch table that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ascii_lower(column: Column) -> Column:
@@ -104,11 +124,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     edges = materialize(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct())
     ends = edges.select(F.col("a").alias("node"), "b").union(edges.select(F.col("b").alias("node"), F.col("a").alias("b")))
     labels = materialize(ends.groupBy("node").agg(F.least(F.min("b"), F.first("node")).alias("root")))
+    scratch = labels
     for _ in range(rounds):
         # halve paths: the root's own root
         up = labels.select(F.col("node").alias("root"), F.col("root").alias("_up"))
         labels = labels.join(up, "root", "left").select("node", F.coalesce("_up", "root").alias("root"))
-        labels = materialize(labels)
+        before, labels = scratch, materialize(labels)
+        scratch = labels
+        discard(before)
         # edges between trees, seen from their roots
         at_a = labels.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         at_b = labels.select(F.col("node").alias("b"), F.col("root").alias("rb"))
@@ -116,22 +139,29 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         hooks = materialize(apart.groupBy("node").agg(F.min("_low").alias("_low")))
         steps = labels.join(labels.select(F.col("node").alias("root"), F.col("root").alias("_up")), "root").where("_up <> root")
         if hooks.isEmpty() and steps.isEmpty():
+            discard(edges)
+            discard(hooks)
             return labels.select("node", F.col("root").alias("component"))
         labels = labels.join(hooks, "node", "left").select("node", F.least("root", "_low").alias("root"))
     raise RuntimeError(f"components did not settle within {rounds} rounds")
 
 
-#: Bits of a filter that is sent to executors: 512 KB.
-FILTER_BITS = 1 << 22
+#: Bits of a filter that is sent to executors, at least and at most: 512 KB and 32 MB.
+LEAST_BITS, MOST_BITS = 1 << 22, 1 << 28
+
 
+def bit_map(hashes: DataFrame) -> tuple:
+    """(broadcast packed bits, their number): the places pmod(h, number) of the hashes ``h`` are set.
 
-def bit_map(positions: DataFrame):
-    """A broadcast map of the positions p (0 to FILTER_BITS - 1) in ``positions``, of a fixed size, as packed bits."""
+    There are some eight bits for each hash, up to a fixed size; a fuller map only lets more false positives through.
+    """
+    number = max(LEAST_BITS, min(MOST_BITS, 1 << (8 * hashes.count()).bit_length()))
+    positions = hashes.select(F.pmod("h", F.lit(number)).alias("p"))
     rows = positions.groupBy(F.expr("bitmap_bucket_number(p)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits"))
-    bits = np.zeros(FILTER_BITS, bool)
-    for r in rows.collect():
+    bits = np.zeros(number, bool)
+    for r in rows.toLocalIterator():
         # bucket k holds positions (k - 1) * 32768 + 1 .. k * 32768, and bucket 0 position 0 alone
         found = np.flatnonzero(np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little"))
         at = (r["k"] - 1) * 32_768 + 1 + found if r["k"] > 0 else np.zeros(1, np.int64)
-        bits[at[at < FILTER_BITS]] = True
-    return positions.sparkSession.sparkContext.broadcast(np.packbits(bits))
+        bits[at[at < number]] = True
+    return hashes.sparkSession.sparkContext.broadcast(np.packbits(bits)), number

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.base import FILTER_BITS, bit_map, components, distinct, materialize, mix64
+from tidepanel.llm.base import bit_map, components, distinct, fresh, materialize, mix64
 from tidepanel.llm.verify import verified_links, with_totals
 
 #: Characters of a shingle.
@@ -148,17 +148,17 @@ def band_stars(bands: DataFrame) -> DataFrame:
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows (component, node, total, payload) with the texts of the wanted lines, rows (component, node, total).
 
-    A bit map of the wanted nodes, of a fixed size, tells tasks which lines to send; the join removes its false
+    A bit map of the wanted nodes, of a bounded size, tells tasks which lines to send; the join removes its false
     positives, and no whole text is shuffled.
     """
-    bits = bit_map(wanted.select(F.pmod("node", F.lit(FILTER_BITS)).alias("p")))
+    bits, number = bit_map(wanted.select(F.col("node").alias("h")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept = np.unpackbits(bits.value).astype(bool)
         met: set[int] = set()
         for piece in chunks(batches):
             lines = [x for t in piece["text"] for line in split_lines(t) if len(x := line.strip()) >= MIN_CHARS]
-            fresh = {n: x for n, x in zip(map(node_of, lines), lines, strict=True) if kept[n % FILTER_BITS] and n not in met}
+            fresh = {n: x for n, x in zip(map(node_of, lines), lines, strict=True) if kept[n % number] and n not in met}
             if len(met) > REMEMBERED:
                 met.clear()
             met.update(fresh)
@@ -175,7 +175,7 @@ def shingle_sets(lines) -> list[np.ndarray]:
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """Lines to remove: rows (doc_id, line_no), distinct.
+    """Lines to remove: rows (doc_id, line_no), repeated where rows of ``docs`` are.
 
     Lines with equal text are one node, named by a 64-bit hash and placed where it stands first.  Nodes
     that share a MinHash band make candidate components; within these the shingle sets are compared exactly,
@@ -191,23 +191,25 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     groups = nodes.join(found, "node", "left").where("_n > 1 OR component IS NOT NULL").select("node", "doc_id", "line_no", F.coalesce("component", "node").alias("component"))
     kept = groups.groupBy("component").agg(F.min(F.struct("doc_id", "line_no")).alias("kept"))
     wherever = groups.select("node", "component").join(kept, "component").select("node", "kept")
-    return places.join(wherever, "node").where("doc_id <> kept.doc_id OR line_no <> kept.line_no").select("doc_id", "line_no").distinct()
+    return places.join(wherever, "node").where("doc_id <> kept.doc_id OR line_no <> kept.line_no").select("doc_id", "line_no")
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with their repeated lines removed from ``text``, and the columns n_lines and n_removed.
+def without_repeats(docs: DataFrame, n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
+    """``docs`` with their repeated lines removed from ``text``, and the columns ``n_lines`` and ``n_removed``.
 
-    Rows keep their other columns.  Null texts have no lines and stay null; rows with a null id, and blank lines,
-    are left alone; repeated rows of one id are treated alike; documents without a line
-    left have an empty text; an empty table gives no rows.
+    Rows keep their other columns, of any names; one with the name of either count is replaced by it.  Null texts have no
+    lines and stay null; rows with a null id, and blank lines, are left alone; repeated rows of one id and text are
+    treated alike, and every id must name one text; of equal lines the one of the least (doc_id, line number) stays; very long texts and
+    lines are compared whole; documents without a line left have an empty text; an empty table gives no rows.
     """
-    gone = repeated_lines(docs).groupBy("doc_id").agg(F.collect_list("line_no").alias("_gone")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(gone, F.col("doc_id") == F.col("_id"), "left")
+    doc, gone = (fresh(c, docs.columns) for c in ("doc", "gone"))
+    found = repeated_lines(docs).groupBy("doc_id").agg(F.collect_set("line_no").alias(gone)).withColumnRenamed("doc_id", doc)
+    joined = docs.join(found, F.col("doc_id") == F.col(doc), "left")
     lines = F.split("text", "\n", -1)
-    held = F.filter(lines, lambda x, i: ~F.array_contains(F.col("_gone"), i.cast("long")))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(held, "\n"))
+    held = F.filter(lines, lambda x, i: ~F.array_contains(F.col(gone), i.cast("long")))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(held, "\n"))
     return joined.select(
-        *[text.alias(c) if c == "text" else F.col(c) for c in docs.columns],
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+        *[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in (n_lines, n_removed)],
+        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(n_lines),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(n_removed),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidepanel.llm.base import SPACED_WORD, materialize
+from tidepanel.llm.base import SPACED_WORD, fresh, materialize
 
 WEIGHTS = (3, 1, 2)
 TOTAL_SHARE = 1.5
@@ -93,12 +93,13 @@ def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents the mix takes, each as often as it is taken, with the columns of ``docs``.
 
-    Repeated rows of one doc_id share the copies of all of them, so every id must name one text; null ids
-    are one id.
+    Repeated rows of one doc_id are taken as often as the one taken most, so every id must name one text; null ids
+    are one id; other columns, of any names, are kept.
     """
-    taken = mix(docs).groupBy("doc_id").agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    joined = docs.join(taken.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    doc, copies, copy = (fresh(c, docs.columns) for c in ("doc", "copies", "copy"))
+    taken = mix(docs).groupBy("doc_id").agg(F.max("copies").alias(copies)).where(F.col(copies) > 0).withColumnRenamed("doc_id", doc)
+    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(doc)))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = r"""

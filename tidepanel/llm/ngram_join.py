@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.base import FILTER_BITS, Forest, bit_map, components, distinct, materialize, mix64, with_blocks
+from tidepanel.llm.base import Forest, bit_map, components, distinct, materialize, mix64, with_blocks
 from tidepanel.llm.verify import array_runs, verified_links, with_totals
 
 N = 4
@@ -157,11 +157,11 @@ def candidate_links(alive: DataFrame, num: int = NUM, den: int = DEN) -> DataFra
 def chosen_sets(docs: DataFrame, nodes: DataFrame, width: int = N) -> DataFrame:
     """Rows (component, node, total, payload) for the documents in ``nodes``; the payload is the whole shingle set.
 
-    A bit map of the wanted ids' hashes, of a fixed 512 KB, goes to the executors, so only wanted texts are
+    A bit map of the wanted ids' hashes, of a bounded size, goes to the executors, so only wanted texts are
     read into sets and no text is shuffled; a join then removes its false positives.
     """
-    position = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    bits = bit_map(nodes.select(F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS)).alias("p")))
+    bits, number = bit_map(nodes.select(F.xxhash64("node").alias("h")))
+    position = F.pmod(F.xxhash64("doc_id"), F.lit(number))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, kept = WordHashes(), np.unpackbits(bits.value).astype(bool)
@@ -192,7 +192,8 @@ def jaccard_join(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) ->
 
     Groups are never expanded into pairs of rows: buckets and components yield spanning forests, and large
     ones are dealt to pairs of blocks.  Null and empty texts have no shingles and are alone; null ids keep a
-    null component; equal texts and repeated rows are one component; an empty table gives no rows; other columns
+    null component; equal texts and repeated rows are one component; every id must name one text; ties don't arise, as
+    components are sets; very long texts are compared whole, two blocks of a component at a time; an empty table gives no rows; other columns
     are not used.
     """
     docs = docs.select("doc_id", "text")
