@@ -9,6 +9,7 @@ aligned to the calendar first.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -318,22 +319,26 @@ def wma(x, n: int) -> Expr:
 def ewm_mean(x, alpha: float) -> Expr:
     """Exponentially weighted mean over the whole history; missing rows age the weights and repeat the value.
 
-    It is a fold over the history, as weights (1 - alpha) ** age underflow to nothing after enough slots: older values
-    than 1e-18 of the weight are left out of the frame, which bounds it.
+    Slots are cut into blocks in which a weight falls to 1e-100 at most.  A row's sums are those of its block so far, in the block's own scale,
+    and of the block before; older ones weigh nothing.  So time is linear in the history.
     """
-    import math
-
-    reach = max(1, math.ceil(math.log(1e-18) / math.log(1 - alpha))) if alpha < 1 else 1
+    keep = 1 - alpha
+    reach = max(1, math.ceil(math.log(1e-18) / math.log(keep)))
+    size = max(1, math.floor(100 / -math.log10(keep)))
 
     def make(a: Column) -> Column:
         a = finite(number(a))
-        w = by_time().rowsBetween(-reach, W.currentRow)
-        history = F.collect_list(F.struct(a.alias("v"))).over(w)
-        keep = 1 - alpha
-        zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("d"))
-        step = lambda s, v: F.struct((s["n"] * keep + F.coalesce(v["v"], F.lit(0.0))).alias("n"), (s["d"] * keep + F.when(v["v"].isNull(), 0.0).otherwise(1.0)).alias("d"))
-        # a missing row repeats the value: numerator and denominator age alike
-        return F.aggregate(history, zero, step, lambda s: s["n"] / F.nullif(s["d"], F.lit(0.0)))
+        at = F.col(SLOT) - 1
+        block, off = F.floor(at / size), at % size
+        so_far = W.partitionBy(KEY, block).orderBy(TIME).rowsBetween(W.unboundedPreceding, W.currentRow)
+        before = W.partitionBy(KEY).orderBy(block).rangeBetween(-1, -1)
+        scale = F.pow(F.lit(keep), -off)
+
+        def total(v: Column) -> Column:
+            return F.sum(v * scale).over(so_far) + F.lit(keep**size) * F.coalesce(F.sum(v * scale).over(before), F.lit(0.0))
+
+        there = F.when(a.isNotNull(), F.lit(1.0)).otherwise(F.lit(0.0))
+        return total(F.coalesce(a, F.lit(0.0))) / F.nullif(total(there), F.lit(0.0))
 
     return _window(f"EwmMean{alpha}", alpha, make, x, left=reach)
 
@@ -433,6 +438,11 @@ def evaluate(panel: DataFrame, features: dict[str, Expr], keep: tuple[str, ...]
     return panel.select(*keep, *[column_of(e).alias(n) for n, e in features.items()])
 
 
+def select(panel: DataFrame, condition: Expr, features: dict[str, Expr]) -> DataFrame:
+    """The features on the rows where the condition holds."""
+    return evaluate(panel, features | {"_where": condition}).where("_where").drop("_where")
+
+
 def reach(features: dict[str, Expr]) -> tuple[int | None, int]:
     """Slots that the features read before and after a row; None: the whole history."""
     left, right = 0, 0

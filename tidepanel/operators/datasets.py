@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -85,16 +85,24 @@ def segments(df: DataFrame, ranges: dict[str, tuple]) -> DataFrame:
 
 
 def sequence_samples(df: DataFrame, cols: list[str], step: int, fill: str | None = None, flag: str | None = None) -> DataFrame:
-    """O2, O3: per row the last ``step`` slots of the features, padded in front; ``flag`` chooses sample rows, not history."""
+    """O2, O3: per row the last ``step`` slots of the features, padded in front; ``flag`` chooses sample rows, not history.
+
+    A slot without any of the features is empty.  ``fill`` (ffill or ffill+bfill) puts the last filled slot of the same
+    window, then the next one, in its place; values that a filled slot lacks stay missing.
+    """
     by = W.partitionBy("instrument").orderBy("datetime")
-    if fill:
-        df = df.withColumns({c: F.last(c, True).over(by.rowsBetween(1 - step, 0)) for c in cols})
-    if fill == "ffill+bfill":
-        df = df.withColumns({c: F.coalesce(F.col(c), F.first(c, True).over(by.rowsBetween(0, step - 1))) for c in cols})
     item = F.struct(*[F.col(c).cast("double").alias(c) for c in cols])
     past = F.collect_list(item).over(by.rowsBetween(1 - step, 0))
     empty = F.struct(*[F.lit(None).cast("double").alias(c) for c in cols])
     out = df.withColumn("sample", F.concat(F.array_repeat(empty, F.lit(step) - F.size(past)), past))
+    if fill:
+        there = lambda x: F.coalesce(*[x[c] for c in cols]).isNotNull()
+        filled = lambda part: F.filter(part, there)
+        back = lambda x, i: F.when(there(x), x).otherwise(F.try_element_at(filled(F.slice("sample", F.lit(1), i + 1)), F.lit(-1)))
+        ahead = lambda x, i: F.when(there(x), x).otherwise(F.try_element_at(filled(F.slice("sample", i + 1, F.lit(step))), F.lit(1)))
+        out = out.withColumn("sample", F.transform("sample", lambda x, i: F.coalesce(back(x, i), empty)))
+        if fill == "ffill+bfill":
+            out = out.withColumn("sample", F.transform("sample", lambda x, i: F.coalesce(ahead(x, i), empty)))
     return (out.where(F.col(flag)) if flag else out).select("instrument", "datetime", "sample")
 
 
@@ -109,7 +117,8 @@ def row_sequences(df: DataFrame, cols: list[str], n: int) -> DataFrame:
 
 def daily_batches(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """Up to ``n`` samples of each date, chosen by a hash."""
-    order = W.partitionBy("datetime").orderBy(F.xxhash64("instrument", F.lit(seed)), "instrument")
+    place = F.md5(F.concat_ws(":", "instrument", F.unix_micros(F.col("datetime").cast("timestamp")).cast("string"), F.lit(str(seed))))
+    order = W.partitionBy("datetime").orderBy(place, "instrument")
     return df.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n).drop("_r")
 
 
@@ -129,3 +138,21 @@ def rolling_splits(cal: DataFrame, train: tuple[int, int], valid: tuple[int, int
     cut = F.least(end, F.lit(test[0] - 1 - gap) + F.col("_by")) if gap else end
     end = F.least(F.when(F.col("s.segment") == "test", end).otherwise(cut), F.col("_top"))
     return out.select(F.col("fold").cast("long").alias("fold"), "s.segment", start.cast("long").alias("start_idx"), end.cast("long").alias("end_idx")).where("start_idx <= end_idx")
+
+
+def refit_per_fold(raw: DataFrame, folds: DataFrame, fits: dict[str, Column], apply: dict[str, Column], fit_on: str = "train") -> DataFrame:
+    """The rows of every fold's segments, transformed with parameters fitted on that fold's own range.
+
+    ``raw`` (instrument, datetime, idx, ...) is computed once; ``folds`` are those of ``rolling_splits``.  ``fits`` are aggregates over
+    the fold's ``fit_on`` segment and ``apply`` makes columns from them.  A fold's ranges are spread over calendar positions, so the
+    join is by position, and parameters are one row a fold.
+    """
+    days = folds.select("fold", "segment", F.explode(F.sequence("start_idx", "end_idx")).alias("idx"))
+    rows = raw.join(days, "idx")
+    params = rows.where(F.col("segment") == fit_on).groupBy("fold").agg(*[a.alias(n) for n, a in fits.items()])
+    return rows.join(params, "fold").withColumns(apply).drop(*fits)
+
+
+def reweight(df: DataFrame, weight: Column) -> DataFrame:
+    """One weight per row from the user's expression; a missing or negative one counts as 0."""
+    return df.withColumn("weight", F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(0.0)))

@@ -7,9 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def tradability(panel: DataFrame, limit: float = 0.095) -> DataFrame:
-    """Suspended without a close; limit_buy and limit_sell where the change reaches the limit."""
-    return panel.withColumns({"suspended": F.col("close").isNull(), "limit_buy": F.coalesce(F.col("change") >= limit, F.lit(False)), "limit_sell": F.coalesce(F.col("change") <= -limit, F.lit(False))})
+def tradability(panel: DataFrame, limit: float | tuple[Column, Column] | None = 0.095) -> DataFrame:
+    """Suspended without a close; limit_buy and limit_sell there, and where the change reaches the limit, one of two conditions holds, or nowhere else (None)."""
+    suspended = F.col("close").isNull()
+    buy, sell = (F.lit(False),) * 2 if limit is None else limit if isinstance(limit, tuple) else (F.col("change") >= limit, F.col("change") <= -limit)
+    flag = lambda c: F.coalesce(c.cast("boolean"), F.lit(False)) | suspended
+    return panel.withColumns({"suspended": suspended, "limit_buy": flag(buy), "limit_sell": flag(sell)})
 
 
 def over_ranges(quotes: DataFrame, ranges: DataFrame, aggregates: dict[str, Column], width: str = "day") -> DataFrame:

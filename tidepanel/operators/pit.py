@@ -100,3 +100,65 @@ def change_rate(ticks: DataFrame, seconds: float, col: str = "value") -> DataFra
     w = W.partitionBy("instrument").orderBy(F.unix_micros(F.col("datetime").cast("timestamp"))).rangeBetween(-int(seconds * 1_000_000) + 1, 0)
     first = F.first(col).over(w)
     return ticks.select("instrument", "datetime", col, (F.col(col) / F.nullif(first, F.lit(0.0)) - 1).alias("change"), F.avg(col).over(w).alias("depth"), F.count(col).over(w).alias("intensity"))
+
+
+def cut_ends(df: DataFrame, left: int, right: int) -> DataFrame:
+    """Without the first ``left`` and the last ``right`` rows of each instrument."""
+    w = W.partitionBy("instrument")
+    n = df.withColumns({"_i": F.row_number().over(w.orderBy("datetime")), "_n": F.count("*").over(w)})
+    return n.where((F.col("_i") > left) & (F.col("_i") <= F.col("_n") - right)).drop("_i", "_n")
+
+
+def order_book(book: DataFrame, levels: int, width: str, step: str = "3 SECONDS", seconds: float = 3.0) -> DataFrame:
+    """Per instrument and bucket the shape of an order book (ask1.., bid1.., asize1.., bsize1..).
+
+    Size shares, spreads, mids and level differences, depth means, accumulated spreads, and changes of the levels between steps of
+    ``step``.  Prices are over half the last best prices' sum, sizes over the bucket's total size.
+    """
+    sides = {"ask": "asize", "bid": "bsize"}
+    every = [f"{n}{i}" for i in range(1, levels + 1) for n in ("ask", "bid", "asize", "bsize")]
+    order = F.struct("datetime", *every)
+    total = sum((F.col(f"{n}{i}") for n in sides.values() for i in range(1, levels + 1)), F.lit(0.0))
+    found = book.groupBy("instrument", F.window("datetime", width)["start"].alias("datetime")).agg(
+        F.sum(total).alias("_size"), F.max_by(F.struct(*every), order).alias("_last"), *[F.avg(f"{n}{i}").alias(f"_m{n}{i}") for n in sides.values() for i in range(1, levels + 1)]
+    )
+    steps = book.groupBy("instrument", F.window("datetime", step)["start"].alias("_step")).agg(
+        F.max_by(F.struct(*[f"{n}{i}" for n in sides for i in range(1, levels + 1)]), order).alias("_p"), *[F.avg(f"{n}{i}").alias(f"_s{n}{i}") for n in sides.values() for i in range(1, levels + 1)]
+    )
+    by = W.partitionBy("instrument").orderBy("_step")
+    now = {f"{n}{i}": F.col(f"_p.{n}{i}") for n in sides for i in range(1, levels + 1)} | {f"{n}{i}": F.col(f"_s{n}{i}") for n in sides.values() for i in range(1, levels + 1)}
+    moved = steps.select("instrument", "_step", *[(2 * (x - F.lag(x).over(by)) / seconds).alias(c) for c, x in now.items()])
+    moved = moved.groupBy("instrument", F.window("_step", width)["start"].alias("datetime")).agg(*[F.avg(c).alias(f"_d{c}") for c in now])
+    last = lambda c: F.col(f"_last.{c}")
+    best, size = F.nullif(last("ask1") + last("bid1"), F.lit(0.0)), F.nullif(F.col("_size"), F.lit(0.0))
+    out = {}
+    for i in range(1, levels + 1):
+        out |= {f"v_{n}_{i}": F.col(f"_m{n}{i}") / size for n in sides.values()}
+        out |= {f"p_spread_{i}": 2 * (last(f"ask{i}") - last(f"bid{i}")) / best, f"p_mid_{i}": (last(f"ask{i}") + last(f"bid{i}")) / best}
+        out |= {f"p_diff_{n}_{i}_step": F.col(f"_d{n}{i}") / best for n in sides} | {f"v_diff_{n}_{i}_step": F.col(f"_d{n}{i}") / size for n in sides.values()}
+        if i < levels:
+            out |= {f"p_diff_{n}_{i}_{i + 1}": 2 * F.abs(last(f"{n}{i + 1}") - last(f"{n}{i}")) / best for n in sides}
+    out |= {f"p_diff_{n}_{levels}_1": 2 * F.abs(last(f"{n}{levels}") - last(f"{n}1")) / best for n in sides}
+    depth = {n: sum((F.col(f"_m{n}{i}") for i in range(1, levels + 1)), F.lit(0.0)) for n in sides.values()}
+    prices = {n: sum((last(f"{n}{i}") for i in range(1, levels + 1)), F.lit(0.0)) for n in sides}
+    out |= {f"v_avg_{n}": depth[n] / levels / size for n in sides.values()}
+    out |= {"p_accspread": 2 * (prices["ask"] - prices["bid"]) / best, "v_accspread": (depth["asize"] - depth["bsize"]) / size}
+    return found.join(moved, ["instrument", "datetime"], "left").select("instrument", "datetime", *[v.alias(k) for k, v in out.items()])
+
+
+def intensity(orders: DataFrame, flags: dict[str, Column], width: str, short: float, long: float) -> DataFrame:
+    """Per bucket, for every kind of order (a flag), the mean share it has in trailing times of ``short`` seconds, and how often that is above its share in ``long`` ones."""
+    frame = lambda s: W.partitionBy("instrument").orderBy(F.unix_micros(F.col("datetime").cast("timestamp"))).rangeBetween(-int(s * 1_000_000) + 1, 0)
+    share = lambda f, s: F.avg(F.when(f, 1.0).otherwise(0.0)).over(frame(s))
+    seen = orders.select("instrument", "datetime", *[share(f, s).alias(f"{n}_{k}") for n, f in flags.items() for k, s in (("short", short), ("long", long))])
+    made = [x for n in flags for x in (F.avg(f"{n}_short").alias(f"{n}_intensity"), F.avg((F.col(f"{n}_short") > F.col(f"{n}_long")).cast("double")).alias(f"{n}_relative"))]
+    return seen.groupBy("instrument", F.window("datetime", width)["start"].alias("datetime")).agg(*made)
+
+
+def lagged_change(prices: DataFrame, lags: tuple[int, ...], width: str, step_seconds: int = 1, col: str = "value") -> DataFrame:
+    """The mean over a bucket of the price some steps later over the price, less 1; steps without one carry the last price on."""
+    steps = resample(prices, f"{step_seconds} SECONDS", {"p": F.max_by(col, F.struct("datetime", col))}, ("p",))
+    w = W.partitionBy("instrument").orderBy("datetime")
+    p = F.col("p")
+    later = steps.select("instrument", "datetime", *[(F.lead(p, n).over(w) / F.nullif(p, F.lit(0.0)) - 1).alias(f"lag_{n}_change_rate") for n in lags])
+    return later.groupBy("instrument", F.window("datetime", width)["start"].alias("datetime")).agg(*[F.avg(f"lag_{n}_change_rate").alias(f"lag_{n}_change_rate") for n in lags])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidepanel.functions.nulls import INF, finite
+from tidepanel.functions.nulls import INF, finite, ieee_log, no_nan
 
 def by_day():
     return W.partitionBy("datetime")
@@ -89,8 +89,8 @@ def cs_zscore(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumns({c: (F.col(c) - F.avg(c).over(by_day())) / F.nullif(F.stddev_samp(c).over(by_day()), F.lit(0.0)) for c in cols})
 
 
-def cs_robust(df: DataFrame, cols: list[str], clip: bool = True) -> DataFrame:
-    """Per day median and MAD, by two grouped passes."""
+def cs_robust(df: DataFrame, cols: list[str], clip: bool = True, again: bool = False) -> DataFrame:
+    """Per day median and MAD, by two grouped passes; ``again`` takes the day's z-score of the result."""
     medians = df.groupBy("datetime").agg(*[F.median(c).alias(f"_m_{c}") for c in cols])
     df1 = df.join(medians, "datetime")
     mads = df1.groupBy("datetime").agg(*[F.median(F.abs(F.col(c) - F.col(f"_m_{c}"))).alias(f"_d_{c}") for c in cols])
@@ -99,7 +99,8 @@ def cs_robust(df: DataFrame, cols: list[str], clip: bool = True) -> DataFrame:
         x = (F.col(c) - F.col(f"_m_{c}")) / F.nullif(F.col(f"_d_{c}") * MAD_SCALE, F.lit(0.0))
         return F.when(x.isNotNull(), F.greatest(F.lit(-3.0), F.least(F.lit(3.0), x))) if clip else x
 
-    return df1.join(mads, "datetime").withColumns({c: make(c) for c in cols}).select(*df.columns)
+    out = df1.join(mads, "datetime").withColumns({c: make(c) for c in cols}).select(*df.columns)
+    return cs_zscore(out, cols) if again else out
 
 
 def average_rank(c: str, *by: str) -> Column:
@@ -118,31 +119,33 @@ def cs_fill(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), F.avg(c).over(by_day())) for c in cols})
 
 
-#: Transforms by name prefix, in this order; later prefixes apply on top where several match.
+#: Transforms by name prefix, in this order; later prefixes apply on top where several match (fixed values).
 SECTION_STEPS: tuple[tuple[tuple[str, ...], Callable[[Column], Column]], ...] = (
     (("KLEN", "KLOW", "KUP"), lambda x: F.when(x >= 0, F.pow(x, F.lit(0.25)))),
     (("KLOW2", "KUP2"), lambda x: F.when(x >= 0, F.pow(x, F.lit(0.5)))),
-    (("KMID", "KSFT", "OPEN", "ROC", "MA", "BETA", "RESI", "QTLU", "QTLD", "RSV", "SUMP", "SUMN", "SUMD", "VSUMP", "VSUMN", "VSUMD", "CNTP", "CNTN", "CNTD", "RANK"), lambda x: x),
-    (("STD", "VOLUME", "VMA", "VSTD"), lambda x: F.when(x > 0, F.ln(x))),
+    (("KMID", "KSFT", "OPEN", "HIGH", "LOW", "CLOSE", "VWAP", "ROC", "MA", "BETA", "RESI", "QTLU", "QTLD", "RSV", "SUMP", "SUMN", "SUMD", "VSUMP", "VSUMN", "VSUMD"), lambda x: x),
+    (("STD", "VOLUME", "VMA", "VSTD"), ieee_log),
     (("RSQR",), lambda x: F.coalesce(x, F.lit(0.0))),
     (("MAX", "HIGH0"), lambda x: F.when(x >= 1, F.pow(x - 1, F.lit(0.5)))),
     (("MIN", "LOW0"), lambda x: F.when(x <= 1, F.pow(1 - x, F.lit(0.5)))),
     (("CORR", "CORD"), F.exp),
     (("WVMA",), F.log1p),
 )
+#: Columns that the step without a transform leaves to their own steps.
+SECTION_APART = ("HIGH0", "LOW0")
 
 
 def section_norm(df: DataFrame, features: list[str], labels: list[str]) -> DataFrame:
-    """Prefix transforms, each followed by the day's robust norm with values beyond 3 shrunk and missing ones 0; labels by day z-score."""
+    """Prefix transforms, each followed by the day's robust norm with values beyond 3 shrunk and missing ones 0; labels by day z-score, missing ones 0."""
     for prefixes, change in SECTION_STEPS:
-        cols = [c for c in features if c.startswith(prefixes)]
+        cols = [c for c in features if c.startswith(prefixes) and not ("OPEN" in prefixes and c in SECTION_APART)]
         if cols:
             df = cs_robust(df.withColumns({c: change(F.col(c)) for c in cols}), cols, clip=False)
             top = {c: F.max(c).over(by_day()) for c in cols}
             low = {c: F.min(c).over(by_day()) for c in cols}
             shrink = lambda c: F.when(F.col(c) > 3, 3 + (F.col(c) - 3) / F.nullif(top[c] - 3, F.lit(0.0)) * 0.5).when(F.col(c) < -3, -3 - (F.col(c) + 3) / F.nullif(low[c] + 3, F.lit(0.0)) * 0.5).otherwise(F.col(c))
-            df = df.withColumns({c: F.coalesce(shrink(c), F.lit(0.0)) for c in cols})
-    return cs_zscore(df, labels) if labels else df
+            df = df.withColumns({c: F.coalesce(no_nan(shrink(c)), F.lit(0.0)) for c in cols})
+    return fillna(cs_zscore(df, labels), labels) if labels else df
 
 
 def high_freq_norm(df: DataFrame, groups: dict[str, list[str]], start, end) -> DataFrame:

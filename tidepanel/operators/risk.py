@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,11 +20,14 @@ def risk_returns(panel: DataFrame, centre: bool = True, fill: str = "ignore") ->
 def covariance(returns: DataFrame) -> DataFrame:
     """(inst_i, inst_j, cov) with the number of common dates of each pair as its divisor.
 
-    The join is by date, so its size is that of the result before it is summed; sums combine on the map side.
+    The join is by date, so its size is that of the result before it is summed; sums combine on the map side.  A pair is summed
+    once and mirrored.
     """
     a = returns.select("datetime", F.col("instrument").alias("inst_i"), F.col("x").alias("xi"))
     b = returns.select("datetime", F.col("instrument").alias("inst_j"), F.col("x").alias("xj"))
-    return a.join(b, "datetime").groupBy("inst_i", "inst_j").agg((F.sum(F.col("xi") * F.col("xj")) / F.count("*")).alias("cov"))
+    half = a.join(b, "datetime").where("inst_i <= inst_j").groupBy("inst_i", "inst_j").agg((F.sum(F.col("xi") * F.col("xj")) / F.count("*")).alias("cov"))
+    both = F.array(F.struct("inst_i", "inst_j"), F.when(F.col("inst_i") < F.col("inst_j"), F.struct(F.col("inst_j").alias("inst_i"), F.col("inst_i").alias("inst_j"))))
+    return half.select(F.explode(F.array_compact(both)).alias("p"), "cov").select("p.inst_i", "p.inst_j", "cov")
 
 
 def variances(cov: DataFrame) -> DataFrame:
@@ -64,35 +69,73 @@ def shrink(cov: DataFrame, to: DataFrame, alpha) -> DataFrame:
 
 
 def oas_alpha(cov: DataFrame, n_dates: int) -> DataFrame:
-    """The oracle-approximating intensity against constant variance, a one-row frame."""
+    """The oracle-approximating intensity against constant variance, a one-row frame; the sums are those of its definition here, which adds in both parts."""
     s = cov.agg(F.sum(F.col("cov") * F.col("cov")).alias("ss"), F.sum(F.when(F.col("inst_i") == F.col("inst_j"), F.col("cov")).otherwise(0.0)).alias("tr"), F.count_distinct("inst_i").alias("p"))
-    top = (1 - 2 / F.col("p")) * F.col("ss") + F.col("tr") * F.col("tr")
-    low = (n_dates + 1 - 2 / F.col("p")) * (F.col("ss") - F.col("tr") * F.col("tr") / F.col("p"))
-    return s.select(F.when(low == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), top / F.nullif(low, F.lit(0.0)))).alias("alpha"))
+    top = (1 - 2 / F.col("p")) * (F.col("ss") + F.col("tr") * F.col("tr"))
+    low = (n_dates + 1 - 2 / F.col("p")) * (F.col("ss") + F.col("tr") * F.col("tr") / F.col("p"))
+    return s.select((top / F.nullif(low, F.lit(0.0))).alias("alpha"))
 
 
-def lw_alpha(returns: DataFrame, cov: DataFrame, to: DataFrame) -> DataFrame:
-    """Ledoit-Wolf intensity for the constant-variance target: mean variance of the entries over the distance to the target."""
-    n = returns.select("datetime").distinct().agg(F.count("*").alias("_n"))
-    a = returns.select("datetime", F.col("instrument").alias("inst_i"), F.col("x").alias("xi"))
-    b = returns.select("datetime", F.col("instrument").alias("inst_j"), F.col("x").alias("xj"))
-    fourth = a.join(b, "datetime").agg(F.sum(F.col("xi") * F.col("xi") * F.col("xj") * F.col("xj")).alias("_q"))
-    d = cov.join(to, ["inst_i", "inst_j"]).agg(F.sum(F.col("cov") * F.col("cov")).alias("_ss"), F.sum(F.pow(F.col("cov") - F.col("target"), F.lit(2))).alias("_d"))
-    one = fourth.crossJoin(d).crossJoin(n)
-    alpha = (F.col("_q") / F.col("_n") - F.col("_ss")) / F.col("_n") / F.nullif(F.col("_d"), F.lit(0.0))
+def lw_alpha(returns: DataFrame, cov: DataFrame, to: DataFrame, kind: str = "const_var") -> DataFrame:
+    """Ledoit-Wolf intensity for a target of ``kind``, a one-row frame: the entries' variance, less its share in the target's, over the distance.
+
+    Sums over pairs of instruments within a date are products of sums over instruments, so no pairs are made.
+    """
+    same = F.col("inst_i") == F.col("inst_j")
+    x, m = F.col("x"), F.col("m")
+    market = returns.withColumn("m", F.avg("x").over(W.partitionBy("datetime")))
+    each = market.groupBy("instrument").agg((F.sum(x * m) / F.count("*")).alias("c"), F.avg(x * x).alias("v"))
+    rows = market.join(each, "instrument")
+    root = F.sqrt("v")
+    day = rows.groupBy("datetime").agg(
+        F.sum(x * x).alias("a2"), F.sum(F.pow(x, F.lit(4))).alias("a4"), F.sum(F.pow(x, F.lit(3)) / F.nullif(root, F.lit(0.0))).alias("a3"), F.sum(x * root).alias("a1"),
+        F.sum(x * m * F.col("c")).alias("zc"), F.sum(F.pow(x, F.lit(3)) * m * F.col("c")).alias("yzd"), F.sum(F.pow(x * m * F.col("c"), F.lit(2))).alias("zzd"), F.first("m").alias("m"),
+    )
+    t = F.count("*")
+    over = day.agg(
+        t.alias("_t"), (F.sum(F.col("a2") * F.col("a2")) / t).alias("_q"), (F.sum("a4") / t).alias("_d4"), (F.sum(F.col("a3") * F.col("a1") - F.col("a4")) / t).alias("_th"),
+        (F.sum(F.col("a2") * F.col("zc")) / t).alias("_yz"), (F.sum("yzd") / t).alias("_yzd"), (F.sum(F.col("zc") * F.col("zc")) / t).alias("_zz"), (F.sum("zzd") / t).alias("_zzd"),
+        (F.sum(F.col("m") * F.col("m")) / t).alias("_vm"),
+    )
+    c = each.select(F.col("instrument").alias("inst_i"), F.col("c").alias("ci"), F.col("v").alias("vi"))
+    d = each.select(F.col("instrument").alias("inst_j"), F.col("c").alias("cj"), F.col("v").alias("vj"))
+    s, scale = F.col("cov"), F.sqrt(F.col("vi") * F.col("vj"))
+    pairs = cov.join(to, ["inst_i", "inst_j"]).join(c, "inst_i").join(d, "inst_j").agg(
+        F.sum(s * s).alias("_ss"), F.sum(F.when(same, s * s)).alias("_ssd"), F.sum(F.when(~same, scale * s)).alias("_off"), F.avg(F.when(~same, s / F.nullif(scale, F.lit(0.0)))).alias("_r"),
+        F.sum(F.col("ci") * F.col("cj") * s).alias("_cc"), F.sum(F.when(same, F.col("ci") * F.col("ci") * s)).alias("_ccd"), F.sum(F.pow(s - F.col("target"), F.lit(2))).alias("_d"),
+    )
+    one = over.crossJoin(F.broadcast(pairs))
+    p = lambda n: F.col(f"_{n}")
+    phi, own = p("q") - p("ss"), p("d4") - p("ssd")
+    if kind == "const_var":
+        rho = F.lit(0.0)
+    elif kind == "const_corr":
+        rho = own + p("r") * (p("th") - p("off"))
+    else:
+        first = ((p("yz") - p("cc")) - (p("yzd") - p("ccd"))) / p("vm")
+        third = ((p("zz") - p("vm") * p("cc")) - (p("zzd") - p("vm") * p("ccd"))) / (p("vm") * p("vm"))
+        rho = own + 2 * first - third
+    alpha = (phi - rho) / F.nullif(p("d"), F.lit(0.0)) / p("t")
     return one.select(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(alpha, F.lit(0.0)))).alias("alpha"))
 
 
+#: Instruments that a principal-component fit takes; their names and axes are on the driver.
+MOST_INSTRUMENTS = 10_000
+
+
 def _vectors(returns: DataFrame):
     from pyspark.ml.functions import array_to_vector
 
-    names = [r["instrument"] for r in returns.select("instrument").distinct().orderBy("instrument").collect()]
+    names = [r["instrument"] for r in returns.select("instrument").distinct().orderBy("instrument").limit(MOST_INSTRUMENTS + 1).collect()]
+    if len(names) > MOST_INSTRUMENTS:
+        raise ValueError(f"principal components of more than {MOST_INSTRUMENTS} instruments")
     wide = returns.groupBy("datetime").pivot("instrument", names).agg(F.first("x")).fillna(0.0)
     return names, wide.select("datetime", array_to_vector(F.array(*[F.col(f"`{n}`") for n in names])).alias("v"))
 
 
 def structured_covariance(returns: DataFrame, factors: int, threshold: float | None = None, kind: str = "soft") -> DataFrame:
-    """Low-rank covariance by principal components plus the residual's variances, or its thresholded correlations.
+    """Sample covariance of principal components' fits plus the residuals' variances.  S7, with a threshold: mean products of the fits
+    plus the residuals' correlations beyond the threshold times 1 / sqrt(instruments) + sqrt(log(instruments) / dates).
 
     The number of instruments is the width of a vector column, bounded by what a principal-component fit holds.
     """
@@ -107,20 +150,23 @@ def structured_covariance(returns: DataFrame, factors: int, threshold: float | N
     loads = F.array(*[F.array(*[F.lit(x) for x in a]) for a in axes])
     fitted = F.transform(loads, lambda a: F.aggregate(F.zip_with(a, "f", lambda x, y: x * y), F.lit(0.0), lambda s, t: s + t))
     long = scored.select("datetime", F.explode(F.arrays_zip(ids.alias("instrument"), F.col("v").alias("x"), fitted.alias("fit"))).alias("r")).select("datetime", "r.instrument", F.col("r.fit").alias("fit"), (F.col("r.x") - F.col("r.fit")).alias("u"))
+    if threshold is None:
+        a = long.select("datetime", F.col("instrument").alias("inst_i"), F.col("fit").alias("xi"), F.col("u"))
+        b = long.select("datetime", F.col("instrument").alias("inst_j"), F.col("fit").alias("xj"))
+        own = F.when(F.col("inst_i") == F.col("inst_j"), F.var_pop("u")).otherwise(0.0)
+        return a.join(b, "datetime").groupBy("inst_i", "inst_j").agg((F.covar_samp("xi", "xj") + own).alias("cov"))
+    dates = wide.count()
+    threshold = threshold * (1 / math.sqrt(len(names)) + math.sqrt(math.log(len(names)) / max(1, dates)))
     low = covariance(long.select("datetime", "instrument", F.col("fit").alias("x")))
     rest = covariance(long.select("datetime", "instrument", F.col("u").alias("x"))).withColumnRenamed("cov", "u")
     same = F.col("inst_i") == F.col("inst_j")
-    if threshold is None:
-        kept = F.when(same, F.col("u")).otherwise(0.0)
-    else:
-        v = with_variances(rest.withColumnRenamed("u", "cov")).withColumnRenamed("cov", "u")
-        rest = v
-        scale = F.sqrt(F.col("vi") * F.col("vj"))
-        r = F.col("u") / F.nullif(scale, F.lit(0.0))
-        cut = F.when(F.abs(r) > threshold, r) if kind == "hard" else F.when(F.abs(r) > threshold, F.signum(r) * (F.abs(r) - threshold))
-        if kind == "scad":
-            cut = F.when(F.abs(r) <= 2 * threshold, F.signum(r) * F.greatest(F.abs(r) - threshold, F.lit(0.0))).when(F.abs(r) <= 3.7 * threshold, (2.7 * r - F.signum(r) * 3.7 * threshold) / 1.7).otherwise(r)
-        kept = F.when(same, F.col("u")).otherwise(F.coalesce(cut, F.lit(0.0)) * scale)
+    rest = with_variances(rest.withColumnRenamed("u", "cov")).withColumnRenamed("cov", "u")
+    scale = F.sqrt(F.col("vi") * F.col("vj"))
+    r = F.col("u") / F.nullif(scale, F.lit(0.0))
+    cut = F.when(F.abs(r) > threshold, r) if kind == "hard" else F.when(F.abs(r) > threshold, F.signum(r) * (F.abs(r) - threshold))
+    if kind == "scad":
+        cut = F.when(F.abs(r) < 2 * threshold, F.signum(r) * F.greatest(F.abs(r) - threshold, F.lit(0.0))).when(F.abs(r) < 3.7 * threshold, (2.7 * r - F.signum(r) * 3.7 * threshold) / 1.7).otherwise(r)
+    kept = F.when(same, F.col("u")).otherwise(F.coalesce(cut, F.lit(0.0)) * scale)
     return low.join(rest.withColumn("_k", kept), ["inst_i", "inst_j"]).select("inst_i", "inst_j", (F.col("cov") + F.col("_k")).alias("cov"))
 
 

@@ -129,20 +129,48 @@ def tail_metrics(df: DataFrame, q: float = 0.2, least: int = 10, label: str = "l
 
 
 def rank_ic_matrix(df: DataFrame, by: str = "segment", fill: str = "max") -> DataFrame:
-    """(segment, day) rank IC less the day's mean; missing cells get the day's largest value or zero."""
-    ic = calc_ic(df, by=(by, "datetime")).select(by, "datetime", "ric")
-    centred = ic.withColumn("ric", F.col("ric") - F.avg("ric").over(by_day()))
-    other = F.max("ric").over(by_day()) if fill == "max" else F.lit(0.0)
-    return centred.withColumn("ric", F.coalesce("ric", other))
-
-
-def loss_weights(df: DataFrame, decay: float = 0.5, bins: int = 10, k: int = 1) -> DataFrame:
-    """Weight 1 / (decay ** k * the bin's mean + 0.1); rows (id, loss, ratio), bins of equal width over the loss rank plus ratio rank.
+    """Rank IC less the day's mean for every segment and day.
 
-    Ranks need a total order over all rows; they are taken per ``datetime``.
+    Missing cells get the day's largest value (``max``), zero, or a value of their segment (``maxseg``): over the days that the segment
+    lacks, the largest mean of the segments that have all of them.  What is still missing is 0.
+    """
+    ic = calc_ic(df, by=(by, "datetime")).select(by, "datetime", "ric")
+    ic = ic.withColumn("ric", F.col("ric") - F.avg("ric").over(by_day()))
+    # one row with the segments' names
+    names = df.agg(F.collect_set(by).alias("_names"))
+    spine = df.select("datetime").distinct().crossJoin(F.broadcast(names)).select("datetime", F.explode("_names").alias(by))
+    full = spine.join(ic, [by, "datetime"], "left")
+    if fill == "max":
+        full = full.withColumn("ric", F.coalesce("ric", F.max("ric").over(by_day())))
+    elif fill == "maxseg":
+        lacks = full.where("ric IS NULL").select(F.col(by).alias("_lacks"), "datetime")
+        others = lacks.join(full, "datetime").groupBy("_lacks", by).agg(F.avg("ric").alias("_m"), F.count("ric").alias("_n"), F.count("*").alias("_all"))
+        value = others.where("_n = _all").groupBy(F.col("_lacks").alias(by)).agg(F.max("_m").alias("_fill"))
+        full = full.join(value, by, "left").withColumn("ric", F.coalesce("ric", "_fill")).drop("_fill")
+    return full.withColumn("ric", F.coalesce("ric", F.lit(0.0))).select(by, "datetime", "ric")
+
+
+def curve_ratio(df: DataFrame, curve: list[str], by: str = "datetime") -> DataFrame:
+    """``ratio``, the mean percent rank of a loss curve's last tenth over that of its first."""
+    part = max(1, len(curve) // 10)
+    n = F.count("*").over(W.partitionBy(by))
+    ranks = df.withColumns({f"_r{i}": average_rank(c, by) / n for i, c in enumerate(curve)})
+    mean = lambda places: sum((F.col(f"_r{i}") for i in places), F.lit(0.0)) / part
+    out = ranks.withColumn("ratio", mean(range(len(curve) - part, len(curve))) / mean(range(part)))
+    return out.drop(*[f"_r{i}" for i in range(len(curve))])
+
+
+def loss_weights(df: DataFrame, decay: float = 0.5, bins: int = 10, k: int = 1, by: str = "datetime") -> DataFrame:
+    """Weight 1 / (decay ** k * the bin's mean + 0.1) of rows (loss, ratio).
+
+    The value of a row is the mean of the percent ranks of its negative loss and of its ratio; bins are of equal width between the
+    least and the largest value, closed on the right.  Ranks need a total order over a group, so groups are dates.
     """
-    n = F.count("*").over(by_day())
-    h = (average_rank("loss", "datetime") / n + average_rank("ratio", "datetime") / n) / 2
-    v = df.withColumn("_h", h).withColumn("_bin", F.least(F.floor(F.col("_h") * bins), F.lit(bins - 1)))
-    mean = F.avg("_h").over(W.partitionBy("datetime", "_bin"))
-    return v.withColumn("weight", 1 / (F.lit(decay**k) * mean + 0.1)).drop("_h", "_bin")
+    whole = W.partitionBy(by)
+    down = df.withColumn("_loss", -F.col("loss"))
+    h = (average_rank("_loss", by) + average_rank("ratio", by)) / F.count("*").over(whole) / 2
+    v = down.withColumn("_h", h)
+    width = (F.max("_h").over(whole) - F.min("_h").over(whole)) / bins
+    place = F.ceil(F.round((F.col("_h") - F.min("_h").over(whole)) / F.nullif(width, F.lit(0.0)), 9))
+    v = v.withColumn("_bin", F.greatest(F.lit(1), F.coalesce(place, F.lit(1))))
+    return v.withColumn("weight", 1 / (F.lit(decay**k) * F.avg("_h").over(W.partitionBy(by, "_bin")) + 0.1)).drop("_h", "_bin", "_loss")

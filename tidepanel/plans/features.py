@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 from tidepanel.functions import expressions as E
+from tidepanel.functions.nulls import ieee_div
 
 WINDOWS = (5, 10, 20, 30, 60)
 FAMILIES = tuple("ROC MA STD BETA RSQR RESI MAX LOW QTLU QTLD RANK RSV IMAX IMIN IMXD CORR CORD CNTP CNTN CNTD SUMP SUMN SUMD VMA VSTD WVMA VSUMP VSUMN VSUMD".split())
@@ -74,16 +78,56 @@ def alpha360() -> dict[str, E.Expr]:
     return prices(("CLOSE", "OPEN", "HIGH", "LOW", "VWAP"), lags) | volumes(lags)
 
 
+def alpha360_frame(panel: DataFrame) -> DataFrame:
+    """L6 in one window: the last 60 slots of all fields as arrays, divided there, then read by place."""
+    names, lags = tuple(fields()), 60
+    past = F.collect_list(F.struct(*[F.col(f).cast("double").alias(f) for f in names])).over(E.by_time().rowsBetween(1 - lags, 0))
+    rows = panel.select(E.KEY, E.TIME, "close", "volume", past.alias("past"))
+
+    def over(f: str, base: Column) -> Column:
+        return F.transform(F.col("past")[f], lambda v: ieee_div(v, base)).alias(f"_{f}")
+
+    rows = rows.select(E.KEY, E.TIME, F.size("past").alias("_n"), *[over(f, F.col("volume") + F.lit(TINY) if f == "volume" else F.col("close")) for f in names])
+    at = lambda f, d: F.get(F.col(f"_{f}"), F.col("_n") - 1 - d)
+    order = [(f, d) for f in ("close", "open", "high", "low", "vwap") for d in range(lags - 1, -1, -1)] + [("volume", d) for d in range(lags - 1, -1, -1)]
+    return rows.select(E.KEY, E.TIME, *[at(f, d).alias(f"{f.upper()}{d}") for f, d in order])
+
+
 def labels(field: str = "close") -> dict[str, E.Expr]:
     """The return from the next slot to the one after."""
     x = E.feature(field)
     return {"LABEL0": E.ref(x, -2) / E.ref(x, -1) - 1}
 
 
-def intraday_normalised(field: str = "close") -> E.Expr:
-    """The filled price over the previous day's last close (the last close before the day's first slot)."""
-    filled = E.ffill(E.feature(field))
-    return filled / E.ref(E.day_last(E.ffill(E.feature("close"))), 240)
+def intraday_normalised(day: int = 240, late: int = 3, days: int = 30, prices: tuple[str, ...] = ("open", "high", "low", "close", "vwap")) -> dict[str, E.Expr]:
+    """Prices over yesterday's close at ``late`` slots before its end, volume over its mean of ``days`` days; both of today and of a day ago.
+
+    Paused slots (paused_num over 1.001 is live) are left out by ``E.select`` with ``live``.
+    """
+    close, volume = E.ffill(E.feature("close")), E.feature("volume")
+    base = E.day_last(E.ref(close, day + late))
+    mean = E.ref(E.day_last(E.mean(volume, days * day)), day)
+    out = {}
+    for name, back in (("", 0), ("_1", day)):
+        for p in prices:
+            filled = E.if_(E.is_null(E.feature(p)), close, E.feature(p))
+            out[p + name] = E.ffill((E.ref(filled, back) if back else filled) / base)
+    for name, back in (("", 0), ("_1", day)):
+        share = (E.ref(volume, back) if back else volume) / mean
+        share = E.if_(E.is_null(share), 0.0, share)
+        out["volume" + name] = E.if_(share >= 0.0, share, 0.0)
+    return out
+
+
+def live() -> E.Expr:
+    return E.feature("paused_num") > 1.001
+
+
+def intraday_execution(zeros: tuple[str, ...] = ("volume", "factor")) -> dict[str, E.Expr]:
+    """Filled close0, vwap0 (the close where missing) and ``zeros`` with 0 where missing, for live slots (``live``)."""
+    close = E.ffill(E.feature("close"))
+    out = {"close0": close, "vwap0": E.if_(E.is_null(E.feature("vwap")), close, E.feature("vwap"))}
+    return out | {f"{z}0": E.if_(E.is_null(E.feature(z)), 0.0, E.feature(z)) for z in zeros}
 
 
 def trend(fast: int = 10, slow: int = 20) -> E.Expr:

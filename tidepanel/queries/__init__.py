@@ -4,10 +4,10 @@ from __future__ import annotations
 
 
 def collect() -> tuple[dict, dict]:
-    from tidepanel.queries import analytics, panels, preparation, tables
+    from tidepanel.queries import analytics, intraday, panels, preparation, tables
 
     found, oracles = {}, {}
-    for module in (tables, panels, preparation, analytics):
+    for module in (tables, panels, preparation, analytics, intraday):
         found |= module.QUERIES
         oracles |= module.ORACLES
     return found, oracles

@@ -43,8 +43,14 @@ _pl = lambda c, o: f"row_number() OVER (PARTITION BY datetime ORDER BY {c} {o} N
 add("p12_turnover", lambda s, d: rounded(P.pred_turnover(scores(s, d), 5)), sql(f"SELECT datetime, 1 - sum((a AND b)::INT) / nullif(max(k), 0) AS top, 1 - sum((c AND e)::INT) / nullif(max(k), 0) AS bottom FROM (SELECT datetime, k, {_pl('score', 'DESC')} AS a, {_pl('prev', 'DESC')} AS b, {_pl('score', 'ASC')} AS c, {_pl('prev', 'ASC')} AS e FROM (SELECT *, count(*) OVER (PARTITION BY datetime) // 5 AS k FROM x)) GROUP BY 1", "datetime", "top bottom", NUM))
 add("p13_monthly_ic", lambda s, d: rounded(P.monthly_ic(P.calc_ic(scores(s, d)))), sql("SELECT year(m)::INT AS year, month(m)::INT AS month, x.ic FROM (SELECT unnest(generate_series(min(date_trunc('month', datetime)::TIMESTAMP), max(date_trunc('month', datetime)::TIMESTAMP), INTERVAL 1 MONTH)) AS m FROM ic) LEFT JOIN (SELECT date_trunc('month', datetime)::TIMESTAMP AS m, avg(ic) AS ic FROM ic GROUP BY 1) x USING (m)", "year month", "ic", IC))
 add("p14_tails", lambda s, d: rounded(P.tail_metrics(scores(s, d), 0.2, 3)), sql("SELECT datetime, avg(CASE WHEN t THEN (y > 0)::INT END) AS top_prec, avg(CASE WHEN t THEN y END) AS top_mean, avg(CASE WHEN b THEN (y < 0)::INT END) AS bottom_prec, avg(CASE WHEN b THEN y END) AS bottom_mean FROM tails GROUP BY 1 HAVING sum(t::INT) >= 3", "datetime", "top_prec top_mean bottom_prec bottom_mean", TAILS))
-add("p15_ic_matrix", lambda s, d: rounded(P.rank_ic_matrix(scores(s, d).withColumn("segment", F.when(F.col("instrument") < "Brand#2", "a").otherwise("b")))))
-add("p16_weights", lambda s, d: rounded(P.loss_weights(scores(s, d).select("instrument", "datetime", F.col("volume").alias("loss"), F.col("score").alias("ratio")))), sql(f"SELECT instrument, datetime, volume AS loss, score AS ratio, 1 / (0.5 * avg(h) OVER (PARTITION BY datetime, bin) + 0.1) AS weight FROM (SELECT *, least(floor(h * 10), 9) AS bin FROM (SELECT *, ({_rk('volume')} / count(*) OVER (PARTITION BY datetime) + {_rk('score')} / count(*) OVER (PARTITION BY datetime)) / 2 AS h FROM scores))", KEYS, "loss ratio weight"))
+_seg = lambda s, d: scores(s, d).withColumn("segment", F.when(F.col("instrument") < "Brand#2", "a").when(F.col("instrument") < "Brand#4", "b").otherwise("c"))
+SEG = BARS + f", sg AS (SELECT *, CASE WHEN instrument < 'Brand#2' THEN 'a' WHEN instrument < 'Brand#4' THEN 'b' ELSE 'c' END AS segment FROM scores), sr AS (SELECT segment, datetime, {_corr('rp', 'rl')} AS ric FROM (SELECT *, {_rk('score', 'segment, datetime')} AS rp, {_rk('label', 'segment, datetime')} AS rl FROM sg WHERE label IS NOT NULL) GROUP BY 1, 2), fu AS MATERIALIZED (SELECT segment, datetime, ric - avg(ric) OVER (PARTITION BY datetime) AS ric FROM (SELECT DISTINCT datetime FROM sg) CROSS JOIN (SELECT DISTINCT segment FROM sg) LEFT JOIN sr USING (segment, datetime))"
+add("p15_ic_matrix", lambda s, d: rounded(P.rank_ic_matrix(_seg(s, d))), sql("SELECT segment, datetime, coalesce(ric, max(ric) OVER (PARTITION BY datetime), 0) AS ric FROM fu", "segment datetime", "ric", SEG))
+add("p15_ic_matrix_segments", lambda s, d: rounded(P.rank_ic_matrix(_seg(s, d), fill="maxseg")), sql("SELECT segment, datetime, coalesce(ric, fill, 0) AS ric FROM fu LEFT JOIN (SELECT lacks AS segment, max(m) AS fill FROM (SELECT l.segment AS lacks, f.segment, avg(f.ric) AS m FROM fu l JOIN fu f USING (datetime) WHERE l.ric IS NULL GROUP BY 1, 2 HAVING count(f.ric) = count(*)) GROUP BY 1) USING (segment)", "segment datetime", "ric", SEG))
+_pc = lambda c: f"{_rk(c)} / count(*) OVER (PARTITION BY datetime)"
+_curve = lambda s, d: P.curve_ratio(scores(s, d).select("instrument", "datetime", F.col("volume").alias("loss"), (F.col("score") + 2).alias("c0"), "close", F.col("volume").alias("c2")), ["c0", "close", "c2"])
+add("p16_weights", lambda s, d: rounded(P.loss_weights(_curve(s, d)).select("instrument", "datetime", "loss", "ratio", "weight")), sql(
+    f"SELECT instrument, datetime, volume AS loss, ratio, 1 / (0.5 * avg(h) OVER (PARTITION BY datetime, bin) + 0.1) AS weight FROM (SELECT *, greatest(1, coalesce(ceil(round((h - lo) / nullif((hi - lo) / 10, 0), 9)), 1)) AS bin FROM (SELECT *, min(h) OVER (PARTITION BY datetime) AS lo, max(h) OVER (PARTITION BY datetime) AS hi FROM (SELECT *, ({_rk('down')} + {_rk('ratio')}) / count(*) OVER (PARTITION BY datetime) / 2 AS h FROM (SELECT *, -volume AS down, ({_pc('volume')}) / ({_pc('score')}) AS ratio FROM scores))))", KEYS, "loss ratio weight"))
 
 # Q
 M = BARS + "," + MARKET + ", dd AS (SELECT *, c - max(c) OVER (ORDER BY datetime ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS dr FROM (SELECT *, sum(ret) OVER (ORDER BY datetime ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM market))"
@@ -104,11 +110,11 @@ def changed(s, d):
 
 
 _CH = BARS + ", ch AS (SELECT *, f / lag(f) OVER (PARTITION BY instrument ORDER BY datetime) - 1 AS change FROM (SELECT *, last_value(close IGNORE NULLS) OVER (PARTITION BY instrument ORDER BY datetime ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS f FROM panel))"
-add("r1_tradability", lambda s, d: R.tradability(changed(s, d), 0.5).select("instrument", "datetime", "suspended", "limit_buy", "limit_sell"), sql("SELECT instrument, datetime, close IS NULL AS suspended, coalesce(change >= 0.5, false) AS limit_buy, coalesce(change <= -0.5, false) AS limit_sell FROM ch", KEYS + " suspended limit_buy limit_sell", ctes=_CH))
+add("r1_tradability", lambda s, d: R.tradability(changed(s, d), 0.5).select("instrument", "datetime", "suspended", "limit_buy", "limit_sell"), sql("SELECT instrument, datetime, close IS NULL AS suspended, (coalesce(change >= 0.5, false) OR close IS NULL) AS limit_buy, (coalesce(change <= -0.5, false) OR close IS NULL) AS limit_sell FROM ch", KEYS + " suspended limit_buy limit_sell", ctes=_CH))
 ranges = lambda s, d: bars(s, d).where(F.dayofmonth("datetime") == 1).select(F.concat_ws("|", "instrument", F.date_format("datetime", "yyyyMMdd")).alias("range_id"), "instrument", F.col("datetime").alias("start"), (F.col("datetime") + F.expr("INTERVAL 9 DAYS")).alias("end"))
 RG = _CH + ", rg AS (SELECT instrument || '|' || strftime(datetime, '%Y%m%d') AS range_id, instrument, datetime AS a, datetime + INTERVAL 9 DAY AS b FROM bars WHERE day(datetime) = 1)"
 add("h4_range_agg", lambda s, d: rounded(R.over_ranges(bars(s, d), ranges(s, d), {"total": F.sum("volume"), "mean": F.avg("close"), "last": F.max_by("close", "datetime")}).drop("start", "end")), sql("SELECT range_id, rg.instrument, sum(volume) AS total, avg(close) AS mean, last(close ORDER BY datetime) AS last FROM rg JOIN bars ON bars.instrument = rg.instrument AND datetime BETWEEN a AND b GROUP BY 1, 2", "range_id instrument", "total mean last", RG))
-add("r2_tradable_over", lambda s, d: R.tradable_over(R.tradability(changed(s, d), 0.5), ranges(s, d)).select("range_id", "limit_buy", "limit_sell", "suspended"), sql("SELECT range_id, bool_and(coalesce(change >= 0.5, false)) AS limit_buy, bool_and(coalesce(change <= -0.5, false)) AS limit_sell, bool_and(close IS NULL) AS suspended FROM rg JOIN ch ON ch.instrument = rg.instrument AND datetime BETWEEN a AND b GROUP BY 1", "range_id limit_buy limit_sell suspended", ctes=RG))
+add("r2_tradable_over", lambda s, d: R.tradable_over(R.tradability(changed(s, d), 0.5), ranges(s, d)).select("range_id", "limit_buy", "limit_sell", "suspended"), sql("SELECT range_id, bool_and((coalesce(change >= 0.5, false) OR close IS NULL)) AS limit_buy, bool_and((coalesce(change <= -0.5, false) OR close IS NULL)) AS limit_sell, bool_and(close IS NULL) AS suspended FROM rg JOIN ch ON ch.instrument = rg.instrument AND datetime BETWEEN a AND b GROUP BY 1", "range_id limit_buy limit_sell suspended", ctes=RG))
 add("r3_deal_price", lambda s, d: rounded(R.deal_price(panel(s, d), ranges(s, d)).select("range_id", "deal_price")), sql("SELECT range_id, last(vwap ORDER BY datetime) AS deal_price FROM rg JOIN bars ON bars.instrument = rg.instrument AND datetime BETWEEN a AND b GROUP BY 1", "range_id", "deal_price", RG))
 add("r4_extra_quotes", lambda s, d: R.extra_quotes(R.tradability(changed(s, d), 0.5).where("close IS NOT NULL").select("instrument", "datetime", "suspended"), bars(s, d).where("volume > 40").select(F.concat(F.lit("x"), "instrument").alias("instrument"), "datetime")), sql("SELECT instrument, datetime, false AS suspended FROM bars UNION ALL SELECT 'x' || instrument, datetime, false FROM bars WHERE volume > 40", KEYS + " suspended"))
 add("r5_amounts", lambda s, d: rounded(R.weights_to_amounts(positions(s, d).withColumn("tradable", F.col("amount") > 10), 1e6).select("instrument", "datetime", "amount")), sql("SELECT instrument, datetime, floor(1e6::DOUBLE * w / nullif(sum(w) OVER (PARTITION BY datetime), 0) / price) AS amount FROM (SELECT *, CASE WHEN amount > 10 THEN weight ELSE 0 END AS w FROM pos)", KEYS, "amount", POS))
@@ -144,8 +150,18 @@ add("s2_covariance", lambda s, d: rounded(cov(s, d)), sql("SELECT * FROM cov", P
 add("s3_correlation", lambda s, d: rounded(S.correlation(cov(s, d))), sql("SELECT inst_i, inst_j, cov / sqrt(vi * vj) AS corr FROM cv", PAIR, "corr", RET))
 add("s4_const_corr", lambda s, d: rounded(S.target(cov(s, d), "const_corr")), sql("SELECT inst_i, inst_j, CASE WHEN inst_i = inst_j THEN cov ELSE r * sqrt(vi * vj) END AS target FROM cv, (SELECT avg(cov / sqrt(vi * vj)) AS r FROM cv WHERE inst_i <> inst_j)", PAIR, "target", RET))
 add("s4_single_factor", lambda s, d: rounded(S.target(cov(s, d), "single_factor", ret(s, d))), sql("SELECT inst_i, inst_j, CASE WHEN inst_i = inst_j THEN cov ELSE a.c * b.c / v END AS target FROM cov JOIN be a ON a.instrument = inst_i JOIN be b ON b.instrument = inst_j, (SELECT avg(m * m) AS v FROM (SELECT DISTINCT datetime, m FROM mk))", PAIR, "target", RET + ", mk AS (SELECT *, avg(x) OVER (PARTITION BY datetime) AS m FROM ret), be AS (SELECT instrument, sum(x * m) / count(*) AS c FROM mk GROUP BY 1)"))
-add("s5_shrunk_oas", lambda s, d: rounded(S.shrink(cov(s, d), S.target(cov(s, d), "const_var"), S.oas_alpha(cov(s, d), 2000))), sql("SELECT inst_i, inst_j, al * CASE WHEN inst_i = inst_j THEN mv ELSE 0 END + (1 - al) * cov AS cov FROM cov, (SELECT least(1, ((1 - 2 / p) * ss + tr * tr) / ((2001 - 2 / p) * (ss - tr * tr / p))) AS al, tr / p AS mv FROM (SELECT sum(cov * cov) AS ss, sum(CASE WHEN inst_i = inst_j THEN cov ELSE 0 END) AS tr, count(DISTINCT inst_i) AS p FROM cov))", PAIR, "cov", RET))
+add("s5_shrunk_oas", lambda s, d: rounded(S.shrink(cov(s, d), S.target(cov(s, d), "const_var"), S.oas_alpha(cov(s, d), 2000))), sql("SELECT inst_i, inst_j, al * CASE WHEN inst_i = inst_j THEN mv ELSE 0 END + (1 - al) * cov AS cov FROM cov, (SELECT ((1 - 2 / p) * (ss + tr * tr) / ((2001 - 2 / p) * (ss + tr * tr / p))) AS al, tr / p AS mv FROM (SELECT sum(cov * cov) AS ss, sum(CASE WHEN inst_i = inst_j THEN cov ELSE 0 END) AS tr, count(DISTINCT inst_i) AS p FROM cov))", PAIR, "cov", RET))
 add("s5_shrunk_lw", lambda s, d: rounded(S.shrink(cov(s, d), S.target(cov(s, d), "const_var"), S.lw_alpha(ret(s, d), cov(s, d), S.target(cov(s, d), "const_var")))), sql("SELECT inst_i, inst_j, al * CASE WHEN inst_i = inst_j THEN mv ELSE 0 END + (1 - al) * cov AS cov FROM cov, (SELECT mv, greatest(0, least(1, (q / n - ss) / n / dist)) AS al FROM (SELECT sum(a.x * a.x * b.x * b.x) AS q FROM ret a JOIN ret b USING (datetime)), (SELECT count(DISTINCT datetime) AS n FROM ret), (SELECT sum(cov * cov) AS ss, any_value(mv) AS mv, sum(pow(cov - CASE WHEN inst_i = inst_j THEN mv ELSE 0 END, 2)) AS dist FROM cov, (SELECT avg(v) AS mv FROM vr)))", PAIR, "cov", RET))
+
+# the intensities by their definition over all pairs of instruments and dates
+LW = RET + ", mk AS (SELECT *, avg(x) OVER (PARTITION BY datetime) AS m FROM ret), tt AS (SELECT count(DISTINCT datetime)::DOUBLE AS t, (SELECT avg(m * m) FROM (SELECT DISTINCT datetime, m FROM mk)) AS vm FROM mk), ea AS (SELECT instrument AS i, avg(x * m) AS c FROM mk GROUP BY 1), rb AS (SELECT avg(cov / sqrt(vi * vj)) AS r FROM cv WHERE inst_i <> inst_j), pq AS MATERIALIZED (SELECT a.instrument AS inst_i, b.instrument AS inst_j, sum(a.x * a.x * b.x * b.x) AS yy, sum(pow(a.x, 3) * b.x) AS x3, sum(a.x * a.x * b.x * b.m) AS yz, sum(a.x * a.m * b.x * b.m) AS zz FROM mk a JOIN mk b USING (datetime) GROUP BY 1, 2), al AS MATERIALIZED (SELECT pq.*, cv.cov, vi, vj, t, vm, r, a.c AS ci, b.c AS cj, inst_i = inst_j AS same, CASE WHEN inst_i = inst_j THEN cov ELSE r * sqrt(vi * vj) END AS f1, CASE WHEN inst_i = inst_j THEN cov ELSE a.c * b.c / vm END AS f2 FROM pq JOIN cv USING (inst_i, inst_j) JOIN ea a ON a.i = inst_i JOIN ea b ON b.i = inst_j, tt, rb)"
+_mixed = lambda f, rho: f"SELECT inst_i, inst_j, s * {f} + (1 - s) * cov AS cov FROM al, (SELECT greatest(0, least(1, (sum(yy / t - cov * cov) - sum({rho})) / sum(pow(cov - {f}, 2)) / any_value(t))) AS s FROM al)"
+_own = "CASE WHEN same THEN yy / t - cov * cov ELSE "
+for _kind, _f, _rho in (
+    ("const_corr", "f1", _own + "r * sqrt(vj / vi) * (x3 / t - vi * cov) END"),
+    ("single_factor", "f2", _own + "2 * (yz / t - ci * cov) * cj / vm - (zz / t - vm * cov) * ci * cj / (vm * vm) END"),
+):
+    add(f"s5_lw_{_kind}", lambda s, d, k=_kind: rounded(S.shrink(cov(s, d), S.target(cov(s, d), k, ret(s, d)), S.lw_alpha(ret(s, d), cov(s, d), S.target(cov(s, d), k, ret(s, d)), k))), sql(_mixed(_f, _rho), PAIR, "cov", LW))
 add("s6_structured", lambda s, d: rounded(S.structured_covariance(ret(s, d), 5), 3))
 add("s7_poet", lambda s, d: rounded(S.structured_covariance(ret(s, d), 3, 0.05, "soft"), 3))
 add("x1_linear", lambda s, d: rounded(S.linear_score(scores(s, d).where("datetime < '1999-01-01'").withColumn("y", F.ln(F.col("label") + 1)), scores(s, d).where("datetime >= '1999-01-01'"), ["score", "volume"], "y"), 4), sql("SELECT instrument, datetime, b0 + b1 * score + b2 * volume AS score FROM scores, (SELECT my - b1 * m1 - b2 * m2 AS b0, b1, b2 FROM (SELECT *, (c1 * v2 - c2 * c12) / (v1 * v2 - c12 * c12) AS b1, (c2 * v1 - c1 * c12) / (v1 * v2 - c12 * c12) AS b2 FROM (SELECT avg(y) AS my, avg(score) AS m1, avg(volume) AS m2, covar_pop(y, score) AS c1, covar_pop(y, volume) AS c2, covar_pop(score, volume) AS c12, var_pop(score) AS v1, var_pop(volume) AS v2 FROM (SELECT *, ln(label + 1) AS y FROM scores WHERE label IS NOT NULL AND datetime < '1999-01-01')))) WHERE datetime >= '1999-01-01'", KEYS, "score", digits=4))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,19 +18,27 @@ def by_time():
 BARS = """
 b0 AS (SELECT p_brand AS instrument, l_shipdate AS datetime, l_extendedprice / l_quantity AS price, l_quantity AS q, l_extendedprice AS e,
   l_orderkey AS a1, l_linenumber AS a2, l_partkey AS a3, l_suppkey AS a4 FROM lineitem JOIN part ON l_partkey = p_partkey),
-bars AS (SELECT instrument, datetime, first(price ORDER BY a1, a2, a3, a4, q, e) AS open, max(price) AS high, min(price) AS low,
+bars AS MATERIALIZED (SELECT instrument, datetime, first(price ORDER BY a1, a2, a3, a4, q, e) AS open, max(price) AS high, min(price) AS low,
   last(price ORDER BY a1, a2, a3, a4, q, e) AS close, sum(e) / sum(q) AS vwap, sum(q) AS volume FROM b0 GROUP BY ALL),
 cal AS (SELECT datetime, row_number() OVER (ORDER BY datetime) - 1 AS idx FROM (SELECT DISTINCT datetime FROM bars)),
 sp AS (SELECT instrument, min(datetime) AS a, max(datetime) AS b FROM bars GROUP BY 1),
-panel AS (SELECT sp.instrument, cal.datetime, cal.idx, open, high, low, close, vwap, volume,
+panel AS MATERIALIZED (SELECT sp.instrument, cal.datetime, cal.idx, open, high, low, close, vwap, volume,
   row_number() OVER (PARTITION BY sp.instrument ORDER BY cal.datetime) AS slot
   FROM sp JOIN cal ON cal.datetime BETWEEN sp.a AND sp.b LEFT JOIN bars ON bars.instrument = sp.instrument AND bars.datetime = cal.datetime),
-scores AS (SELECT * FROM (SELECT instrument, datetime, idx, vwap / close - 1 AS score, lead(close, 2) OVER w / lead(close, 1) OVER w - 1 AS label, close, volume
+scores AS MATERIALIZED (SELECT * FROM (SELECT instrument, datetime, idx, vwap / close - 1 AS score, lead(close, 2) OVER w / lead(close, 1) OVER w - 1 AS label, close, volume
   FROM panel WINDOW w AS (PARTITION BY instrument ORDER BY datetime)) WHERE score IS NOT NULL)"""
 
 TICKS = "ticks AS (SELECT event_type AS instrument, ts AS datetime, event_id, value FROM events)"
 
 
+def scratch(spark: SparkSession) -> str:
+    """A folder for written tables: the session's spark.checkpoint.dir, or a local one on one machine."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    return path or tempfile.gettempdir()
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brand_bars(spark, sf_dir)
 

@@ -88,9 +88,10 @@ expressions("f_pairs", {"corr_": E.corr(c, v, 20), "cov_": E.cov(c, v, 20)}, {
     "corr_": f"CASE WHEN stddev_samp(close) OVER f > 2e-5 AND stddev_samp(volume) OVER f > 2e-5 THEN {_corr('close', 'volume', 'f')} END", "cov_": "covar_samp(close, volume) OVER f"}, W5.replace("9 PRECEDING", "19 PRECEDING"))
 expressions("g_fill", {"ffill_": E.ffill(c), "bfill_": E.bfill(c)}, {
     "ffill_": "last_value(close IGNORE NULLS) OVER x", "bfill_": "first_value(close IGNORE NULLS) OVER (PARTITION BY instrument ORDER BY datetime ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"}, W5)
-expressions("l1_kbar", L.kbar(), {
+_KBAR = {
     "KMID": "(close - open) / open", "KLEN": "(high - low) / open", "KMID2": "(close - open) / (high - low + 1e-12)", "KUP": "(high - greatest(open, close)) / open", "KUP2": "(high - greatest(open, close)) / (high - low + 1e-12)",
-    "KLOW": "(least(open, close) - low) / open", "KLOW2": "(least(open, close) - low) / (high - low + 1e-12)", "KSFT": "(2 * close - high - low) / open", "KSFT2": "(2 * close - high - low) / (high - low + 1e-12)"})
+    "KLOW": "(least(open, close) - low) / open", "KLOW2": "(least(open, close) - low) / (high - low + 1e-12)", "KSFT": "(2 * close - high - low) / open", "KSFT2": "(2 * close - high - low) / (high - low + 1e-12)"}
+expressions("l1_kbar", L.kbar(), _KBAR)
 expressions("l7_labels", L.labels(), {"LABEL0": "lead(close, 2) OVER w / lead(close, 1) OVER w - 1"}, W5)
 expressions("l12_volatility", {"vol": L.realised_volatility(10)}, {"vol": "CASE WHEN y >= 0 THEN sqrt(y) END"}, "", f"(SELECT instrument, datetime, sum(r * r) OVER f / 9 - pow(sum(r) OVER f, 2) / 90 AS y FROM (SELECT instrument, datetime, ln(close / lag(close) OVER (PARTITION BY instrument ORDER BY datetime)) AS r FROM panel) {W5})")
 _a360 = {}
@@ -98,7 +99,7 @@ for _d in range(59, -1, -1):
     for _f in ("CLOSE", "OPEN", "HIGH", "LOW", "VWAP"):
         _a360[f"{_f}{_d}"] = f"lag({_f.lower()}, {_d}) OVER w / close" if _d else f"{_f.lower()} / close"
     _a360[f"VOLUME{_d}"] = (f"lag(volume, {_d}) OVER w" if _d else "volume") + " / (volume + 1e-12)"
-expressions("l6_alpha360", L.alpha360(), {k: _a360[k] for k in L.alpha360()}, W5)
+add("l6_alpha360", lambda spark, d: rounded(L.alpha360_frame(panel(spark, d))), sql("SELECT instrument, datetime, " + ", ".join(f'{_a360[k]} AS "{k}"' for k in L.alpha360()) + f" FROM panel {W5}", ["instrument", "datetime"], list(L.alpha360())))
 
 # The 158 columns, as one select over shared windows
 _PRE = "(SELECT *, close - pc AS dc, volume - pv AS dv, abs(close / pc - 1) * volume AS wv, coalesce(close > pc, false)::INT::DOUBLE AS up, coalesce(close < pc, false)::INT::DOUBLE AS dn, ln(volume + 1) AS lv, close / pc AS rc, ln(volume / pv + 1) AS rv FROM (SELECT *, slot::DOUBLE AS t, lag(close) OVER z AS pc, lag(volume) OVER z AS pv FROM panel WINDOW z AS (PARTITION BY instrument ORDER BY datetime)))"
@@ -129,7 +130,8 @@ for _d in L.WINDOWS:
     _ALL |= _l4(_d)
 _WS = "WINDOW w AS (PARTITION BY instrument ORDER BY datetime), " + ", ".join(f"f{d} AS (PARTITION BY instrument ORDER BY datetime ROWS BETWEEN {d - 1} PRECEDING AND CURRENT ROW)" for d in L.WINDOWS)
 expressions("l4_rolling", L.rolling(), {k: _ALL[k] for k in L.rolling()}, _WS, _PRE)
-add("l5_alpha158", lambda spark, d: rounded(E.evaluate(panel(spark, d), L.alpha158())))
+_PRICE0 = {f"{f.upper()}0": f"{f} / close" for f in ("open", "high", "low", "vwap")}
+expressions("l5_alpha158", L.alpha158(), {k: (_KBAR | _PRICE0 | _ALL)[k] for k in L.alpha158()}, _WS, _PRE)
 
 add("l11_trend", lambda spark, d: E.evaluate(panel(spark, d), {"trend": L.trend()}))
 
@@ -174,7 +176,7 @@ def o5_rows(spark, d):
 
 
 add("o5_row_sequences", o5_rows, sql("SELECT instrument, datetime, coalesce(lag(close, 2) OVER w, 0) AS c0, coalesce(lag(close, 1) OVER w, 0) AS c1, close AS c2 FROM bars WINDOW w AS (PARTITION BY instrument ORDER BY datetime)", KEYS, "c0 c1 c2"))
-add("o6_daily_batches", lambda s, d: O.daily_batches(scores(s, d).select("instrument", "datetime"), 5))
+add("o6_daily_batches", lambda s, d: O.daily_batches(scores(s, d).select("instrument", "datetime"), 5), sql("SELECT instrument, datetime FROM (SELECT *, row_number() OVER (PARTITION BY datetime ORDER BY md5(instrument || ':' || epoch_us(datetime) || ':0'), instrument) AS r FROM scores) WHERE r <= 5", KEYS))
 add("o7_rolling_splits", lambda s, d: O.rolling_splits(calendar_of(bars(s, d)), (0, 499), (500, 599), (600, 699), 100, gap=2), sql("SELECT fold, segment, a + 100 * fold AS start_idx, least(CASE WHEN segment = 'test' THEN b ELSE least(b, 597) END + 100 * fold, top) AS end_idx FROM (SELECT max(idx) AS top FROM cal), (VALUES ('train', 0, 499), ('valid', 500, 599), ('test', 600, 699)) s(segment, a, b), range(0, 1000) r(fold) WHERE fold <= (top - 600) // 100", "fold segment start_idx end_idx"))
 
 # N
@@ -189,7 +191,6 @@ add("n11_cs_zscore", lambda s, d: rounded(N.cs_zscore(_base(s, d), ["volume"])),
 add("n12_cs_robust", lambda s, d: rounded(N.cs_robust(_base(s, d), ["volume"])), sql("SELECT instrument, datetime, score, greatest(-3, least(3, (volume - m) / nullif(1.4826 * median(abs(volume - m)) OVER (PARTITION BY datetime), 0))) AS volume, label FROM (SELECT *, median(volume) OVER (PARTITION BY datetime) AS m FROM scores)", KEYS, "score volume label"))
 add("n13_cs_rank", lambda s, d: rounded(N.cs_rank(_base(s, d), ["volume", "label"])), sql("SELECT instrument, datetime, score, ((rank() OVER (PARTITION BY datetime ORDER BY volume) + (count(*) OVER (PARTITION BY datetime, volume) - 1) / 2.0) / count(volume) OVER (PARTITION BY datetime) - 0.5) * 3.46 AS volume, CASE WHEN label IS NOT NULL THEN ((rank() OVER (PARTITION BY datetime ORDER BY label NULLS LAST) + (count(*) OVER (PARTITION BY datetime, label) - 1) / 2.0) / count(label) OVER (PARTITION BY datetime) - 0.5) * 3.46 END AS label FROM scores", KEYS, "score volume label"))
 add("n14_cs_fill", lambda s, d: rounded(N.cs_fill(_base(s, d), ["label"])), sql("SELECT instrument, datetime, score, volume, coalesce(label, avg(label) OVER (PARTITION BY datetime)) AS label FROM scores", KEYS, "score volume label"))
-add("n15_section_norm", lambda s, d: rounded(N.section_norm(scores(s, d).select("instrument", "datetime", F.col("volume").alias("STD5"), F.col("score").alias("KMID"), "label"), ["STD5", "KMID"], ["label"])))
 add("n16_high_freq_norm", lambda s, d: rounded(N.high_freq_norm(_base(s, d).drop("label"), {"volume": ["volume"], "price": ["score"]}, *_R)), sql(f"SELECT instrument, datetime, (ln(1 + volume) - mv) / sv AS volume, (score - mp) / sp AS score FROM scores, (SELECT mv, mp, stddev_pop(abs(ln(1 + volume) - mv)) AS sv, stddev_pop(abs(score - mp)) AS sp FROM scores, (SELECT avg(ln(1 + volume)) AS mv, avg(score) AS mp FROM scores WHERE {_in}) WHERE {_in} GROUP BY mv, mp)", KEYS, "score volume"))
 
 
@@ -206,21 +207,12 @@ add("h1_resample", lambda s, d: rounded(P.resample(ticks(s, d), "6 HOURS", {"tot
     KEYS, "total last mean", TICKS + ", t AS (SELECT *, time_bucket(INTERVAL 6 HOURS, datetime, TIMESTAMP '1970-01-01') AS b FROM ticks)"))
 add("h2_resample_ts", lambda s, d: rounded(P.resample_ts(panel(s, d), "1996-01-01", "1999-12-31", "ts_data_last", "close")), sql("SELECT instrument, last(close ORDER BY datetime) AS close FROM panel WHERE datetime BETWEEN '1996-01-01' AND '1999-12-31' AND close IS NOT NULL GROUP BY 1", "instrument", "close"))
 add("e23_time_window", lambda s, d: rounded(ticks(s, d).select("instrument", "datetime", "event_id", P.time_window(ticks(s, d), 600, F.avg).alias("m"))), sql("SELECT instrument, datetime, event_id, avg(value) OVER (PARTITION BY instrument ORDER BY datetime RANGE BETWEEN INTERVAL '599.999999' SECOND PRECEDING AND CURRENT ROW) AS m FROM ticks", KEYS + " event_id", "m", TICKS))
-add("l10_change_rate", lambda s, d: rounded(P.change_rate(ticks(s, d).where("value > 0").dropDuplicates(["instrument", "datetime"]), 3600).select("instrument", "datetime", "depth", "intensity")), sql("SELECT instrument, datetime, avg(value) OVER w AS depth, count(value) OVER w AS intensity FROM ticks WHERE value > 0 WINDOW w AS (PARTITION BY instrument ORDER BY datetime RANGE BETWEEN INTERVAL '3599.999999' SECOND PRECEDING AND CURRENT ROW)", KEYS + " intensity", "depth", TICKS))
+add("l10_change_rate", lambda s, d: rounded(P.change_rate(ticks(s, d).where("value > 0").groupBy("instrument", "datetime").agg(F.min_by("value", "event_id").alias("value")), 3600).select("instrument", "datetime", "depth", "intensity")), sql("SELECT instrument, datetime, avg(value) OVER w AS depth, count(value) OVER w AS intensity FROM ticks WHERE value > 0 WINDOW w AS (PARTITION BY instrument ORDER BY datetime RANGE BETWEEN INTERVAL '3599.999999' SECOND PRECEDING AND CURRENT ROW)", KEYS + " intensity", "depth", TICKS))
 add("g2_day_last", lambda s, d: rounded(E.evaluate(ticks(s, d).groupBy("instrument", "datetime").agg(F.max("value").alias("value")), {"last": E.day_last(E.feature("value")), "cum": E.day_cumsum(E.feature("value"), "09:30", "11:29")})), sql("SELECT instrument, datetime, last_value(value) OVER (PARTITION BY instrument, datetime::DATE ORDER BY datetime ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last, CASE WHEN k THEN sum(CASE WHEN k THEN value END) OVER (PARTITION BY instrument, datetime::DATE ORDER BY datetime ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) ELSE 0 END AS cum FROM (SELECT instrument, datetime, max(value) AS value, strftime(datetime, '%H:%M') BETWEEN '09:30' AND '11:29' AS k FROM ticks GROUP BY 1, 2)", KEYS, "last cum", TICKS))
-add("g7_cut", lambda s, d: rounded(_cut(bars(s, d), 5, 3)), sql("SELECT instrument, datetime, close FROM (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY datetime) AS i, row_number() OVER (PARTITION BY instrument ORDER BY datetime DESC) AS j FROM bars) WHERE i > 5 AND j > 3", KEYS, "close"))
+add("g7_cut", lambda s, d: rounded(P.cut_ends(bars(s, d).select("instrument", "datetime", "close"), 5, 3)), sql("SELECT instrument, datetime, close FROM (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY datetime) AS i, row_number() OVER (PARTITION BY instrument ORDER BY datetime DESC) AS j FROM bars) WHERE i > 5 AND j > 3", KEYS, "close"))
 add("j1_other_instrument", lambda s, d: rounded(P.from_instrument(bars(s, d), "Brand#11", {"close": "bench"}).select("instrument", "datetime", (F.col("close") - F.col("bench")).alias("spread"))), sql("SELECT a.instrument, a.datetime, a.close - b.close AS spread FROM bars a LEFT JOIN bars b ON a.datetime = b.datetime AND b.instrument = 'Brand#11'", KEYS, "spread"))
 
 
-def _cut(df, left, right):
-    """Without the first and last rows of each instrument."""
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("instrument")
-    n = df.withColumns({"_i": F.row_number().over(w.orderBy("datetime")), "_j": F.row_number().over(w.orderBy(F.desc("datetime")))})
-    return n.where((F.col("_i") > left) & (F.col("_j") > right)).select("instrument", "datetime", "close")
-
-
 def j2_beta(spark, d):
     p = panel(spark, d).withColumn("ret", F.col("close") / F.col("open") - 1)
     return rounded(P.rolling_beta(P.from_instrument(p, "Brand#11", {"ret": "bench"}), 60).select("instrument", "datetime", "beta", "excess"))

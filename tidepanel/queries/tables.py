@@ -88,5 +88,7 @@ def snapshots(spark, d):
 
 _SNAP = "snap AS (SELECT DISTINCT date_trunc('year', datetime)::DATE AS date, instrument || '_' || month(datetime) AS symbol FROM bars WHERE volume > 30), dd AS (SELECT date, lag(date) OVER (ORDER BY date) AS p, lead(date) OVER (ORDER BY date) AS n FROM (SELECT DISTINCT date FROM snap))"
 add("c8_changes", lambda s, d: U.changes_from_snapshots(snapshots(s, d)), sql("SELECT date, symbol, 'add' AS type FROM snap JOIN dd USING (date) WHERE p IS NOT NULL AND NOT EXISTS (SELECT 1 FROM snap o WHERE o.date = dd.p AND o.symbol = snap.symbol) UNION ALL SELECT n, symbol, 'remove' FROM snap JOIN dd USING (date) WHERE n IS NOT NULL AND NOT EXISTS (SELECT 1 FROM snap o WHERE o.date = dd.n AND o.symbol = snap.symbol)", "date symbol type", ctes=_BARS + "," + _SNAP))
-add("c9_spans_from_changes", lambda s, d: U.spans_from_changes(U.changes_from_snapshots(snapshots(s, d)), snapshots(s, d).where("date = '2001-01-01'").select("symbol"), "1995-01-01", "2099-12-31"))
+add("c9_spans_from_changes", lambda s, d: U.spans_from_changes(U.changes_from_snapshots(snapshots(s, d)), snapshots(s, d).where("date = '2001-01-01'").select("symbol"), "1995-01-01", "2099-12-31"), sql(
+    "SELECT symbol, date AS start, coalesce(nd, DATE '2099-12-31') AS \"end\" FROM ev WHERE type = 'add' UNION ALL SELECT symbol, DATE '1995-01-01', date FROM ev WHERE type = 'remove' AND pt IS NULL UNION ALL SELECT symbol, DATE '1995-01-01', DATE '2099-12-31' FROM snap WHERE date = DATE '2001-01-01' AND symbol NOT IN (SELECT symbol FROM ch)",
+    "symbol start end", ctes=_BARS + "," + _SNAP + ", ch AS (SELECT date, symbol, 'add' AS type FROM snap JOIN dd USING (date) WHERE p IS NOT NULL AND NOT EXISTS (SELECT 1 FROM snap o WHERE o.date = dd.p AND o.symbol = snap.symbol) UNION ALL SELECT n, symbol, 'remove' FROM snap JOIN dd USING (date) WHERE n IS NOT NULL AND NOT EXISTS (SELECT 1 FROM snap o WHERE o.date = dd.n AND o.symbol = snap.symbol)), ev AS (SELECT *, lag(type) OVER (PARTITION BY symbol ORDER BY date) AS pt, lead(date) OVER (PARTITION BY symbol ORDER BY date) AS nd FROM ch)"))
 add("c10_symbols", lambda s, d: A.read(s, d, "customer").select("c_custkey", U.suffix_to_prefix(F.concat(F.lpad(F.col("c_custkey").cast("string"), 6, "0"), F.when(F.col("c_custkey") % 2 == 0, ".ss").otherwise(".sz"))).alias("symbol"), U.prefix_to_suffix(F.concat(F.lit("SH"), F.lpad(F.col("c_custkey").cast("string"), 6, "0"))).alias("back")), "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'SH' ELSE 'SZ' END || lpad(c_custkey::VARCHAR, 6, '0') AS symbol, lpad(c_custkey::VARCHAR, 6, '0') || '.ss' AS back FROM customer")

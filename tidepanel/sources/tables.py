@@ -49,12 +49,12 @@ def spans_of(bars: DataFrame) -> DataFrame:
 def align_calendar(bars: DataFrame, calendar: DataFrame) -> DataFrame:
     """A5: every instrument on all slots between its own first and last; gaps have missing fields.
 
-    Spans are joined to the calendar by positions turned into a sequence, so no range join is planned.
+    Spans are two dates an instrument; their positions are joined to the calendar as a sequence, so no range join is planned.
     """
     at = calendar.select("datetime", "idx")
-    placed = bars.join(at, "datetime")
-    spans = placed.groupBy("instrument").agg(F.min("idx").alias("_a"), F.max("idx").alias("_b"))
-    grid = spans.select("instrument", F.explode(F.sequence("_a", "_b")).alias("idx")).join(at, "idx")
+    first, last = (at.select(F.col("datetime").alias(c), F.col("idx").alias(f"_{c}")) for c in ("start", "end"))
+    spans = spans_of(bars).join(first, "start").join(last, "end")
+    grid = spans.select("instrument", F.explode(F.sequence("_start", "_end")).alias("idx")).join(at, "idx")
     return grid.join(bars, ["instrument", "datetime"], "left")
 
 
