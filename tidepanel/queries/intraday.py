@@ -98,9 +98,9 @@ add("l10_order_book", lambda s, d: rounded(P.order_book(book(s, d), 2, "6 HOURS"
     SELECT *, ask1 + bid1 AS best FROM (SELECT instrument, b AS datetime, sum(asize1 + bsize1 + asize2 + bsize2) AS sz, {_book_last}, {_book_mean} FROM bk GROUP BY 1, 2)
     LEFT JOIN (SELECT instrument, time_bucket(INTERVAL 6 HOURS, h, TIMESTAMP '1970-01-01') AS datetime, {", ".join(f"avg({c}) AS d{c}" for c in (*_P2, *_S2))}
       FROM (SELECT instrument, h, {_moves} FROM (SELECT instrument, h, {_steps} FROM bk GROUP BY 1, 2)) GROUP BY 1, 2) USING (instrument, datetime))""", KEYS, list(_book_out), _BOOK))
-_flags = {"even": F.expr("event_id % 2 = 0"), "third": F.expr("event_id % 3 = 0")}
+_flags = lambda: {"even": F.expr("event_id % 2 = 0"), "third": F.expr("event_id % 3 = 0")}
 _share = lambda k, s: f"avg(CASE WHEN event_id % {k} = 0 THEN 1.0::DOUBLE ELSE 0 END) OVER (PARTITION BY instrument ORDER BY datetime RANGE BETWEEN INTERVAL {s * 1_000_000 - 1} MICROSECONDS PRECEDING AND CURRENT ROW)"
-add("l10_intensity", lambda s, d: rounded(P.intensity(positive(s, d), _flags, "1 DAY", 3600, 36000)), sql(
+add("l10_intensity", lambda s, d: rounded(P.intensity(positive(s, d), _flags(), "1 DAY", 3600, 36000)), sql(
     f"""SELECT instrument, time_bucket(INTERVAL 1 DAY, datetime, TIMESTAMP '1970-01-01') AS datetime, avg(a) AS even_intensity, avg((a > b)::INT::DOUBLE) AS even_relative, avg(c) AS third_intensity, avg((c > e)::INT::DOUBLE) AS third_relative
     FROM (SELECT instrument, datetime, {_share(2, 3600)} AS a, {_share(2, 36000)} AS b, {_share(3, 3600)} AS c, {_share(3, 36000)} AS e FROM pos) GROUP BY 1, 2""",
     KEYS, "even_intensity even_relative third_intensity third_relative", POSITIVE))
