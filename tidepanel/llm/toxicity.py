@@ -70,7 +70,8 @@ class KneserNey:
         self.own = dict(own)
         #: Log-likelihood ratios of letters in their contexts, and of letters that their known context never had.
         self.ratio = {g: math.log(self.probability(g, 0) / self.probability(g, 1)) for g in self.counts}
-        self.escape = {c: math.log(self.freed(c, 0) / self.freed(c, 1)) for c in self.own}
+        # a letter new to both classes is no evidence of toxicity: the class with fewer texts frees more mass for it
+        self.escape = {c: min(0.0, math.log(self.freed(c, 0) / self.freed(c, 1))) for c in self.own}
 
     def backoff(self, g: str) -> float:
         """P(last letter | letters before it) by continuation counts of both classes."""
