@@ -209,11 +209,16 @@ def _window(op: str, n, make: Callable[..., Column], *inputs, left=0, right=0) -
     return Expr(f"{op}({', '.join(i.text for i in plain.inputs)}, {n})", make, plain.inputs, True, None if whole else plain.left + left, plain.right + right)
 
 
+def present(x) -> Expr:
+    """The value as a rolling input: a double, infinities missing."""
+    return _plain("Present", lambda a: finite(number(a)), x)
+
+
 def _rolling(op: str, aggregate: Callable[[Column, object], Column]):
     def build(x, n: int | float) -> Expr:
         if 0 < n < 1:
             return ewm_mean(x, n)
-        return _window(op, n, lambda a: aggregate(finite(number(a)), frame(n)), x, left=n - 1 if n else None)
+        return _window(op, n, lambda a: aggregate(a, frame(n)), present(x), left=n - 1 if n else None)
 
     return build
 
@@ -242,7 +247,7 @@ kurt = _rolling("Kurt", lambda a, w: unbiased_kurtosis(F.kurtosis(a).over(w), F.
 
 
 def quantile(x, n: int, q: float) -> Expr:
-    return _window(f"Quantile{q}", n, lambda a: F.percentile(finite(number(a)), F.lit(q)).over(frame(n)), x, left=n - 1 if n else None)
+    return _window(f"Quantile{q}", n, lambda a: F.percentile(a, F.lit(q)).over(frame(n)), present(x), left=n - 1 if n else None)
 
 
 def _position(op: str, best: Callable[[Column, Column], Column]):
@@ -250,13 +255,12 @@ def _position(op: str, best: Callable[[Column, Column], Column]):
 
     def build(x, n: int) -> Expr:
         def make(a: Column) -> Column:
-            a, w = finite(number(a)), frame(n)
-            slot = F.col(SLOT)
+            w, slot = frame(n), F.col(SLOT)
             start = F.min(slot).over(w)
             place = F.when(F.count(a).over(w) < F.count("*").over(w), F.min(F.when(a.isNull(), slot)).over(w)).otherwise(best(a, slot).over(w)["s"])
             return F.when(F.count(a).over(w) > 0, (place - start + 1).cast("double"))
 
-        return _window(op, n, make, x, left=n - 1 if n else None)
+        return _window(op, n, make, present(x), left=n - 1 if n else None)
 
     return build
 
@@ -280,12 +284,12 @@ def rank(x, n: int) -> Expr:
     """Percent rank of the last value, ties averaged."""
 
     def make(a: Column) -> Column:
-        a, w = finite(number(a)), frame(n)
+        w = frame(n)
         values = F.collect_list(a).over(w)
         place = F.aggregate(values, F.lit(0.5), lambda s, v: s + F.when(v < a, 1.0).when(v == a, 0.5).otherwise(0.0))
         return F.when(a.isNotNull(), place / F.count(a).over(w))
 
-    return _window("Rank", n, make, x, left=n - 1 if n else None)
+    return _window("Rank", n, make, present(x), left=n - 1 if n else None)
 
 
 def _regression(op: str, make: Callable[[Column, Column, object], Column]):
@@ -293,15 +297,22 @@ def _regression(op: str, make: Callable[[Column, Column, object], Column]):
 
 
 slope = _regression("Slope", lambda a, s, w: F.regr_slope(a, s).over(w))
-resi = _regression("Resi", lambda a, s, w: a - (F.regr_slope(a, s).over(w) * s + F.regr_intercept(a, s).over(w)))
+slot_mean = _regression("SlotMean", lambda a, s, w: F.avg(s).over(w))
+slot_var = _regression("SlotVar", lambda a, s, w: F.var_samp(s).over(w))
 
 
-def rsquare(x, n: int) -> Expr:
-    def make(a, s, w):
-        r = safe_corr(a, s, w)
-        return r * r if n == 0 else F.when(F.stddev_samp(a).over(w) > FLAT, r * r)
+def resi(x, n: int) -> Expr:
+    """The last value less the frame's regression line there, which runs through both means."""
+    line = lambda a, b, m, s: number(a) - (b * (F.col(SLOT) - s) + m)
+    return _plain(f"Resi{n}", line, x, slope(x, n), mean(x, n), slot_mean(x, n))
 
-    return _regression(f"Rsquare{n}", make)(x, n)
+
+def rsquare(x, n: int) -> Expr:
+    """The squared correlation with the slots, from the slope and both variances, which other columns share."""
+    if n == 0:
+        return _regression("Rsquare0", lambda a, s, w: F.pow(safe_corr(a, s, w), F.lit(2.0)))(x, n)
+    squared = lambda b, d, v: F.when(d > FLAT, b * b * v / (d * d))
+    return _plain(f"Rsquare{n}", squared, slope(x, n), std(x, n), slot_var(x, n))
 
 
 def wma(x, n: int) -> Expr:
@@ -364,11 +375,11 @@ def ema(x, n: int | float) -> Expr:
 
 def corr(x, y, n: int) -> Expr:
     def make(a, b):
-        a, b, w = finite(number(a)), finite(number(b)), frame(n)
+        w = frame(n)
         steep = (F.stddev_samp(a).over(w) > FLAT) & (F.stddev_samp(b).over(w) > FLAT)
         return F.when(steep, safe_corr(a, b, w))
 
-    return _window("Corr", n, make, x, y, left=n - 1 if n else None)
+    return _window("Corr", n, make, present(x), present(y), left=n - 1 if n else None)
 
 
 def cov(x, y, n: int) -> Expr:
@@ -413,19 +424,33 @@ def date(x=None) -> Expr:
 
 def evaluate(panel: DataFrame, features: dict[str, Expr], keep: tuple[str, ...] = (KEY, TIME)) -> DataFrame:
     """All features of a panel (instrument, datetime, fields ...), one select per stage of windows."""
+    top = max((e.stage() for e in features.values()), default=0)
+    if top:
+        # windows cost far more time than their bytes tell, so partitions aren't merged by size; this is the windows' exchange
+        panel = panel.repartition(int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions")), KEY)
     if SLOT not in panel.columns:
         panel = panel.withColumn(SLOT, F.row_number().over(by_time()))
-    top = max((e.stage() for e in features.values()), default=0)
     done: dict[str, str] = {}
 
+    columns: dict[str, Column] = {}
+
     def column_of(e: Expr) -> Column:
-        return F.col(done[e.text]) if e.text in done else e.make(*[column_of(i) for i in e.inputs])
+        if e.text in done:
+            return F.col(done[e.text])
+        if e.text not in columns:
+            columns[e.text] = e.make(*[column_of(i) for i in e.inputs])
+        return columns[e.text]
+
+    met: set[str] = set()
 
     def windows(e: Expr, found: dict[str, Expr]) -> None:
+        if e.text in met:
+            return
+        met.add(e.text)
         for i in e.inputs:
             windows(i, found)
         if e.windowed:
-            found.setdefault(e.text, e)
+            found[e.text] = e
 
     needed: dict[str, Expr] = {}
     for e in features.values():
