@@ -1,8 +1,8 @@
 """Composable panel expressions, planned in stages of shared windows.
 
-An ``Expr`` knows the columns it reads, how it becomes a Spark column, and how many calendar slots before and after a row it
-looks at.  ``evaluate`` names every window result once, stage by stage, so that windows over windows are
-computed once and all windows of a stage share one exchange and sort.  Frames count calendar slots, so panels are
+An ``Expr`` knows the columns it reads, how it becomes a Spark column (or SQL text of its inputs), and how many calendar slots
+before and after a row it looks at.  ``evaluate`` names every result once, step by step: each is computed once, expressions stay
+as small as their own operator, and all windows of a stage share one exchange and sort.  Frames count calendar slots, so panels are
 aligned to the calendar first.
 """
 
@@ -34,12 +34,15 @@ class Expr:
     #: Slots read before and after a row; None: all.
     left: int | None = field(default=0, compare=False)
     right: int = field(default=0, compare=False)
+    #: SQL of the inputs {0}, {1}; one call to the JVM instead of one for each part.
+    sql: str | None = field(default=None, compare=False)
 
     def name(self) -> str:
         return "_e" + hashlib.md5(self.text.encode()).hexdigest()[:16]
 
-    def stage(self) -> int:
-        return max((x.stage() for x in self.inputs), default=0) + self.windowed
+    def reference(self) -> str:
+        """SQL text of a field, a constant, or the name that ``evaluate`` gives the result."""
+        return self.sql if self.sql and not self.inputs else f"`{self.name()}`"
 
     # operators
     def __add__(self, o):
@@ -96,20 +99,31 @@ def _wider(a: int | None, b: int | None) -> int | None:
 
 
 def expr(x) -> Expr:
-    return x if isinstance(x, Expr) else Expr(f"lit({x!r})", lambda: F.lit(x))
+    if isinstance(x, Expr):
+        return x
+    text = f"{x!r}D" if isinstance(x, float) and math.isfinite(x) else str(x) if isinstance(x, int) else None
+    return Expr(f"lit({x!r})", lambda: F.lit(x), sql=text)
 
 
 def feature(name: str) -> Expr:
     """A field of the panel."""
-    return Expr(f"${name}", lambda: F.col(name))
+    return Expr(f"${name}", lambda: F.col(name), sql=f"`{name}`")
 
 
-def _plain(op: str, make: Callable[..., Column], *inputs) -> Expr:
+def _plain(op: str, make: Callable[..., Column], *inputs, sql: str | None = None) -> Expr:
     inputs = tuple(expr(i) for i in inputs)
     left, right = 0, 0
     for i in inputs:
         left, right = _wider(left, i.left), max(right, i.right)
-    return Expr(f"{op}({', '.join(i.text for i in inputs)})", make, inputs, False, left, right)
+    return Expr(f"{op}({', '.join(i.text for i in inputs)})", make, inputs, False, left, right, sql)
+
+
+#: Operands as doubles, and a result without NaN, in SQL.
+A, B = "CAST({0} AS DOUBLE)", "CAST({1} AS DOUBLE)"
+
+
+def _real(text: str) -> str:
+    return f"nanvl({text}, CAST(NULL AS DOUBLE))"
 
 
 # D: element-wise operators
@@ -118,7 +132,7 @@ def number(c: Column) -> Column:
 
 
 def abs_(x):
-    return _plain("Abs", lambda a: F.abs(number(a)), x)
+    return _plain("Abs", lambda a: F.abs(number(a)), x, sql=f"abs({A})")
 
 
 def sign(x):
@@ -134,31 +148,32 @@ def power(x, y):
 
 
 def add(x, y):
-    return _plain("Add", lambda a, b: no_nan(number(a) + number(b)), x, y)
+    return _plain("Add", lambda a, b: no_nan(number(a) + number(b)), x, y, sql=_real(f"{A} + {B}"))
 
 
 def sub(x, y):
-    return _plain("Sub", lambda a, b: no_nan(number(a) - number(b)), x, y)
+    return _plain("Sub", lambda a, b: no_nan(number(a) - number(b)), x, y, sql=_real(f"{A} - {B}"))
 
 
 def mul(x, y):
-    return _plain("Mul", lambda a, b: no_nan(number(a) * number(b)), x, y)
+    return _plain("Mul", lambda a, b: no_nan(number(a) * number(b)), x, y, sql=_real(f"{A} * {B}"))
 
 
 def div(x, y):
-    return _plain("Div", ieee_div, x, y)
+    return _plain("Div", ieee_div, x, y, sql=_real(f"CASE WHEN {B} = 0 THEN {A} * DOUBLE('Infinity') ELSE {A} / {B} END"))
 
 
 def greater(x, y):
-    return _plain("Greater", lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.greatest(number(a), number(b))), x, y)
+    return _plain("Greater", lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.greatest(number(a), number(b))), x, y, sql=f"CASE WHEN {{0}} IS NOT NULL AND {{1}} IS NOT NULL THEN greatest({A}, {B}) END")
 
 
 def less(x, y):
-    return _plain("Less", lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.least(number(a), number(b))), x, y)
+    return _plain("Less", lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.least(number(a), number(b))), x, y, sql=f"CASE WHEN {{0}} IS NOT NULL AND {{1}} IS NOT NULL THEN least({A}, {B}) END")
 
 
 def _compare(op: str, test: Callable[[Column, Column], Column], missing: bool):
-    return lambda x, y: _plain(op, lambda a, b: F.coalesce(test(a, b), F.lit(missing)), x, y)
+    sign_ = {"Gt": ">", "Ge": ">=", "Lt": "<", "Le": "<=", "Eq": "=", "Ne": "!="}[op]
+    return lambda x, y: _plain(op, lambda a, b: F.coalesce(test(a, b), F.lit(missing)), x, y, sql=f"coalesce({{0}} {sign_} {{1}}, {missing})")
 
 
 gt = _compare("Gt", lambda a, b: a > b, False)
@@ -203,22 +218,27 @@ def frame(n: int):
     return by_time().rowsBetween(W.unboundedPreceding if n == 0 else 1 - n, W.currentRow)
 
 
-def _window(op: str, n, make: Callable[..., Column], *inputs, left=0, right=0) -> Expr:
+def over(n: int) -> str:
+    """The frame of ``n`` slots in SQL."""
+    return f"OVER (PARTITION BY {KEY} ORDER BY {TIME} ROWS BETWEEN {f'{n - 1} PRECEDING' if n else 'UNBOUNDED PRECEDING'} AND CURRENT ROW)"
+
+
+def _window(op: str, n, make: Callable[..., Column], *inputs, left=0, right=0, sql: str | None = None) -> Expr:
     plain = _plain(op, make, *inputs)
     whole = left is None or plain.left is None
-    return Expr(f"{op}({', '.join(i.text for i in plain.inputs)}, {n})", make, plain.inputs, True, None if whole else plain.left + left, plain.right + right)
+    return Expr(f"{op}({', '.join(i.text for i in plain.inputs)}, {n})", make, plain.inputs, True, None if whole else plain.left + left, plain.right + right, sql)
 
 
 def present(x) -> Expr:
     """The value as a rolling input: a double, infinities missing."""
-    return _plain("Present", lambda a: finite(number(a)), x)
+    return _plain("Present", lambda a: finite(number(a)), x, sql=f"CASE WHEN abs({A}) != DOUBLE('Infinity') THEN {A} END")
 
 
-def _rolling(op: str, aggregate: Callable[[Column, object], Column]):
+def _rolling(op: str, aggregate: Callable[[Column, object], Column], sql: str | None = None):
     def build(x, n: int | float) -> Expr:
         if 0 < n < 1:
             return ewm_mean(x, n)
-        return _window(op, n, lambda a: aggregate(a, frame(n)), present(x), left=n - 1 if n else None)
+        return _window(op, n, lambda a: aggregate(a, frame(n)), present(x), left=n - 1 if n else None, sql=f"{sql}({{0}}) {over(n)}" if sql else None)
 
     return build
 
@@ -227,19 +247,20 @@ def ref(x, n: int) -> Expr:
     """The value ``n`` slots ago; 0: the first one."""
     if n == 0:
         return _window("Ref", 0, lambda a: F.first(a).over(frame(0)), x, left=None)
-    return _window("Ref", n, lambda a: F.lag(a, n).over(by_time()) if n > 0 else F.lead(a, -n).over(by_time()), x, left=max(n, 0), right=max(-n, 0))
+    return _window("Ref", n, lambda a: F.lag(a, n).over(by_time()) if n > 0 else F.lead(a, -n).over(by_time()), x, left=max(n, 0), right=max(-n, 0),
+                   sql=f"{'lag' if n > 0 else 'lead'}({{0}}, {abs(n)}) OVER (PARTITION BY {KEY} ORDER BY {TIME})")
 
 
 def delta(x, n: int) -> Expr:
     return sub(x, ref(x, n))
 
 
-mean = _rolling("Mean", lambda a, w: F.avg(a).over(w))
-sum_ = _rolling("Sum", lambda a, w: F.sum(a).over(w))
-std = _rolling("Std", lambda a, w: F.stddev_samp(a).over(w))
-var = _rolling("Var", lambda a, w: F.var_samp(a).over(w))
-max_ = _rolling("Max", lambda a, w: F.max(a).over(w))
-min_ = _rolling("Min", lambda a, w: F.min(a).over(w))
+mean = _rolling("Mean", lambda a, w: F.avg(a).over(w), "avg")
+sum_ = _rolling("Sum", lambda a, w: F.sum(a).over(w), "sum")
+std = _rolling("Std", lambda a, w: F.stddev_samp(a).over(w), "stddev_samp")
+var = _rolling("Var", lambda a, w: F.var_samp(a).over(w), "var_samp")
+max_ = _rolling("Max", lambda a, w: F.max(a).over(w), "max")
+min_ = _rolling("Min", lambda a, w: F.min(a).over(w), "min")
 count = _rolling("Count", lambda a, w: F.count(a).over(w).cast("double"))
 med = _rolling("Med", lambda a, w: F.percentile(a, F.lit(0.5)).over(w))
 skew = _rolling("Skew", lambda a, w: unbiased_skew(F.skewness(a).over(w), F.count(a).over(w), F.stddev_pop(a).over(w)))
@@ -423,43 +444,42 @@ def date(x=None) -> Expr:
 
 
 def evaluate(panel: DataFrame, features: dict[str, Expr], keep: tuple[str, ...] = (KEY, TIME)) -> DataFrame:
-    """All features of a panel (instrument, datetime, fields ...), one select per stage of windows."""
-    top = max((e.stage() for e in features.values()), default=0)
+    """All features of a panel (instrument, datetime, fields ...), one select per step of operators or windows.
+
+    A result that another operator reads twice isn't inlined again by Catalyst, so an expression's size is linear in its operators.
+    """
+    #: Where a result is made: after so many stages of windows, then so many steps of plain operators.
+    place: dict[str, tuple[int, int]] = {}
+    named: dict[str, Expr] = {}
+
+    def locate(e: Expr) -> tuple[int, int]:
+        if e.text not in place:
+            stage, step = max((locate(i) for i in e.inputs), default=(0, 0))
+            place[e.text] = (stage + 1, 0) if e.windowed else (stage, step + 1 if e.inputs else 0)
+            if e.inputs or e.windowed:
+                named[e.text] = e
+        return place[e.text]
+
+    top = max((locate(e)[0] for e in features.values()), default=0)
     if top:
         # windows cost far more time than their bytes tell, so partitions aren't merged by size; this is the windows' exchange
         panel = panel.repartition(int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions")), KEY)
     if SLOT not in panel.columns:
         panel = panel.withColumn(SLOT, F.row_number().over(by_time()))
-    done: dict[str, str] = {}
-
-    columns: dict[str, Column] = {}
 
     def column_of(e: Expr) -> Column:
-        if e.text in done:
-            return F.col(done[e.text])
-        if e.text not in columns:
-            columns[e.text] = e.make(*[column_of(i) for i in e.inputs])
-        return columns[e.text]
-
-    met: set[str] = set()
-
-    def windows(e: Expr, found: dict[str, Expr]) -> None:
-        if e.text in met:
-            return
-        met.add(e.text)
-        for i in e.inputs:
-            windows(i, found)
-        if e.windowed:
-            found[e.text] = e
-
-    needed: dict[str, Expr] = {}
-    for e in features.values():
-        windows(e, needed)
-    for stage in range(1, top + 1):
-        now = {t: e for t, e in needed.items() if e.stage() == stage}
-        made = {e.name(): column_of(e) for e in now.values()}
-        panel = panel.select("*", *[c.alias(n) for n, c in made.items()])
-        done |= {t: e.name() for t, e in now.items()}
+        return F.col(e.name()) if e.text in named else e.make()
+
+    def made(e: Expr) -> Column:
+        if e.sql and all(i.text in named or i.sql for i in e.inputs):
+            return F.expr(f"{e.sql.format(*[i.reference() for i in e.inputs])} AS `{e.name()}`")
+        return e.make(*[column_of(i) for i in e.inputs]).alias(e.name())
+
+    steps: dict[tuple[int, int], list[Expr]] = {}
+    for text, e in named.items():
+        steps.setdefault(place[text], []).append(e)
+    for at in sorted(steps):
+        panel = panel.select("*", *[made(e) for e in steps[at]])
     return panel.select(*keep, *[column_of(e).alias(n) for n, e in features.items()])
 
 

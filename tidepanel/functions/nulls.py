@@ -14,7 +14,7 @@ def column(x) -> Column:
 
 
 def no_nan(x: Column) -> Column:
-    return F.when(F.isnan(x), F.lit(None)).otherwise(x)
+    return F.nanvl(x, F.lit(None).cast("double"))
 
 
 def finite(x: Column) -> Column:
@@ -25,7 +25,7 @@ def finite(x: Column) -> Column:
 def ieee_div(a, b) -> Column:
     """Division by the IEEE rules: x/0 is signed infinity and 0/0 missing."""
     a, b = column(a).cast("double"), column(b).cast("double")
-    return no_nan(F.when(b != 0, a / F.nullif(b, F.lit(0.0))).when((b == 0) & (a > 0), F.lit(INF)).when((b == 0) & (a < 0), F.lit(-INF)))
+    return no_nan(F.when(b == 0, a * F.lit(INF)).otherwise(a / b))
 
 
 def ieee_log(x) -> Column:
