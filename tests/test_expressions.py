@@ -65,3 +65,17 @@ def test_ieee_and_comparison_rules(spark):
 def test_reach():
     assert E.reach({"a": E.mean(E.ref(C, 3), 5), "b": E.ref(C, -2)}) == (7, 2)
     assert E.reach({"a": E.mean(C, 0)})[0] is None
+
+
+def test_division_follows_ieee_and_nesting_stays_small(spark):
+    inf = float("inf")
+    cases = [(1.0, 0.0), (-1.0, 0.0), (0.0, 0.0), (3.0, 2.0), (None, 0.0), (1.0, None), (inf, inf), (inf, 0.0)]
+    df = spark.createDataFrame([("a", i, x, y) for i, (x, y) in enumerate(cases)], "instrument string, datetime int, x double, y double")
+    x, y = E.feature("x"), E.feature("y")
+    got = [r["q"] for r in E.evaluate(df, {"q": x / y}).orderBy("datetime").collect()]
+    assert got == [inf, -inf, None, 1.5, None, None, None, inf]
+    deep = x
+    for _ in range(12):
+        deep = deep / (y + 1)
+    plan = E.evaluate(df, {"q": deep})._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 100_000
