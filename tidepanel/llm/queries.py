@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepanel.llm import embeddings, html_text, licenses, lines, lm_score, media, mixing, ngram_join, packing, toxicity
+from tidepanel.llm import embeddings, html_text, lexical_search, licenses, lines, lm_score, media, mixing, ngram_join, packing, spelling, toxicity, vector_search
 from tidepanel.llm.base import table
 
 
@@ -53,6 +53,18 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.top_k(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank_documents(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -64,5 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_ngram_join": op10_ngram_join,
+    "op11_vector_search": op11_vector_search,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_spelling": op13_spelling,
 }
 ORACLES: dict[str, str] = {"op9_mixing": mixing.ORACLE}
