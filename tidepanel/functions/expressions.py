@@ -16,7 +16,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from tidepanel.functions import ordered
 from tidepanel.functions.nulls import INF, finite, ieee_div, ieee_log, no_nan, safe_corr, unbiased_kurtosis, unbiased_skew
 
 KEY, TIME, SLOT = "instrument", "datetime", "_slot"
@@ -36,6 +38,8 @@ class Expr:
     right: int = field(default=0, compare=False)
     #: SQL of the inputs {0}, {1}; one call to the JVM instead of one for each part.
     sql: str | None = field(default=None, compare=False)
+    #: Makes a state that is fed the input's values in time order, instead of a window.
+    state: Callable[[], object] | None = field(default=None, compare=False)
 
     def name(self) -> str:
         return "_e" + hashlib.md5(self.text.encode()).hexdigest()[:16]
@@ -262,13 +266,25 @@ var = _rolling("Var", lambda a, w: F.var_samp(a).over(w), "var_samp")
 max_ = _rolling("Max", lambda a, w: F.max(a).over(w), "max")
 min_ = _rolling("Min", lambda a, w: F.min(a).over(w), "min")
 count = _rolling("Count", lambda a, w: F.count(a).over(w).cast("double"))
-med = _rolling("Med", lambda a, w: F.percentile(a, F.lit(0.5)).over(w))
 skew = _rolling("Skew", lambda a, w: unbiased_skew(F.skewness(a).over(w), F.count(a).over(w), F.stddev_pop(a).over(w)))
 kurt = _rolling("Kurt", lambda a, w: unbiased_kurtosis(F.kurtosis(a).over(w), F.count(a).over(w), F.stddev_pop(a).over(w), -3.0))
 
 
+def _fed(op: str, n: int, x, trailing: Callable[[int], object], expanding: Callable[[], object]) -> Expr:
+    """A windowed operator by a state over the rows in time order."""
+    plain = _plain(op, None, present(x))
+    left = None if n == 0 or plain.left is None else plain.left + n - 1
+    return Expr(f"{op}({plain.inputs[0].text}, {n})", None, plain.inputs, True, left, plain.right, state=(lambda: trailing(n)) if n else expanding)
+
+
 def quantile(x, n: int, q: float) -> Expr:
-    return _window(f"Quantile{q}", n, lambda a: F.percentile(a, F.lit(q)).over(frame(n)), present(x), left=n - 1 if n else None)
+    """The linearly interpolated quantile."""
+    return _fed(f"Quantile{q}", n, x, lambda n: ordered.Quantile(n, q), lambda: ordered.ExpandingQuantile(q))
+
+
+def med(x, n: int) -> Expr:
+    """E12; a share instead of a number of slots is an exponential mean, as for the other rolling operators."""
+    return ewm_mean(present(x), n) if 0 < n < 1 else quantile(x, n, 0.5)
 
 
 def _position(op: str, best: Callable[[Column, Column], Column]):
@@ -292,25 +308,12 @@ idx_min = _position("IdxMin", lambda a, s: F.min(F.struct(a.alias("v"), s.alias(
 
 def mad(x, n: int) -> Expr:
     """Mean absolute deviation about the frame's mean."""
-
-    def make(a: Column) -> Column:
-        a, w = finite(number(a)), frame(n)
-        values, mean_ = F.collect_list(a).over(w), F.avg(a).over(w)
-        return F.aggregate(values, F.lit(0.0), lambda s, v: s + F.abs(v - mean_)) / F.nullif(F.count(a).over(w), F.lit(0))
-
-    return _window("Mad", n, make, x, left=n - 1 if n else None)
+    return _fed("Mad", n, x, ordered.Mad, ordered.ExpandingMad)
 
 
 def rank(x, n: int) -> Expr:
     """Percent rank of the last value, ties averaged."""
-
-    def make(a: Column) -> Column:
-        w = frame(n)
-        values = F.collect_list(a).over(w)
-        place = F.aggregate(values, F.lit(0.5), lambda s, v: s + F.when(v < a, 1.0).when(v == a, 0.5).otherwise(0.0))
-        return F.when(a.isNotNull(), place / F.count(a).over(w))
-
-    return _window("Rank", n, make, present(x), left=n - 1 if n else None)
+    return _fed("Rank", n, x, ordered.Rank, ordered.ExpandingRank)
 
 
 def _regression(op: str, make: Callable[[Column, Column, object], Column]):
@@ -381,17 +384,7 @@ def ema(x, n: int | float) -> Expr:
         return ewm_mean(x, n)
     if n:
         return ewm_mean(x, 2 / (n + 1))
-
-    def make(a: Column) -> Column:
-        a, w = finite(number(a)), frame(0)
-        rows = F.count("*").over(w)
-        keep = 1 - 2 / (1 + rows)
-        history = F.collect_list(F.struct(a.alias("v"))).over(w)
-        zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("d"))
-        step = lambda s, v: F.struct((s["n"] * keep + F.coalesce(v["v"], F.lit(0.0))).alias("n"), (s["d"] * keep + 1.0).alias("d"))
-        return F.aggregate(history, zero, step, lambda s: s["n"] / F.nullif(s["d"], F.lit(0.0)))
-
-    return _window("EMA", 0, make, x, left=None)
+    return _fed("EMA", 0, x, None, ordered.WholeEma)
 
 
 def corr(x, y, n: int) -> Expr:
@@ -443,6 +436,23 @@ def date(x=None) -> Expr:
     return _plain("Date", lambda *_: F.to_date(TIME))
 
 
+def keyed(panel: DataFrame) -> bool:
+    """Whether the rows of an instrument lie in one partition by the plan, as in a table bucketed by it."""
+    return panel._jdf.queryExecution().sparkPlan().outputPartitioning().toString().startswith(f"hashpartitioning({KEY}#")
+
+
+def streamed(panel: DataFrame, exprs: list[Expr]) -> DataFrame:
+    """Columns of operators with a state: one pass over the rows of each instrument.
+
+    Rows are numbered by a window first, as that alone makes Spark keep an instrument in one partition (it may read a
+    bucketed table otherwise where nothing asks for the buckets); windows before it have sorted them already.
+    """
+    panel = panel.withColumn("_order", F.row_number().over(by_time()))
+    names, inputs, make = [e.name() for e in exprs], [e.inputs[0].name() for e in exprs], [e.state for e in exprs]
+    schema = StructType([*panel.schema.fields, *[StructField(n, DoubleType()) for n in names]])
+    return panel.sortWithinPartitions(KEY, TIME).mapInArrow(lambda batches: ordered.stream(batches, KEY, inputs, names, make), schema).drop("_order")
+
+
 def evaluate(panel: DataFrame, features: dict[str, Expr], keep: tuple[str, ...] = (KEY, TIME)) -> DataFrame:
     """All features of a panel (instrument, datetime, fields ...), one select per step of operators or windows.
 
@@ -461,9 +471,12 @@ def evaluate(panel: DataFrame, features: dict[str, Expr], keep: tuple[str, ...]
         return place[e.text]
 
     top = max((locate(e)[0] for e in features.values()), default=0)
-    if top:
+    def spread(panel: DataFrame) -> DataFrame:
         # windows cost far more time than their bytes tell, so partitions aren't merged by size; this is the windows' exchange
-        panel = panel.repartition(int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions")), KEY)
+        return panel.repartition(int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions")), KEY)
+
+    if top and not keyed(panel):
+        panel = spread(panel)
     if SLOT not in panel.columns:
         panel = panel.withColumn(SLOT, F.row_number().over(by_time()))
 
@@ -479,7 +492,11 @@ def evaluate(panel: DataFrame, features: dict[str, Expr], keep: tuple[str, ...]
     for text, e in named.items():
         steps.setdefault(place[text], []).append(e)
     for at in sorted(steps):
-        panel = panel.select("*", *[made(e) for e in steps[at]])
+        panel = panel.select("*", *[made(e) for e in steps[at] if not e.state])
+        if fed := [e for e in steps[at] if e.state]:
+            panel = streamed(panel, fed)
+            if at[0] < top:
+                panel = spread(panel)
     return panel.select(*keep, *[column_of(e).alias(n) for n, e in features.items()])
 
 

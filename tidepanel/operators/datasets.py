@@ -12,17 +12,19 @@ from tidepanel.functions.expressions import Expr, evaluate, reach
 def features(panel: DataFrame, calendar: DataFrame, exprs: dict[str, Expr], start, end) -> DataFrame:
     """M1: expressions of an aligned panel between two times.
 
-    The slots read before and after the range come from the expressions; they become a filter below the windows, which
-    reaches the scan, and the result is cut to the range above them.
+    The slots read before and after the range come from the expressions; with the calendar they become bounds of dates (and of a stored
+    panel's periods) below the windows, which reach the scan, and the result is cut to the range above them.
     """
     left, right = reach(exprs)
     a, b = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
     ends = calendar.agg(F.min(F.when(F.col("datetime") >= a, F.col("idx"))).alias("a"), F.max(F.when(F.col("datetime") <= b, F.col("idx"))).alias("b")).first()
     if ends["a"] is None or ends["b"] is None:
         return evaluate(panel.limit(0), exprs)
-    padded = panel.where(F.col("idx") <= ends["b"] + right)
-    if left is not None:
-        padded = padded.where(F.col("idx") >= ends["a"] - left)
+    first = ends["a"] - left if left is not None else 0
+    reach_ = calendar.where(F.col("idx").between(first, ends["b"] + right)).agg(F.min("datetime").alias("a"), F.max("datetime").alias("b")).first()
+    padded = panel.where(F.col("datetime").between(F.lit(reach_["a"]), F.lit(reach_["b"])))
+    if "period" in panel.columns:
+        padded = padded.where(F.col("period").between(reach_["a"].year, reach_["b"].year))
     return evaluate(padded, exprs).where(F.col("datetime").between(a, b))
 
 

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidepanel.operators.gram import Gram, beside, cells, diagonal, gram, inner, leading_axes, mapped, times_blocks
+from tidepanel.sources.scratch import written
+
 
 def risk_returns(panel: DataFrame, centre: bool = True, fill: str = "ignore") -> DataFrame:
     """Percent returns (instrument, datetime, x) of closes; centred per instrument; missing ones ignored or 0."""
@@ -20,14 +24,9 @@ def risk_returns(panel: DataFrame, centre: bool = True, fill: str = "ignore") ->
 def covariance(returns: DataFrame) -> DataFrame:
     """(inst_i, inst_j, cov) with the number of common dates of each pair as its divisor.
 
-    The join is by date, so its size is that of the result before it is summed; sums combine on the map side.  A pair is summed
-    once and mirrored.
+    Products are summed by blocks of instruments and slices of dates (``gram``), so no pairs of rows are made.
     """
-    a = returns.select("datetime", F.col("instrument").alias("inst_i"), F.col("x").alias("xi"))
-    b = returns.select("datetime", F.col("instrument").alias("inst_j"), F.col("x").alias("xj"))
-    half = a.join(b, "datetime").where("inst_i <= inst_j").groupBy("inst_i", "inst_j").agg((F.sum(F.col("xi") * F.col("xj")) / F.count("*")).alias("cov"))
-    both = F.array(F.struct("inst_i", "inst_j"), F.when(F.col("inst_i") < F.col("inst_j"), F.struct(F.col("inst_j").alias("inst_i"), F.col("inst_i").alias("inst_j"))))
-    return half.select(F.explode(F.array_compact(both)).alias("p"), "cov").select("p.inst_i", "p.inst_j", "cov")
+    return cells(gram(returns, keep=written), lambda s, n, _: np.where(n > 0, s / np.maximum(n, 1), np.nan), "cov")
 
 
 def variances(cov: DataFrame) -> DataFrame:
@@ -119,55 +118,54 @@ def lw_alpha(returns: DataFrame, cov: DataFrame, to: DataFrame, kind: str = "con
     return one.select(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(alpha, F.lit(0.0)))).alias("alpha"))
 
 
-#: Instruments that a principal-component fit takes; their names and axes are on the driver.
-MOST_INSTRUMENTS = 10_000
-
-
-def _vectors(returns: DataFrame):
-    from pyspark.ml.functions import array_to_vector
-
-    names = [r["instrument"] for r in returns.select("instrument").distinct().orderBy("instrument").limit(MOST_INSTRUMENTS + 1).collect()]
-    if len(names) > MOST_INSTRUMENTS:
-        raise ValueError(f"principal components of more than {MOST_INSTRUMENTS} instruments")
-    wide = returns.groupBy("datetime").pivot("instrument", names).agg(F.first("x")).fillna(0.0)
-    return names, wide.select("datetime", array_to_vector(F.array(*[F.col(f"`{n}`") for n in names])).alias("v"))
+def _fitted(returns: DataFrame, factors: int) -> tuple[Gram, DataFrame, int, np.ndarray, np.ndarray]:
+    """(Gram matrix, [sums, axes, Gram matrix times axes] side by side, number of axes, axes' products with the Gram matrix, sums in the axes)."""
+    g = gram(returns.fillna(0.0, ["x"]), keep=written)
+    k = min(factors, g.n_series)
+    axes = leading_axes(g, k, written)
+    sides = written(beside(g.sums, axes, written(times_blocks(g, axes))))
+    products = inner(sides)
+    return g, sides, k, products[1 : k + 1, k + 1 :], products[0, 1 : k + 1]
 
 
 def structured_covariance(returns: DataFrame, factors: int, threshold: float | None = None, kind: str = "soft") -> DataFrame:
     """Sample covariance of principal components' fits plus the residuals' variances.  S7, with a threshold: mean products of the fits
     plus the residuals' correlations beyond the threshold times 1 / sqrt(instruments) + sqrt(log(instruments) / dates).
 
-    The number of instruments is the width of a vector column, bounded by what a principal-component fit holds.
+    Absent returns are 0.  Axes are tables of packed blocks, and fits and residuals never become rows: with the Gram matrix G and axes A, products of
+    the fits are A A'GA A', those of the residuals G - GA A' - A GA' + A A'GA A'.
     """
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import vector_to_array
-
-    names, wide = _vectors(returns)
-    model = PCA(k=min(factors, len(names)), inputCol="v", outputCol="f").fit(wide)
-    axes = [list(map(float, r)) for r in model.pc.toArray()]
-    scored = model.transform(wide).select("datetime", vector_to_array("v").alias("v"), vector_to_array("f").alias("f"))
-    ids = F.array(*[F.lit(n) for n in names])
-    loads = F.array(*[F.array(*[F.lit(x) for x in a]) for a in axes])
-    fitted = F.transform(loads, lambda a: F.aggregate(F.zip_with(a, "f", lambda x, y: x * y), F.lit(0.0), lambda s, t: s + t))
-    long = scored.select("datetime", F.explode(F.arrays_zip(ids.alias("instrument"), F.col("v").alias("x"), fitted.alias("fit"))).alias("r")).select("datetime", "r.instrument", F.col("r.fit").alias("fit"), (F.col("r.x") - F.col("r.fit")).alias("u"))
+    g, sides, k, core, total = _fitted(returns, factors)
+    n = g.n_times
     if threshold is None:
-        a = long.select("datetime", F.col("instrument").alias("inst_i"), F.col("fit").alias("xi"), F.col("u"))
-        b = long.select("datetime", F.col("instrument").alias("inst_j"), F.col("fit").alias("xj"))
-        own = F.when(F.col("inst_i") == F.col("inst_j"), F.var_pop("u")).otherwise(0.0)
-        return a.join(b, "datetime").groupBy("inst_i", "inst_j").agg((F.covar_samp("xi", "xj") + own).alias("cov"))
-    dates = wide.count()
-    threshold = threshold * (1 / math.sqrt(len(names)) + math.sqrt(math.log(len(names)) / max(1, dates)))
-    low = covariance(long.select("datetime", "instrument", F.col("fit").alias("x")))
-    rest = covariance(long.select("datetime", "instrument", F.col("u").alias("x"))).withColumnRenamed("cov", "u")
-    same = F.col("inst_i") == F.col("inst_j")
-    rest = with_variances(rest.withColumnRenamed("u", "cov")).withColumnRenamed("cov", "u")
-    scale = F.sqrt(F.col("vi") * F.col("vj"))
-    r = F.col("u") / F.nullif(scale, F.lit(0.0))
-    cut = F.when(F.abs(r) > threshold, r) if kind == "hard" else F.when(F.abs(r) > threshold, F.signum(r) * (F.abs(r) - threshold))
-    if kind == "scad":
-        cut = F.when(F.abs(r) < 2 * threshold, F.signum(r) * F.greatest(F.abs(r) - threshold, F.lit(0.0))).when(F.abs(r) < 3.7 * threshold, (2.7 * r - F.signum(r) * 3.7 * threshold) / 1.7).otherwise(r)
-    kept = F.when(same, F.col("u")).otherwise(F.coalesce(cut, F.lit(0.0)) * scale)
-    return low.join(rest.withColumn("_k", kept), ["inst_i", "inst_j"]).select("inst_i", "inst_j", (F.col("cov") + F.col("_k")).alias("cov"))
+        spread = (core - np.outer(total, total) / n) / max(1, n - 1)
+
+        def fit_and_rest(s, _, own, left, right):
+            a, b, image = left[:, 1 : k + 1], right[:, 1 : k + 1], right[:, k + 1 :]
+            squares = (s * own).sum(0) - 2 * (image * b).sum(1) + ((b @ core) * b).sum(1)
+            mean = (right[:, 0] - b @ total) / n
+            return a @ spread @ b.T + own * (squares / n - mean * mean)
+
+        return cells(g, fit_and_rest, "cov", {"a": sides})
+    threshold = threshold * (1 / math.sqrt(g.n_series) + math.sqrt(math.log(g.n_series) / max(1, n)))
+
+    def residual_squares(_, x):
+        d, a, image = x[:, :1], x[:, 2 : k + 2], x[:, k + 2 :]
+        return np.concatenate([x, (d[:, 0] - 2 * (image * a).sum(1) + ((a @ core) * a).sum(1))[:, None]], 1)
+
+    def fit_and_kept(s, _, own, left, right):
+        (a, ga), (b, gb) = ((x[:, 2 : k + 2], x[:, k + 2 : 2 * k + 2]) for x in (left, right))
+        low = a @ core @ b.T
+        u = (s - ga @ b.T - a @ gb.T + low) / n
+        scale = np.sqrt(np.maximum(np.outer(left[:, -1], right[:, -1]), 0.0)) / n
+        r = np.divide(u, scale, out=np.zeros_like(u), where=scale > 0)
+        big, soft = np.abs(r), np.sign(r) * np.maximum(np.abs(r) - threshold, 0)
+        cut = np.where(big > threshold, r, 0.0) if kind == "hard" else soft
+        if kind == "scad":
+            cut = np.where(big < 2 * threshold, soft, np.where(big < 3.7 * threshold, (2.7 * r - np.sign(r) * 3.7 * threshold) / 1.7, r))
+        return low / n + np.where(own > 0, u, cut * scale)
+
+    return cells(g, fit_and_kept, "cov", {"a": mapped(beside(diagonal(g), sides), residual_squares)})
 
 
 def linear_score(train: DataFrame, apply_to: DataFrame, features: list[str], label: str, penalty: float = 0.0, mix: float = 0.0, weight: str | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from tidepanel.operators import returns as Q
 from tidepanel.operators import risk as S
 from tidepanel.operators import signals as P
 from tidepanel.queries.base import BARS, MARKET, bars, market, panel, rounded, scores, sql
+from tidepanel.sources.scratch import written
 from tidepanel.sources.tables import calendar_of, read
 
 QUERIES, ORACLES = {}, {}
@@ -144,14 +145,23 @@ logged = lambda s, d: bars(s, d).select("instrument", "datetime", F.ln("close").
 RET = BARS + ", r0 AS (SELECT instrument, datetime, (ln(close) / lag(ln(close)) OVER (PARTITION BY instrument ORDER BY datetime) - 1) * 100 AS x FROM bars), ret AS (SELECT instrument, datetime, x - avg(x) OVER (PARTITION BY instrument) AS x FROM r0 WHERE x IS NOT NULL), cov AS (SELECT a.instrument AS inst_i, b.instrument AS inst_j, sum(a.x * b.x) / count(*) AS cov FROM ret a JOIN ret b USING (datetime) GROUP BY 1, 2), vr AS (SELECT inst_i AS i, cov AS v FROM cov WHERE inst_i = inst_j), cv AS (SELECT cov.*, a.v AS vi, b.v AS vj FROM cov JOIN vr a ON a.i = inst_i JOIN vr b ON b.i = inst_j)"
 ret = lambda s, d: S.risk_returns(logged(s, d))
 cov = lambda s, d: S.covariance(ret(s, d))
+
+
+def shrunk(spark, d, kind, intensity):
+    """The covariance shrunk to a target; its cells are written once, as the target and the intensity read them too."""
+    r, c = ret(spark, d), written(cov(spark, d))
+    to = S.target(c, kind, r)
+    return rounded(S.shrink(c, to, intensity(r, c, to)))
+
+
 PAIR = "inst_i inst_j"
 add("s1_returns", lambda s, d: rounded(ret(s, d)), sql("SELECT * FROM ret", KEYS, "x", RET))
 add("s2_covariance", lambda s, d: rounded(cov(s, d)), sql("SELECT * FROM cov", PAIR, "cov", RET))
 add("s3_correlation", lambda s, d: rounded(S.correlation(cov(s, d))), sql("SELECT inst_i, inst_j, cov / sqrt(vi * vj) AS corr FROM cv", PAIR, "corr", RET))
 add("s4_const_corr", lambda s, d: rounded(S.target(cov(s, d), "const_corr")), sql("SELECT inst_i, inst_j, CASE WHEN inst_i = inst_j THEN cov ELSE r * sqrt(vi * vj) END AS target FROM cv, (SELECT avg(cov / sqrt(vi * vj)) AS r FROM cv WHERE inst_i <> inst_j)", PAIR, "target", RET))
 add("s4_single_factor", lambda s, d: rounded(S.target(cov(s, d), "single_factor", ret(s, d))), sql("SELECT inst_i, inst_j, CASE WHEN inst_i = inst_j THEN cov ELSE a.c * b.c / v END AS target FROM cov JOIN be a ON a.instrument = inst_i JOIN be b ON b.instrument = inst_j, (SELECT avg(m * m) AS v FROM (SELECT DISTINCT datetime, m FROM mk))", PAIR, "target", RET + ", mk AS (SELECT *, avg(x) OVER (PARTITION BY datetime) AS m FROM ret), be AS (SELECT instrument, sum(x * m) / count(*) AS c FROM mk GROUP BY 1)"))
-add("s5_shrunk_oas", lambda s, d: rounded(S.shrink(cov(s, d), S.target(cov(s, d), "const_var"), S.oas_alpha(cov(s, d), 2000))), sql("SELECT inst_i, inst_j, al * CASE WHEN inst_i = inst_j THEN mv ELSE 0 END + (1 - al) * cov AS cov FROM cov, (SELECT ((1 - 2 / p) * (ss + tr * tr) / ((2001 - 2 / p) * (ss + tr * tr / p))) AS al, tr / p AS mv FROM (SELECT sum(cov * cov) AS ss, sum(CASE WHEN inst_i = inst_j THEN cov ELSE 0 END) AS tr, count(DISTINCT inst_i) AS p FROM cov))", PAIR, "cov", RET))
-add("s5_shrunk_lw", lambda s, d: rounded(S.shrink(cov(s, d), S.target(cov(s, d), "const_var"), S.lw_alpha(ret(s, d), cov(s, d), S.target(cov(s, d), "const_var")))), sql("SELECT inst_i, inst_j, al * CASE WHEN inst_i = inst_j THEN mv ELSE 0 END + (1 - al) * cov AS cov FROM cov, (SELECT mv, greatest(0, least(1, (q / n - ss) / n / dist)) AS al FROM (SELECT sum(a.x * a.x * b.x * b.x) AS q FROM ret a JOIN ret b USING (datetime)), (SELECT count(DISTINCT datetime) AS n FROM ret), (SELECT sum(cov * cov) AS ss, any_value(mv) AS mv, sum(pow(cov - CASE WHEN inst_i = inst_j THEN mv ELSE 0 END, 2)) AS dist FROM cov, (SELECT avg(v) AS mv FROM vr)))", PAIR, "cov", RET))
+add("s5_shrunk_oas", lambda s, d: shrunk(s, d, "const_var", lambda r, c, to: S.oas_alpha(c, 2000)), sql("SELECT inst_i, inst_j, al * CASE WHEN inst_i = inst_j THEN mv ELSE 0 END + (1 - al) * cov AS cov FROM cov, (SELECT ((1 - 2 / p) * (ss + tr * tr) / ((2001 - 2 / p) * (ss + tr * tr / p))) AS al, tr / p AS mv FROM (SELECT sum(cov * cov) AS ss, sum(CASE WHEN inst_i = inst_j THEN cov ELSE 0 END) AS tr, count(DISTINCT inst_i) AS p FROM cov))", PAIR, "cov", RET))
+add("s5_shrunk_lw", lambda s, d: shrunk(s, d, "const_var", S.lw_alpha), sql("SELECT inst_i, inst_j, al * CASE WHEN inst_i = inst_j THEN mv ELSE 0 END + (1 - al) * cov AS cov FROM cov, (SELECT mv, greatest(0, least(1, (q / n - ss) / n / dist)) AS al FROM (SELECT sum(a.x * a.x * b.x * b.x) AS q FROM ret a JOIN ret b USING (datetime)), (SELECT count(DISTINCT datetime) AS n FROM ret), (SELECT sum(cov * cov) AS ss, any_value(mv) AS mv, sum(pow(cov - CASE WHEN inst_i = inst_j THEN mv ELSE 0 END, 2)) AS dist FROM cov, (SELECT avg(v) AS mv FROM vr)))", PAIR, "cov", RET))
 
 # the intensities by their definition over all pairs of instruments and dates
 LW = RET + ", mk AS (SELECT *, avg(x) OVER (PARTITION BY datetime) AS m FROM ret), tt AS (SELECT count(DISTINCT datetime)::DOUBLE AS t, (SELECT avg(m * m) FROM (SELECT DISTINCT datetime, m FROM mk)) AS vm FROM mk), ea AS (SELECT instrument AS i, avg(x * m) AS c FROM mk GROUP BY 1), rb AS (SELECT avg(cov / sqrt(vi * vj)) AS r FROM cv WHERE inst_i <> inst_j), pq AS MATERIALIZED (SELECT a.instrument AS inst_i, b.instrument AS inst_j, sum(a.x * a.x * b.x * b.x) AS yy, sum(pow(a.x, 3) * b.x) AS x3, sum(a.x * a.x * b.x * b.m) AS yz, sum(a.x * a.m * b.x * b.m) AS zz FROM mk a JOIN mk b USING (datetime) GROUP BY 1, 2), al AS MATERIALIZED (SELECT pq.*, cv.cov, vi, vj, t, vm, r, a.c AS ci, b.c AS cj, inst_i = inst_j AS same, CASE WHEN inst_i = inst_j THEN cov ELSE r * sqrt(vi * vj) END AS f1, CASE WHEN inst_i = inst_j THEN cov ELSE a.c * b.c / vm END AS f2 FROM pq JOIN cv USING (inst_i, inst_j) JOIN ea a ON a.i = inst_i JOIN ea b ON b.i = inst_j, tt, rb)"
@@ -161,7 +171,33 @@ for _kind, _f, _rho in (
     ("const_corr", "f1", _own + "r * sqrt(vj / vi) * (x3 / t - vi * cov) END"),
     ("single_factor", "f2", _own + "2 * (yz / t - ci * cov) * cj / vm - (zz / t - vm * cov) * ci * cj / (vm * vm) END"),
 ):
-    add(f"s5_lw_{_kind}", lambda s, d, k=_kind: rounded(S.shrink(cov(s, d), S.target(cov(s, d), k, ret(s, d)), S.lw_alpha(ret(s, d), cov(s, d), S.target(cov(s, d), k, ret(s, d)), k))), sql(_mixed(_f, _rho), PAIR, "cov", LW))
-add("s6_structured", lambda s, d: rounded(S.structured_covariance(ret(s, d), 5), 3))
-add("s7_poet", lambda s, d: rounded(S.structured_covariance(ret(s, d), 3, 0.05, "soft"), 3))
+    add(f"s5_lw_{_kind}", lambda s, d, k=_kind: shrunk(s, d, k, lambda r, c, to: S.lw_alpha(r, c, to, k)), sql(_mixed(_f, _rho), PAIR, "cov", LW))
+
+
+def _axes(k: int, squarings: int = 24) -> str:
+    """CTEs of the ``k`` leading projectors (i, j, v) of the returns' covariance, absent returns 0, by squaring and taking away."""
+    out = [
+        RET,
+        "nt AS (SELECT count(DISTINCT datetime)::DOUBLE AS n, count(DISTINCT instrument)::DOUBLE AS p FROM ret), ids AS (SELECT DISTINCT instrument AS i FROM ret)",
+        "x0 AS MATERIALIZED (SELECT d.datetime, ids.i, coalesce(x, 0) AS x FROM (SELECT DISTINCT datetime FROM ret) d CROSS JOIN ids LEFT JOIN ret ON ret.datetime = d.datetime AND instrument = i)",
+        "a0 AS MATERIALIZED (SELECT a.i, b.i AS j, covar_samp(a.x, b.x) AS v FROM x0 a JOIN x0 b USING (datetime) GROUP BY ALL)",
+    ]
+    for f in range(k):
+        out.append(f"b{f}_0 AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM a{f} WHERE i = j) AS v FROM a{f})")
+        for m in range(squarings):
+            out.append(f"c{f}_{m} AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM b{f}_{m} a JOIN b{f}_{m} b ON a.j = b.i GROUP BY ALL)")
+            out.append(f"b{f}_{m + 1} AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM c{f}_{m} WHERE i = j) AS v FROM c{f}_{m})")
+        out.append(f"a{f + 1} AS MATERIALIZED (SELECT i, j, a.v - p.v * (SELECT sum(a.v * p.v) FROM a{f} a JOIN b{f}_{squarings} p USING (i, j)) AS v FROM a{f} a JOIN b{f}_{squarings} p USING (i, j))")
+    every = " UNION ALL ".join(f"SELECT * FROM b{f}_{squarings}" for f in range(k))
+    out.append(f"pj AS MATERIALIZED (SELECT i, j, sum(v) AS v FROM ({every}) GROUP BY ALL)")
+    out.append("fr AS MATERIALIZED (SELECT datetime, i, fit, x - fit AS u FROM x0 JOIN (SELECT datetime, pj.i, sum(pj.v * x) AS fit FROM x0 JOIN pj ON x0.i = pj.j GROUP BY ALL) USING (datetime, i))")
+    return ", ".join(out)
+
+
+add("s6_structured", lambda s, d: rounded(S.structured_covariance(ret(s, d), 5), 3), sql(
+    "SELECT a.i AS inst_i, b.i AS inst_j, covar_samp(a.fit, b.fit) + CASE WHEN a.i = b.i THEN var_pop(a.u) ELSE 0 END AS cov FROM fr a JOIN fr b USING (datetime) GROUP BY a.i, b.i", PAIR, "cov", _axes(5), 3))
+add("s7_poet", lambda s, d: rounded(S.structured_covariance(ret(s, d), 3, 0.05, "soft"), 3), sql(
+    "SELECT m.i AS inst_i, m.j AS inst_j, low + CASE WHEN m.i = m.j THEN u ELSE sign(u) * greatest(abs(u) / sqrt(vi * vj) - 0.05 * (1 / sqrt(p) + sqrt(ln(p) / n)), 0) * sqrt(vi * vj) END AS cov FROM m, nt",
+    PAIR, "cov", _axes(3) + ", m0 AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.fit * b.fit) / count(*) AS low, sum(a.u * b.u) / count(*) AS u FROM fr a JOIN fr b USING (datetime) GROUP BY ALL)"
+    ", m AS (SELECT m0.*, a.u AS vi, b.u AS vj FROM m0 JOIN m0 a ON a.i = m0.i AND a.j = m0.i JOIN m0 b ON b.i = m0.j AND b.j = m0.j)", 3))
 add("x1_linear", lambda s, d: rounded(S.linear_score(scores(s, d).where("datetime < '1999-01-01'").withColumn("y", F.ln(F.col("label") + 1)), scores(s, d).where("datetime >= '1999-01-01'"), ["score", "volume"], "y"), 4), sql("SELECT instrument, datetime, b0 + b1 * score + b2 * volume AS score FROM scores, (SELECT my - b1 * m1 - b2 * m2 AS b0, b1, b2 FROM (SELECT *, (c1 * v2 - c2 * c12) / (v1 * v2 - c12 * c12) AS b1, (c2 * v1 - c1 * c12) / (v1 * v2 - c12 * c12) AS b2 FROM (SELECT avg(y) AS my, avg(score) AS m1, avg(volume) AS m2, covar_pop(y, score) AS c1, covar_pop(y, volume) AS c2, covar_pop(score, volume) AS c12, var_pop(score) AS v1, var_pop(volume) AS v2 FROM (SELECT *, ln(label + 1) AS y FROM scores WHERE label IS NOT NULL AND datetime < '1999-01-01')))) WHERE datetime >= '1999-01-01'", KEYS, "score", digits=4))

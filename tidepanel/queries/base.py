@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidepanel.sources.tables import align_calendar, brand_bars, calendar_of, read
+from tidepanel.sources.scratch import changed_at, scratch_dir
+from tidepanel.sources.store import StoredPanel, save_panel
+from tidepanel.sources.tables import brand_bars, read
 
 SHIFT = 0.03711
 def by_time():
@@ -31,21 +33,25 @@ scores AS MATERIALIZED (SELECT * FROM (SELECT instrument, datetime, idx, vwap /
 TICKS = "ticks AS (SELECT event_type AS instrument, ts AS datetime, event_id, value FROM events)"
 
 
-def scratch(spark: SparkSession) -> str:
-    """A folder for written tables: the session's spark.checkpoint.dir, or a local one on one machine."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path is None and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-    return path or tempfile.gettempdir()
+#: Panels that this session has stored, by what they were made of.
+_stored: dict[tuple, StoredPanel] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> StoredPanel:
+    """The panel of brands, stored at the first query that asks for it and again when its tables have changed."""
+    made_of = (spark.sparkContext.applicationId, sf_dir, *[changed_at(spark, f"{sf_dir}/{t}.parquet") for t in ("part", "lineitem")])
+    found = _stored.get(made_of)
+    if found is None or changed_at(spark, f"{found.path}/layout/_SUCCESS") is None:
+        found = _stored[made_of] = save_panel(brand_bars(spark, sf_dir), f"{scratch_dir(spark)}/panel-{uuid.uuid4().hex}")
+    return StoredPanel(spark, found.path, found.name)
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return brand_bars(spark, sf_dir)
+    return stored(spark, sf_dir).bars()
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = brand_bars(spark, sf_dir)
-    return align_calendar(b, calendar_of(b))
+    return stored(spark, sf_dir).panel()
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +67,7 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def market(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A daily series (datetime, return, bench, cost, turnover) from mean bars; returns are small differences."""
-    b = brand_bars(spark, sf_dir)
+    b = bars(spark, sf_dir)
     day = b.groupBy("datetime").agg(F.avg(F.col("close") / F.col("open") - 1).alias("return"), F.avg(F.col("vwap") / F.col("open") - 1).alias("bench"), F.sum("volume").alias("turnover"))
     return day.withColumn("cost", F.lit(0.001))
 

@@ -13,7 +13,8 @@ from tidepanel.operators import pit as P
 from tidepanel.operators import prepare as T
 from tidepanel.operators import processors as N
 from tidepanel.plans import features as L
-from tidepanel.queries.base import BARS, MARKET, TICKS, bars, market, panel, rounded, scores, scratch, sql, ticks
+from tidepanel.queries.base import BARS, MARKET, TICKS, bars, market, panel, rounded, scores, sql, ticks
+from tidepanel.sources.scratch import scratch_dir
 from tidepanel.sources import tables as A
 from tidepanel.sources.tables import calendar_of
 
@@ -204,7 +205,7 @@ add("t7_intraday_factor", t7_factor, sql(
 
 # A: tables written and read back
 def _folder(spark, name):
-    return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def a1_read_bars(spark, d):

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidepanel.functions import expressions as E
+from tidepanel.functions import registry as K
 from tidepanel.operators import datasets as O
 from tidepanel.operators import pit as P
 from tidepanel.operators import processors as N
 from tidepanel.plans import features as L
-from tidepanel.queries.base import BARS, TICKS, bars, panel, rounded, scores, sql, ticks
+from tidepanel.queries.base import BARS, TICKS, bars, panel, rounded, scores, sql, stored, ticks
 from tidepanel.sources.tables import calendar_of
 
 QUERIES, ORACLES = {}, {}
@@ -27,7 +28,7 @@ def expressions(name: str, exprs: dict, sql_columns: dict[str, str], windows: st
     doubles = list(exprs) if doubles is None else doubles
     others = [c for c in exprs if c not in doubles]
     body = "SELECT instrument, datetime, " + ", ".join(f'{v} AS "{k}"' for k, v in sql_columns.items()) + f" FROM {extra or 'panel'} {windows}"
-    add(name, lambda spark, d: rounded(E.evaluate(panel(spark, d), exprs)), sql(body, ["instrument", "datetime", *others], doubles))
+    add(name, lambda spark, d: rounded(E.evaluate(stored(spark, d).rows(), exprs)), sql(body, ["instrument", "datetime", *others], doubles))
 
 
 o, h, lo, c, v = (E.feature(f) for f in ("open", "high", "low", "close", "volume"))
@@ -84,6 +85,30 @@ expressions(
 _ewm = lambda k: f"sum(close * pow({k}::DOUBLE, -slot)) OVER x / nullif(sum(CASE WHEN close IS NOT NULL THEN pow({k}::DOUBLE, -slot) END) OVER x, 0)"
 expressions("e_ema", {"ema10": E.ema(c, 10), "ema_half": E.ema(c, 0.2), "cross": E.ema(c, 10) - E.ema(c, 20)}, {
     "ema10": _ewm("(9.0::DOUBLE / 11.0::DOUBLE)"), "ema_half": _ewm("0.8"), "cross": f"{_ewm('(9.0::DOUBLE / 11.0::DOUBLE)')} - {_ewm('(19.0::DOUBLE / 21.0::DOUBLE)')}"}, W5)
+# E12 to E15 and E22 over all rows so far
+_exp = lambda f: f"{f} OVER x"
+expressions("e_expanding", {"med_": E.med(c, 0), "quantile_": E.quantile(c, 0, 0.8), "rank_": E.rank(c, 0), "mad_": E.mad(c, 0), "ema_": E.ema(v, 0)}, {
+    "med_": _exp("quantile_cont(close, 0.5)"), "quantile_": _exp("quantile_cont(close, 0.8)"),
+    "rank_": f"CASE WHEN close IS NOT NULL THEN (list_sum(list_transform(list_filter({_exp('list(close)')}, lambda z: z IS NOT NULL), lambda z: CASE WHEN z < close THEN 1.0 WHEN z = close THEN 0.5 ELSE 0 END)) + 0.5) / {_exp('count(close)')} END",
+    "mad_": f"list_avg(list_transform(list_filter({_exp('list(close)')}, lambda z: z IS NOT NULL), lambda z: abs(z - {_exp('avg(close)')})))",
+    "ema_": f"list_sum(list_transform({_exp('list(struct_pack(v := coalesce(volume, 0), s := slot))')}, lambda z: z.v * pow(1 - 2 / (1.0::DOUBLE + slot), slot - z.s))) / list_sum(list_transform({_exp('list(slot)')}, lambda z: pow(1 - 2 / (1.0::DOUBLE + slot), slot - z)))",
+}, W5)
+
+# K1: operators by name, of which some are the user's
+_own = {
+    "Diff": lambda x: E.sub(x, E.ref(x, 1)), "Distance": K.elementwise("Distance", lambda a, b: F.abs(a.cast("double") - b.cast("double"))),
+    "Range": K.over_frame("Range", lambda x: x.max() - x.min()), "Apart": K.over_frame("Apart", lambda x, y: (x - y).abs().mean()),
+}
+
+
+def k1_registered(spark, d):
+    K.register_all(_own)
+    e = {"diff_": K.operator("Diff")(c), "distance_": K.operator("Distance")(c, K.operator("Ref")(c, 1)), "range_": K.operator("Range")(c, 5), "apart_": K.operator("Apart")(c, o, 5)}
+    return rounded(E.evaluate(stored(spark, d).rows(), e))
+
+
+add("k1_registered", k1_registered, sql("SELECT instrument, datetime, close - lag(close) OVER w AS diff_, abs(close - lag(close) OVER w) AS distance_, max(close) OVER f - min(close) OVER f AS range_, avg(abs(close - open)) OVER f AS apart_ FROM panel "
+                                        + W5.replace("9 PRECEDING", "4 PRECEDING"), KEYS, "diff_ distance_ range_ apart_"))
 expressions("f_pairs", {"corr_": E.corr(c, v, 20), "cov_": E.cov(c, v, 20)}, {
     "corr_": f"CASE WHEN stddev_samp(close) OVER f > 2e-5 AND stddev_samp(volume) OVER f > 2e-5 THEN {_corr('close', 'volume', 'f')} END", "cov_": "covar_samp(close, volume) OVER f"}, W5.replace("9 PRECEDING", "19 PRECEDING"))
 expressions("g_fill", {"ffill_": E.ffill(c), "bfill_": E.bfill(c)}, {
@@ -99,7 +124,7 @@ for _d in range(59, -1, -1):
     for _f in ("CLOSE", "OPEN", "HIGH", "LOW", "VWAP"):
         _a360[f"{_f}{_d}"] = f"lag({_f.lower()}, {_d}) OVER w / close" if _d else f"{_f.lower()} / close"
     _a360[f"VOLUME{_d}"] = (f"lag(volume, {_d}) OVER w" if _d else "volume") + " / (volume + 1e-12)"
-add("l6_alpha360", lambda spark, d: rounded(L.alpha360_frame(panel(spark, d))), sql("SELECT instrument, datetime, " + ", ".join(f'{_a360[k]} AS "{k}"' for k in L.alpha360()) + f" FROM panel {W5}", ["instrument", "datetime"], list(L.alpha360())))
+add("l6_alpha360", lambda spark, d: rounded(L.alpha360_frame(stored(spark, d).rows())), sql("SELECT instrument, datetime, " + ", ".join(f'{_a360[k]} AS "{k}"' for k in L.alpha360()) + f" FROM panel {W5}", ["instrument", "datetime"], list(L.alpha360())))
 
 # The 158 columns, as one select over shared windows
 _PRE = "(SELECT *, close - pc AS dc, volume - pv AS dv, abs(close / pc - 1) * volume AS wv, coalesce(close > pc, false)::INT::DOUBLE AS up, coalesce(close < pc, false)::INT::DOUBLE AS dn, ln(volume + 1) AS lv, close / pc AS rc, ln(volume / pv + 1) AS rv FROM (SELECT *, slot::DOUBLE AS t, lag(close) OVER z AS pc, lag(volume) OVER z AS pv FROM panel WINDOW z AS (PARTITION BY instrument ORDER BY datetime)))"
@@ -140,8 +165,8 @@ _exprs = {"MA5": E.mean(c, 5) / c, "FWD": E.ref(c, -1) / c - 1}
 
 
 def m1_features(spark, d):
-    p = panel(spark, d)
-    return rounded(O.features(p, calendar_of(bars(spark, d)), _exprs, "1997-01-01", "1997-12-31"))
+    kept = stored(spark, d)
+    return rounded(O.features(kept.rows(), kept.calendar(), _exprs, "1997-01-01", "1997-12-31"))
 
 
 add("m1_features", m1_features, sql("SELECT * FROM (SELECT instrument, datetime, avg(close) OVER f / close AS \"MA5\", lead(close) OVER w / close - 1 AS \"FWD\" FROM panel WINDOW w AS (PARTITION BY instrument ORDER BY datetime), f AS (PARTITION BY instrument ORDER BY datetime ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) WHERE datetime BETWEEN '1997-01-01' AND '1997-12-31'", KEYS, "MA5 FWD"))
@@ -188,7 +213,7 @@ add("n8_min_max", lambda s, d: rounded(N.min_max_norm(_base(s, d), ["volume"], *
 add("n9_zscore", lambda s, d: rounded(N.zscore_norm(_base(s, d), ["score", "volume"], *_R)), sql(f"SELECT instrument, datetime, (score - m) / sd AS score, (volume - mv) / sv AS volume, label FROM scores, (SELECT avg(score) AS m, stddev_pop(score) AS sd, avg(volume) AS mv, stddev_pop(volume) AS sv FROM scores WHERE {_in})", KEYS, "score volume label"))
 add("n10_robust", lambda s, d: rounded(N.robust_norm(_base(s, d), ["volume"], *_R)), sql(f"SELECT instrument, datetime, score, greatest(-3, least(3, (volume - m) / ((mad + 1e-12) * 1.4826))) AS volume, label FROM scores, (SELECT m, median(abs(volume - m)) AS mad FROM scores, (SELECT median(volume) AS m FROM scores WHERE {_in}) WHERE {_in} GROUP BY m)", KEYS, "score volume label"))
 add("n11_cs_zscore", lambda s, d: rounded(N.cs_zscore(_base(s, d), ["volume"])), sql("SELECT instrument, datetime, score, (volume - avg(volume) OVER d) / nullif(stddev_samp(volume) OVER d, 0) AS volume, label FROM scores WINDOW d AS (PARTITION BY datetime)", KEYS, "score volume label"))
-add("n12_cs_robust", lambda s, d: rounded(N.cs_robust(_base(s, d), ["volume"])), sql("SELECT instrument, datetime, score, greatest(-3, least(3, (volume - m) / nullif(1.4826 * median(abs(volume - m)) OVER (PARTITION BY datetime), 0))) AS volume, label FROM (SELECT *, median(volume) OVER (PARTITION BY datetime) AS m FROM scores)", KEYS, "score volume label"))
+add("n12_cs_robust", lambda s, d: rounded(N.cs_robust(_base(s, d), ["volume"])), sql("SELECT instrument, datetime, score, CASE WHEN x IS NOT NULL THEN greatest(-3, least(3, x)) END AS volume, label FROM (SELECT *, (volume - m) / nullif(1.4826 * median(abs(volume - m)) OVER (PARTITION BY datetime), 0) AS x FROM (SELECT *, median(volume) OVER (PARTITION BY datetime) AS m FROM scores))", KEYS, "score volume label"))
 add("n13_cs_rank", lambda s, d: rounded(N.cs_rank(_base(s, d), ["volume", "label"])), sql("SELECT instrument, datetime, score, ((rank() OVER (PARTITION BY datetime ORDER BY volume) + (count(*) OVER (PARTITION BY datetime, volume) - 1) / 2.0) / count(volume) OVER (PARTITION BY datetime) - 0.5) * 3.46 AS volume, CASE WHEN label IS NOT NULL THEN ((rank() OVER (PARTITION BY datetime ORDER BY label NULLS LAST) + (count(*) OVER (PARTITION BY datetime, label) - 1) / 2.0) / count(label) OVER (PARTITION BY datetime) - 0.5) * 3.46 END AS label FROM scores", KEYS, "score volume label"))
 add("n14_cs_fill", lambda s, d: rounded(N.cs_fill(_base(s, d), ["label"])), sql("SELECT instrument, datetime, score, volume, coalesce(label, avg(label) OVER (PARTITION BY datetime)) AS label FROM scores", KEYS, "score volume label"))
 add("n16_high_freq_norm", lambda s, d: rounded(N.high_freq_norm(_base(s, d).drop("label"), {"volume": ["volume"], "price": ["score"]}, *_R)), sql(f"SELECT instrument, datetime, (ln(1 + volume) - mv) / sv AS volume, (score - mp) / sp AS score FROM scores, (SELECT mv, mp, stddev_pop(abs(ln(1 + volume) - mv)) AS sv, stddev_pop(abs(score - mp)) AS sp FROM scores, (SELECT avg(ln(1 + volume)) AS mv, avg(score) AS mp FROM scores WHERE {_in}) WHERE {_in} GROUP BY mv, mp)", KEYS, "score volume"))
@@ -207,6 +232,8 @@ add("h1_resample", lambda s, d: rounded(P.resample(ticks(s, d), "6 HOURS", {"tot
     KEYS, "total last mean", TICKS + ", t AS (SELECT *, time_bucket(INTERVAL 6 HOURS, datetime, TIMESTAMP '1970-01-01') AS b FROM ticks)"))
 add("h2_resample_ts", lambda s, d: rounded(P.resample_ts(panel(s, d), "1996-01-01", "1999-12-31", "ts_data_last", "close")), sql("SELECT instrument, last(close ORDER BY datetime) AS close FROM panel WHERE datetime BETWEEN '1996-01-01' AND '1999-12-31' AND close IS NOT NULL GROUP BY 1", "instrument", "close"))
 add("e23_time_window", lambda s, d: rounded(ticks(s, d).select("instrument", "datetime", "event_id", P.time_window(ticks(s, d), 600, F.avg).alias("m"))), sql("SELECT instrument, datetime, event_id, avg(value) OVER (PARTITION BY instrument ORDER BY datetime RANGE BETWEEN INTERVAL '599.999999' SECOND PRECEDING AND CURRENT ROW) AS m FROM ticks", KEYS + " event_id", "m", TICKS))
+_spread = K.frame_function(lambda x: x.max() - x.min() if x.notna().any() else float("nan"))
+add("e23_time_function", lambda s, d: rounded(ticks(s, d).select("instrument", "datetime", "event_id", P.time_window(ticks(s, d), 600, _spread).alias("m"))), sql("SELECT instrument, datetime, event_id, max(value) OVER g - min(value) OVER g AS m FROM ticks WINDOW g AS (PARTITION BY instrument ORDER BY datetime RANGE BETWEEN INTERVAL '599.999999' SECOND PRECEDING AND CURRENT ROW)", KEYS + " event_id", "m", TICKS))
 add("l10_change_rate", lambda s, d: rounded(P.change_rate(ticks(s, d).where("value > 0").groupBy("instrument", "datetime").agg(F.min_by("value", "event_id").alias("value")), 3600).select("instrument", "datetime", "depth", "intensity")), sql("SELECT instrument, datetime, avg(value) OVER w AS depth, count(value) OVER w AS intensity FROM ticks WHERE value > 0 WINDOW w AS (PARTITION BY instrument ORDER BY datetime RANGE BETWEEN INTERVAL '3599.999999' SECOND PRECEDING AND CURRENT ROW)", KEYS + " intensity", "depth", TICKS))
 add("g2_day_last", lambda s, d: rounded(E.evaluate(ticks(s, d).groupBy("instrument", "datetime").agg(F.max("value").alias("value")), {"last": E.day_last(E.feature("value")), "cum": E.day_cumsum(E.feature("value"), "09:30", "11:29")})), sql("SELECT instrument, datetime, last_value(value) OVER (PARTITION BY instrument, datetime::DATE ORDER BY datetime ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last, CASE WHEN k THEN sum(CASE WHEN k THEN value END) OVER (PARTITION BY instrument, datetime::DATE ORDER BY datetime ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) ELSE 0 END AS cum FROM (SELECT instrument, datetime, max(value) AS value, strftime(datetime, '%H:%M') BETWEEN '09:30' AND '11:29' AS k FROM ticks GROUP BY 1, 2)", KEYS, "last cum", TICKS))
 add("g7_cut", lambda s, d: rounded(P.cut_ends(bars(s, d).select("instrument", "datetime", "close"), 5, 3)), sql("SELECT instrument, datetime, close FROM (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY datetime) AS i, row_number() OVER (PARTITION BY instrument ORDER BY datetime DESC) AS j FROM bars) WHERE i > 5 AND j > 3", KEYS, "close"))

@@ -29,7 +29,18 @@ def brand_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars (instrument, datetime, open ...) of part brands by ship date.  The order within a day is by the row's own values."""
     part = read(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("instrument"))
     item = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
-    rows = item.join(part, item.l_partkey == part.p_partkey).withColumn("price", F.col("l_extendedprice") / F.col("l_quantity"))
+    return item_bars(item.join(part, item.l_partkey == part.p_partkey))
+
+
+def supplier_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of suppliers."""
+    item = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    return item_bars(item.withColumn("instrument", F.col("l_suppkey").cast("string")))
+
+
+def item_bars(rows: DataFrame) -> DataFrame:
+    """Daily bars of line items with an ``instrument``."""
+    rows = rows.withColumn("price", F.col("l_extendedprice") / F.col("l_quantity"))
     order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     return rows.groupBy("instrument", F.col("l_shipdate").alias("datetime")).agg(
         F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"),
@@ -46,16 +57,22 @@ def spans_of(bars: DataFrame) -> DataFrame:
     return bars.groupBy("instrument").agg(F.min("datetime").alias("start"), F.max("datetime").alias("end"))
 
 
-def align_calendar(bars: DataFrame, calendar: DataFrame) -> DataFrame:
-    """A5: every instrument on all slots between its own first and last; gaps have missing fields.
+def aligned(bars: DataFrame, calendar: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(every instrument on all slots between its own first and last, its span).  Rows have their ``_slot``, from 1.
 
-    Spans are two dates an instrument; their positions are joined to the calendar as a sequence, so no range join is planned.
+    Bars get their calendar position once; an instrument's least and largest are its span, which is laid out as a
+    sequence, so no range join is planned.  ``bars`` is read twice: pass a stored table.
     """
     at = calendar.select("datetime", "idx")
-    first, last = (at.select(F.col("datetime").alias(c), F.col("idx").alias(f"_{c}")) for c in ("start", "end"))
-    spans = spans_of(bars).join(first, "start").join(last, "end")
-    grid = spans.select("instrument", F.explode(F.sequence("_start", "_end")).alias("idx")).join(at, "idx")
-    return grid.join(bars, ["instrument", "datetime"], "left")
+    ends = bars.join(at, "datetime").groupBy("instrument").agg(F.min("idx").alias("_start"), F.max("idx").alias("_end"), F.min("datetime").alias("start"), F.max("datetime").alias("end"))
+    slot = (F.col("idx") - F.col("_start") + 1).cast("int").alias("_slot")
+    grid = ends.select("instrument", "_start", F.explode(F.sequence("_start", "_end")).alias("idx")).join(at, "idx").select("instrument", "datetime", "idx", slot)
+    return grid.join(bars, ["instrument", "datetime"], "left"), ends.select("instrument", "start", "end")
+
+
+def align_calendar(bars: DataFrame, calendar: DataFrame) -> DataFrame:
+    """A5: every instrument on all slots between its own first and last; gaps have missing fields."""
+    return aligned(bars, calendar)[0].drop("_slot")
 
 
 def build_panel(bars: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
