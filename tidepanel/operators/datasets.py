@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidepanel.functions.expressions import Expr, evaluate, reach
+from tidepanel.sources.scratch import written
 
 
 def features(panel: DataFrame, calendar: DataFrame, exprs: dict[str, Expr], start, end) -> DataFrame:
@@ -142,16 +143,43 @@ def rolling_splits(cal: DataFrame, train: tuple[int, int], valid: tuple[int, int
     return out.select(F.col("fold").cast("long").alias("fold"), "s.segment", start.cast("long").alias("start_idx"), end.cast("long").alias("end_idx")).where("start_idx <= end_idx")
 
 
-def refit_per_fold(raw: DataFrame, folds: DataFrame, fits: dict[str, Column], apply: dict[str, Column], fit_on: str = "train") -> DataFrame:
-    """The rows of every fold's segments, transformed with parameters fitted on that fold's own range.
+def fold_moments(raw: DataFrame, ranges: DataFrame, cols: list[str]) -> DataFrame:
+    """For each fold of ``ranges`` (fold, start_idx, end_idx) and column c: n_c, mean_c, var_c (population), min_c and max_c.
 
-    ``raw`` (instrument, datetime, idx, ...) is computed once; ``folds`` are those of ``rolling_splits``.  ``fits`` are aggregates over
-    the fold's ``fit_on`` segment and ``apply`` makes columns from them.  A fold's ranges are spread over calendar positions, so the
-    join is by position, and parameters are one row a fold.
+    Rows are reduced to one row of mergeable moments a calendar position first; folds combine those, so what they share is
+    computed once.  Squares are about the column's overall mean, which keeps their digits.
     """
-    days = folds.select("fold", "segment", F.explode(F.sequence("start_idx", "end_idx")).alias("idx"))
-    rows = raw.join(days, "idx")
-    params = rows.where(F.col("segment") == fit_on).groupBy("fold").agg(*[a.alias(n) for n, a in fits.items()])
+    parts = [a for c in cols for x in [F.col(c)] for a in (F.count(x).alias(f"n_{c}"), F.avg(x).alias(f"m_{c}"), (F.var_pop(x) * F.count(x)).alias(f"q_{c}"), F.min(x).alias(f"a_{c}"), F.max(x).alias(f"b_{c}"))]
+    days = written(raw.groupBy("idx").agg(*parts))
+    centre = days.agg(*[(F.sum(F.col(f"n_{c}") * F.col(f"m_{c}")) / F.sum(f"n_{c}")).alias(f"o_{c}") for c in cols])
+    reached = ranges.select("fold", F.explode(F.sequence("start_idx", "end_idx")).alias("idx")).join(days, "idx").crossJoin(F.broadcast(centre))  # one row
+    made = []
+    for c in cols:
+        n, off = F.sum(f"n_{c}"), F.col(f"m_{c}") - F.col(f"o_{c}")
+        shift = F.sum(F.col(f"n_{c}") * off) / n
+        spread = F.sum(F.coalesce(F.col(f"q_{c}"), F.lit(0.0)) + F.col(f"n_{c}") * F.coalesce(off * off, F.lit(0.0))) / n - shift * shift
+        made += [n.alias(f"n_{c}"), (shift + F.max(f"o_{c}")).alias(f"mean_{c}"), F.greatest(spread, F.lit(0.0)).alias(f"var_{c}"), F.min(f"a_{c}").alias(f"min_{c}"), F.max(f"b_{c}").alias(f"max_{c}")]
+    return reached.groupBy("fold").agg(*made)
+
+
+#: Fits of ``refit_per_fold`` from a fold's moments.
+FITS = {
+    "count": lambda c: F.col(f"n_{c}"), "mean": lambda c: F.col(f"mean_{c}"), "std_pop": lambda c: F.sqrt(f"var_{c}"), "min": lambda c: F.col(f"min_{c}"), "max": lambda c: F.col(f"max_{c}"),
+    "std": lambda c: F.sqrt(F.col(f"var_{c}") * F.col(f"n_{c}") / F.nullif(F.col(f"n_{c}") - 1, F.lit(0))),
+}
+
+
+def refit_per_fold(raw: DataFrame, folds: DataFrame, fits: dict[str, tuple[str, str]], apply: dict[str, Column], fit_on: str = "train", segments: tuple[str, ...] | None = None) -> DataFrame:
+    """The rows of every fold's ``segments`` (all by default), transformed with parameters fitted on that fold's own range.
+
+    ``raw`` (instrument, datetime, idx, ...) is computed once; ``folds`` are those of ``rolling_splits``.  ``fits`` name (kind, column) of
+    ``FITS`` over the fold's ``fit_on`` segment and ``apply`` makes columns from them.  Rows are joined to folds for the segments
+    that come out alone.
+    """
+    moments = fold_moments(raw, folds.where(F.col("segment") == fit_on), sorted({c for _, c in fits.values()}))
+    params = moments.select("fold", *[FITS[kind](c).alias(n) for n, (kind, c) in fits.items()])
+    wanted = folds.where(F.col("segment").isin(*segments)) if segments else folds
+    rows = raw.join(wanted.select("fold", "segment", F.explode(F.sequence("start_idx", "end_idx")).alias("idx")), "idx")
     return rows.join(params, "fold").withColumns(apply).drop(*fits)
 
 

@@ -15,10 +15,11 @@ def tradability(panel: DataFrame, limit: float | tuple[Column, Column] | None =
     return panel.withColumns({"suspended": suspended, "limit_buy": flag(buy), "limit_sell": flag(sell)})
 
 
-def over_ranges(quotes: DataFrame, ranges: DataFrame, aggregates: dict[str, Column], width: str = "day") -> DataFrame:
-    """H4: for each range (range_id, instrument, start, end) aggregates of the instrument's quotes within it.
+def over_ranges(quotes: DataFrame, ranges: DataFrame, aggregates: dict[str, Column]) -> DataFrame:
+    """H4: for each range (range_id, instrument, start, end) any aggregates of the instrument's quotes within it.
 
-    Ranges are spread over the days they touch, so the join is by (instrument, day) and the times are compared after it.
+    Ranges are spread over the days they touch, so the join is by (instrument, day) and the times are compared after it: for short
+    ranges.  ``range_totals`` takes ranges of any length.
     """
     days = ranges.withColumn("_day", F.explode(F.sequence(F.to_date("start"), F.to_date("end"))))
     hit = days.join(quotes.withColumn("_day", F.to_date("datetime")), ["instrument", "_day"]).where(F.col("datetime").between(F.col("start"), F.col("end")))
@@ -26,16 +27,72 @@ def over_ranges(quotes: DataFrame, ranges: DataFrame, aggregates: dict[str, Colu
     return ranges.join(found, "range_id", "left")
 
 
+def range_totals(quotes: DataFrame, ranges: DataFrame, aggregates: dict[str, tuple[str, Column]], block: str = "month") -> DataFrame:
+    """H4: sums, counts, means, last present values and conjunctions (``sum``, ``count``, ``mean``, ``last``, ``all``) over ranges of any length.
+
+    The ends of the ranges are sorted among the quotes, which carry running totals within blocks of time; a table of a row a block
+    carries them on.  A range's total is what its first block has left, its last block has so far, and the blocks between.  So a
+    range costs two rows however long it is, quotes aren't copied, and no task holds an instrument's whole history.
+
+    Totals are of finite values; a range without present values has missing ones, and so has one that ends before it starts.
+    """
+    makes = {f"_c{i}": c for i, (_, c) in enumerate(aggregates.values())}
+    kinds = dict(zip(makes, (k for k, _ in aggregates.values()), strict=True))
+    time = F.col("datetime").cast("timestamp")
+    # starts come before the quotes of their time, ends after them
+    rows = quotes.select("instrument", time.alias("t"), F.lit(1).alias("o"), F.lit(None).cast(ranges.schema["range_id"].dataType).alias("range_id"), *[c.alias(n) for n, c in makes.items()])
+    for order, c in ((0, "start"), (2, "end")):
+        ends = ranges.where("start <= `end`").select("range_id", "instrument", F.col(c).cast("timestamp").alias("t"), F.lit(order).alias("o"))
+        rows = rows.unionByName(ends, allowMissingColumns=True)
+    rows = rows.withColumn("block", F.date_trunc(block, "t"))
+    sums, lasts = {}, {}
+    for n, kind in kinds.items():
+        c = F.col(n)
+        sums[f"n{n}"] = F.count(c)
+        if kind in ("sum", "mean"):
+            sums[f"s{n}"] = F.sum(c.cast("double"))
+        elif kind == "all":
+            sums[f"f{n}"] = F.count(F.when(~c, 1))
+        elif kind == "last":
+            lasts[f"l{n}"] = F.max(F.when(c.isNotNull(), F.struct("t", c.alias("v"))))
+    w = W.partitionBy("instrument", "block").orderBy("t", "o").rowsBetween(W.unboundedPreceding, 0)
+    none = lambda c: F.coalesce(c, F.lit(0))
+    at = rows.withColumns({k: none(a.over(w)) for k, a in sums.items()} | {k: a.over(w) for k, a in lasts.items()}).where("o <> 1")
+    by = W.partitionBy("instrument").orderBy("block")
+    whole = rows.groupBy("instrument", "block").agg(*[none(a).alias(k) for k, a in sums.items()], *[a.alias(k) for k, a in lasts.items()])
+    whole = whole.withColumns({f"to_{k}": F.sum(k).over(by.rowsBetween(W.unboundedPreceding, 0)) for k in sums})
+    before = {f"before_{k}": none(F.lag(f"to_{k}").over(by)) for k in sums} | {f"before_{k}": F.max(k).over(by.rowsBetween(W.unboundedPreceding, -1)) for k in lasts}
+    whole = whole.withColumns(before).select("instrument", "block", *[F.col(k).alias(f"all_{k}") for k in sums], *[f"to_{k}" for k in sums], *before)
+    at = at.join(whole, ["instrument", "block"])
+    start = lambda c: F.max(F.when(F.col("o") == 0, F.col(c)))
+    end = lambda c: F.max(F.when(F.col("o") == 2, F.col(c)))
+    one = start("block") == end("block")
+
+    def total(k: str) -> Column:
+        apart = (start(f"all_{k}") - start(k)) + end(k) + (end(f"before_{k}") - start(f"to_{k}"))
+        return F.when(one, end(k) - start(k)).otherwise(apart)
+
+    made = []
+    for (name, (kind, _)), n in zip(aggregates.items(), makes, strict=True):
+        there = total(f"n{n}")
+        if kind == "last":
+            value = F.coalesce(end(f"l{n}"), end(f"before_l{n}"))["v"]
+        elif kind == "all":
+            value = total(f"f{n}") == 0
+        else:
+            value = there if kind == "count" else total(f"s{n}") / (there if kind == "mean" else F.lit(1.0))
+        made.append(F.when(there > 0, value).alias(name))
+    return ranges.join(at.groupBy("range_id").agg(*made), "range_id", "left")
+
+
 def tradable_over(quotes: DataFrame, ranges: DataFrame) -> DataFrame:
     """R2: limited only if all bars are; suspended if no bar has a close."""
-    return over_ranges(quotes, ranges, {"limit_buy": F.bool_and("limit_buy"), "limit_sell": F.bool_and("limit_sell"), "suspended": F.bool_and("suspended")})
+    return range_totals(quotes, ranges, {c: ("all", F.col(c)) for c in ("limit_buy", "limit_sell", "suspended")})
 
 
 def deal_price(quotes: DataFrame, ranges: DataFrame, field: str = "vwap") -> DataFrame:
     """The last present price of the range; missing or tiny ones become the last close."""
-    order = F.col("datetime")
-    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), order))
-    out = over_ranges(quotes, ranges, {"_p": last(field), "_c": last("close")})
+    out = range_totals(quotes, ranges, {"_p": ("last", F.col(field)), "_c": ("last", F.col("close"))})
     return out.withColumn("deal_price", F.when(F.col("_p") > 1e-8, F.col("_p")).otherwise(F.col("_c"))).drop("_p", "_c")
 
 
@@ -96,7 +153,8 @@ def base_price(quotes: DataFrame, ranges: DataFrame) -> DataFrame:
     """TWAP and VWAP of prices over 1e-8 in each range."""
     good = F.when(F.col("price") > 1e-8, F.col("price"))
     volume = F.when(F.col("price") > 1e-8, F.col("volume"))
-    return over_ranges(quotes, ranges, {"twap": F.avg(good), "vwap": F.sum(good * volume) / F.nullif(F.sum(volume), F.lit(0.0))})
+    out = range_totals(quotes, ranges, {"twap": ("mean", good), "_a": ("sum", good * volume), "_v": ("sum", volume)})
+    return out.withColumn("vwap", F.col("_a") / F.nullif(F.col("_v"), F.lit(0.0))).drop("_a", "_v")
 
 
 def price_advantage(direction: Column, trade: Column, base: Column) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidepanel.functions.nulls import finite
+from tidepanel.operators.slices import carried, following, frame, over_slices, previous
 
 
 def known_values(records: DataFrame, days: DataFrame, last: str = "value") -> DataFrame:
@@ -74,8 +77,15 @@ def resample(ticks: DataFrame, width: str, aggregates: dict[str, Column], fill:
     ends = found.groupBy("instrument").agg(F.min("datetime").alias("a"), F.max("datetime").alias("b"))
     spine = ends.select("instrument", F.explode(F.sequence("a", "b", F.expr(f"INTERVAL {width}"))).alias("datetime"))
     out = spine.join(found, ["instrument", "datetime"], "left")
-    w = W.partitionBy("instrument").orderBy("datetime").rowsBetween(W.unboundedPreceding, 0)
-    return out.withColumns({c: F.last(c, True).over(w) for c in fill}) if fill else out
+    # slices of a thousand buckets
+    return carried(out, list(fill), 1000 * _seconds(width)) if fill else out
+
+
+def _seconds(width: str) -> float:
+    """Seconds of an interval like ``6 HOURS``."""
+    seconds = {"MICROSECOND": 1e-6, "MILLISECOND": 1e-3, "SECOND": 1, "MINUTE": 60, "HOUR": 3600, "DAY": 86_400, "WEEK": 604_800}
+    parts = width.split()
+    return sum(float(n) * seconds[unit.upper().rstrip("S")] for n, unit in zip(parts[::2], parts[1::2], strict=True))
 
 
 def resample_ts(panel: DataFrame, start, end, method: str, col: str) -> DataFrame:
@@ -89,17 +99,17 @@ def resample_ts(panel: DataFrame, start, end, method: str, col: str) -> DataFram
     return part.groupBy("instrument").agg(make.alias(col))
 
 
-def time_window(ticks: DataFrame, seconds: float, aggregate, col: str = "value") -> Column:
-    """A trailing frame (t - seconds, t] by time."""
-    w = W.partitionBy("instrument").orderBy(F.unix_micros(F.col("datetime").cast("timestamp"))).rangeBetween(-int(seconds * 1_000_000) + 1, 0)
-    return aggregate(finite(F.col(col))).over(w)
+def time_window(ticks: DataFrame, seconds: float, aggregates: dict[str, Callable[[Column], Column]], col: str = "value") -> DataFrame:
+    """Aggregates of a trailing frame (t - seconds, t] by time; any aggregate, also a user's (``registry.frame_function``)."""
+    return over_slices(ticks, seconds, lambda df: df.withColumns({n: a(finite(F.col(col))).over(frame(seconds)) for n, a in aggregates.items()}))
 
 
 def change_rate(ticks: DataFrame, seconds: float, col: str = "value") -> DataFrame:
     """The value over the first one of the trailing time frame - 1, with the frame's mean and count as depth and intensity."""
-    w = W.partitionBy("instrument").orderBy(F.unix_micros(F.col("datetime").cast("timestamp"))).rangeBetween(-int(seconds * 1_000_000) + 1, 0)
-    first = F.first(col).over(w)
-    return ticks.select("instrument", "datetime", col, (F.col(col) / F.nullif(first, F.lit(0.0)) - 1).alias("change"), F.avg(col).over(w).alias("depth"), F.count(col).over(w).alias("intensity"))
+    w = frame(seconds)
+    change = F.col(col) / F.nullif(F.first(col).over(w), F.lit(0.0)) - 1
+    rows = over_slices(ticks, seconds, lambda df: df.withColumns({"change": change, "depth": F.avg(col).over(w), "intensity": F.count(col).over(w)}))
+    return rows.select("instrument", "datetime", col, "change", "depth", "intensity")
 
 
 def cut_ends(df: DataFrame, left: int, right: int) -> DataFrame:
@@ -125,9 +135,10 @@ def order_book(book: DataFrame, levels: int, width: str, step: str = "3 SECONDS"
     steps = book.groupBy("instrument", F.window("datetime", step)["start"].alias("_step")).agg(
         F.max_by(F.struct(*[f"{n}{i}" for n in sides for i in range(1, levels + 1)]), order).alias("_p"), *[F.avg(f"{n}{i}").alias(f"_s{n}{i}") for n in sides.values() for i in range(1, levels + 1)]
     )
-    by = W.partitionBy("instrument").orderBy("_step")
+    levels_ = [f"{n}{i}" for n in (*sides, *sides.values()) for i in range(1, levels + 1)]
     now = {f"{n}{i}": F.col(f"_p.{n}{i}") for n in sides for i in range(1, levels + 1)} | {f"{n}{i}": F.col(f"_s{n}{i}") for n in sides.values() for i in range(1, levels + 1)}
-    moved = steps.select("instrument", "_step", *[(2 * (x - F.lag(x).over(by)) / seconds).alias(c) for c, x in now.items()])
+    steps = previous(steps.select("instrument", "_step", *[x.alias(c) for c, x in now.items()]), levels_, 10_000 * seconds, "_step")
+    moved = steps.select("instrument", "_step", *[(2 * (F.col(c) - F.col(f"_before_{c}")) / seconds).alias(c) for c in now])
     moved = moved.groupBy("instrument", F.window("_step", width)["start"].alias("datetime")).agg(*[F.avg(c).alias(f"_d{c}") for c in now])
     last = lambda c: F.col(f"_last.{c}")
     best, size = F.nullif(last("ask1") + last("bid1"), F.lit(0.0)), F.nullif(F.col("_size"), F.lit(0.0))
@@ -148,9 +159,9 @@ def order_book(book: DataFrame, levels: int, width: str, step: str = "3 SECONDS"
 
 def intensity(orders: DataFrame, flags: dict[str, Column], width: str, short: float, long: float) -> DataFrame:
     """Per bucket, for every kind of order (a flag), the mean share it has in trailing times of ``short`` seconds, and how often that is above its share in ``long`` ones."""
-    frame = lambda s: W.partitionBy("instrument").orderBy(F.unix_micros(F.col("datetime").cast("timestamp"))).rangeBetween(-int(s * 1_000_000) + 1, 0)
     share = lambda f, s: F.avg(F.when(f, 1.0).otherwise(0.0)).over(frame(s))
-    seen = orders.select("instrument", "datetime", *[share(f, s).alias(f"{n}_{k}") for n, f in flags.items() for k, s in (("short", short), ("long", long))])
+    shares = {f"{n}_{k}": share(f, s) for n, f in flags.items() for k, s in (("short", short), ("long", long))}
+    seen = over_slices(orders, max(short, long), lambda df: df.withColumns(shares)).select("instrument", "datetime", *shares)
     made = [x for n in flags for x in (F.avg(f"{n}_short").alias(f"{n}_intensity"), F.avg((F.col(f"{n}_short") > F.col(f"{n}_long")).cast("double")).alias(f"{n}_relative"))]
     return seen.groupBy("instrument", F.window("datetime", width)["start"].alias("datetime")).agg(*made)
 
@@ -158,7 +169,6 @@ def intensity(orders: DataFrame, flags: dict[str, Column], width: str, short: fl
 def lagged_change(prices: DataFrame, lags: tuple[int, ...], width: str, step_seconds: int = 1, col: str = "value") -> DataFrame:
     """The mean over a bucket of the price some steps later over the price, less 1; steps without one carry the last price on."""
     steps = resample(prices, f"{step_seconds} SECONDS", {"p": F.max_by(col, F.struct("datetime", col))}, ("p",))
-    w = W.partitionBy("instrument").orderBy("datetime")
-    p = F.col("p")
-    later = steps.select("instrument", "datetime", *[(F.lead(p, n).over(w) / F.nullif(p, F.lit(0.0)) - 1).alias(f"lag_{n}_change_rate") for n in lags])
+    steps = following(steps, "p", lags, step_seconds)
+    later = steps.select("instrument", "datetime", *[(F.col(f"_after_{n}") / F.nullif(F.col("p"), F.lit(0.0)) - 1).alias(f"lag_{n}_change_rate") for n in lags])
     return later.groupBy("instrument", F.window("datetime", width)["start"].alias("datetime")).agg(*[F.avg(f"lag_{n}_change_rate").alias(f"lag_{n}_change_rate") for n in lags])

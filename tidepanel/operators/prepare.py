@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidepanel.sources.scratch import written
+
 from tidepanel.functions.nulls import INF, unbiased_kurtosis, unbiased_skew
 from tidepanel.operators.signals import pred_autocorr
 from tidepanel.sources.tables import align_calendar
@@ -43,18 +46,26 @@ def calc_change(df: DataFrame, last_close: Column | None = None) -> DataFrame:
 
 
 def repair_units(df: DataFrame, rounds: int = 10) -> DataFrame:
-    """Divide by 100 the prices of rows whose change lies in 89 to 111, until none does or ``rounds`` are over.
+    """Divide by 100 the prices of rows whose change lies in 89 to 111, until none does; a warning where ``rounds`` weren't enough.
 
-    Every third round cuts the lineage by a checkpoint, in the session's ``spark.checkpoint.dir``.
+    Each round's rows are written, and only the instruments that it changed go into the next one.
     """
-    for i in range(rounds):
-        marked = calc_change(df).withColumn("_bad", F.coalesce(F.col("change").between(89, 111), F.lit(False)))
-        if marked.where("_bad").isEmpty():
+    settled, left = [], df
+    for _ in range(rounds):
+        marked = written(calc_change(left).withColumn("_bad", F.coalesce(F.col("change").between(89, 111), F.lit(False))))
+        changed = marked.where("_bad").select("instrument").distinct()
+        settled.append(marked.join(changed, "instrument", "left_anti").select(*df.columns))
+        if changed.isEmpty():
             break
-        df = marked.withColumns({c: F.when(F.col("_bad"), F.col(c) / 100).otherwise(F.col(c)) for c in PRICES if c in df.columns}).select(*df.columns)
-        if i % 3 == 2:
-            df = df.checkpoint()
-    return df
+        mended = {c: F.when(F.col("_bad"), F.col(c) / 100).otherwise(F.col(c)) for c in (*PRICES, "adjclose") if c in df.columns}
+        left = marked.join(changed, "instrument", "left_semi").withColumns(mended).select(*df.columns)
+    else:
+        warnings.warn(f"changes of about 100 times may be left after {rounds} rounds", stacklevel=2)
+        settled.append(left)
+    out = settled[0]
+    for part in settled[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def adjust(df: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidepanel.functions.nulls import INF, finite, ieee_log, no_nan
+from tidepanel.operators.selection import quantiles
 
 def by_day():
     return W.partitionBy("datetime")
@@ -71,17 +72,16 @@ def zscore_norm(df: DataFrame, cols: list[str], start, end) -> DataFrame:
 
 
 def robust_norm(df: DataFrame, cols: list[str], start, end, clip: bool = True) -> DataFrame:
-    """Exact medians over the fit range, in two passes."""
-    params = _fit(df, start, end, {f"_m_{c}": F.median(c) for c in cols})
-    inside = df.where(F.col("datetime").between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"))).crossJoin(F.broadcast(params))
-    mads = inside.agg(*[F.median(F.abs(F.col(c) - F.col(f"_m_{c}"))).alias(f"_d_{c}") for c in cols])
-    both = params.crossJoin(mads)
+    """Exact medians over the fit range by selection (``quantiles``), first of the values, then of their distances; a column without values becomes missing."""
+    inside = df.where(F.col("datetime").between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")))
+    middle = quantiles(inside, {c: F.col(c) for c in cols})
+    apart = quantiles(inside, {c: F.abs(F.col(c) - F.lit(m)) for c, m in middle.items() if m is not None})
 
     def make(c: str) -> Column:
-        x = (F.col(c) - F.col(f"_m_{c}")) / ((F.col(f"_d_{c}") + EPS) * MAD_SCALE)
+        x = (F.col(c) - F.lit(middle[c])) / ((F.lit(apart[c]) + EPS) * MAD_SCALE)
         return F.when(x.isNotNull(), F.greatest(F.lit(-3.0), F.least(F.lit(3.0), x))) if clip else x
 
-    return _apply(df, both, cols, make)
+    return df.withColumns({c: make(c) if c in apart else F.lit(None).cast("double") for c in cols})
 
 
 def cs_zscore(df: DataFrame, cols: list[str]) -> DataFrame:

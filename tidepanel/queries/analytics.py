@@ -114,7 +114,7 @@ _CH = BARS + ", ch AS (SELECT *, f / lag(f) OVER (PARTITION BY instrument ORDER
 add("r1_tradability", lambda s, d: R.tradability(changed(s, d), 0.5).select("instrument", "datetime", "suspended", "limit_buy", "limit_sell"), sql("SELECT instrument, datetime, close IS NULL AS suspended, (coalesce(change >= 0.5, false) OR close IS NULL) AS limit_buy, (coalesce(change <= -0.5, false) OR close IS NULL) AS limit_sell FROM ch", KEYS + " suspended limit_buy limit_sell", ctes=_CH))
 ranges = lambda s, d: bars(s, d).where(F.dayofmonth("datetime") == 1).select(F.concat_ws("|", "instrument", F.date_format("datetime", "yyyyMMdd")).alias("range_id"), "instrument", F.col("datetime").alias("start"), (F.col("datetime") + F.expr("INTERVAL 9 DAYS")).alias("end"))
 RG = _CH + ", rg AS (SELECT instrument || '|' || strftime(datetime, '%Y%m%d') AS range_id, instrument, datetime AS a, datetime + INTERVAL 9 DAY AS b FROM bars WHERE day(datetime) = 1)"
-add("h4_range_agg", lambda s, d: rounded(R.over_ranges(bars(s, d), ranges(s, d), {"total": F.sum("volume"), "mean": F.avg("close"), "last": F.max_by("close", "datetime")}).drop("start", "end")), sql("SELECT range_id, rg.instrument, sum(volume) AS total, avg(close) AS mean, last(close ORDER BY datetime) AS last FROM rg JOIN bars ON bars.instrument = rg.instrument AND datetime BETWEEN a AND b GROUP BY 1, 2", "range_id instrument", "total mean last", RG))
+add("h4_range_agg", lambda s, d: rounded(R.range_totals(bars(s, d), ranges(s, d), {"total": ("sum", F.col("volume")), "mean": ("mean", F.col("close")), "last": ("last", F.col("close"))}).drop("start", "end")), sql("SELECT range_id, rg.instrument, sum(volume) AS total, avg(close) AS mean, last(close ORDER BY datetime) AS last FROM rg JOIN bars ON bars.instrument = rg.instrument AND datetime BETWEEN a AND b GROUP BY 1, 2", "range_id instrument", "total mean last", RG))
 add("r2_tradable_over", lambda s, d: R.tradable_over(R.tradability(changed(s, d), 0.5), ranges(s, d)).select("range_id", "limit_buy", "limit_sell", "suspended"), sql("SELECT range_id, bool_and((coalesce(change >= 0.5, false) OR close IS NULL)) AS limit_buy, bool_and((coalesce(change <= -0.5, false) OR close IS NULL)) AS limit_sell, bool_and(close IS NULL) AS suspended FROM rg JOIN ch ON ch.instrument = rg.instrument AND datetime BETWEEN a AND b GROUP BY 1", "range_id limit_buy limit_sell suspended", ctes=RG))
 add("r3_deal_price", lambda s, d: rounded(R.deal_price(panel(s, d), ranges(s, d)).select("range_id", "deal_price")), sql("SELECT range_id, last(vwap ORDER BY datetime) AS deal_price FROM rg JOIN bars ON bars.instrument = rg.instrument AND datetime BETWEEN a AND b GROUP BY 1", "range_id", "deal_price", RG))
 add("r4_extra_quotes", lambda s, d: R.extra_quotes(R.tradability(changed(s, d), 0.5).where("close IS NOT NULL").select("instrument", "datetime", "suspended"), bars(s, d).where("volume > 40").select(F.concat(F.lit("x"), "instrument").alias("instrument"), "datetime")), sql("SELECT instrument, datetime, false AS suspended FROM bars UNION ALL SELECT 'x' || instrument, datetime, false FROM bars WHERE volume > 40", KEYS + " suspended"))
@@ -132,6 +132,9 @@ def _last(s, d, back):
 
 add("r9_fill_rates", lambda s, d: rounded(R.fill_rates(orders(s, d), fills(s, d))), sql("SELECT o_orderkey AS order_id, o_totalprice / 1000 AS amount, q AS deal_amount, coalesce(q / (o_totalprice / 1000), 0) AS ffr FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey", "order_id", "amount deal_amount ffr"))
 add("r10_fills", lambda s, d: rounded(R.aggregate_fills(fills(s, d)), 4), sql("SELECT l_orderkey AS order_id, l_suppkey::VARCHAR AS instrument, sum(l_quantity) AS deal_amount, sum(l_extendedprice) AS value, sum(l_extendedprice * l_discount) AS cost, sum(l_extendedprice) / sum(l_quantity) AS trade_price, sign(sum(CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END))::DOUBLE AS direction FROM lineitem GROUP BY 1, 2", "order_id instrument", "deal_amount value cost trade_price direction", digits=4))
+long_ranges = lambda s, d: ranges(s, d).withColumn("end", F.col("start") + F.expr("INTERVAL 364 DAYS"))
+add("r11_base_price_years", lambda s, d: rounded(R.base_price(bars(s, d).withColumn("price", F.col("close")), long_ranges(s, d)).select("range_id", "twap", "vwap")), sql(
+    "SELECT range_id, avg(close) AS twap, sum(close * volume) / sum(volume) AS vwap FROM rg JOIN bars ON bars.instrument = rg.instrument AND datetime BETWEEN a AND a + INTERVAL 364 DAYS GROUP BY 1", "range_id", "twap vwap", RG))
 add("r11_base_price", lambda s, d: rounded(R.base_price(bars(s, d).withColumn("price", F.col("close")), ranges(s, d)).select("range_id", "twap", "vwap")), sql("SELECT range_id, avg(close) AS twap, sum(close * volume) / sum(volume) AS vwap FROM rg JOIN bars ON bars.instrument = rg.instrument AND datetime BETWEEN a AND b GROUP BY 1", "range_id", "twap vwap", RG))
 _steps = lambda s, d: bars(s, d).select("datetime", "instrument", (F.col("volume") / 100).alias("ffr"), R.price_advantage((F.col("volume") > 25).cast("int"), F.col("vwap"), F.col("close")).alias("pa"), F.col("volume").alias("deal_amount"), (F.col("volume") * F.col("vwap")).alias("value"))
 add("r13_indicators", lambda s, d: rounded(Q.trade_indicators(_steps(s, d)), 4), sql("SELECT datetime, avg(f) AS ffr_mean, sum(f * volume) / sum(volume) AS ffr_amount, sum(f * v) / sum(v) AS ffr_value, avg(p) AS pa_mean, sum(p * volume) / sum(volume) AS pa_amount, sum(p * v) / sum(v) AS pa_value, avg((p > 0)::INT) AS pos, sum(volume) AS deal_amount, sum(v) AS value, count(*) AS count FROM (SELECT *, volume / 100 AS f, (1 - 2 * (volume > 25)::INT) * (vwap / close - 1) AS p, volume * vwap AS v FROM bars) GROUP BY 1", "datetime count", "ffr_mean ffr_amount ffr_value pa_mean pa_amount pa_value pos deal_amount value", digits=4))

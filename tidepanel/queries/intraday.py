@@ -123,9 +123,9 @@ add("g6_select", lambda s, d: rounded(E.select(panel(s, d), c > o, {"mid": (h +
 def m10_refit(spark, d):
     folds = O.rolling_splits(calendar_of(bars(spark, d)), (0, 499), (500, 599), (600, 699), 100)
     raw = scores(spark, d).select("instrument", "datetime", "idx", "score")
-    fits = {"_m": F.avg("score"), "_s": F.stddev_pop("score")}
-    found = O.refit_per_fold(raw, folds, fits, {"score": (F.col("score") - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0))})
-    return rounded(found.where("segment = 'test'").select("fold", "instrument", "datetime", "score"))
+    fits = {"_m": ("mean", "score"), "_s": ("std_pop", "score")}
+    found = O.refit_per_fold(raw, folds, fits, {"score": (F.col("score") - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0))}, segments=("test",))
+    return rounded(found.select("fold", "instrument", "datetime", "score"))
 
 
 add("m10_refit_per_fold", m10_refit, sql(

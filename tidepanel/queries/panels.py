@@ -158,7 +158,16 @@ expressions("l4_rolling", L.rolling(), {k: _ALL[k] for k in L.rolling()}, _WS, _
 _PRICE0 = {f"{f.upper()}0": f"{f} / close" for f in ("open", "high", "low", "vwap")}
 expressions("l5_alpha158", L.alpha158(), {k: (_KBAR | _PRICE0 | _ALL)[k] for k in L.alpha158()}, _WS, _PRE)
 
-add("l11_trend", lambda spark, d: E.evaluate(panel(spark, d), {"trend": L.trend()}))
+
+
+def l11_trend(spark, d):
+    """The sign where the means are apart by more than their last digits."""
+    found = E.evaluate(stored(spark, d).rows(), {"gap": E.ema(c, 10) - E.ema(c, 20), "trend": L.trend()})
+    return rounded(found.withColumn("trend", F.when(F.abs("gap") > 1e-4, F.col("trend"))), 4)
+
+
+_gap = f"{_ewm('(9.0::DOUBLE / 11.0::DOUBLE)')} - {_ewm('(19.0::DOUBLE / 21.0::DOUBLE)')}"
+add("l11_trend", l11_trend, sql(f"SELECT instrument, datetime, gap, CASE WHEN abs(gap) > 1e-4 THEN sign(gap)::DOUBLE END AS trend FROM (SELECT instrument, datetime, {_gap} AS gap FROM panel {W5})", KEYS, "gap trend", digits=4))
 
 # M, O
 _exprs = {"MA5": E.mean(c, 5) / c, "FWD": E.ref(c, -1) / c - 1}
@@ -231,9 +240,9 @@ add("h1_resample", lambda s, d: rounded(P.resample(ticks(s, d), "6 HOURS", {"tot
     "SELECT g.instrument, g.datetime, total, last_value(lst IGNORE NULLS) OVER (PARTITION BY g.instrument ORDER BY g.datetime ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last, mean FROM (SELECT instrument, unnest(generate_series(min(b), max(b), INTERVAL 6 HOURS)) AS datetime FROM t GROUP BY 1) g LEFT JOIN (SELECT instrument, b AS datetime, sum(value) AS total, last(value ORDER BY datetime, event_id) AS lst, avg(value) AS mean FROM t GROUP BY ALL) x ON x.instrument = g.instrument AND x.datetime = g.datetime",
     KEYS, "total last mean", TICKS + ", t AS (SELECT *, time_bucket(INTERVAL 6 HOURS, datetime, TIMESTAMP '1970-01-01') AS b FROM ticks)"))
 add("h2_resample_ts", lambda s, d: rounded(P.resample_ts(panel(s, d), "1996-01-01", "1999-12-31", "ts_data_last", "close")), sql("SELECT instrument, last(close ORDER BY datetime) AS close FROM panel WHERE datetime BETWEEN '1996-01-01' AND '1999-12-31' AND close IS NOT NULL GROUP BY 1", "instrument", "close"))
-add("e23_time_window", lambda s, d: rounded(ticks(s, d).select("instrument", "datetime", "event_id", P.time_window(ticks(s, d), 600, F.avg).alias("m"))), sql("SELECT instrument, datetime, event_id, avg(value) OVER (PARTITION BY instrument ORDER BY datetime RANGE BETWEEN INTERVAL '599.999999' SECOND PRECEDING AND CURRENT ROW) AS m FROM ticks", KEYS + " event_id", "m", TICKS))
+add("e23_time_window", lambda s, d: rounded(P.time_window(ticks(s, d), 600, {"m": F.avg}).drop("value")), sql("SELECT instrument, datetime, event_id, avg(value) OVER (PARTITION BY instrument ORDER BY datetime RANGE BETWEEN INTERVAL '599.999999' SECOND PRECEDING AND CURRENT ROW) AS m FROM ticks", KEYS + " event_id", "m", TICKS))
 _spread = K.frame_function(lambda x: x.max() - x.min() if x.notna().any() else float("nan"))
-add("e23_time_function", lambda s, d: rounded(ticks(s, d).select("instrument", "datetime", "event_id", P.time_window(ticks(s, d), 600, _spread).alias("m"))), sql("SELECT instrument, datetime, event_id, max(value) OVER g - min(value) OVER g AS m FROM ticks WINDOW g AS (PARTITION BY instrument ORDER BY datetime RANGE BETWEEN INTERVAL '599.999999' SECOND PRECEDING AND CURRENT ROW)", KEYS + " event_id", "m", TICKS))
+add("e23_time_function", lambda s, d: rounded(P.time_window(ticks(s, d), 600, {"m": _spread}).drop("value")), sql("SELECT instrument, datetime, event_id, max(value) OVER g - min(value) OVER g AS m FROM ticks WINDOW g AS (PARTITION BY instrument ORDER BY datetime RANGE BETWEEN INTERVAL '599.999999' SECOND PRECEDING AND CURRENT ROW)", KEYS + " event_id", "m", TICKS))
 add("l10_change_rate", lambda s, d: rounded(P.change_rate(ticks(s, d).where("value > 0").groupBy("instrument", "datetime").agg(F.min_by("value", "event_id").alias("value")), 3600).select("instrument", "datetime", "depth", "intensity")), sql("SELECT instrument, datetime, avg(value) OVER w AS depth, count(value) OVER w AS intensity FROM ticks WHERE value > 0 WINDOW w AS (PARTITION BY instrument ORDER BY datetime RANGE BETWEEN INTERVAL '3599.999999' SECOND PRECEDING AND CURRENT ROW)", KEYS + " intensity", "depth", TICKS))
 add("g2_day_last", lambda s, d: rounded(E.evaluate(ticks(s, d).groupBy("instrument", "datetime").agg(F.max("value").alias("value")), {"last": E.day_last(E.feature("value")), "cum": E.day_cumsum(E.feature("value"), "09:30", "11:29")})), sql("SELECT instrument, datetime, last_value(value) OVER (PARTITION BY instrument, datetime::DATE ORDER BY datetime ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last, CASE WHEN k THEN sum(CASE WHEN k THEN value END) OVER (PARTITION BY instrument, datetime::DATE ORDER BY datetime ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) ELSE 0 END AS cum FROM (SELECT instrument, datetime, max(value) AS value, strftime(datetime, '%H:%M') BETWEEN '09:30' AND '11:29' AS k FROM ticks GROUP BY 1, 2)", KEYS, "last cum", TICKS))
 add("g7_cut", lambda s, d: rounded(P.cut_ends(bars(s, d).select("instrument", "datetime", "close"), 5, 3)), sql("SELECT instrument, datetime, close FROM (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY datetime) AS i, row_number() OVER (PARTITION BY instrument ORDER BY datetime DESC) AS j FROM bars) WHERE i > 5 AND j > 3", KEYS, "close"))

@@ -47,7 +47,21 @@ _B = "PARTITION BY instrument ORDER BY datetime"
 _UP = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 add("t1_normalize_daily", lambda s, d: rounded(norm(s, d)), sql("SELECT * FROM np", KEYS, "open high low close volume adjclose", RAW + "," + _np))
 add("t2_change", lambda s, d: rounded(T.calc_change(norm(s, d)).select("instrument", "datetime", "change")), sql(f"SELECT instrument, datetime, f / lag(f) OVER ({_B}) - 1 AS change FROM (SELECT *, last_value(close IGNORE NULLS) OVER ({_B} {_UP}) AS f FROM np)", KEYS, "change", RAW + "," + _np))
-add("t3_repair_units", lambda s, d: rounded(T.repair_units(norm(s, d).select("instrument", "datetime", "close", "volume").withColumn("close", F.when(F.dayofyear("datetime") == 100, F.col("close") * 100).otherwise(F.col("close"))), 1)))
+# T3 on runs of days whose prices are 100 times too high, each of which takes a round
+_P5 = ("open", "high", "low", "close", "adjclose")
+
+
+def t3_repair(spark, d):
+    off = F.dayofyear("datetime").between(100, 106)
+    rows = norm(spark, d).select("instrument", "datetime", "volume", *[F.when(off, F.col(c) * 100).otherwise(F.col(c)).alias(c) for c in _P5])
+    return rounded(T.repair_units(rows, 10), 4)
+
+
+_mended = ", ".join(f"CASE WHEN change BETWEEN 89 AND 111 THEN {c} / 100 ELSE {c} END AS {c}" for c in _P5)
+add("t3_repair_units", t3_repair, sql(
+    f"SELECT instrument, datetime, volume, {', '.join(_P5)} FROM st WHERE r = 10", KEYS, ["volume", *_P5],
+    "RECURSIVE " + RAW.lstrip() + "," + _np + ", off AS MATERIALIZED (SELECT instrument, datetime, volume, " + ", ".join(f"CASE WHEN dayofyear(datetime) BETWEEN 100 AND 106 THEN {c} * 100 ELSE {c} END AS {c}" for c in _P5)
+    + f" FROM np), st AS (SELECT 0 AS r, * FROM off UNION ALL SELECT r + 1, instrument, datetime, volume, {_mended} FROM (SELECT *, f / lag(f) OVER ({_B}) - 1 AS change FROM (SELECT *, last_value(close IGNORE NULLS) OVER ({_B} {_UP}) AS f FROM st)) WHERE r < 10)", 4))
 add("t4_adjust", lambda s, d: rounded(T.adjust(norm(s, d)).select("instrument", "datetime", "close", "volume", "factor")), sql(f"SELECT instrument, datetime, close * f AS close, volume / f AS volume, f AS factor FROM (SELECT *, last_value(adjclose / close IGNORE NULLS) OVER ({_B} {_UP}) AS f FROM np)", KEYS, "close volume factor", RAW + "," + _np))
 add("t5_rebase", lambda s, d: rounded(T.rebase(norm(s, d)).select("instrument", "datetime", "close", "volume")), sql(f"SELECT instrument, datetime, close / f AS close, volume * f AS volume FROM (SELECT *, first_value(close IGNORE NULLS) OVER ({_B} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS f FROM np)", KEYS, "close volume", RAW + "," + _np))
 add("t6_splice", lambda s, d: rounded(T.splice(bars(s, d).where("datetime < '1999-01-01'").withColumn("close", F.col("close") * 2), bars(s, d).where("datetime >= '1998-06-01'")).select("instrument", "datetime", "close", "volume")), sql("SELECT b.instrument, b.datetime, b.close * k AS close, b.volume / k AS volume FROM bars b JOIN (SELECT instrument, 2.0::DOUBLE AS k, max(datetime) AS m FROM bars WHERE datetime < '1999-01-01' GROUP BY 1) USING (instrument) WHERE b.datetime > m", KEYS, "close volume"))
