@@ -126,3 +126,21 @@ def test_units_are_repaired_to_the_end(spark):
     with pytest.warns(UserWarning, match="rounds"):
         assert prepare.repair_units(df, 2).count() == len(rows)
     assert prepare.repair_units(df.limit(0)).count() == 0
+
+
+def test_streams_go_on_where_they_ended(spark, tmp_path):
+    """Late ticks within the watermark count; buckets behind it are final and come once."""
+    from tidepanel.streaming.ticks import read_stream, resample_stream, run_to_end
+
+    schema = "instrument string, datetime timestamp, value double"
+    day = lambda rows: spark.createDataFrame([("a", T0 + timedelta(hours=h), v) for h, v in rows], schema).coalesce(1)
+    source, out = f"{tmp_path}/in", f"{tmp_path}/out"
+
+    def final():
+        made = resample_stream(read_stream(spark, source), "6 HOURS", "12 HOURS", {"total": F.sum("value")})
+        return sorted((r["datetime"], r["total"]) for r in run_to_end(made, out).collect())
+
+    day([(0, 1.0), (7, 2.0), (30, 4.0)]).write.parquet(source)
+    assert final() == [(T0, 1.0), (T0 + timedelta(hours=6), 2.0)]
+    day([(1, 100.0), (19, 8.0), (60, 16.0)]).write.mode("append").parquet(source)
+    assert final() == [(T0, 1.0), (T0 + timedelta(hours=6), 2.0), (T0 + timedelta(hours=18), 8.0), (T0 + timedelta(hours=30), 4.0)]

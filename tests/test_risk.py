@@ -52,3 +52,31 @@ def test_names(spark):
     with pytest.raises(ValueError):
         datasets.nearest_frequency(["day"], "1min")
     assert "volume" in prepare.absent_columns(spark.createDataFrame([], "instrument string, close double"))
+
+
+@pytest.mark.parametrize(("kind", "alpha"), [("ols", 0.0), ("ridge", 3.0), ("lasso", 0.05)])
+@pytest.mark.parametrize("intercept", [False, True])
+def test_linear_fits_have_least_loss(spark, kind, alpha, intercept):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(80, 3)) + 2
+    y = x @ [1.0, -0.5, 0.02] + 4 * intercept + 0.1 * rng.normal(size=80)
+    w = rng.random(80) + 0.5
+    rows = [("a", t, *map(float, x[t]), float(y[t]), float(w[t])) for t in range(80)]
+    schema = "instrument string, datetime int, a double, b double, c double, y double, w double"
+    df = spark.createDataFrame([*rows, ("a", 90, None, 1.0, 1.0, 5.0, 1.0), ("a", 91, 1.0, 1.0, 1.0, None, 1.0)], schema)
+    got = risk.linear_score(df.where("datetime < 40 OR datetime > 80"), df, ["a", "b", "c"], "y", kind, alpha, intercept, "w", df.where("datetime >= 40 AND datetime <= 80"))
+    score = {r["datetime"]: r["score"] for r in got.collect()}
+    assert score[90] is None and score[91] is not None
+    fitted = np.array([score[t] for t in range(80)])
+    design = np.column_stack([x, np.ones(80)]) if intercept else x
+    beta = np.linalg.lstsq(design, fitted, rcond=None)[0]
+
+    def loss(b):
+        r, c = y - design @ b, b[:3]
+        squares = (w * r * r).sum()
+        return squares + alpha * c @ c if kind == "ridge" else squares / (2 * w.sum()) + alpha * np.abs(c).sum()
+
+    for step in rng.normal(size=(200, len(beta))) * 1e-3:
+        assert loss(beta) <= loss(beta + step) + 1e-12
+    with pytest.raises(ValueError):
+        risk.linear_score(df.limit(0), df, ["a"], "y")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -168,13 +169,65 @@ def structured_covariance(returns: DataFrame, factors: int, threshold: float | N
     return cells(g, fit_and_kept, "cov", {"a": mapped(beside(diagonal(g), sides), residual_squares)})
 
 
-def linear_score(train: DataFrame, apply_to: DataFrame, features: list[str], label: str, penalty: float = 0.0, mix: float = 0.0, weight: str | None = None) -> DataFrame:
-    """Least squares (or a ridge or lasso penalty on the mean loss) without missing rows, then a score for each complete row."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
+def _products(rows: DataFrame, columns: list[str]) -> np.ndarray:
+    """Weighted products of every two columns (the last is the weight), by Arrow batches and summed on executors."""
+    k = len(columns) - 1
 
-    rows = VectorAssembler(inputCols=features, outputCol="_v", handleInvalid="skip")
-    fit = rows.transform(train.where(F.col(label).isNotNull()))
-    options = {"weightCol": weight} if weight else {}
-    model = LinearRegression(featuresCol="_v", labelCol=label, predictionCol="_p", regParam=penalty, elasticNetParam=mix, solver="auto", **options).fit(fit)
-    return model.transform(rows.transform(apply_to)).select("instrument", "datetime", F.col("_p").alias("score"))
+    def run(batches):
+        total = np.zeros((k, k))
+        for batch in batches:
+            z = batch[columns].to_numpy(float)
+            total += (z[:, :k] * z[:, k:]).T @ z[:, :k]
+        yield pd.DataFrame({"i": np.arange(k * k), "s": total.ravel()})
+
+    cells_ = rows.mapInPandas(run, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).toPandas()
+    return cells_.sort_values("i")["s"].to_numpy().reshape(k, k)
+
+
+def coefficients(gram_: np.ndarray, cross: np.ndarray, n: float, kind: str, alpha: float, rounds: int = 10_000) -> np.ndarray:
+    """Coefficients from the features' products, those with the label and the rows' weight.
+
+    ``ols``: least squares (of least length); ``ridge``: the sum of squares plus alpha times the coefficients' squares; ``lasso``: half the
+    mean square plus alpha times their sizes, by coordinate descent.
+    """
+    if kind == "ols":
+        return np.linalg.lstsq(gram_, cross, rcond=None)[0]
+    if kind == "ridge":
+        return np.linalg.solve(gram_ + alpha * np.eye(len(cross)), cross)
+    if kind != "lasso":
+        raise ValueError(f"unknown kind {kind}")
+    w = np.zeros(len(cross))
+    for _ in range(rounds):
+        before = w.copy()
+        for j in range(len(w)):
+            if gram_[j, j] > 0:
+                part = cross[j] - gram_[j] @ w + gram_[j, j] * w[j]
+                w[j] = np.sign(part) * max(abs(part) - n * alpha, 0.0) / gram_[j, j]
+        if np.abs(w - before).max(initial=0.0) <= 1e-12 * np.abs(w).max(initial=0.0):
+            break
+    return w
+
+
+def linear_score(
+    train: DataFrame, apply_to: DataFrame, features: list[str], label: str, kind: str = "ols", alpha: float = 0.0,
+    intercept: bool = True, weight: str | None = None, valid: DataFrame | None = None,
+) -> DataFrame:
+    """A linear fit without the rows that miss a value, then a score for each row (missing where a feature is).
+
+    ``valid`` rows are added to the training rows, ``weight`` is a column of theirs.  Two passes sum means and then products; the
+    driver solves a system of as many unknowns as there are features.
+    """
+    rows = train if valid is None else train.unionByName(valid)
+    rows = rows.select(*[F.col(c).cast("double").alias(c) for c in (*features, label)], (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w")).dropna()
+    total = F.sum("_w")
+    means = rows.agg(total.alias("_n"), *[(F.sum(F.col(c) * F.col("_w")) / total).alias(c) for c in (*features, label)]).first()
+    if not means["_n"]:
+        raise ValueError("no complete row to fit on")
+    centre = {c: means[c] if intercept else 0.0 for c in (*features, label)}
+    products = _products(rows.select(*[(F.col(c) - F.lit(m)).alias(c) for c, m in centre.items()], "_w"), [*features, label, "_w"])
+    w = coefficients(products[:-1, :-1], products[:-1, -1], means["_n"], kind, alpha)
+    base = centre[label] - sum(b * centre[c] for b, c in zip(w.tolist(), features, strict=True))
+    score = F.lit(base)
+    for b, c in zip(w.tolist(), features, strict=True):
+        score = score + F.col(c) * F.lit(b)
+    return apply_to.select("instrument", "datetime", score.alias("score"))

@@ -203,4 +203,26 @@ add("s7_poet", lambda s, d: rounded(S.structured_covariance(ret(s, d), 3, 0.05,
     "SELECT m.i AS inst_i, m.j AS inst_j, low + CASE WHEN m.i = m.j THEN u ELSE sign(u) * greatest(abs(u) / sqrt(vi * vj) - 0.05 * (1 / sqrt(p) + sqrt(ln(p) / n)), 0) * sqrt(vi * vj) END AS cov FROM m, nt",
     PAIR, "cov", _axes(3) + ", m0 AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.fit * b.fit) / count(*) AS low, sum(a.u * b.u) / count(*) AS u FROM fr a JOIN fr b USING (datetime) GROUP BY ALL)"
     ", m AS (SELECT m0.*, a.u AS vi, b.u AS vj FROM m0 JOIN m0 a ON a.i = m0.i AND a.j = m0.i JOIN m0 b ON b.i = m0.j AND b.j = m0.j)", 3))
-add("x1_linear", lambda s, d: rounded(S.linear_score(scores(s, d).where("datetime < '1999-01-01'").withColumn("y", F.ln(F.col("label") + 1)), scores(s, d).where("datetime >= '1999-01-01'"), ["score", "volume"], "y"), 4), sql("SELECT instrument, datetime, b0 + b1 * score + b2 * volume AS score FROM scores, (SELECT my - b1 * m1 - b2 * m2 AS b0, b1, b2 FROM (SELECT *, (c1 * v2 - c2 * c12) / (v1 * v2 - c12 * c12) AS b1, (c2 * v1 - c1 * c12) / (v1 * v2 - c12 * c12) AS b2 FROM (SELECT avg(y) AS my, avg(score) AS m1, avg(volume) AS m2, covar_pop(y, score) AS c1, covar_pop(y, volume) AS c2, covar_pop(score, volume) AS c12, var_pop(score) AS v1, var_pop(volume) AS v2 FROM (SELECT *, ln(label + 1) AS y FROM scores WHERE label IS NOT NULL AND datetime < '1999-01-01')))) WHERE datetime >= '1999-01-01'", KEYS, "score", digits=4))
+_train, _valid, _test = "datetime < '1998-07-01'", "datetime >= '1998-07-01' AND datetime < '1999-01-01'", "datetime >= '1999-01-01'"
+
+
+def linear(spark, d, *args, valid=False, **options):
+    rows = scores(spark, d).withColumns({"y": F.ln(F.col("label") + 1), "w": F.col("volume") / 25})
+    parts = [rows.where(c) for c in (_train, _valid, _test)]
+    fit = parts[0].unionByName(parts[1]) if not valid else parts[0]
+    return rounded(S.linear_score(fit, parts[2], ["score", "volume"], "y", *args, valid=parts[1] if valid else None, **options), 4)
+
+
+_LS = f"ls AS (SELECT *, ln(label + 1) AS y, volume / 25 AS w FROM scores WHERE label IS NOT NULL AND ({_train} OR {_valid}))"
+add("x1_linear", linear, sql(
+    "SELECT instrument, datetime, b0 + b1 * score + b2 * volume AS score FROM scores, (SELECT my - b1 * m1 - b2 * m2 AS b0, b1, b2 FROM (SELECT *, (c1 * v2 - c2 * c12) / (v1 * v2 - c12 * c12) AS b1, (c2 * v1 - c1 * c12) / (v1 * v2 - c12 * c12) AS b2"
+    " FROM (SELECT avg(y) AS my, avg(score) AS m1, avg(volume) AS m2, covar_pop(y, score) AS c1, covar_pop(y, volume) AS c2, covar_pop(score, volume) AS c12, var_pop(score) AS v1, var_pop(volume) AS v2 FROM ls))) WHERE " + _test,
+    KEYS, "score", BARS + ", " + _LS, 4))
+_NE = "SELECT sum(w) AS n, sum(w * score * score) AS a, sum(w * score * volume) AS b, sum(w * volume * volume) AS c, sum(w * score * y) AS p, sum(w * volume * y) AS q FROM ls"
+add("x1_ridge", lambda s, d: linear(s, d, "ridge", 5.0, False, "w", valid=True), sql(
+    f"SELECT instrument, datetime, (p * (c + 5) - q * b) / det * score + (q * (a + 5) - p * b) / det * volume AS score FROM scores, (SELECT *, (a + 5) * (c + 5) - b * b AS det FROM ({_NE})) WHERE " + _test,
+    KEYS, "score", BARS + ", " + _LS, 4))
+add("x1_lasso", lambda s, d: linear(s, d, "lasso", 0.001, False, "w", valid=True), sql(
+    "SELECT instrument, datetime, u * score + v * volume AS score FROM scores, (SELECT * FROM cd WHERE r = 400) WHERE " + _test, KEYS, "score",
+    "RECURSIVE " + BARS.lstrip() + ", " + _LS + f", ne AS MATERIALIZED ({_NE}), cd AS (SELECT 0 AS r, 0.0::DOUBLE AS u, 0.0::DOUBLE AS v UNION ALL SELECT r + 1, u2, sign(q - b * u2) * greatest(abs(q - b * u2) - 0.001 * n, 0) / c"
+    " FROM (SELECT r, n, b, c, q, sign(p - b * v) * greatest(abs(p - b * v) - 0.001 * n, 0) / a AS u2 FROM cd, ne) WHERE r < 400)", 4))

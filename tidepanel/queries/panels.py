@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidepanel.functions import expressions as E
@@ -11,7 +13,9 @@ from tidepanel.operators import pit as P
 from tidepanel.operators import processors as N
 from tidepanel.plans import features as L
 from tidepanel.queries.base import BARS, TICKS, bars, panel, rounded, scores, sql, stored, ticks
+from tidepanel.sources.scratch import scratch_dir
 from tidepanel.sources.tables import calendar_of
+from tidepanel.streaming.ticks import read_stream, resample_stream, run_to_end
 
 QUERIES, ORACLES = {}, {}
 KEYS = "instrument datetime"
@@ -239,6 +243,18 @@ add("n18_pipeline", n18_pipeline, sql("SELECT instrument, datetime, 'infer' AS k
 add("h1_resample", lambda s, d: rounded(P.resample(ticks(s, d), "6 HOURS", {"total": F.sum("value"), "last": F.max_by("value", F.struct("datetime", "event_id")), "mean": F.avg("value")}, ("last",))), sql(
     "SELECT g.instrument, g.datetime, total, last_value(lst IGNORE NULLS) OVER (PARTITION BY g.instrument ORDER BY g.datetime ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last, mean FROM (SELECT instrument, unnest(generate_series(min(b), max(b), INTERVAL 6 HOURS)) AS datetime FROM t GROUP BY 1) g LEFT JOIN (SELECT instrument, b AS datetime, sum(value) AS total, last(value ORDER BY datetime, event_id) AS lst, avg(value) AS mean FROM t GROUP BY ALL) x ON x.instrument = g.instrument AND x.datetime = g.datetime",
     KEYS, "total last mean", TICKS + ", t AS (SELECT *, time_bucket(INTERVAL 6 HOURS, datetime, TIMESTAMP '1970-01-01') AS b FROM ticks)"))
+
+
+def h1_stream(spark, d):
+    """Buckets of the stream of ticks that are final: those that ended a day before the last tick."""
+    raw = read_stream(spark, f"{d}/events.parquet").select(F.col("event_type").alias("instrument"), F.col("ts").cast("timestamp").alias("datetime"), "value")
+    made = resample_stream(raw, "6 HOURS", "1 DAY", {"total": F.sum("value"), "n": F.count("value")})
+    return rounded(run_to_end(made, f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}").select("instrument", F.col("datetime").cast("timestamp_ntz").alias("datetime"), "total", "n"))
+
+
+add("h1_resample_stream", h1_stream, sql(
+    "SELECT instrument, time_bucket(INTERVAL 6 HOURS, datetime, TIMESTAMP '1970-01-01') AS datetime, sum(value) AS total, count(value) AS n FROM ticks GROUP BY 1, 2"
+    " HAVING time_bucket(INTERVAL 6 HOURS, any_value(datetime), TIMESTAMP '1970-01-01') + INTERVAL 6 HOURS <= (SELECT max(datetime) - INTERVAL 1 DAY FROM ticks)", KEYS + " n", "total", TICKS))
 add("h2_resample_ts", lambda s, d: rounded(P.resample_ts(panel(s, d), "1996-01-01", "1999-12-31", "ts_data_last", "close")), sql("SELECT instrument, last(close ORDER BY datetime) AS close FROM panel WHERE datetime BETWEEN '1996-01-01' AND '1999-12-31' AND close IS NOT NULL GROUP BY 1", "instrument", "close"))
 add("e23_time_window", lambda s, d: rounded(P.time_window(ticks(s, d), 600, {"m": F.avg}).drop("value")), sql("SELECT instrument, datetime, event_id, avg(value) OVER (PARTITION BY instrument ORDER BY datetime RANGE BETWEEN INTERVAL '599.999999' SECOND PRECEDING AND CURRENT ROW) AS m FROM ticks", KEYS + " event_id", "m", TICKS))
 _spread = K.frame_function(lambda x: x.max() - x.min() if x.notna().any() else float("nan"))
