@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -211,6 +212,29 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.score(docs.limit(0), labels).count() == 0
 
 
+def test_few_toxic_labels_give_scores(spark):
+    """Four labels of the class, none of them in the calibrating fifth."""
+    learns = [i for i in range(3000) if (h := zlib.crc32(str(i).encode())) % 3 != 1 and h // 3 % 5 != 0]
+    toxic = set(learns[:4])
+    rng = random.Random(4)
+    rows = [(i, sentence(rng, 40) + (" grumblesnark vilefoul grumblesnark" if i in toxic or i >= 2900 else "")) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i in toxic)) for i in range(600)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, labels).collect()}
+    clean = [got[i] for i in range(1000, 2900)]
+    assert min(got[i] for i in range(2900, 3000)) > max(clean) and max(got.values()) >= 0.7 and max(clean) < 0.7
+
+
+def test_many_equal_lines_take_time_in_proportion(spark):
+    text = "the same line of some words again\n" * 200_000 + "one more line of other words here"
+    docs = spark.createDataFrame([(1, text), (2, "short"), (3, None)], "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: r for r in lines.without_repeats(docs).collect()}
+    assert time.time() - began < 60  # a quadratic pass takes many minutes
+    assert got[1]["text"] == "the same line of some words again\none more line of other words here"
+    assert (got[1]["n_lines"], got[1]["n_removed"], got[2]["text"], got[3]["text"]) == (200_001, 199_999, "short", None)
+
+
 def test_lm_scores_prefer_the_target(spark, docs, none):
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choice(WORDS[:100] if i % 2 else WORDS[100:]) for _ in range(60))) for i in range(200)]

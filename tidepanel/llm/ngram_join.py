@@ -137,7 +137,7 @@ def candidate_links(alive: DataFrame, num: int = NUM, den: int = DEN) -> DataFra
         seen: set = set()
         found: set[tuple[int, int]] = set()
         for reps, n, counts in array_runs(batches, keys, ["rep", "n"], "counts"):
-            if len(reps) < 2 or (same := reps.tobytes() if len(reps) < 256 else None) in seen:
+            if len(reps) < 2 or (same := xxhash.xxh3_128_digest(reps.tobytes()) if len(reps) < 256 else None) in seen:
                 continue
             if same and len(seen) < 200_000:
                 seen.add(same)

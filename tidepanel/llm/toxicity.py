@@ -23,6 +23,8 @@ PART = 24
 DISCOUNT = 0.75
 #: The labelled rows of a class that train the models, at most (in expectation); all are used below that.
 CLASS_ROWS = 30_000
+#: Parts of the sample, of which one gives the calibration and the others the counts.
+FOLDS = 5
 THRESHOLD = 0.7
 
 
@@ -154,20 +156,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, steps: int = 50)
     return mean, scale, w
 
 
-def train(docs: DataFrame, labels: DataFrame):
-    """Fit both models and the score's calibration; returns (broadcast model, calibration or None).
-
-    Only labelled rows whose crc32(doc_id as text) mod 3 is not 1 are used.  They are a bounded sample: of each
-    class ``CLASS_ROWS`` rows in expectation, chosen by a hash of doc_id.  Of these, four fifths give the counts
-    and one fifth the calibration.  The sample's ids are sent to the executors, so no text is shuffled.
-    """
-    crc = F.crc32(F.col("doc_id").cast("string"))
-    known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(crc % 3 != 1)
-    sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    share = F.when(F.col("toxic") == 1, F.lit(CLASS_ROWS / max(CLASS_ROWS, sizes.get(1, 0)))).otherwise(F.lit(CLASS_ROWS / max(CLASS_ROWS, sizes.get(0, 0))))
-    sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity sample")), F.lit(1_000_000)) < share * 1_000_000)
-    sample = sample.withColumn("calibrates", (F.floor(crc / 3) % 5) == 0)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+def fitted_on(rows: DataFrame):
+    """The models of labelled rows (text, toxic), broadcast; the rows are a bounded sample."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -187,12 +177,37 @@ def train(docs: DataFrame, labels: DataFrame):
             yield pd.DataFrame([(g, *n) for g, n in counts.items()], columns=["gram", "t", "o"])
 
     sums = F.sum("t").alias("t"), F.sum("o").alias("o")
-    met = rows.where("NOT calibrates").select("text", "toxic").mapInPandas(count, "word string, t long, o long").groupBy("word").agg(*sums)
+    met = rows.select("text", "toxic").mapInPandas(count, "word string, t long, o long").groupBy("word").agg(*sums)
     spelt = met.mapInPandas(spell, "gram string, t long, o long").groupBy("gram").agg(*sums)
-    sc = docs.sparkSession.sparkContext
     fitted = KneserNey((r["gram"], r["t"], r["o"]) for r in spelt.toLocalIterator())
-    model = sc.broadcast((fitted.ratio, fitted.escape))
-    seen = featured(rows.where("calibrates").select("text", "toxic"), model, "toxic int").toPandas()
+    return rows.sparkSession.sparkContext.broadcast((fitted.ratio, fitted.escape))
+
+
+def train(docs: DataFrame, labels: DataFrame):
+    """Fit both models and the score's calibration; returns (broadcast model, calibration or None).
+
+    Only labelled rows whose crc32(doc_id as text) mod 3 is not 1 are used.  They are a bounded sample: of each
+    class ``CLASS_ROWS`` rows in expectation, chosen by a hash of doc_id.  Of these, four fifths give the counts
+    and one fifth the calibration.  Where that fifth lacks a class, as with few labels, every fifth is scored by models of the others,
+    all of them give the calibration, and all rows the counts.  The sample's ids are sent to the executors, so no text is shuffled.
+    """
+    crc = F.crc32(F.col("doc_id").cast("string"))
+    known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(crc % 3 != 1)
+    sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    share = F.when(F.col("toxic") == 1, F.lit(CLASS_ROWS / max(CLASS_ROWS, sizes.get(1, 0)))).otherwise(F.lit(CLASS_ROWS / max(CLASS_ROWS, sizes.get(0, 0))))
+    sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity sample")), F.lit(1_000_000)) < share * 1_000_000)
+    sample = sample.withColumn("fold", (F.floor(crc / 3) % FOLDS).cast("int"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    model = fitted_on(rows.where("fold <> 0"))
+    seen = featured(rows.where("fold = 0").select("text", "toxic"), model, "toxic int").toPandas()
+    if seen["toxic"].nunique() < 2 and len(sizes) == 2:
+        parts = [seen]
+        for k in range(1, FOLDS):
+            others = fitted_on(rows.where(F.col("fold") != k))
+            parts.append(featured(rows.where(F.col("fold") == k).select("text", "toxic"), others, "toxic int").toPandas())
+            others.unpersist()
+        seen = pd.concat(parts, ignore_index=True)
+        model = fitted_on(rows)
     if seen["toxic"].nunique() < 2:
         return model, None
     return model, logistic(seen[["f0", "f1"]].to_numpy(), seen["toxic"].to_numpy(float))
@@ -203,7 +218,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     The score is a logistic function of two length-normalised log-likelihood differences, of the whole text and of its most
     toxic expression.  Labels, language, source and id are no inputs.  Null and
-    empty texts have no expressions and score 0; with no labels of one class everything scores 0; rows with a
+    empty texts have no expressions and score 0; with no labels of one class everything scores 0, with few ones
+    the calibration is by cross-fitting; rows with a
     null id are scored and not held out; a very long text or word is scored whole, in memory that its length bounds; repeated
     rows are scored alike and ties don't matter; an id labelled twice is toxic if either label says so; an empty table gives no
     rows; other columns are not used.
