@@ -460,6 +460,33 @@ def test_constant_nodes_inside_articles_are_template(spark):
     assert all(got[i] == "\n\n".join([f"T {i}", *(f"a longer text {i} of part {k}" for k in range(1 + i % 4))]) for i in range(9))
 
 
+def test_notices_on_most_pages_are_template(spark):
+    """40 hosts of 12 pages with a notice on nine of them, which other pages, as the first reference, may lack."""
+    rng = random.Random(12)
+    rows = []
+    for h in range(40):
+        without = set(rng.sample(range(12), 3))
+        for i in range(12):
+            notice = "" if i in without else "<p>Copies of this text need our consent.</p>"
+            body = "".join(f"<p>{sentence(rng, 30)}</p>" for _ in range(rng.randint(2, 6)))
+            rows.append((h * 100 + i, f"http://host{h}.example/{i}", f"<html><body><div><article><h1>{sentence(rng, 4)}</h1>{body}{notice}</article></div></body></html>"))
+    found = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(found) == 480 and not [r["page_id"] for r in found if "consent" in r["text"]]
+    assert all(r["text"].count("\n\n") == page.count("<p>") - page.count("consent") for r, (_, _, page) in zip(sorted(found, key=lambda r: r["page_id"]), rows, strict=True))
+
+
+def test_merged_pages_hold_both():
+    a = html_text.parse("<body><nav>m</nav><div class=x><p>one</p><p>two</p></div><footer>f</footer></body>")
+    b = html_text.parse("<body><nav>m</nav><aside><b>n</b>ew</aside><div class=x><p>three</p><p>four</p><p>five<br>six</p></div><footer>f</footer></body>")
+    both = html_text.parse(html_text.merged(a, b))
+    assert [(t, o, x) for t, o, x in zip(both.tag, both.own, both.added, strict=True) if o] == [
+        ("nav", "m", False), ("aside", "new", True), ("p", "one", False), ("p", "two", False), ("p", "five six", True), ("footer", "f", False)]
+    again = html_text.parse(html_text.merged(both, b))
+    assert (again.tag, again.own) == (both.tag, both.own)
+    deep = html_text.parse("<div>" * 5000 + "x")
+    assert len(html_text.parse(html_text.merged(deep, deep)).tag) == len(deep.tag)
+
+
 def test_matching_follows_the_tree():
     a, b = (html_text.parse(x) for x in ("<ul><li>1<li>2</ul><p>x<p>y<div>z</div>", "<p>x<ul><li>1</ul><p>w<p>y<div>z</div><div>new</div>"))
     pairs = [(a.name[x], a.own[x], b.own[y]) for x, y in html_text.matching(a, b)]
