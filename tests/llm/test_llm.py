@@ -246,6 +246,19 @@ def test_lm_scores_prefer_the_target(spark, docs, none):
     assert lm_score.score(none, none).count() == 0
 
 
+def test_very_long_texts_are_scored_and_stored(spark):
+    """A text of more tokens than a chunk holds, and of some megabytes."""
+    long = " ".join(f"w{i % 5000}" for i in range(lm_score.CHUNK + 1000))
+    docs = spark.createDataFrame([(1, long), (2, "w1 w2 w3"), (3, "w1 w2 w3")], "doc_id long, text string")
+    good = spark.createDataFrame([(1,)], "doc_id long")
+    got = {r["doc_id"]: r for r in lm_score.score(docs, good).collect()}
+    assert got[1]["n_tokens"] == lm_score.CHUNK + 1000 and got[2]["score"] == got[3]["score"]
+    kept = {r["doc_id"]: r for r in media.features(media.stored(docs)).collect()}
+    raw = long.encode()
+    padded = raw + b"\xff" * (-len(raw) % 576)
+    assert (kept[1]["n_bytes"], kept[1]["payload_sha256"], kept[1]["continuity_errors"]) == (len(raw), hashlib.sha256(padded).hexdigest(), 0)
+
+
 def test_lm_losses_equal_exact_counts(spark):
     rng = random.Random(7)
     rows = [(i, " ".join(f"v{rng.randrange(400_000)}" if rng.random() < 0.8 else rng.choice(WORDS) for _ in range(1500))) for i in range(150)]
@@ -623,3 +636,38 @@ def test_pipeline_on_small_tables(spark):
         docs = corpus_pipeline.materialize(out)
         assert docs.count() > 0, name
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_pipeline_leaves_no_planted_rows(spark, tmp_path):
+    """Toxic documents, near copies and repeated lines are gone from the pieces, clean documents stay in the mix."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    rows, labels = [], []
+    for i in range(400):
+        text = "\n".join(sentence(rng, 25) for _ in range(3))
+        if i % 8 == 0:
+            text += "\nyou zorkface blightwit get lost zorkface"
+        rows.append((i, text, "en", f"s{i % 2}", len(text)))
+        labels.append((i, 1, int(i % 8 == 0)))
+    near = rows[1][1].split(" ")
+    near[10] = "changed"
+    rows += [(1000, rows[1][1], "en", "s0", 0), (1001, " ".join(near), "en", "s1", 0), (1002, rows[2][1].split("\n")[1] + "\n" + sentence(rng, 60), "en", "s0", 0), (None, sentence(rng, 30), "en", None, 0), (1003, sentence(rng, 20_000), "en", "s1", 0)]
+    rows += [rows[3]] * 2
+    for name, data, schema in (("documents", rows, "doc_id long, text string, lang string, source string, n_chars long"), ("labels", labels, "doc_id long, quality int, toxic int")):
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        kept[name] = docs.toPandas()
+    ids = {k: set(v["doc_id"].dropna().astype(int)) for k, v in kept.items()}
+    toxic, held = {i for i in range(0, 400, 8)}, {i for i in range(400) if i % 8}
+    assert not ids["toxicity"] & toxic and ids["toxicity"] >= held
+    # of two equal texts no line of the second stays
+    assert 1000 not in ids["line dedup"] and kept["toxicity"]["doc_id"].isna().sum() == 1
+    lines_left = Counter(x for i, t in zip(kept["line dedup"]["doc_id"], kept["line dedup"]["text"], strict=True) if i != 3 for x in t.split("\n"))
+    assert max(lines_left.values()) == 1
+    assert ids["n-gram join"] >= held and kept["n-gram join"]["doc_id"].isna().sum() == 1
+    assert ids["packing"] <= ids["n-gram join"] and 1003 in ids["packing"]
+    pieces = kept["packing"]
+    assert (pieces.groupby("sequence_id")["length"].sum() <= 1024).all()

@@ -193,8 +193,9 @@ def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     common word is sent once a chunk, and the counts are never in one place.
 
     Null and empty texts have 0 tokens and null losses; with no target documents all target losses are those of
-    the uniform distribution; null ids are scored and are never targets; repeated rows count each; an empty
-    table gives no rows; other columns are not used.
+    the uniform distribution; null ids are scored and are never targets; repeated rows count each and score alike, as ties do;
+    a text beyond ``CHUNK`` tokens is a chunk of its own; target documents are scored by a model that counts them, too, so they look
+    a little more like the target than equal texts outside; an empty table gives no rows; other columns are not used.
     """
     chosen = target_ids.select(F.col("doc_id").alias("id")).where("id IS NOT NULL").distinct()
     chunks = materialize(chunked(docs))

@@ -171,7 +171,9 @@ def stored(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """Store whole texts as transport streams: (doc_id, n_bytes, media binary).
 
     The payload is the text's UTF-8 bytes, padded with bytes 255 to a positive multiple of 576.  Null and empty
-    texts have a payload of padding alone; ids may be null or repeat; other columns are not used.
+    texts have a payload of padding alone; ids may be null or repeat, and repeated rows are stored each; equal texts have equal
+    streams, so ties don't matter; a very long text is one stream, in memory that its length bounds; an empty table gives no
+    rows; other columns are not used.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,7 +191,8 @@ def features(media: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes")) ->
     """Parse the binary column ``media`` and describe each row's stream.
 
     Adds payload (digests of the reassembled data), timestamps with random-access points, and counts.  Broken or
-    null streams give empty payloads and their error counts; see ``parse``.
+    null streams give empty payloads and their error counts; see ``parse``.  Equal streams have equal features, rows are described each
+    however often they repeat, and an empty table gives no rows.
     """
     kinds = dict(media.dtypes)
     columns = ", ".join(f"{c} {kinds[c]}" for c in keep)

@@ -58,7 +58,8 @@ def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_
 
     The line is never gathered: counts of (source, size class, cell) give each cell's start, and ranks run
     within cells of about CELL_ROWS rows.  Null text has size 0; null ids and sources are values like others
-    (all null sources are one source); repeated rows each count; an empty table gives an empty result; columns
+    (all null sources are one source); repeated rows each count, and those of one id lie side by side in any order;
+    a text's length matters by its words alone; an empty table gives an empty result; columns
     other than the three are not used, and a source without words takes nothing.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(SPACED_WORD)), F.lit(0)).cast("long")

@@ -124,7 +124,8 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, ranks_path: str | N
     share a sequence follows the input's partitions.
 
     ``tokenizer_path`` and ``ranks_path`` None: the installed ``byte_bpe_50k`` files.  Null and empty texts are one piece with the
-    end id alone; null ids stay null; repeated rows are packed each; an empty table gives no rows; other
+    end id alone; null ids stay null; repeated rows are packed each; remainders of equal length are packed in the
+    order of their rows; a very long text becomes as many pieces as it fills, of one task; an empty table gives no rows; other
     columns are not used.
     """
 
