@@ -2,7 +2,8 @@
 
 Every stage but the last keeps the columns of its input, whatever they are called besides doc_id, text, source and n_chars.  Rows with a null
 id or text pass the first three stages; the mix takes null texts, of size 0, as often as their source's rate says; repeated
-rows of one id and text are treated alike; empty tables pass through.
+rows of one id and text are treated alike; of tied rows, as equal lines or near copies, the least id stays; very long texts go
+through whole; empty tables pass through.
 """
 
 from __future__ import annotations

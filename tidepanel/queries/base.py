@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import inspect
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidepanel.sources.scratch import changed_at, scratch_dir
-from tidepanel.sources.store import StoredPanel, save_panel
-from tidepanel.sources.tables import brand_bars, read
+from tidepanel.sources import store, tables
+from tidepanel.sources.scratch import changed_at, move, scratch_dir
+from tidepanel.sources.store import StoredPanel, open_panel, save_panel
+from tidepanel.sources.tables import read
 
 SHIFT = 0.03711
 def by_time():
@@ -33,17 +36,26 @@ scores AS MATERIALIZED (SELECT * FROM (SELECT instrument, datetime, idx, vwap /
 TICKS = "ticks AS (SELECT event_type AS instrument, ts AS datetime, event_id, value FROM events)"
 
 
-#: Panels that this session has stored, by what they were made of.
-_stored: dict[tuple, StoredPanel] = {}
+#: Panels that this session has opened, by their path.
+_opened: dict[tuple[str, str], StoredPanel] = {}
 
 
 def stored(spark: SparkSession, sf_dir: str) -> StoredPanel:
-    """The panel of brands, stored at the first query that asks for it and again when its tables have changed."""
-    made_of = (spark.sparkContext.applicationId, sf_dir, *[changed_at(spark, f"{sf_dir}/{t}.parquet") for t in ("part", "lineitem")])
-    found = _stored.get(made_of)
-    if found is None or changed_at(spark, f"{found.path}/layout/_SUCCESS") is None:
-        found = _stored[made_of] = save_panel(brand_bars(spark, sf_dir), f"{scratch_dir(spark)}/panel-{uuid.uuid4().hex}")
-    return StoredPanel(spark, found.path, found.name)
+    """The panel of brands, stored by the first query that asks for it; later ones, also of later sessions, open it.
+
+    Its folder is named by what it is made of: the tables' path and times, the number of buckets and the code that makes it.
+    """
+    code = inspect.getsource(tables) + inspect.getsource(store)
+    made_of = [sf_dir, *[changed_at(spark, f"{sf_dir}/{t}.parquet") for t in ("part", "lineitem")], spark.conf.get("spark.sql.shuffle.partitions"), code]
+    path = f"{scratch_dir(spark)}/panel-{hashlib.md5(repr(made_of).encode()).hexdigest()}"
+    key = (spark.sparkContext.applicationId, path)
+    if changed_at(spark, f"{path}/layout/_SUCCESS") is None:
+        made = save_panel(tables.brand_bars(spark, sf_dir), f"{path}-{uuid.uuid4().hex}")
+        move(spark, made.path, path)
+        _opened.pop(key, None)
+    if key not in _opened:
+        _opened[key] = open_panel(spark, path)
+    return StoredPanel(spark, path, _opened[key].name)
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,10 +23,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of any file system that Spark writes to."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Rename a finished folder; where another session has been faster, its folder stays and this one goes."""
+    source, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, to))
+    files = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(target) or not files.rename(source, target):
+        files.delete(source, True)
 
 
 def changed_at(spark: SparkSession, path: str) -> int | None:
