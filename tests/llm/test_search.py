@@ -195,3 +195,18 @@ def test_variants_equal_brute_force(spark):
 def test_variants_of_no_documents(spark):
     assert spelling.variants(spark.createDataFrame([], DOCS)).count() == 0
     assert spelling.variants(spark.createDataFrame([(1, "only one", 1, "", 1)], DOCS)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op2_embedding_dedup", "op9_mixing", "op10_ngram_join", "op11_vector_search", "op12_lexical_search"])
+def test_queries_equal_sql(spark, name):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "benchmark"):
+        con.sql(f"create view {t} as select * from read_parquet('/root/testdata/sf0.001/{t}.parquet')")
+    got, want = entry.queries()[name](spark, "/root/testdata/sf0.001").toPandas(), con.sql(entry.oracle_sql()[name]).df()
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    assert sorted(map(str, got[columns].itertuples(index=False, name=None))) == sorted(map(str, want[columns].astype(got[columns].dtypes).itertuples(index=False, name=None)))

@@ -194,20 +194,6 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return places.join(wherever, "node").where("doc_id <> kept.doc_id OR line_no <> kept.line_no").select("doc_id", "line_no")
 
 
-def without_lines(texts: pd.Series, gone: pd.Series) -> pd.Series:
-    """Texts without the lines of the given numbers, in time in proportion to their lines."""
-    out = []
-    for text, numbers in zip(texts, gone, strict=True):
-        if text is None or numbers is None:
-            out.append(text)
-            continue
-        lines = np.array(text.split("\n"), object)
-        kept = np.ones(len(lines), bool)
-        kept[np.asarray(numbers, np.int64)] = False
-        out.append("\n".join(lines[kept]))
-    return pd.Series(out, dtype=object)
-
-
 def without_repeats(docs: DataFrame, n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
     """``docs`` with their repeated lines removed from ``text``, and the columns ``n_lines`` and ``n_removed``.
 
@@ -216,11 +202,13 @@ def without_repeats(docs: DataFrame, n_lines: str = "n_lines", n_removed: str =
     treated alike, and every id must name one text; of equal lines the one of the least (doc_id, line number) stays; very long texts and
     lines are compared whole; documents without a line left have an empty text; an empty table gives no rows.
     """
-    doc, gone = (fresh(c, docs.columns) for c in ("doc", "gone"))
-    found = repeated_lines(docs).groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias(gone)).withColumnRenamed("doc_id", doc)
-    joined = docs.join(found, F.col("doc_id") == F.col(doc), "left")
-    lines = F.split("text", "\n", -1)
-    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.pandas_udf(without_lines, "string")(F.col("text"), F.col(gone)))
+    doc, gone, parts = (fresh(c, docs.columns) for c in ("doc", "gone", "parts"))
+    found = repeated_lines(docs).groupBy("doc_id").agg(F.collect_set(F.col("line_no").cast("int")).alias(gone)).withColumnRenamed("doc_id", doc)
+    joined = docs.join(found, F.col("doc_id") == F.col(doc), "left").withColumn(parts, F.split("text", "\n", -1))
+    lines = F.col(parts)
+    # by a hash set of the numbers, so that the time is in proportion to the lines
+    held = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(held, lambda i: F.get(lines, i)), "\n"))
     return joined.select(
         *[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in (n_lines, n_removed)],
         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(n_lines),
