@@ -54,13 +54,11 @@ def band_hashes(lines: list[str]) -> np.ndarray:
     at = line * BINS + (codes >> np.uint64(58)).astype(np.int64)
     np.minimum.at(bins, at, np.minimum(codes.astype(np.uint32), empty - np.uint32(1)))
     bins = bins.reshape(-1, BINS)
-    full, steps = bins.copy(), np.zeros(bins.shape, np.uint64)
-    for k in range(1, BINS):
-        gap = full == empty
-        if not gap.any():
-            break
-        full = np.where(gap, np.roll(bins, -k, 1), full)
-        steps = np.where(gap, np.uint64(k), steps)
+    # the next full bin of each, once around
+    around = np.concatenate([bins, bins], 1)
+    place = np.where(around != empty, np.arange(2 * BINS, dtype=np.int64), 2 * BINS - 1)
+    after = np.minimum.accumulate(place[:, ::-1], 1)[:, ::-1][:, :BINS]
+    full, steps = np.take_along_axis(around, after, 1), (after - np.arange(BINS)).astype(np.uint64)
     values = (full.astype(np.uint64) + (steps << np.uint64(40)))[:, : BANDS * ROWS].reshape(len(lines), BANDS, ROWS)
     out = np.tile(np.arange(BANDS, dtype=np.uint64), (len(lines), 1))
     for r in range(ROWS):
