@@ -95,3 +95,20 @@ def test_named_totals_of_time_frames(spark, ticks):
             assert r["n"] == len(v)
             want = (np.mean(v), sum(v), min(v), max(v), np.std(v)) if v else (None,) * 5
             assert (r["m"], r["s"], r["lo"], r["hi"], r["sd"]) == tuple(x if x is None else pytest.approx(x, abs=1e-9) for x in want)
+
+
+def test_functions_of_time_frames_run_once_a_time(spark, ticks):
+    rows, df = ticks
+    calls = spark.sparkContext.accumulator(0)
+
+    def spread(x):
+        calls.add(1)
+        return x.max() - x.min()
+
+    found = pit.time_function(df, 30, {"d": spread})
+    assert found.columns == [*df.columns, "d"]
+    for r in found.collect():
+        v = [x[3] for x in inside(rows, rows[r["event_id"]], 30) if x[3] is not None]
+        assert r["d"] == (max(v) - min(v) if v else None)
+    assert calls.value == len({x[1:3] for x in rows})
+    assert pit.time_function(df.limit(0), 30, {"d": spread}).count() == 0
