@@ -671,3 +671,22 @@ def test_pipeline_leaves_no_planted_rows(spark, tmp_path):
     assert ids["packing"] <= ids["n-gram join"] and 1003 in ids["packing"]
     pieces = kept["packing"]
     assert (pieces.groupby("sequence_id")["length"].sum() <= 1024).all()
+
+
+def test_pages_are_dealt_out_once_for_two_joins_that_split_a_large_host(spark):
+    wanted = {"autoBroadcastJoinThreshold": "-1", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "adaptive.advisoryPartitionSizeInBytes": "10k", "shuffle.partitions": "8"}
+    before = {k: spark.conf.get(f"spark.sql.{k}") for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(f"spark.sql.{k}", v)
+    try:
+        own = [f"text {i} " + str(i * i * 777) * 20 if i % 7 else "" for i in range(1500)]
+        rows = [(i, f"http://h{0 if i % 4 else i % 23}.org/{i}", f"<body><p>all of it</p><article>{t}</article></body>" if t else None) for i, t in enumerate(own)]
+        found = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8))
+        assert {r["page_id"]: r["text"] for r in found.collect()} == dict(enumerate(own))
+        plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        # one join reads what the other's exchange wrote
+        assert plan.count("SortMergeJoin(skew=true)") == 2
+        assert re.search(r"ReusedExchange \[page_id", plan)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(f"spark.sql.{k}", v)

@@ -8,7 +8,7 @@ import re
 import zlib
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -452,6 +452,13 @@ class Wrapper:
             while inner := next((k for k in t.kids[self.root] if t.tag[k] in BLOCKS - HEADINGS - {"p", "li", "ul", "ol", "dl", "dd", "dt", "blockquote", "pre", "tr", "td", "th", "tbody"} and not t.outside[k] and mass[k] >= MAIN * total), None):
                 self.root = inner
 
+    @classmethod
+    def known(cls, reference: str, template: Iterable[int], root: int | None) -> Wrapper:
+        """The wrapper whose template nodes and content node are already found."""
+        out = cls(reference, [])
+        out.template, out.root = set(template), root
+        return out
+
 
 def enclosing(tree: Tree, node: int) -> int:
     """The article around a node; without one, the nearest node below the body that also holds the page's first heading."""
@@ -549,15 +556,21 @@ def layout_of(page: Column) -> Column:
     return F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(page, F.lit(LANDMARKS), F.lit(1)), F.lower))), " "), F.lit(""))
 
 
+def dealt(pages: DataFrame, known: DataFrame, *columns: str) -> DataFrame:
+    """All pages with what is known of their host and layout: one exchange of the pages serves every such join of a query."""
+    return pages.join(known, ["_host", "_layout"], "left").select("page_id", "url", "html", "_host", "_layout", *columns)
+
+
 COUNTS = "_host string, _layout string, node int, n long, same long, articles long, varying long"
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """Rows (_host, _layout, reference, counts): of each host and layout a reference tree and the counts of its nodes.
+    """Rows (_host, _layout, reference, template, root): of each host and layout a reference tree, its template nodes and its content node.
 
     The reference is the page with the least hash, with the trees of ``MERGED`` - 1 others, least by other hashes, merged into it one by
     one, so that what stands on a good part of the pages is in it.  Every page is aligned with its reference, and the counts of
-    its nodes are summed on the map side, so no host is gathered in one task.
+    its nodes are summed on the map side, so no host is gathered in one task.  The pages are joined with all their columns and rows, as
+    ``main_text`` joins them again, so that Spark deals the whole html out once for both.
     """
     some = pages.where("html <> ''").select("_host", "_layout", "html")
     hashes = [F.xxhash64("html"), *[F.xxhash64("html", F.lit(k)) for k in range(1, MERGED)]]
@@ -576,6 +589,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
         for batch in batches:
             sums: dict[tuple, list[int]] = {}
             for host, layout, page, reference in zip(batch["_host"], batch["_layout"], batch["html"], batch["reference"], strict=True):
+                if not page or not isinstance(reference, str):
+                    continue
                 bit, found = compared(trees.get_or((host, layout), lambda r=reference: parse(r)), parse(page))
                 for node, same, chars in [(-1, True, 0), *found] if bit else ():
                     at = sums.setdefault((host, layout, node), [0, 0, 0, 0])
@@ -587,11 +602,20 @@ def wrappers(pages: DataFrame) -> DataFrame:
                         at[3] += chars
             yield pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=["_host", "_layout", "node", "n", "same", "articles", "varying"])
 
-    counts = some.join(references, ["_host", "_layout"]).mapInPandas(count, COUNTS)
+    counts = dealt(pages, references, "reference").mapInPandas(count, COUNTS)
     counts = counts.groupBy("_host", "_layout", "node").agg(F.sum("n").alias("n"), F.sum("same").alias("same"), F.bit_or("articles").alias("articles"), F.sum("varying").alias("varying"))
     # a list is as long as its reference page has nodes
     lists = counts.groupBy("_host", "_layout").agg(F.sort_array(F.collect_list(F.struct("node", "n", "same", "articles", "varying"))).alias("counts"))
-    return references.join(lists, ["_host", "_layout"])
+
+    def induce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for host, layout, reference, about in zip(batch["_host"], batch["_layout"], batch["reference"], batch["counts"], strict=True):
+                wrapper = Wrapper(reference, [(x["node"], x["n"], x["same"], x["articles"], x["varying"]) for x in about])
+                rows.append((host, layout, reference, sorted(wrapper.template), -1 if wrapper.root is None else wrapper.root))
+            yield pd.DataFrame(rows, columns=["_host", "_layout", "reference", "template", "root"])
+
+    return references.join(lists, ["_host", "_layout"]).mapInPandas(induce, "_host string, _layout string, reference string, template array<int>, root int")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -608,18 +632,17 @@ def main_text(pages: DataFrame) -> DataFrame:
     length, and any depth of nesting; an empty table gives no rows; other columns are not used.
     """
     pages = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("_host"), layout_of(F.col("html")).alias("_layout"))
-    found = materialize(wrappers(pages))
+    found = wrappers(pages)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Remembered()
         for batch in batches:
             texts = []
-            for host, layout, page, reference, counts in zip(batch["_host"], batch["_layout"], batch["html"], batch["reference"], batch["counts"], strict=True):
+            for host, layout, page, reference, template, root in zip(*[batch[c] for c in ("_host", "_layout", "html", "reference", "template", "root")], strict=True):
                 wrapper = None
-                if isinstance(reference, str) and counts is not None:
-                    wrapper = known.get_or((host, layout), lambda r=reference, c=counts: Wrapper(r, [(x["node"], x["n"], x["same"], x["articles"], x["varying"]) for x in c]))
+                if isinstance(reference, str):
+                    wrapper = known.get_or((host, layout), lambda r=reference, t=template, x=root: Wrapper.known(r, t, None if x < 0 else int(x)))
                 texts.append(extract(page, wrapper))
             yield batch[["page_id", "url"]].assign(text=texts, n_chars=[len(t) for t in texts])
 
-    joined = pages.join(found, ["_host", "_layout"], "left").select("page_id", "url", "html", "_host", "_layout", "reference", "counts")
-    return joined.mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return dealt(pages, found, "reference", "template", "root").mapInPandas(run, "page_id long, url string, text string, n_chars long")
