@@ -690,3 +690,33 @@ def test_pages_are_dealt_out_once_for_two_joins_that_split_a_large_host(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(f"spark.sql.{k}", v)
+
+
+def test_bands_are_sent_by_groups_and_a_large_one_goes_through_in_parts(spark):
+    rng = random.Random(5)
+    texts = [sentence(rng, 20) for _ in range(2000)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    rows = lines.line_bands(docs, 8).collect()
+    assert len(rows) == 8
+    got = {(int(b), int(n)) for r in rows for b, n in np.frombuffer(r["pairs"], lines.PAIR)}
+    assert got == {(int(b) & 0xFFFFFFFF, lines.node_of(t)) for t, own in zip(texts, lines.band_hashes(texts), strict=True) for b in own}
+
+    # bands 7 and 8 in 6 parts of one group, beyond what is gathered at once, and band 7 of another group
+    def part(group, band, nodes):
+        pairs = np.empty(len(nodes), lines.PAIR)
+        pairs["band"], pairs["node"] = band, nodes
+        return group, pairs.tobytes()
+
+    size = lines.GATHERED // 4 + 1
+    order = np.random.default_rng(1).permutation(6 * size)
+    parts = [part(3, np.where(x < 10, 8, 7), x) for x in np.array_split(order, 6)] + [part(4, 7, np.array([-1, -2]))]
+    links = lines.band_stars(spark.createDataFrame([(g, bytearray(p)) for g, p in parts], "group long, pairs binary")).toPandas()
+    above = np.arange(6 * size)
+    for a, b in links[links["a"] >= 0].to_numpy().tolist():
+        assert a < b and (a < 10) == (b < 10)
+        above[b] = min(above[b], a)
+    while (above[above] != above).any():
+        above = above[above]
+    assert (above == np.where(np.arange(6 * size) < 10, 0, 10)).all()
+    assert links[links["a"] < 0].to_numpy().tolist() == [[-2, -1]]
+    assert len(links) < 6 * size + 20

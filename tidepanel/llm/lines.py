@@ -24,21 +24,36 @@ NUM, DEN = 4, 5
 BINS, ROWS, BANDS = 64, 4, 16
 #: Lines remembered in a task, whose repeats there need no bands of their own; it bounds memory only.
 REMEMBERED = 200_000
-#: Characters handled at once in a task.
-CHUNK = 1_000_000
+#: Characters handled at once in a task, and lines hashed at once, whose arrays fit a processor's cache.
+CHUNK, SLICE = 1_000_000, 400
+#: Bands of a group on average, and bands that a task gathers before it deals them to groups or links them.
+GROUP, GATHERED = 1 << 16, 1 << 20
+#: A band within its group and a node.
+PAIR = np.dtype([("band", "<u4"), ("node", "<i8")])
 
 
 def shingle_codes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all character shingles of the lines, and where each line's begin; lines have WIDTH at least."""
     text = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    h = np.zeros(len(text) - WIDTH + 1, np.uint64)
-    for k in range(WIDTH):
-        h = h * np.uint64(0x100000001B3) + text[k : len(text) - WIDTH + 1 + k]
+    # a polynomial over WIDTH characters, from those over a power of two of them
+    h, width, powers = None, 0, text
+    base, k = np.uint64(0x100000001B3), 1
+    while True:
+        if WIDTH & k:
+            n = len(text) - width - k + 1
+            h = powers[:n] if h is None else powers[:n] * np.uint64(pow(0x100000001B3, width, 1 << 64)) + h[k : k + n]
+            width += k
+        if width == WIDTH:
+            break
+        powers = powers[:-k] * base + powers[k:]
+        base, k = np.uint64(int(base) ** 2 % (1 << 64)), 2 * k
     sizes = np.array([len(x) for x in lines], np.int64)
-    starts = np.cumsum(sizes) - sizes
-    inside = np.repeat(starts + sizes - WIDTH, sizes)[: len(h)] >= np.arange(len(h))
+    ends = np.cumsum(sizes)
+    inside = np.ones(len(text), bool)
+    for k in range(1, WIDTH):
+        inside[ends - k] = False
     counts = sizes - WIDTH + 1
-    return mix64(h[inside]), np.cumsum(counts) - counts
+    return mix64(h[inside[: len(h)]]), np.cumsum(counts) - counts
 
 
 def band_hashes(lines: list[str]) -> np.ndarray:
@@ -54,12 +69,15 @@ def band_hashes(lines: list[str]) -> np.ndarray:
     at = line * BINS + (codes >> np.uint64(58)).astype(np.int64)
     np.minimum.at(bins, at, np.minimum(codes.astype(np.uint32), empty - np.uint32(1)))
     bins = bins.reshape(-1, BINS)
-    # the next full bin of each, once around
-    around = np.concatenate([bins, bins], 1)
+    values = bins.astype(np.uint64)
+    # in lines with an empty bin, the next full bin of each, once around
+    gaps = np.flatnonzero((bins == empty).any(1))
+    around = np.concatenate([bins[gaps], bins[gaps]], 1)
     place = np.where(around != empty, np.arange(2 * BINS, dtype=np.int64), 2 * BINS - 1)
     after = np.minimum.accumulate(place[:, ::-1], 1)[:, ::-1][:, :BINS]
     full, steps = np.take_along_axis(around, after, 1), (after - np.arange(BINS)).astype(np.uint64)
-    values = (full.astype(np.uint64) + (steps << np.uint64(40)))[:, : BANDS * ROWS].reshape(len(lines), BANDS, ROWS)
+    values[gaps] = full.astype(np.uint64) + (steps << np.uint64(40))
+    values = values[:, : BANDS * ROWS].reshape(len(lines), BANDS, ROWS)
     out = np.tile(np.arange(BANDS, dtype=np.uint64), (len(lines), 1))
     for r in range(ROWS):
         out = mix64(out * np.uint64(31) + values[:, :, r])
@@ -104,43 +122,81 @@ def line_places(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInPandas(run, "doc_id long, line_no long, node long, chars long")
 
 
-def line_bands(docs: DataFrame) -> DataFrame:
-    """Rows (band, node) of the lines of MIN_CHARS characters or more; a line that a task has just met is not sent again."""
+def dealt_bands(bands: np.ndarray, nodes: np.ndarray, groups: int) -> pd.DataFrame:
+    """Rows (group, pairs) of bands and their nodes, the pairs of a group in one array."""
+    group = (bands >> np.uint64(32)) % np.uint64(groups)
+    group = group.astype(np.uint16) if groups <= 1 << 16 else group.astype(np.int64)
+    order = np.argsort(group, kind="stable")
+    group = group[order]
+    pairs = np.empty(len(order), PAIR)
+    pairs["band"], pairs["node"] = bands[order].astype(np.uint32), nodes[order]
+    cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(order)]
+    return pd.DataFrame({"group": group[cuts[:-1]].astype(np.int64), "pairs": [pairs[x:y].tobytes() for x, y in zip(cuts, cuts[1:], strict=False)]})
+
+
+def line_bands(docs: DataFrame, groups: int) -> DataFrame:
+    """Rows (group, pairs) with the bands of the lines of MIN_CHARS characters or more; a line that a task has just met is not sent again.
+
+    Bands are dealt to groups by their hash, and a task sends those of a group together.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         met: set[int] = set()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for piece in chunks(batches):
             lines = [x for t in piece["text"] for line in split_lines(t) if len(x := line.strip()) >= MIN_CHARS]
             fresh = {n: x for n, x in zip(map(node_of, lines), lines, strict=True) if n not in met}
             if len(met) > REMEMBERED:
                 met.clear()
             met.update(fresh)
-            if fresh:
-                bands = band_hashes(list(fresh.values())).view(np.int64)
-                yield pd.DataFrame({"band": bands.ravel(), "node": np.repeat(np.array(list(fresh), np.int64), BANDS)})
+            nodes, texts = np.array(list(fresh), np.int64), list(fresh.values())
+            for k in range(0, len(texts), SLICE):
+                held.append((band_hashes(texts[k : k + SLICE]).ravel(), np.repeat(nodes[k : k + SLICE], BANDS)))
+                if sum(len(x) for x, _ in held) >= GATHERED:
+                    yield dealt_bands(*map(np.concatenate, zip(*held, strict=True)), groups)
+                    held = []
+        if held:
+            yield dealt_bands(*map(np.concatenate, zip(*held, strict=True)), groups)
 
-    return docs.where("doc_id IS NOT NULL").select("text").mapInPandas(run, "band long, node long")
+    return docs.where("doc_id IS NOT NULL").select("text").mapInPandas(run, "group long, pairs binary")
 
 
 def band_stars(bands: DataFrame) -> DataFrame:
-    """Links (a, b) from the first node of every band to its others; bands are streamed in order, none is gathered."""
+    """Links (a, b) that connect the nodes of every band.
+
+    A group goes through in parts of a bounded size, after each of which only one node of each of its bands is kept, so
+    that a band of very many lines isn't gathered.
+    """
+
+    def linked(parts: list[np.ndarray]) -> tuple[np.ndarray, pd.DataFrame]:
+        pairs = np.concatenate(parts)
+        order = np.argsort(pairs["band"], kind="stable")
+        k, n = pairs["band"][order], pairs["node"][order]
+        starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        least = np.minimum.reduceat(n, starts)
+        heads = np.repeat(least, np.diff([*starts, len(n)]))
+        kept = np.empty(len(starts), PAIR)
+        kept["band"], kept["node"] = k[starts], least
+        return kept, pd.DataFrame({"a": heads, "b": n})[heads != n]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        band, first = None, 0
+        at, held, fresh = None, [], 0
         for batch in batches:
-            k, n = batch["band"].to_numpy(), batch["node"].to_numpy()
-            if not len(k):
-                continue
-            starts = np.concatenate([[True], k[1:] != k[:-1]])
-            if band is not None and k[0] == band:
-                starts[0] = False
-                heads = np.concatenate([[first], n])[np.maximum.accumulate(np.where(starts, np.arange(1, len(n) + 1), 0))]
-            else:
-                heads = n[np.maximum.accumulate(np.where(starts, np.arange(len(n)), 0))]
-            band, first = k[-1], heads[-1]
-            yield pd.DataFrame({"a": heads, "b": n})[heads != n]
-
-    return bands.repartition("band").sortWithinPartitions("band", "node").mapInPandas(run, "a long, b long")
+            for group, pairs in zip(batch["group"], batch["pairs"], strict=True):
+                if group != at:
+                    if fresh:
+                        yield linked(held)[1]
+                    at, held, fresh = group, [], 0
+                held.append(np.frombuffer(pairs, PAIR))
+                fresh += len(held[-1])
+                if fresh >= GATHERED:
+                    kept, links = linked(held)
+                    yield links
+                    held, fresh = [kept], 0
+        if fresh:
+            yield linked(held)[1]
+
+    return bands.repartition("group").sortWithinPartitions("group").mapInPandas(run, "a long, b long")
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -182,7 +238,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     places = materialize(line_places(docs))
     nodes = places.groupBy("node").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("_n"), F.max("chars").alias("size"))
     nodes = materialize(nodes.select("node", "first.*", "_n", "size"))
-    near = components(band_stars(line_bands(docs)))
+    near = components(band_stars(line_bands(docs, 1 + nodes.count() * BANDS // GROUP)))
     wanted = with_totals(nodes.join(near, "node").select("component", "node", "size"))
     wanted = materialize(wanted)
     found = components(verified_links(line_texts(docs, wanted), NUM, DEN, shingle_sets))

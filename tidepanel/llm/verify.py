@@ -13,6 +13,8 @@ from tidepanel.llm.base import with_blocks
 
 #: Set elements of a block; a task holds two blocks of a component at most.
 BLOCK_ELEMENTS = 1_500_000
+#: Elements or characters of small components that are decoded at once.
+DECODED = 30_000
 
 
 def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -157,15 +159,29 @@ def verified_links(members: DataFrame, num: int, den: int, decode: Callable = lo
     keys = ["component", "block_a", "block_b"]
     dealt = dealt.select(*keys, "node", "payload", *["n"] * partial).repartition(*keys).sortWithinPartitions(*keys)
 
+    def links(held: list[tuple[np.ndarray, ...]]) -> Iterator[tuple[int, int]]:
+        sets = decode(np.concatenate([payload for _, payload, *_ in held]))
+        at = 0
+        for nodes, _, *n in held:
+            own, at = sets[at : at + len(nodes)], at + len(nodes)
+            yield from ((int(nodes[i]), int(nodes[j])) for i, j in set_links(own, num, den, n[0] if partial else None))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: list[tuple] = []
-        for nodes, payload, *n in array_runs(batches, keys, ["node", "payload", *["n"] * partial]):
-            if len(nodes) > 1:
-                sets = decode(payload)
-                found += [(int(nodes[i]), int(nodes[j])) for i, j in set_links(sets, num, den, n[0] if partial else None)]
+        held: list[tuple[np.ndarray, ...]] = []
+        weight = 0
+        for part in array_runs(batches, keys, ["node", "payload", *["n"] * partial]):
+            if len(part[0]) > 1:
+                held.append(part)
+                weight += sum(map(len, part[1]))
+            if weight > DECODED:
+                found += links(held)
+                held, weight = [], 0
             if len(found) > 20_000:
                 yield pd.DataFrame(found, columns=["a", "b"])
                 found = []
+        if held:
+            found += links(held)
         yield pd.DataFrame(found, columns=["a", "b"])
 
     return dealt.mapInPandas(run, "a long, b long")
