@@ -720,3 +720,36 @@ def test_bands_are_sent_by_groups_and_a_large_one_goes_through_in_parts(spark):
     assert (above == np.where(np.arange(6 * size) < 10, 0, 10)).all()
     assert links[links["a"] < 0].to_numpy().tolist() == [[-2, -1]]
     assert len(links) < 6 * size + 20
+
+
+def test_short_lines_that_share_two_shingles_rarely_meet_in_a_band():
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+
+    def line(middle):
+        return "".join(rng.choices(letters, k=20)) + middle + "".join(rng.choices(letters, k=20))
+
+    pairs = [(line(m), line(m)) for m in ("".join(rng.choices(letters, k=lines.WIDTH + 1)) for _ in range(4000))]
+    a, b = (lines.band_hashes(list(x)) for x in zip(*pairs, strict=True))
+    assert (a == b).any(1).sum() <= 4  # by a neighbour's shingle in empty bins, some hundred
+
+
+def test_many_sets_of_a_template_don_t_all_meet():
+    from tidepanel.llm.verify import MANY, set_links
+
+    rng = np.random.default_rng(4)
+    template = rng.integers(0, 1 << 63, 60)
+    sets = [np.unique(np.concatenate([template, rng.integers(0, 1 << 63, 40)]).astype(np.uint64)) for _ in range(20_000)]
+    copies = [np.unique(np.concatenate([s[:95], rng.integers(0, 1 << 63, 4).astype(np.uint64)])) for s in sets[:500]]
+    began = time.time()
+    got = set_links(sets + copies, 4, 5)
+    assert time.time() - began < 20  # every pair of them takes over a minute
+    assert {(min(p), max(p)) for p in got} == {(i, len(sets) + i) for i in range(len(copies))}
+    # and the same components as by comparing all pairs, for sets of all sizes and overlaps
+    base = [rng.integers(0, 900, rng.integers(1, 40)) for _ in range(60)]
+    sets = [np.unique(np.concatenate([b[rng.integers(0, 3) :], rng.integers(0, 900, rng.integers(0, 4))])).astype(np.uint64) for b in base for _ in range(5)]
+    sets = [s for s in sets if len(s)]
+    assert len(sets) >= MANY
+    want = classes(len(sets), lambda i, j: 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j])))
+    edges = {(min(p), max(p)) for p in set_links(sets, 4, 5)}
+    assert classes(len(sets), lambda i, j: (j, i) in edges) == want

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm.base import bit_map, components, distinct, fresh, materialize, mix64
-from tidepanel.llm.verify import verified_links, with_totals
+from tidepanel.llm.verify import spans, verified_links, with_totals
 
 #: Characters of a shingle.
 WIDTH = 10
@@ -22,6 +22,9 @@ NUM, DEN = 4, 5
 #: One-permutation signature: bins, of which ROWS make a band.
 #: A pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8 ** 4) ** 16 = 0.9998.
 BINS, ROWS, BANDS = 64, 4, 16
+#: Odd multipliers, one for each bin that is empty, and the shingles from which on equal ones are left out first.
+SALTS = (mix64(np.arange(1, BINS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+LONG = 512
 #: Lines remembered in a task, whose repeats there need no bands of their own; it bounds memory only.
 REMEMBERED = 200_000
 #: Characters handled at once in a task, and lines hashed at once, whose arrays fit a processor's cache.
@@ -59,24 +62,28 @@ def shingle_codes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def band_hashes(lines: list[str]) -> np.ndarray:
     """A row of BANDS band hashes for each line.
 
-    A shingle's hash picks one of BINS bins and each bin keeps its least value; an empty bin takes the next full
-    bin's value to its right (with the distance), as one-permutation MinHash does.
+    A shingle's hash picks one of BINS bins and each bin keeps its least value.  An empty bin takes the least of all the
+    line's shingles by a hash of its own, as MinHash does: from a neighbouring bin it would get a shingle that counts twice,
+    and short lines would meet in a band for the one or two that they share.
     """
     codes, starts = shingle_codes(lines)
-    line = np.repeat(np.arange(len(lines)), np.diff([*starts, len(codes)]))
+    counts = np.diff([*starts, len(codes)])
+    line = np.repeat(np.arange(len(lines)), counts)
     empty = np.uint32(0xFFFFFFFF)
     bins = np.full(len(lines) * BINS, empty, np.uint32)
     at = line * BINS + (codes >> np.uint64(58)).astype(np.int64)
-    np.minimum.at(bins, at, np.minimum(codes.astype(np.uint32), empty - np.uint32(1)))
+    least = codes.astype(np.uint32)
+    np.minimum.at(bins, at, np.minimum(least, empty - np.uint32(1)))
     bins = bins.reshape(-1, BINS)
     values = bins.astype(np.uint64)
-    # in lines with an empty bin, the next full bin of each, once around
-    gaps = np.flatnonzero((bins == empty).any(1))
-    around = np.concatenate([bins[gaps], bins[gaps]], 1)
-    place = np.where(around != empty, np.arange(2 * BINS, dtype=np.int64), 2 * BINS - 1)
-    after = np.minimum.accumulate(place[:, ::-1], 1)[:, ::-1][:, :BINS]
-    full, steps = np.take_along_axis(around, after, 1), (after - np.arange(BINS)).astype(np.uint64)
-    values[gaps] = full.astype(np.uint64) + (steps << np.uint64(40))
+    gaps, place = np.nonzero(bins == empty)
+    # a long line has few distinct shingles where it leaves a bin empty
+    for i in np.unique(gaps[counts[gaps] > LONG]):
+        own = distinct(least[starts[i] : starts[i] + counts[i]])
+        least[starts[i] : starts[i] + len(own)], counts[i] = own, len(own)
+    n = counts[gaps]
+    salted = least[spans(starts[gaps], starts[gaps] + n)] * np.repeat(SALTS[place], n)
+    values[gaps, place] = (np.minimum.reduceat(salted, np.cumsum(n) - n) if len(n) else salted).astype(np.uint64) + np.uint64(1 << 40)
     values = values[:, : BANDS * ROWS].reshape(len(lines), BANDS, ROWS)
     out = np.tile(np.arange(BANDS, dtype=np.uint64), (len(lines), 1))
     for r in range(ROWS):

@@ -15,6 +15,8 @@ from tidepanel.llm.base import with_blocks
 BLOCK_ELEMENTS = 1_500_000
 #: Elements or characters of small components that are decoded at once.
 DECODED = 30_000
+#: Sets from which on a set meets only those that an index of rare elements gives.
+MANY = 256
 
 
 def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -75,7 +77,7 @@ def set_links(sets: list[np.ndarray], num: int, den: int, whole: np.ndarray | No
     """A spanning forest of the links den * |intersection| >= num * |union| between the sorted sets.
 
     A breadth-first walk compares each set it reaches with those of a fitting size not reached yet, so every
-    pair that could join two trees is compared exactly.
+    pair that could join two trees is compared exactly.  Of many sets, it leaves out those that share none of the rarest elements.
 
     With ``whole`` (sizes) the arrays are the least elements of larger sets: then a pair is joined unless the
     difference of the two within their common range already forbids a link.
@@ -91,6 +93,8 @@ def set_links(sets: list[np.ndarray], num: int, den: int, whole: np.ndarray | No
     distinct, codes = np.unique(np.concatenate(sets), return_inverse=True)
     codes = codes.astype(np.int32)
     starts = np.concatenate([[0], np.cumsum(lengths)])
+    if whole is None and len(sets) >= MANY:
+        return out_of(indexed_links(codes, starts, len(distinct), num, den), order)
     last = np.where(lengths < sizes, codes[starts[1:] - 1], len(distinct))
     mark, out, queue = np.zeros(len(distinct), np.uint8), [], []
     left, left_codes, left_starts = np.arange(len(sets)), codes, starts
@@ -132,6 +136,65 @@ def set_links(sets: list[np.ndarray], num: int, den: int, whole: np.ndarray | No
         queue += hit.tolist()
 
 
+def spans(first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The places first .. end - 1 of every span, one span after the other."""
+    n = end - first
+    return np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
+
+
+def indexed_links(codes: np.ndarray, starts: np.ndarray, n_codes: int, num: int, den: int) -> list[tuple[int, int]]:
+    """``set_links`` of sets in ascending order of their sizes, each the codes between two of ``starts``.
+
+    A set of n elements shares num * n / den with a linked one at least, so of its elements by ascending frequency the
+    first n less that number, and one more, hold one that is among the other's.  These are indexed.  What many sets have in
+    common is frequent, so the sets of a template whose fillings differ don't all meet.
+    """
+    sizes = np.diff(starts)
+    members = np.repeat(np.arange(len(sizes)), sizes)
+    rank = np.empty(n_codes, np.int64)
+    rank[np.argsort(np.bincount(codes, minlength=n_codes), kind="stable")] = np.arange(n_codes)
+    ranks = np.sort(members * n_codes + rank[codes]) - members * n_codes
+    rare = np.arange(len(codes)) - starts[members] <= (sizes + (-num * sizes) // den)[members]
+    ranks, members = ranks[rare], members[rare]
+    shared = np.bincount(ranks, minlength=n_codes)[ranks] > 1
+    ranks, members = ranks[shared], members[shared]
+    own = np.concatenate([[0], np.cumsum(np.bincount(members, minlength=len(sizes)))])
+    held = members[np.argsort(ranks, kind="stable")]
+    ends = np.cumsum(np.bincount(ranks, minlength=n_codes))
+    heads = np.concatenate([[0], ends[:-1]])
+    lo, hi = np.searchsorted(sizes, -(-num * sizes // den), "left"), np.searchsorted(sizes, den * sizes // num, "right")
+    mark, reached, out = np.zeros(n_codes, np.uint8), np.diff(own) == 0, []
+    unmet = len(sizes) - int(reached.sum())
+    for seed in np.flatnonzero(~reached).tolist():
+        if reached[seed]:
+            continue
+        reached[seed] = True
+        unmet -= 1
+        queue = [seed]
+        while queue and unmet:
+            p = queue.pop()
+            lists = ranks[own[p] : own[p + 1]]
+            near = held[spans(heads[lists], ends[lists])]
+            left = ~reached[near]
+            near = near[left]
+            # what is reached leaves the lists
+            kept = np.concatenate([[0], np.cumsum(left)])[np.cumsum(ends[lists] - heads[lists])]
+            ends[lists] = heads[lists] + np.diff(kept, prepend=0)
+            held[spans(heads[lists], ends[lists])] = near
+            near = np.unique(near[(near >= lo[p]) & (near < hi[p])])
+            if not len(near):
+                continue
+            mark[codes[starts[p] : starts[p + 1]]] = 1
+            both = np.add.reduceat(mark[codes[spans(starts[near], starts[near + 1])]], np.cumsum(sizes[near]) - sizes[near], dtype=np.int64)
+            mark[codes[starts[p] : starts[p + 1]]] = 0
+            hit = near[linked(num, den, sizes[p], sizes[near], both)]
+            reached[hit] = True
+            unmet -= len(hit)
+            out += [(p, int(i)) for i in hit]
+            queue += hit.tolist()
+    return out
+
+
 def out_of(pairs: list[tuple[int, int]], order: np.ndarray) -> list[tuple[int, int]]:
     return [(int(order[x]), int(order[y])) for x, y in pairs]
 
