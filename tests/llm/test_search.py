@@ -192,6 +192,16 @@ def test_variants_equal_brute_force(spark):
     assert any(r[1] and r[1] != r[2] for r in rows)
 
 
+def test_neighbours_are_not_broadcast(spark):
+    from tidepanel.llm.base import materialize
+
+    words = materialize(spark.createDataFrame([(f"word{i}"[:8].translate({48 + k: 97 + k for k in range(10)}), 3 + i) for i in range(2000)], "word string, n long"))
+    pairs = spelling.near_pairs(words)
+    assert pairs.count() > 10_000
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_variants_of_no_documents(spark):
     assert spelling.variants(spark.createDataFrame([], DOCS)).count() == 0
     assert spelling.variants(spark.createDataFrame([(1, "only one", 1, "", 1)], DOCS)).count() == 0

@@ -174,7 +174,8 @@ def near_pairs(words: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
 
     asked = coded.select("word", "n").mapInPandas(run, "word string, n long, h long")
     others = coded.select("h", F.col("word").alias("near"), F.col("n").alias("near_n"))
-    return asked.join(others, "h").where(F.levenshtein("word", "near", 1) == 1).select("word", "n", "near", "near_n")
+    # Spark sizes ``asked`` as its words; it has many rows for each, too many to be broadcast
+    return asked.join(others.hint("merge"), "h").where(F.levenshtein("word", "near", 1) == 1).select("word", "n", "near", "near_n")
 
 
 def roots(forms: DataFrame, rounds: int = 64) -> DataFrame:
