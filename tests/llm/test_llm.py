@@ -790,3 +790,17 @@ def test_many_sets_of_a_template_don_t_all_meet():
     want = classes(len(sets), lambda i, j: 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j])))
     edges = {(min(p), max(p)) for p in set_links(sets, 4, 5)}
     assert classes(len(sets), lambda i, j: (j, i) in edges) == want
+
+
+def test_pipeline_does_not_chain_unrelated_short_lines(spark, monkeypatch):
+    import corpus_pipeline
+    from tidepanel.llm import verify
+
+    rng = random.Random(13)
+    middles = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=lines.WIDTH + 1)) for _ in range(12)]
+    rows = [(i, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=20)) + rng.choice(middles) + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=20))) for i in range(4000)]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    met, way = [], verify.with_totals
+    monkeypatch.setattr(lines, "with_totals", lambda wanted: met.append(wanted.count()) or way(wanted))
+    assert corpus_pipeline.drop_repeated_lines(spark, docs, "").count() == 4000
+    assert met[0] < 100  # by a neighbour's shingle in empty bins, 741 lines of these were candidates
